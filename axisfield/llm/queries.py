@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisfield.llm import decision_list, mixing, ogg, packing, token_counts
+from axisfield.llm import decision_list, mixing, ngram_join, ogg, packing, suffix_dedup, token_counts
 from axisfield.llm.common import documents, shared_folder
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -40,6 +40,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(packing.pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir))
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decision_list.with_verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return out.select("doc_id", *decision_list.BASE, "base_failed", "kept")
@@ -84,7 +94,7 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN draw > 0 AND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg, op3_best_fit_packing, op7_decision_list, op8_token_counts, op9_pareto_mix)}
+    return {f.__name__: f for f in (op2_ogg, op3_best_fit_packing, op4_suffix_dedup, op5_ngram_join, op7_decision_list, op8_token_counts, op9_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
