@@ -22,6 +22,8 @@ from itertools import pairwise
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axisfield.llm.common import checkpoint
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -150,13 +152,21 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def statistics_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The statistics of all documents, without their texts, written once to the shared folder."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return checkpoint(with_statistics(own).drop("text"))
+
+
+def learned(stats: DataFrame, labels: DataFrame) -> list[tuple[Condition, ...]]:
+    """The decision list from all labelled documents that pass the base rule."""
+    marks = labels.select("doc_id", "quality").where("quality in (0, 1)").dropDuplicates(["doc_id"])
+    grow = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 0
+    labelled = stats.where("not base_failed").join(marks, "doc_id").select(*FEATURES, "quality", grow.alias("grow"))
+    return learn(checkpoint(labelled))
+
+
 def with_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds the statistics, base_failed and kept; the list is learned from the labels of these documents."""
-    from axisfield.llm.common import checkpoint
-
-    stats = checkpoint(with_statistics(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text").drop("text"))
-    marks = labels.select(F.col("doc_id"), F.col("quality")).where("quality in (0, 1)").dropDuplicates(["doc_id"])
-    labelled = stats.where("not base_failed").join(marks, "doc_id").withColumn("grow", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 0)
-    labelled = checkpoint(labelled.select(*FEATURES, "quality", "grow"))
-    kept = ~F.col("base_failed") & verdict(learn(labelled))
-    return stats.withColumn("kept", kept)
+    """(doc_id, statistics, base_failed, kept) per document; the list is learned from the labels of these documents."""
+    stats = statistics_of(docs, id_col, text)
+    return stats.withColumn("kept", ~F.col("base_failed") & verdict(learned(stats, labels)))

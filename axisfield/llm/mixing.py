@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from axisfield.llm.common import checkpoint
 
 #: Bins of the rank histogram of a source.
-BINS = 1 << 16
+BINS = 1 << 11
 
 
 def n_words(text: Column) -> Column:

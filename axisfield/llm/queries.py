@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisfield.llm import decision_list, mixing, ngram_join, ogg, packing, suffix_dedup, token_counts
+from axisfield.llm import decision_list, html_paths, mixing, nbsvm, ngram_join, ogg, packing, suffix_dedup, token_counts, warc
 from axisfield.llm.common import documents, shared_folder
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -20,6 +21,15 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as response records, and the metadata and conversion records derived from those."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    responses = documents(spark, sf_dir, "pages").select("page_id", warc.response_record(F.col("url"), html, "2024-01-01T00:00:00Z").alias("record"))
+    out = warc.derive(responses)
+    text = F.when(F.col("record_type") == "conversion", F.col("block").cast("string"))
+    return out.select("page_id", *(c for c in warc.RECORD.names if c not in ("block", "record")), text.alias("text"), F.sha2("record", 256).alias("record_sha256"))
+
+
 def op2_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as 8-bit samples in an Ogg file, read back through the demultiplexer."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
@@ -50,6 +60,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
 
+def op6_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_paths.extract(documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decision_list.with_verdicts(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return out.select("doc_id", *decision_list.BASE, "base_failed", "kept")
@@ -57,7 +72,8 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"))
-    cache = posixpath.join(shared_folder(spark), "token-counts")
+    # a cache per input, so that every text of a new input is encoded
+    cache = posixpath.join(shared_folder(spark), "token-counts", hashlib.sha256(sf_dir.encode()).hexdigest()[:16])
     out = token_counts.with_token_counts(docs, tokenizer("piece_bpe_32k.model"), cache)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
@@ -67,6 +83,10 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.with_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -94,7 +114,11 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN draw > 0 AND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg, op3_best_fit_packing, op4_suffix_dedup, op5_ngram_join, op7_decision_list, op8_token_counts, op9_pareto_mix)}
+    found = (
+        op1_warc_derivatives, op2_ogg, op3_best_fit_packing, op4_suffix_dedup, op5_ngram_join,
+        op6_tag_path_ratios, op7_decision_list, op8_token_counts, op9_pareto_mix, op10_nbsvm,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
