@@ -97,6 +97,23 @@ def _counts(rows: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
     return [(row[2 * i], row[2 * i + 1]) for i in range(len(tests))]
 
 
+def _candidates(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[Condition, tuple[int, int]]:
+    """(rejected, kept) rows of every candidate condition, from one histogram of the rows per feature."""
+    tall = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.size(F.filter(F.array(*map(F.lit, ts)), lambda t, f=f: t < F.col(f))).alias("bin")) for i, (f, ts) in enumerate(thresholds.items()))))
+    found = rows.select("quality", tall.alias("x")).groupBy("x.f", "x.bin", "quality").count().collect()
+    out = {}
+    for i, (f, ts) in enumerate(thresholds.items()):
+        bins = [[0, 0] for _ in range(len(ts) + 1)]
+        for r in found:
+            if r["f"] == i:
+                bins[r["bin"]][int(r["quality"])] += r["count"]
+        for k, t in enumerate(ts):
+            # thresholds 0..k are below a value whose bin is over k
+            for above, part in ((True, bins[k + 1 :]), (False, bins[: k + 1])):
+                out[Condition(f, above, t)] = (sum(b for b, _ in part), sum(g for _, g in part))
+    return out
+
+
 def _precision(bad: int, good: int) -> float:
     return (bad + 1) / (bad + good + 2)
 
@@ -106,29 +123,30 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, most_rules:
     points = [i / cuts for i in range(cuts + 1)]
     # cut points among the rows to reject and among those to keep
     quantiles = labelled.where("grow").agg(*(F.percentile_approx(F.when(F.col("quality") == q, F.col(f)), points, 10_000).alias(f"{f}_{q}") for f in features for q in (0, 1))).first()
-    candidates = []
+    thresholds = {}
     for f in features:
         values = sorted({float(v) for q in (0, 1) for v in quantiles[f"{f}_{q}"] or []})
         # and the middles between them, so that a rule need not lie on a class's edge
-        values = sorted({round(v, 6) for v in (*values, *((a + b) / 2 for a, b in pairwise(values)))})
-        candidates += [Condition(f, above, v) for above in (True, False) for v in values]
+        if values := sorted({round(v, 6) for v in (*values, *((a + b) / 2 for a, b in pairwise(values)))}):
+            thresholds[f] = values
     rules: list[tuple[Condition, ...]] = []
-    while candidates and len(rules) < most_rules:
+    while thresholds and len(rules) < most_rules:
         left = labelled
         for r in rules:
             left = left.where(~_all(r))
         growing, rule = left.where("grow"), ()
         bad, good = _counts(growing, [F.lit(True)])[0]
         while good and bad and len(rule) < most_conditions:
-            counts = _counts(growing, [_all((*rule, c)) for c in candidates])
-            gain = [b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good))) if b else 0.0 for b, g in counts]
-            top = max(gain)
+            counts = _candidates(growing.where(_all(rule)), thresholds)
+            gain = {c: b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good))) if b else 0.0 for c, (b, g) in counts.items()}
+            top = max(gain.values())
             if top <= 1e-9:
                 break
-            first = next(i for i, x in enumerate(gain) if x >= top - 1e-9)
-            alike = [i for i, x in enumerate(gain) if x >= top - 1e-9 and (candidates[i].feature, candidates[i].above) == (candidates[first].feature, candidates[first].above)]
+            # of conditions that are as good, the one in the middle of the first such run
+            alike = [c for c, x in gain.items() if x >= top - 1e-9]
+            alike = [c for c in alike if (c.feature, c.above) == (alike[0].feature, alike[0].above)]
             best = alike[len(alike) // 2]
-            rule, (bad, good) = (*rule, candidates[best]), counts[best]
+            rule, (bad, good) = (*rule, best), counts[best]
         if not rule:
             break
         held = left.where("not grow")
@@ -152,9 +170,14 @@ def verdict(rules: list[tuple[Condition, ...]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def version(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def statistics_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The statistics of all documents, without their texts, written once to the shared folder."""
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """(doc_id, version of the text, statistics) of all documents, written once to the shared folder."""
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), version(F.col(f"`{text}`")).alias("version"))
     return checkpoint(with_statistics(own).drop("text"))
 
 

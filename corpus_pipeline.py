@@ -15,9 +15,12 @@ from axisfield.llm.queries import tokenizer
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned decision list."""
-    rules = decision_list.learned(decision_list.statistics_of(docs), documents(spark, sf_dir, "labels"))
-    kept = ~F.col("base_failed") & decision_list.verdict(rules)
-    return decision_list.with_statistics(docs).where(kept).select(*docs.columns)
+    stats = decision_list.statistics_of(docs)
+    rules = decision_list.learned(stats, documents(spark, sf_dir, "labels"))
+    passed = stats.where(~F.col("base_failed") & decision_list.verdict(rules)).select(F.col("doc_id").alias("passed"), "version").distinct()
+    # joined rather than filtered in place: a filter would be pushed below the statistics and compute them again for each test
+    keyed = docs.withColumn("version", decision_list.version(F.col("text")))
+    return keyed.join(passed, F.col("doc_id").eqNullSafe(F.col("passed")) & (keyed["version"] == passed["version"]), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
