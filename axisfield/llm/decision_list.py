@@ -99,7 +99,8 @@ def _counts(rows: DataFrame, tests: list[Column]) -> list[tuple[int, int]]:
 
 def _candidates(rows: DataFrame, thresholds: dict[str, list[float]]) -> dict[Condition, tuple[int, int]]:
     """(rejected, kept) rows of every candidate condition, from one histogram of the rows per feature."""
-    tall = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.size(F.filter(F.array(*map(F.lit, ts)), lambda t, f=f: t < F.col(f))).alias("bin")) for i, (f, ts) in enumerate(thresholds.items()))))
+    below = lambda f, ts: F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: t < F.col(f)))
+    tall = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), below(f, ts).alias("bin")) for i, (f, ts) in enumerate(thresholds.items()))))
     found = rows.select("quality", tall.alias("x")).groupBy("x.f", "x.bin", "quality").count().collect()
     out = {}
     for i, (f, ts) in enumerate(thresholds.items()):
