@@ -14,7 +14,7 @@
    agree in `width` bytes keeps its first occurrence in corpus order.
 4. The windows found to repeat are joined to their documents, as sorted spans.
 
-Groups are spread by the hash of the trigger string, texts by document, each over twice
+Groups are spread by the hash of the trigger string, texts by document, each over as many groups as
 spark.sql.shuffle.partitions; a task merges what it sends, so one that reads a phrase a
 thousand times sends it once. Phrases are identified by two 64-bit hashes, parts by their bytes.
 
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """Adds n_bytes, spans (maximal runs of bytes that repeat, start and end) and kept (the bytes that remain)."""
     if not TRIGGER < width <= TRIGGER + 60:
         raise ValueError(f"width must be {TRIGGER + 1} to {TRIGGER + 60}")
-    n = 2 * shuffle_partitions(docs.sparkSession)
+    n = shuffle_partitions(docs.sparkSession)
     made = ("n_bytes", "spans", "kept")
     kept_columns = [f for f in docs.schema if f.name not in made]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
