@@ -28,14 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisfield.llm.common import PrefixHash, checkpoint, mix, row_groups, text_buffer
 from axisfield.llm.components import components
 
 #: Cells of the frequency sketch (4 bytes each), cells of a block, members of a group's part, hubs a node is compared with first.
-CELLS, BLOCK, PART, HUBS = 1 << 18, 1 << 13, 32, 2
+CELLS, BLOCK, PART, HUBS = 1 << 18, 1 << 13, 32, 1
 
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(64)], np.uint64)
 
@@ -228,6 +228,20 @@ def _open(queries: DataFrame, width: int, percent: int) -> DataFrame:
     return queries.select("node", "text", "nodes", "texts", "tokens").mapInArrow(run, "a long, b long")
 
 
+def _reaches(percent: int) -> Column:
+    """Whether a member of a group of sizes low..high can reach the threshold with a node of size n, sharing k prefix shingles.
+
+    Of two prefixes the one that ends first has every common shingle up to its end in both; the rest of its
+    set bounds the others. So k and the larger rest must make up the overlap that the two sizes need. Over
+    the sizes a partner can have this need is least at either end; one is allowed for rounding.
+    """
+    rest = lambda n: F.ceil(n * percent / 100) - 1
+    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m)) - 1
+    low = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    high = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
+    return (low <= high) & (F.col("k") >= F.least(need(low), need(high)))
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
     spark = docs.sparkSession
@@ -242,7 +256,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     texts = checkpoint(_texts(own, lists.select("node").distinct(), width))
     shared = lists.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
     best = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
-    hubs = shared.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS)
+    sized = nodes.where("node is not null").select("node", "n").dropDuplicates(["node"])
+    # a hub that a node shares few rare shingles with is left to the matrix
+    likely = shared.join(sized, "node").where("20 * k >= n")
+    hubs = likely.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS)
     pairs = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     first = checkpoint(_compare(pairs, width, percent))
     groups = components(first)
@@ -251,8 +268,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     named = named.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list)).where("low != high")
     open_lists = checkpoint(named.select("token", "node", "component"))
     met = open_lists.select("token", F.col("component").alias("other")).distinct()
-    queries = open_lists.join(met, "token").where("component > other").select("node", "other").distinct()
-    queries = checkpoint(queries.join(hubs.select("node", F.col("hub").alias("other"), F.lit(True).alias("done")), ["node", "other"], "left").drop("done"))
+    # how many shingles a node's prefix shares with the union of a group's prefixes, against what any member would need
+    queries = open_lists.join(met, "token").where("component > other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("k"))
+    named_sizes = lists.select("node").distinct().join(sized, "node").join(groups, "node", "left")
+    ranges = named_sizes.groupBy(F.coalesce("component", "node").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    queries = queries.join(ranges, "other").join(sized, "node").where(_reaches(percent)).select("node", "other")
+    queries = checkpoint(queries.join(hubs.select("node", F.col("hub").alias("other"), F.lit(True).alias("done")), ["node", "other"], "left_anti"))
     members = queries.select(F.col("other").alias("component")).distinct().join(texts.select("node", "text").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "component")
     parts = _group_parts(members, width)
     asked = queries.join(texts, "node").withColumnRenamed("other", "component").join(parts, "component")
