@@ -4,8 +4,8 @@
 2. Frequencies. A count sketch of fixed size puts frequent shingles last in the order that
    all nodes share; by it, two sets that reach the threshold share a shingle among their
    first n - ceil(threshold n) + 1. Rows (shingle, node) of these prefixes are the index.
-3. Groups. Each node is compared with the hubs (least nodes) of the lists it shares most;
-   links that hold make groups of similar documents.
+3. Groups. In a few rounds each node is compared with the hub (least node of the least group)
+   of another group whose lists it shares most; links that hold make groups of similar documents.
 4. Matrix. A list whose nodes are all in one group needs no more. For the others, each node
    is a query against the groups it meets: a group's token union bounds the overlap of all
    its members at once, and only groups that reach the bound are opened and compared.
@@ -23,7 +23,9 @@ null ids only has the id null); repeated rows each get their row. Sets are ident
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisfield.llm.common import PrefixHash, checkpoint, mix, row_groups, text_buffer
+from axisfield.llm.common import PrefixHash, checkpoint, mix, row_groups, shuffle_partitions, text_buffer
 from axisfield.llm.components import components
 
-#: Cells of the frequency sketch (4 bytes each), cells of a block, members of a group's part, hubs a node is compared with first.
-CELLS, BLOCK, PART, HUBS = 1 << 18, 1 << 13, 32, 1
+#: Cells of the frequency sketch (4 bytes each), cells of a block, members of a group's part, rounds of comparing nodes with hubs.
+CELLS, BLOCK, PART, ROUNDS = 1 << 18, 1 << 13, 32, 3
 
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(64)], np.uint64)
 
@@ -251,18 +253,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     # lists of two nodes or more, each with its hub
     lists = _prefixes(own, classes, width, percent)
     of_list = Window.partitionBy("token")
-    lists = lists.withColumn("hub", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list)).where("hub != last").drop("last")
+    lists = lists.withColumn("first", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list)).where("first != last").select("token", "node")
     lists = checkpoint(lists)
-    texts = checkpoint(_texts(own, lists.select("node").distinct(), width))
-    shared = lists.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("k"))
-    best = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
     sized = nodes.where("node is not null").select("node", "n").dropDuplicates(["node"])
-    # a hub that a node shares few rare shingles with is left to the matrix
-    likely = shared.join(sized, "node").where("20 * k >= n")
-    hubs = likely.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= HUBS)
-    pairs = hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    first = checkpoint(_compare(pairs, width, percent))
-    groups = components(first)
+    # bucketed by node, so that only pairs are shuffled to the texts they need
+    table = f"shingle_texts_{uuid.uuid4().hex}"
+    _texts(own, lists.select("node").distinct(), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
+    texts = spark.table(table)
+    of_text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    groups = spark.createDataFrame([], "node long, component long")
+    links, tried = [], []
+    for _ in range(ROUNDS):
+        named = lists.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+        named = named.withColumn("hub", F.min(F.struct("component", "node")).over(of_list)).where("component != hub.component")
+        shared = named.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
+        # a hub that a node shares few rare shingles with is left to the matrix
+        likely = shared.join(sized, "node").where("20 * k >= n")
+        best = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
+        pairs = likely.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        for done in tried:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = checkpoint(pairs)
+        tried.append(pairs)
+        links.append(checkpoint(_compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent)))
+        groups = components(functools.reduce(DataFrame.union, links))
     # lists that meet more than one group
     named = lists.select("token", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list)).where("low != high")
@@ -273,12 +287,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     named_sizes = lists.select("node").distinct().join(sized, "node").join(groups, "node", "left")
     ranges = named_sizes.groupBy(F.coalesce("component", "node").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     queries = queries.join(ranges, "other").join(sized, "node").where(_reaches(percent)).select("node", "other")
-    queries = checkpoint(queries.join(hubs.select("node", F.col("hub").alias("other"), F.lit(True).alias("done")), ["node", "other"], "left_anti"))
+    queries = checkpoint(queries)
     members = queries.select(F.col("other").alias("component")).distinct().join(texts.select("node", "text").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "component")
     parts = _group_parts(members, width)
     asked = queries.join(texts, "node").withColumnRenamed("other", "component").join(parts, "component")
-    second = _open(asked, width, percent)
-    final = components(first.union(second))
+    links.append(checkpoint(_open(asked, width, percent)))
+    spark.sql(f"DROP TABLE {table}")
+    final = components(functools.reduce(DataFrame.union, links))
     ids = nodes.where("block is null")
     named = ids.where("node is not null").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
