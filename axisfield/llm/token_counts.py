@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisfield.llm.common import row_groups, text_buffer
+from axisfield.llm.common import checkpoint, row_groups, text_buffer
 from axisfield.llm.tokens import piece_counts
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -60,6 +60,8 @@ def with_token_counts(df: DataFrame, model_path: str, cache_dir: str, text: str
     misses = distinct.join(stored.select("digest"), "digest", "left_anti")
     encoded(misses, model_path, version).write.mode("append").parquet(cache_dir)
     counts = cached(spark, cache_dir).where(F.col("tokenizer") == version).groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("__n"))
+    # written first: below an aggregate the join would keep all rows of a text together, this way Spark splits a large group of copies
+    counts = checkpoint(counts)
     keyed = df.withColumn("__digest", digest)
     kept = [F.col(f"`{c}`") for c in df.columns if c != into]
     return keyed.join(counts, "__digest", "left").select(*kept, F.col("__n").alias(into))
