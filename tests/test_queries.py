@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from axisfield import objectives  # noqa: F401 - registers more queries
 from axisfield import queries as own
 
 SF = "/root/testdata/sf0.001"
