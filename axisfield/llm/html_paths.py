@@ -5,7 +5,9 @@ Per path, text lengths and punctuation marks are aggregated to two ratios (chara
 marks a block), which are smoothed over paths that are alike and fused to one score. The
 threshold on the scores selects paths; short blocks of selected places (headings, list
 items) come with their neighbours because smoothing weighs the paths of one parent most.
-Elements that are no text of an article by their tag, role or class are left out before.
+Elements that are no text of an article by their tag, or hidden, are left out before, unless
+they hold most of the page's text in an article or main (a form: most of the text at all).
+A class, id or role that names what is no article text only lowers the score of the paths below.
 
 Defined results: a null or empty page and one without text give an empty text; unclosed,
 stray and crossed tags are repaired as far as block tags go; nothing is dropped for being
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # fixed values: tags and names of HTML
 RAW = frozenset("script style noscript template iframe svg math textarea title xmp".split())
@@ -36,7 +38,7 @@ NEVER = frozenset("nav footer aside form button select option dialog menu head o
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl article section main body div".split())
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
-#: Words of class, id or role that mark what is no article text.
+#: Whole class tokens, ids or roles that are a weak sign of what is no article text.
 NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright dialog discussion disqus footer gdpr login masthead menu modal nav navbar "
     "navigation newsletter notice notices alert notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar "
@@ -47,46 +49,54 @@ MARKS = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: tuple[str, ...]  # tags; one whose name is a sign of other than article text ends with !
     text: str
     link: int  # characters inside links
+    within: tuple[int, ...]  # the elements of the path, by their number in page order
 
 
-def _left_out(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not inside_article:
-        return True
-    if not attributes:
-        return False
+@dataclass
+class Element:
+    tag: str
+    cut: bool  # left out by its tag or as hidden
+    named: bool
+
+
+def _signs(attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether a class token, id or role is one of NAMES or made of them alone (cookie-notice)."""
+    hidden = named = False
+    seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" and not value or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower().replace("-", " ").replace("_", " ").split()):
-            return True
-    return False
+        if name in seen:
+            continue
+        seen.add(name)
+        if name == "hidden":
+            hidden = hidden or value.lower() != "until-found"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name in ("class", "id", "role"):
+            named = named or any(NAMES.issuperset(re.split("[-_]+", t)) for t in value.lower().split())
+    return hidden, named
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, without what is no article text by its element."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
     links = in_link = 0
-    off = 0  # open elements that are left out
     raw = ""
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(tuple(t for t, _ in stack), text, links))
+            found.append(Block(tuple(t for t, _ in stack), text, links, tuple(e for _, e in stack)))
         parts.clear()
         links = 0
 
-    def pop() -> None:
-        nonlocal off
-        off -= stack.pop()[1]
-
     for m in _TOKEN.finditer(page):
         closing, tag, attributes, text, angle = m.groups()
         if raw:
@@ -94,10 +104,9 @@ def blocks(page: str) -> list[Block]:
                 raw = ""
             continue
         if text or angle:
-            if not off:
-                parts.append(text or angle)
-                if in_link:
-                    links += len((text or angle).strip())
+            parts.append(text or angle)
+            if in_link:
+                links += len(html.unescape(text or angle).strip())
             continue
         if not tag:
             continue
@@ -116,27 +125,49 @@ def blocks(page: str) -> list[Block]:
         flush()
         if closing:
             if any(t == tag for t, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+                while stack.pop()[0] != tag:
+                    pass
             continue
         if tag == "hr":
             continue
+        if stack and stack[-1][0] == "head":
+            stack.pop()  # its end tag may be omitted
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS_CLOSE_P else set())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in closes:
-                while len(stack) > k:
-                    pop()
+                del stack[k:]
                 if tag not in ("tr", "dt", "dd"):
                     break
             elif stack[k][0] in SCOPES:
                 break
         in_link = 0
-        gone = _left_out(tag, attributes, any(t in ("article", "main") for t, _ in stack))
-        stack.append((tag, gone))
-        off += gone
+        hidden, named = _signs(attributes) if attributes and tag not in ("html", "body") else (False, False)
+        cut = hidden or tag in NEVER or tag == "header" and not any(t in ("article", "main") for t, _ in stack)
+        stack.append((tag, len(elements)))
+        elements.append(Element(tag, cut, named))
     flush()
-    return found
+    return _kept(found, elements)
+
+
+def _kept(found: list[Block], elements: list[Element]) -> list[Block]:
+    """The blocks outside cut elements, named elements marked in their paths, once it's known what each element holds."""
+    holds, of_articles, articles = defaultdict(int), defaultdict(int), set()
+    for b in found:
+        size, inner = len(b.text), max((k for k, e in enumerate(b.within) if elements[e].tag in ("article", "main")), default=0)
+        articles.update(b.within[:inner])
+        for k, e in enumerate(b.within):
+            holds[e] += size
+            of_articles[e] += size if k < inner else 0
+    half = sum(len(b.text) for b in found) / 2
+    for e, element in enumerate(elements):
+        if element.cut and (of_articles[e] > half or element.tag in ("form", "fieldset") and holds[e] > half):
+            element.cut = False
+        if element.named and element.tag not in ("article", "main") and e in articles:
+            element.named = False
+    kept = [b for b in found if not any(elements[e].cut for e in b.within)]
+    for b in kept:
+        b.path = tuple(t + "!" if elements[e].named else t for t, e in zip(b.path, b.within, strict=True))
+    return kept
 
 
 def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -147,6 +178,10 @@ def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return 0.5 ** ((len(a) - k) + (len(b) - k))
 
 
+#: What is left of a path's score below an element of NAMES.
+NAMED = 0.2
+
+
 def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
     """Paths whose fused score reaches a share of the best."""
     lengths, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
@@ -163,14 +198,14 @@ def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
         near = [(q, _alike(p, q)) for q in paths]
         total = sum(w * count[q] ** 0.5 for q, w in near)
         smooth = [sum(w * count[q] ** 0.5 * by[q] for q, w in near) / total for by in (ratio, punctuation)]
-        fused[p] = smooth[0] * (0.25 + smooth[1])
+        fused[p] = smooth[0] * (0.25 + smooth[1]) * (NAMED if any(t.endswith("!") for t in p) else 1.0)
     best = max(fused.values(), default=0.0)
     return {p for p in paths if fused[p] >= share * best and (best or fused[p])} or set(paths)
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    inside = [b for b in found if "article" in b.path] or [b for b in found if "main" in b.path] or found
+    inside = [b for b in found if {"article", "article!"} & set(b.path)] or [b for b in found if "main" in b.path] or found
     chosen = selected(inside)
     return "\n\n".join(b.text for b in inside if b.path in chosen)
 
