@@ -8,6 +8,8 @@ items) come with their neighbours because smoothing weighs the paths of one pare
 Elements that are no text of an article by their tag, or hidden, are left out before, unless
 they hold most of the page's text in an article or main (a form: most of the text at all).
 A class, id or role that names what is no article text only lowers the score of the paths below.
+An article or main raises it by its share of the text outside named elements, and lowers it if
+that is little (a teaser or comment); it selects nothing by itself.
 
 Defined results: a null or empty page and one without text give an empty text; unclosed,
 stray and crossed tags are repaired as far as block tags go; nothing is dropped for being
@@ -41,9 +43,11 @@ BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset foo
 #: Whole class tokens, ids or roles that are a weak sign of what is no article text.
 NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright dialog discussion disqus footer gdpr login masthead menu modal nav navbar "
-    "navigation newsletter notice notices alert notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar "
+    "navigation newsletter notice notices alert notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar teaser teasers "
     "widget widgets complementary contentinfo search".split()
 )
+#: What is left of a path's score below an element of NAMES that holds little; more if it holds much and no article is elsewhere.
+NAMED = 0.05
 MARKS = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 
@@ -53,6 +57,7 @@ class Block:
     text: str
     link: int  # characters inside links
     within: tuple[int, ...]  # the elements of the path, by their number in page order
+    weight: float = 1.0  # by what its article or main and its named elements hold
 
 
 @dataclass
@@ -158,14 +163,27 @@ def _kept(found: list[Block], elements: list[Element]) -> list[Block]:
         for k, e in enumerate(b.within):
             holds[e] += size
             of_articles[e] += size if k < inner else 0
-    half = sum(len(b.text) for b in found) / 2
+    total = sum(len(b.text) for b in found)
+    half = total / 2
     for e, element in enumerate(elements):
         if element.cut and (of_articles[e] > half or element.tag in ("form", "fieldset") and holds[e] > half):
             element.cut = False
         if element.named and element.tag not in ("article", "main") and e in articles:
             element.named = False
     kept = [b for b in found if not any(elements[e].cut for e in b.within)]
+    plain, has_article = 0, False
     for b in kept:
+        if not any(elements[e].named for e in b.within):
+            plain += len(b.text)
+            has_article = has_article or any(elements[e].tag in ("article", "main") for e in b.within)
+    for b in kept:
+        around = next((e for e in reversed(b.within) if elements[e].tag == "article"), None)
+        if around is None:
+            around = next((e for e in reversed(b.within) if elements[e].tag == "main"), None)
+        if around is not None:
+            b.weight = 0.5 + 4.5 * min(1.0, holds[around] / max(1, plain)) ** 2
+        if names := [holds[e] for e in b.within if elements[e].named]:
+            b.weight *= NAMED * (1.0 if has_article else 1.0 + 3.0 * max(names) / total)
         b.path = tuple(t + "!" if elements[e].named else t for t, e in zip(b.path, b.within, strict=True))
     return kept
 
@@ -178,17 +196,14 @@ def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return 0.5 ** ((len(a) - k) + (len(b) - k))
 
 
-#: What is left of a path's score below an element of NAMES.
-NAMED = 0.2
-
-
 def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
     """Paths whose fused score reaches a share of the best."""
-    lengths, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
+    lengths, marks, weights, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
     for b in page:
         # link text counts against a path
         lengths[b.path] += max(0, len(b.text) - 2 * b.link)
         marks[b.path] += len(MARKS.findall(b.text)) if 2 * b.link < len(b.text) else 0
+        weights[b.path] += b.weight
         count[b.path] += 1
     paths = list(count)
     ratio = {p: lengths[p] / count[p] for p in paths}
@@ -198,16 +213,15 @@ def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
         near = [(q, _alike(p, q)) for q in paths]
         total = sum(w * count[q] ** 0.5 for q, w in near)
         smooth = [sum(w * count[q] ** 0.5 * by[q] for q, w in near) / total for by in (ratio, punctuation)]
-        fused[p] = smooth[0] * (0.25 + smooth[1]) * (NAMED if any(t.endswith("!") for t in p) else 1.0)
+        fused[p] = smooth[0] * (0.25 + smooth[1]) * weights[p] / count[p]
     best = max(fused.values(), default=0.0)
     return {p for p in paths if fused[p] >= share * best and (best or fused[p])} or set(paths)
 
 
 def main_text(page: str) -> str:
     found = blocks(page)
-    inside = [b for b in found if {"article", "article!"} & set(b.path)] or [b for b in found if "main" in b.path] or found
-    chosen = selected(inside)
-    return "\n\n".join(b.text for b in inside if b.path in chosen)
+    chosen = selected(found)
+    return "\n\n".join(b.text for b in found if b.path in chosen)
 
 
 def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataFrame:

@@ -24,3 +24,12 @@ def test_named_and_hidden_elements():
     assert html_paths.main_text(page) == "\n\n".join(TEXT)
     # a head without its end tag
     assert html_paths.main_text(f"<html><head><title>T</title><body><div>{PARAGRAPHS}</div>") == "\n\n".join(TEXT)
+
+
+def test_articles_are_one_feature():
+    teasers = "".join(f'<article><h2><a href="/{i}">Teaser {i}</a></h2><p>A few words of another page, cut.</p></article>' for i in range(3))
+    comments = '<article class="comment"><p>A comment, with marks.</p></article>' * 3
+    for page in (f"<body>{CHROME}<div>{PARAGRAPHS}</div>{teasers}</body>", f"<body>{CHROME}<div>{PARAGRAPHS}</div>{comments}</body>", f"<body><div>{PARAGRAPHS}</div></body>"):
+        assert html_paths.main_text(page) == "\n\n".join(TEXT)
+    # several articles with texts are all of the page
+    assert html_paths.main_text(f"<body>{CHROME}" + "".join(f"<article><p>{t}</p></article>" for t in TEXT) + "</body>") == "\n\n".join(TEXT)
