@@ -3,8 +3,10 @@
 A page is a list of text blocks, each with its root-to-leaf path of block tags and link.
 Per path, text lengths and punctuation marks are aggregated to two ratios (characters and
 marks a block), which are smoothed over paths that are alike and fused to one score. The
-threshold on the scores selects paths; short blocks of selected places (headings, list
-items) come with their neighbours because smoothing weighs the paths of one parent most.
+threshold on the scores selects paths, and the least element that holds all blocks of selected
+paths is the container: its blocks are kept in page order (headings, lists, tables, quotes),
+with headings right before it. Out of it go only blocks that are links for the most part,
+headings apart, and named elements in which no path is selected.
 Elements that are no text of an article by their tag, or hidden, are left out before, unless
 they hold most of the page's text in an article or main (a form: most of the text at all).
 A class, id or role that names what is no article text only lowers the score of the paths below.
@@ -40,6 +42,8 @@ NEVER = frozenset("nav footer aside form button select option dialog menu head o
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl article section main body div".split())
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+SECTIONS = frozenset("html body article main section div center form header td".split())
 #: Whole class tokens, ids or roles that are a weak sign of what is no article text.
 NAMES = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright dialog discussion disqus footer gdpr login masthead menu modal nav navbar "
@@ -218,10 +222,41 @@ def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
     return {p for p in paths if fused[p] >= share * best and (best or fused[p])} or set(paths)
 
 
+def _heading(b: Block) -> bool:
+    return bool(b.path) and b.path[-1].rstrip("!") in HEADINGS
+
+
+def contained(page: list[Block], chosen: set[tuple[str, ...]]) -> list[Block]:
+    """The blocks of the container of all chosen paths, without those that are no text by their own evidence."""
+    at = [k for k, b in enumerate(page) if b.path in chosen]
+    if not at:
+        return []
+    common = page[at[0]].within
+    for k in at:
+        same = 0
+        for a, b in zip(common, page[k].within):
+            if a != b:
+                break
+            same += 1
+        common = common[:same]
+    # a leaf, its list or its table is no container by itself
+    depth = len(common)
+    while depth and page[at[0]].path[depth - 1].rstrip("!") not in SECTIONS:
+        depth -= 1
+    inside = [k for k, b in enumerate(page) if b.within[:depth] == common[:depth]]
+    first = inside[0]
+    while first and _heading(page[first - 1]) and not any(t.endswith("!") for t in page[first - 1].path):
+        first -= 1
+    inside = [*range(first, inside[0]), *inside]
+    # named elements inside the container are kept whole if one of their paths is chosen
+    open_names = {e for k in at for e in page[k].within}
+    kept = [page[k] for k in inside if not any(t.endswith("!") and e not in open_names for t, e in zip(page[k].path[depth:], page[k].within[depth:]))]
+    return [b for b in kept if 2 * b.link <= len(b.text) or _heading(b)] or kept
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
-    chosen = selected(found)
-    return "\n\n".join(b.text for b in found if b.path in chosen)
+    return "\n\n".join(b.text for b in contained(found, selected(found)))
 
 
 def extract(pages: DataFrame, source: str = "html", into: str = "text") -> DataFrame:

@@ -33,3 +33,22 @@ def test_articles_are_one_feature():
         assert html_paths.main_text(page) == "\n\n".join(TEXT)
     # several articles with texts are all of the page
     assert html_paths.main_text(f"<body>{CHROME}" + "".join(f"<article><p>{t}</p></article>" for t in TEXT) + "</body>") == "\n\n".join(TEXT)
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>", '<div class="a"><div class="b">%s</div></div>'])
+def test_short_blocks_of_the_container_stay(around):
+    items, cells, heads = [f"list item {i}" for i in range(5)], ["a", "1", "b", "2"], [f"Subheading {i} without marks" for i in range(9)]
+    parts = ["<h1>A heading of about forty characters, yes</h1>"]
+    want = ["A heading of about forty characters, yes"]
+    for i in range(20):
+        text = " ".join(TEXT)[: 700 + i]
+        if i < 9:
+            parts.append(f"<h2>{heads[i]}</h2>")
+            want.append(heads[i])
+        parts.append(f"<p>{text}</p>")
+        want.append(text.strip())
+    parts += ["<ul>", *(f"<li>{x}" for x in items), "</ul><table><tr><td>a<td>1<tr><td>b<td>2</table><blockquote><p>A quote.</p></blockquote><pre>x = 1</pre><dl><dt>term<dd>meaning</dl>"]
+    want += [*items, *cells, "A quote.", "x = 1", "term", "meaning"]
+    parts.append('<ul><li><a href="/x">Another page</a></li></ul><div class="share"><p>Share this</p></div>')
+    page = f"<html><body>{CHROME}{around % ''.join(parts)}<div class=\"sidebar\"><p>Read this, too.</p></div><footer>x</footer></body></html>"
+    assert html_paths.main_text(page).split("\n\n") == want
