@@ -36,6 +36,9 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 # fixed values: tags and names of HTML
 RAW = frozenset("script style noscript template iframe svg math textarea title xmp".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
+#: Where an unclosed script or style ends: only these can't be meant as part of it.
+_PAGE_GOES_ON = re.compile(r"</head\b|<body\b|<main\b|<article\b|</body\b|</html\b", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
 NEVER = frozenset("nav footer aside form button select option dialog menu head object canvas audio video fieldset".split())
@@ -55,6 +58,46 @@ NAMED = 0.05
 MARKS = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 
+def tokens(page: str, kept: frozenset[str] = frozenset()) -> Iterator[tuple[bool, str, str, str]]:
+    """(closing, tag, attributes, text) of tags (text "") and text (tag "") in page order.
+
+    The content of a RAW element is no markup: it ends at the element's own end tag, and is
+    text if the tag is in `kept`, else left out. Without an end tag, a script or style ends
+    where head ends or body, main or article starts or body ends, else with the page; any
+    other RAW element is taken as empty.
+    """
+    at, missing = 0, set()
+    while True:
+        resume = None
+        for m in _TOKEN.finditer(page, at):
+            closing, tag, attributes, text, angle = m.groups()
+            if text or angle:
+                yield False, "", "", text or angle
+                continue
+            if not tag:
+                continue
+            tag = tag.lower()
+            yield bool(closing), tag, attributes, ""
+            if tag not in RAW or closing or attributes.endswith("/") and tag in ("svg", "math"):
+                continue
+            end = None if tag in missing else _RAW_END[tag].search(page, m.end())
+            if end:
+                resume = end.start()
+            elif tag in ("script", "style"):
+                missing.add(tag)
+                goes_on = _PAGE_GOES_ON.search(page, m.end())
+                resume = goes_on.start() if goes_on else len(page)
+            else:
+                missing.add(tag)
+                continue
+            if tag in kept and resume > m.end():
+                yield False, "", "", page[m.end() : resume]
+            break
+        if resume is None:
+            return
+        at = resume
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]  # tags; one whose name is a sign of other than article text ends with !
@@ -96,7 +139,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     links = in_link = 0
-    raw = ""
 
     def flush() -> None:
         nonlocal links
@@ -106,22 +148,13 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
-        closing, tag, attributes, text, angle = m.groups()
-        if raw:
-            if tag and closing and tag.lower() == raw:
-                raw = ""
-            continue
-        if text or angle:
-            parts.append(text or angle)
+    for closing, tag, attributes, text in tokens(page):
+        if text:
+            parts.append(text)
             if in_link:
-                links += len(html.unescape(text or angle).strip())
-            continue
-        if not tag:
+                links += len(html.unescape(text).strip())
             continue
-        tag = tag.lower()
         if tag in RAW:
-            raw = "" if closing or attributes.endswith("/") else tag
             continue
         if tag == "a":
             in_link = max(0, in_link + (-1 if closing else 1))

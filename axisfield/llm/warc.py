@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisfield.llm.html_paths import RAW, _TOKEN, INLINE
+from axisfield.llm.html_paths import INLINE, RAW, tokens
 
 RECORD = T.StructType([T.StructField(n, t) for n, t in (
     ("record_type", T.StringType()), ("record_id", T.StringType()), ("refers_to", T.StringType()), ("target_uri", T.StringType()), ("warc_date", T.StringType()), ("content_type", T.StringType()),
@@ -87,17 +87,11 @@ def _decoded(body: bytes, fields: list[tuple[str, str]]) -> bytes | None:
 
 def plain_text(page: str) -> str:
     """A page's text, a line per block, without scripts, styles and markup."""
-    parts, raw = [], ""
-    for m in _TOKEN.finditer(page):
-        closing, tag, _, text, angle = m.groups()
-        tag = (tag or "").lower()
-        if raw:
-            raw = "" if tag == raw and closing else raw
-        elif tag in RAW and tag != "title":
-            raw = "" if closing else tag
-        elif text or angle:
-            parts.append(" ".join(f"x{text or angle}x".split())[1:-1])
-        elif tag and tag not in INLINE and tag != "a":
+    parts = []
+    for _, tag, _, text in tokens(page, frozenset({"title"})):
+        if text:
+            parts.append(" ".join(f"x{text}x".split())[1:-1])
+        elif tag not in INLINE and tag != "a" and (tag not in RAW or tag == "title"):
             parts.append("\n")
     lines = (" ".join(html.unescape(x).split()) for x in "".join(parts).split("\n"))
     return "\n".join(x for x in lines if x)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from axisfield.llm import html_paths
+from axisfield.llm import html_paths, warc
 
 TEXT = [f"Sentence {i} of the text, which is long enough to be told from a menu, has marks, and ends here. It goes on, for a while, as texts do." for i in range(6)]
 PARAGRAPHS = "".join(f"<p>{t}</p>" for t in TEXT)
@@ -52,3 +52,21 @@ def test_short_blocks_of_the_container_stay(around):
     parts.append('<ul><li><a href="/x">Another page</a></li></ul><div class="share"><p>Share this</p></div>')
     page = f"<html><body>{CHROME}{around % ''.join(parts)}<div class=\"sidebar\"><p>Read this, too.</p></div><footer>x</footer></body></html>"
     assert html_paths.main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("raw", [
+    "<script>for(var i=0;i<n;i++){f(i);}</script>", "<SCRIPT>if(i<n){document.write('<p>x</p>')}</Script >", "<script/>a<b</script>", "<style>a<b{}</style>", '<script>var q="it\'s";</script>',
+    "<textarea>", "<svg><path d='M0'/>", "<svg/>", "<svg><title>x</title></svg>", "<iframe src=x>", "<noscript>",
+])
+def test_raw_elements_end_at_their_own_tag(raw):
+    for page in (f"<html><head><title>T</title></head><body>{raw}<article>{PARAGRAPHS}</article></body></html>", f"<html><head><title>T</title>{raw}</head><body><article>{PARAGRAPHS}</article></body></html>"):
+        assert html_paths.main_text(page) == "\n\n".join(TEXT)
+        assert warc.plain_text(page).split("\n") == ["T", *TEXT]
+
+
+def test_unclosed_raw_elements():
+    for start in ("<script>i<n", "<style>a<b", "<title>"):
+        page = f"<html><head>{start}</head><body><article>{PARAGRAPHS}</article></body></html>"
+        assert html_paths.main_text(page) == "\n\n".join(TEXT)
+        assert warc.plain_text(page).split("\n") == TEXT
+    assert html_paths.main_text(f"<div>{PARAGRAPHS}</div><script>if (i<n) f(") == "\n\n".join(TEXT)
