@@ -2,7 +2,7 @@
 
 `derive` reads whole response records (WARC header, HTTP header, body), undoes chunked
 transfer and gzip or deflate content coding, and writes for each a metadata record (JSON
-of the source's WARC and HTTP headers, page title and links) and, for HTML and plain text, a
+of the source's WARC and HTTP headers as ordered [name, value] pairs, page title and links) and, for HTML and plain text, a
 conversion record (text/plain). Both keep WARC-Target-URI and WARC-Date, name the response
 in WARC-Refers-To, and carry the digest of their own block; the metadata keeps the source's
 digests and states whether they hold.
@@ -124,7 +124,7 @@ def derivatives(record: bytes | None) -> list[dict]:
         text = None if content is None or not kind.startswith(("text/", "application/xhtml")) else content.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         text = content.decode("utf-8", "replace")
-    about = {"source": {"warc": dict(fields), "http_status": status, "http": dict(sent)}, "digests": {k: a for k, (a, _) in stated.items()}, "digest_holds": holds}
+    about = {"source": {"warc": fields, "http_status": status, "http": sent}, "digests": {k: a for k, (a, _) in stated.items()}, "digest_holds": holds}
     is_html = text is not None and "html" in kind
     if is_html:
         title = _TITLE.search(text)
