@@ -8,8 +8,9 @@ sorted, so that no task sorts a source.
 
 Defined results: null texts have no words; sources are ordered by code point, null
 last; a source without words has the target 0; repeated rows are documents of their
-own (equal ranks are taken in the order of id and size); reruns agree because the
-random odds come from a hash of the id. Extra columns are kept, those named like a
+own (equal ranks are taken in the order of id and size, and of rows equal in those as many
+as fit, by a hash of the other columns); reruns agree because the random odds come from a
+hash of the id. Extra columns are kept, those named like a
 result are replaced.
 """
 
@@ -63,6 +64,25 @@ def _joined(rows: DataFrame, sources: DataFrame, few: bool, key: str) -> DataFra
     return rows.join(side, F.col("__source").eqNullSafe(F.col(key)), "left").drop(key)
 
 
+def _dealt(ties: DataFrame, columns: Sequence[str], few: bool) -> DataFrame:
+    """Sets __drawn for exactly __need of each source's equal rows: those of least hash of their columns, rows alike in
+    all columns by their place. Each step counts one key a source and keeps the key's cut open for the next, so
+    that no task sorts a group."""
+    content = F.xxhash64(*(F.col(f"`{c}`").cast("string") if t.startswith(("map", "variant")) else F.col(f"`{c}`") for c, t in ties.dtypes if c in columns))
+    rows = checkpoint(ties.withColumn("__hash", content).withColumn("__place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__drawn", F.lit(False)).withColumn("__open", F.lit(True))
+    for key in (F.pmod("__hash", F.lit(BINS)), F.col("__hash"), F.pmod(F.xxhash64("__place"), F.lit(BINS)), F.col("__place")):
+        rows = rows.withColumn("__key", key)
+        counts = rows.where("__open").groupBy("__source", "__key", "__need").agg(F.count(F.lit(1)).alias("__c"))
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy("__source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = counts.withColumn("__before", before).where("__before < __need and __before + __c >= __need")
+        at = checkpoint(at.select(F.col("__source").alias("__s"), F.col("__key").alias("__at"), (F.col("__need") - F.col("__before")).alias("__left")))
+        rows = _joined(rows, at, few, "__s").withColumn("__drawn", F.col("__drawn") | (F.col("__open") & (F.col("__key") < F.col("__at"))))
+        rows = rows.withColumn("__open", F.col("__open") & (F.col("__key") == F.col("__at"))).withColumn("__need", F.col("__left")).drop("__at", "__left", "__key")
+    # places are unique: the row still open is the last that is needed
+    return rows.withColumn("__drawn", F.col("__drawn") | F.col("__open"))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Adds size, source_size, target and taken (words the mix takes, repeats counted)."""
     made = ("size", "source_size", "target", "taken")
@@ -85,12 +105,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = bins.withColumn("__ahead", ahead).where("__ahead < __draw and __ahead + __n >= __draw")
     cut = checkpoint(cut.select(F.col("__source").alias("__s"), F.col("__bin").alias("__cut"), "__ahead"))
-    # in the cut's bin, documents are taken as long as their middle lies ahead of the target
+    # in the cut's bin, documents are taken as long as their middle lies ahead of the target; equal ones are counted together
     inside = _joined(ranked.select("__source", "__rank", "__id", "size", "__bin", "__draw"), cut, few, "__s").where("__bin = __cut")
+    inside = inside.groupBy("__source", "__rank", "__id", "size", "__draw", "__ahead").agg(F.count(F.lit(1)).alias("__n"))
     here = Window.partitionBy("__source").orderBy("__rank", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("__ahead") + F.coalesce(F.sum("size").over(here), F.lit(0)) + F.col("size") / F.lit(2.0)
-    last = inside.withColumn("__middle", middle).where("__middle <= __draw").groupBy("__source").agg(F.max(F.struct("__rank", "__id", "size")).alias("__last"))
-    cut = cut.join(last, F.col("__s").eqNullSafe(F.col("__source")), "left").select("__s", "__cut", "__last")
-    drawn = (F.col("__bin") < F.col("__cut")) | ((F.col("__bin") == F.col("__cut")) & (F.struct("__rank", "__id", "size") <= F.col("__last")))
-    out = _joined(ranked, cut, few, "__s").withColumn("taken", F.col("size") * (F.col("__whole") + F.coalesce(drawn, F.lit(False)).cast("long")))
+    start = F.col("__ahead") + F.coalesce(F.sum(F.col("size") * F.col("__n")).over(here), F.lit(0)) + F.col("size") / F.lit(2.0)
+    inside = inside.withColumn("__start", start).where("__start <= __draw")
+    fit = F.floor((F.col("__draw") - F.col("__start")) / F.greatest(F.col("size"), F.lit(1)))
+    # the quotient may be rounded over a whole number: the comparison itself decides
+    fit = F.when(F.col("__start") + fit * F.col("size") > F.col("__draw"), fit).when(F.col("__start") + (fit + 1) * F.col("size") <= F.col("__draw"), fit + 2).otherwise(fit + 1)
+    fit = F.when(F.col("size") > 0, F.least(F.col("__n"), fit)).otherwise(F.col("__n"))
+    last = inside.groupBy("__source").agg(F.max(F.struct("__rank", "__id", "size", fit.alias("__fit"), "__n")).alias("__last"))
+    equal = F.struct(*(F.col(f"__last.{c}").alias(c) for c in ("__rank", "__id", "size")))
+    cut = cut.join(last, F.col("__s").eqNullSafe(F.col("__source")), "left").select("__s", "__cut", equal.alias("__equal"), F.col("__last.__fit").alias("__fit"), F.col("__last.__n").alias("__n"), F.col("__last").isNotNull().alias("__some"))
+    cut = checkpoint(cut)
+    here = F.struct("__rank", "__id", "size")
+    drawn = (F.col("__bin") < F.col("__cut")) | ((F.col("__bin") == F.col("__cut")) & F.col("__some") & (here <= F.col("__equal")))
+    out = _joined(ranked, cut, few, "__s").withColumn("__drawn", F.coalesce(drawn, F.lit(False)))
+    if cut.where("__fit < __n").head(1):
+        tied = F.coalesce(F.col("__some") & (F.col("__fit") < F.col("__n")) & (here == F.col("__equal")), F.lit(False))
+        shape = [*kept, "size", "source_size", "target", "__whole", "__drawn"]
+        ties = out.where(tied).select(*map(name, shape), "__source", F.col("__fit").alias("__need"))
+        out = out.where(~tied).select(*map(name, shape)).unionByName(_dealt(ties, kept, few).select(*map(name, shape)))
+    out = out.withColumn("taken", F.col("size") * (F.col("__whole") + F.col("__drawn").cast("long")))
     return out.select(*map(name, kept), "size", "source_size", "target", "taken")
