@@ -58,7 +58,7 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: The learned rules and the packing have no SQL; tests hold the stages against plain versions.
+#: The learned rules and the packing have no SQL; tests hold the operators against plain versions, the stages together only run.
 ORACLE_SQL = None
 
 
