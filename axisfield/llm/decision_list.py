@@ -8,7 +8,7 @@ candidates is one aggregate a step, and only those counts reach the driver. The
 emitted as one ordered Spark conditional expression.
 
 Defined results: null and empty texts have no words and fail the base rule; labels
-that are null, or of documents that don't exist, are not learned from; with no usable
+that are null, that differ for one id, or of documents that don't exist, are not learned from; with no usable
 labels the list is empty and keeps whatever passes the base rule. Extra columns are kept,
 those named like a result are replaced.
 """
@@ -184,7 +184,7 @@ def statistics_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 def learned(stats: DataFrame, labels: DataFrame) -> list[tuple[Condition, ...]]:
     """The decision list from all labelled documents that pass the base rule."""
-    marks = labels.select("doc_id", "quality").where("quality in (0, 1)").dropDuplicates(["doc_id"])
+    marks = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     grow = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 0
     labelled = stats.where("not base_failed").join(marks, "doc_id").select(*FEATURES, "quality", grow.alias("grow"))
     return learn(checkpoint(labelled))

@@ -2,14 +2,19 @@
 
 Indicators of n-grams (words, word pairs, three bytes, and which of five neighbouring words
 are alike) are hashed to `CELLS` columns. Each is scaled by its log-count ratio between the
-classes, counted over all labelled rows. A linear hinge-loss model is then fitted to the scaled
-indicators by dual coordinate descent, on at most `FIT_ROWS` labelled rows (those whose
-hashed ids are least, so that reruns agree), and its margins become probabilities by a
-logistic fit on the rows left out of each of three parts.
+classes. A linear hinge-loss model is then fitted to the scaled indicators by dual coordinate
+descent, and its margins become probabilities by a logistic fit on the rows left out of each
+of three parts.
+
+Bounds of the fit, which are parameters: the ratios count all labelled rows up to about
+`COUNT_ROWS` (beyond it a share of the labelled ids, by their hash), the descent takes at most
+`FIT_ROWS` of them and `FIT_BYTES` of their columns, those of least hashed id, so that reruns
+agree. The labels in use are bounded and therefore broadcast: texts are never shuffled.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias; labels
-that are null or not 0 or 1 are left out; without both classes the score is the label's share
-(1 without labels); repeated rows get equal scores. Other columns are not carried (join on the id).
+that are null or not 0 or 1 are left out, and so are ids with both labels; without both classes
+the score is the label's share (1 without labels); repeated rows get equal scores. Other columns
+are not carried (join on the id).
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from pyspark.sql import functions as F
 from axisfield.llm.common import PrefixHash, checkpoint, mix, row_groups, text_buffer
 from axisfield.llm.ngram_join import word_hashes
 
-#: Hashed columns, rows of a fit, cells of a block of counts.
-CELLS, FIT_ROWS, BLOCK = 1 << 17, 6000, 1 << 13
+#: Hashed columns, cells of a block of counts.
+CELLS, BLOCK = 1 << 17, 1 << 13
+#: Labelled ids that the ratios count, rows of a fit, bytes of their columns (4 each) that come to the driver.
+COUNT_ROWS, FIT_ROWS, FIT_BYTES = 200_000, 6000, 64 << 20
 
 
 def ngrams(column: pa.Array) -> Iterator[np.ndarray]:
@@ -123,7 +130,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, smooth:
     return Model(w.astype(np.float32), ratios.astype(np.float32), bias, slope, shift)
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
     """`labelled`: key (any), text, quality 0 or 1."""
     order = F.xxhash64("key")
     bound = labelled.select(order.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
@@ -155,7 +162,14 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     counts = np.zeros((2, CELLS))
     for row in found.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         counts[:, row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.counts, np.int64).reshape(2, BLOCK)
-    sample = found.where("block is null").select("quality", "h", "found").orderBy("h", "quality", "found").limit(fit_rows).collect()
+    rows = found.where("block is null").select("quality", "h", "found", F.octet_length("found").alias("n"), F.xxhash64("found").alias("x"))
+    order = ["h", "quality", "x"]
+    taken, room = 0, fit_bytes
+    for r in rows.select(*order, "n").orderBy(*order).limit(fit_rows).collect():
+        if r.n > room:
+            break
+        taken, room = taken + 1, room - r.n
+    sample = rows.select(*order, "found").orderBy(*order).limit(taken).collect() if taken else []
     return fit([np.frombuffer(r.found, np.int32) for r in sample], np.array([r.quality for r in sample]), counts)
 
 
@@ -175,9 +189,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def labels_in_use(labels: DataFrame, most: int = COUNT_ROWS) -> DataFrame:
+    """(doc_id, quality) of ids that are not held out and have one label: all, or about `most` by the hash of the id."""
+    marks = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    marks = checkpoint(marks.where("quality = other").select("doc_id", "quality"))
+    if (n := marks.count()) > most:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(most * (1 << 31) // n))
+    return marks
+
+
 def with_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted); learns only from rows that are not held out."""
-    marks = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
-    labelled = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(marks, "doc_id").withColumnRenamed("doc_id", "key")
+    # bounded by COUNT_ROWS, whatever the size of the tables
+    marks = F.broadcast(labels_in_use(labels))
+    labelled = docs.select("doc_id", "text").join(marks, "doc_id").withColumnRenamed("doc_id", "key")
     scored = score(docs, train(labelled))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
