@@ -1,19 +1,26 @@
 """Exact n-gram Jaccard join of all documents with a token-group matrix.
 
-1. Shingle sets. Documents with the same set are one node, so copies cost nothing more.
-2. Frequencies. A count sketch of fixed size puts frequent shingles last in the order that
-   all nodes share; by it, two sets that reach the threshold share a shingle among their
-   first n - ceil(threshold n) + 1. Rows (shingle, node) of these prefixes are the index.
-3. Groups. In a few rounds each node is compared with the hub (least node of the least group)
-   of another group whose lists it shares most; links that hold make groups of similar documents.
-4. Matrix. A list whose nodes are all in one group needs no more. For the others, each node
-   is a query against the groups it meets: a group's token union bounds the overlap of all
-   its members at once, and only groups that reach the bound are opened and compared.
-   A group is stored in parts of a bounded number of members, so none is ever whole in a task.
-5. Components of all links; two nodes of one component are never compared again.
-
-Every pair that shares a list is either compared, or refuted by its group's union, or already
-in one component, so no link between different components is lost.
+1. Shingle sets. Documents with the same set are one node, so copies cost nothing more. A
+   node's number ends in its size class: sizes of a class differ by 6 percent at most.
+2. Prefixes. A count sketch of fixed size puts frequent shingles last in the order that all
+   nodes share; by it, two sets that reach the threshold share a shingle among their first
+   n - ceil(threshold n) + 1, and as many more as their sizes ask for (`_least_shared`).
+3. Refutation by class. Per shingle and size class, the least and the greatest node tell whether
+   another node is there. A node whose prefix shares too few shingles with all nodes of
+   a class together has no partner in that class. This is linear: a list of any length is one
+   row a class. What is left posts only its rarest shared shingles: one more than it can miss.
+4. Hubs. In a few rounds each node is compared with one node (the least or greatest of the lists
+   that it shares most), so that most copies are in one component before any matrix.
+5. Matrix. The nodes left in lists of several components are dealt to groups of similar documents:
+   a component, or else the longest list a node is in, in parts of bounded size. Rows (list,
+   part) say which parts a node meets; the overlap of the node's shingles with the part's token
+   union bounds that with all its members at once, and only qualifying parts are opened.
+6. Components of all links that the sets themselves confirm.
+
+Every pair that shares a shingle of its prefixes is either compared, or refuted by its class's
+or part's union or by its own prefixes, or already in one component, so no link between
+different components is lost. No list, group or component is ever whole in one task, but for the
+window over a rare shingle; hot keys are met in joins that Spark splits.
 
 Defined results: null or wordless texts have an empty set and link with nothing, each its
 own component; a null id never is a component's id while another is there (a component of
@@ -23,21 +30,45 @@ null ids only has the id null); repeated rows each get their row. Sets are ident
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axisfield.llm.common import PrefixHash, checkpoint, mix, row_groups, shuffle_partitions, text_buffer
 from axisfield.llm.components import components
 
-#: Cells of the frequency sketch (4 bytes each), cells of a block, members of a group's part, rounds of comparing nodes with hubs.
-CELLS, BLOCK, PART, ROUNDS = 1 << 18, 1 << 13, 32, 3
+#: Cells of the frequency sketch (4 bytes each), cells of a block, rounds of comparing nodes with hubs.
+CELLS, BLOCK, ROUNDS = 1 << 18, 1 << 13, 3
+#: Members of a group's part: the square root of the group within these bounds. Parts that a frequent shingle's list is dealt to.
+PART, SALTS = (16, 1024), 64
+#: Nodes that a task remembers, so as not to post one again.
+REMEMBERED = 100_000
+
+
+def _class_starts() -> np.ndarray:
+    """Least size of each class: every size its own up to 17, then 6 percent a class."""
+    starts = [1]
+    while len(starts) < 1 << 9:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * 1.06)))
+    return np.array(starts, np.int64)
+
+
+_STARTS = _class_starts()
+
+
+def reach(percent: int) -> int:
+    """How many classes a partner's may be away."""
+    ends = np.minimum(np.append(_STARTS[1:], 2**50) - 1, 2**50)
+    away = np.searchsorted(_STARTS, ends * 100 // percent, "right") - 1 - np.arange(len(_STARTS))
+    if (most := int(away.max())) > 15:
+        raise ValueError("percent is too low: sizes of partners are too far apart")
+    return most
+
 
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 2**64) for k in range(64)], np.uint64)
 
@@ -77,7 +108,9 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
 
 def node_of(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+    """The set's digest; its last nine bits are the set's size class."""
+    size_class = int(np.searchsorted(_STARTS, len(tokens), "right")) - 1
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) & ~511 | size_class
 
 
 def needed(n: int, percent: int) -> int:
@@ -133,22 +166,37 @@ def _frequency_classes(nodes: DataFrame) -> np.ndarray:
     return np.minimum(31, np.floor(np.log2(np.maximum(over, 0.5))) + 1).astype(np.uint8)
 
 
+class _Seen:
+    """Nodes met lately by a task: bounded, so one may be met again."""
+
+    def __init__(self) -> None:
+        self.nodes: set[int] = set()
+
+    def first(self, node: int) -> bool:
+        if node in self.nodes:
+            return False
+        if len(self.nodes) >= REMEMBERED:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return True
+
+
 def _prefixes(docs: DataFrame, classes, width: int, percent: int) -> DataFrame:
-    """(token, node) rows of every node's prefix; a node that a task meets again is left out there."""
+    """(token, node) rows of every node's prefix, some more than once; the last bit of a token says that it is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = classes.value
+        rank, seen = classes.value, _Seen()
         for batch in batches:
-            tokens_out, nodes_out, seen = [], [], set()
+            tokens_out, nodes_out = [], []
             for tokens in shingle_sets(batch.column(1), width):
-                if not len(tokens) or (node := node_of(tokens)) in seen:
+                if not len(tokens) or not seen.first(node := node_of(tokens)):
                     continue
-                seen.add(node)
                 n = len(tokens) - needed(len(tokens), percent) + 1
-                order = (rank[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))
-                first = tokens[np.argpartition(order, n - 1)[:n]] if n < len(tokens) else tokens
-                tokens_out.append(first.view(np.int64))
-                nodes_out.append(np.full(len(first), node, np.int64))
+                frequency = rank[(tokens & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
+                order = (frequency << np.uint64(58)) | (tokens >> np.uint64(6))
+                first = np.argpartition(order, n - 1)[:n] if n < len(tokens) else slice(None)
+                tokens_out.append((tokens[first] & ~np.uint64(1) | (frequency[first] > 0)).view(np.int64))
+                nodes_out.append(np.full(len(tokens_out[-1]), node, np.int64))
             if tokens_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens_out)), pa.array(np.concatenate(nodes_out))], names=["token", "node"])
 
@@ -159,11 +207,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, text) once for each wanted node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
-            rows, nodes, seen = [], [], set()
+            rows, nodes = [], []
             for i, tokens in enumerate(shingle_sets(batch.column(1), width)):
-                if len(tokens) and (node := node_of(tokens)) not in seen:
-                    seen.add(node)
+                if len(tokens) and seen.first(node := node_of(tokens)):
                     rows.append(i)
                     nodes.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1).take(pa.array(rows, pa.int64()))], names=["node", "text"])
@@ -196,106 +244,178 @@ def _compare(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _group_parts(members: DataFrame, width: int) -> DataFrame:
-    """(component, part, nodes, texts, tokens): a part's token union as bytes."""
+def _least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Shingles that the prefixes of linked sets of sizes n and m share at the least.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unions = [np.unique(np.concatenate(_sets_of(x.as_py(), width))).tobytes() for x in batch.column("texts")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "part", "nodes", "texts")), pa.array(unions, pa.binary())], names=["component", "part", "nodes", "texts", "tokens"])
+    Of two prefixes the one that ends first has every common shingle up to its end in both; the rest of its
+    set bounds the others. So the shared ones and the larger rest make up the overlap that the two sizes need.
+    """
+    up = lambda x, by: F.floor((x + F.lit(by - 1)) / F.lit(by))
+    rest = lambda x: up(x * percent, 100) - 1
+    return F.greatest(F.lit(1), up((n + m) * percent, 100 + percent) - F.greatest(rest(n), rest(m)))
 
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
-    dealt = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    both = F.collect_list(F.struct("node", "text"))
-    parts = dealt.groupBy("component", "part").agg(both.alias("m")).select("component", "part", F.col("m.node").alias("nodes"), F.col("m.text").alias("texts"))
-    return parts.mapInArrow(run, "component long, part long, nodes array<long>, texts array<string>, tokens binary")
 
+def _least_of_range(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """The same with any size of low..high, null if none of them can be linked with n.
 
-def _open(queries: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between a query node and the members of a group's part that its union doesn't refute."""
+    The need is greatest for equal sizes and falls to both sides, so its least is at an end; one is allowed for rounding.
+    """
+    low = F.greatest(low, F.ceil(n * percent / 100))
+    high = F.least(high, F.floor(n * 100 / percent))
+    return F.when(low <= high, F.greatest(F.lit(1), F.least(_least_shared(n, low, percent), _least_shared(n, high, percent)) - 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for i, tokens in enumerate(shingle_sets(batch.column("text"), width)):
-                union = np.frombuffer(batch.column("tokens")[i].as_py(), np.uint64)
-                if len(np.intersect1d(tokens, union, assume_unique=True)) < needed(len(tokens), percent):
-                    continue
-                for node, other in zip(batch.column("nodes")[i].as_py(), _sets_of(batch.column("texts")[i].as_py(), width), strict=True):
-                    if linked(tokens, other, percent):
-                        a.append(batch.column("node")[i].as_py())
-                        b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return queries.select("node", "text", "nodes", "texts", "tokens").mapInArrow(run, "a long, b long")
+def _size_class(node: str) -> Column:
+    return F.col(node).bitwiseAND(F.lit(511)).cast("int")
 
 
-def _reaches(percent: int) -> Column:
-    """Whether a member of a group of sizes low..high can reach the threshold with a node of size n, sharing k prefix shingles.
+def _classes(spark: SparkSession) -> DataFrame:
+    """(size_class, low, high): as many rows as there are classes, whatever the input."""
+    ends = [*(_STARTS[1:] - 1).tolist(), 2**62]
+    return F.broadcast(spark.createDataFrame(list(zip(range(len(_STARTS)), _STARTS.tolist(), ends, strict=True)), "size_class int, low long, high long"))
 
-    Of two prefixes the one that ends first has every common shingle up to its end in both; the rest of its
-    set bounds the others. So k and the larger rest must make up the overlap that the two sizes need. Over
-    the sizes a partner can have this need is least at either end; one is allowed for rounding.
+
+def _lists(prefixes: DataFrame) -> DataFrame:
+    """(token, node) of tokens that more than one node has; a frequent token's list is dealt, and kept in any case."""
+    frequent = F.col("token").bitwiseAND(F.lit(1)) == 1
+    dealt = prefixes.withColumn("deal", F.when(frequent, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0))
+    of_list = Window.partitionBy("token", "deal")
+    both = dealt.withColumn("first", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list))
+    return both.where((F.col("first") != F.col("last")) | frequent).select("token", "node").distinct()
+
+
+def _partnered(lists: DataFrame, far: int) -> DataFrame:
+    """Adds df (nodes of the token) and near: a bit for each class, counted from the node's own less `far`, in which another node has the token."""
+    by_class = lists.groupBy("token", _size_class("node").alias("c")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"))
+    entries = by_class.groupBy("token").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("entries"), F.sum("n").alias("df"))
+
+    def bit(e: Column) -> Column:
+        away = e["c"] - _size_class("node") + F.lit(far)
+        other = (e["lo"] != F.col("node")) | (e["hi"] != F.col("node"))
+        return F.when(other & away.between(0, 2 * far), F.call_function("shiftleft", F.lit(1), away)).otherwise(F.lit(0))
+
+    near = F.aggregate("entries", F.lit(0), lambda found, e: found.bitwiseOR(bit(e)))
+    return lists.join(entries.where("df > 1"), "token").select("token", "node", "df", near.alias("near")).where("near != 0")
+
+
+def _hopeful(partnered: DataFrame, sized: DataFrame, percent: int, far: int) -> DataFrame:
+    """(node, n, alive, limits): the classes, as bits, of which the prefix meets enough, and for each the number of tokens to post."""
+    offsets = range(2 * far + 1)
+    has = lambda i: F.call_function("shiftright", F.col("near"), F.lit(i)).bitwiseAND(F.lit(1))
+    counts = partnered.groupBy("node").agg(*(F.sum(has(i)).alias(f"k{i}") for i in offsets)).join(sized, "node")
+    tall = counts.select("node", "n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in offsets))).alias("x")).where("x.k > 0")
+    tall = tall.select("node", "n", "x.i", "x.k", (_size_class("node") + F.col("x.i") - far).alias("size_class"))
+    tall = tall.join(_classes(partnered.sparkSession), "size_class").withColumn("least", _least_of_range(F.col("n"), F.col("low"), F.col("high"), percent)).where("k >= least")
+    bits = F.sum(F.call_function("shiftleft", F.lit(1), F.col("i"))).cast("int")
+    return tall.groupBy("node", "n").agg(bits.alias("alive"), F.map_from_entries(F.collect_list(F.struct("i", (F.col("k") - F.col("least") + 1).alias("limit")))).alias("limits"))
+
+
+def _postings(useful: DataFrame, far: int) -> DataFrame:
+    """(node, own, ask): a node's rarest shared tokens, for each class as many as leave too few others for a link.
+
+    `own` is the list of (token, own class, class sought), `ask` the list of those it seeks, in which any partner is.
+    """
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(1 << i).alias("bit")) for i in range(2 * far + 1)))
+    sought = F.filter(offsets, lambda o: o["bit"].bitwiseAND(F.col("near")).bitwiseAND(F.col("alive")) != 0)
+    rows = useful.select("token", "node", "df", "limits", F.explode(F.transform(sought, lambda o: o["i"])).alias("i"))
+    place = F.row_number().over(Window.partitionBy("node", "i").orderBy("df", "token"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.element_at("limits", F.col("i")))
+    own, other = _size_class("node"), _size_class("node") + F.col("i") - far
+    return rows.select("node", F.xxhash64("token", own, other).alias("own"), F.xxhash64("token", other, own).alias("ask"))
+
+
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes but each component's least, after more links; only components that meet are worked on."""
+    name = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    met = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(met)
+    renamed = groups.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return checkpoint(renamed.unionByName(new))
+
+
+def _hub_pairs(postings: DataFrame, groups: DataFrame, least: bool) -> DataFrame:
+    """(a, b): each node with the hub, of another component, of the lists it shares most of."""
+    named = _named(postings, groups)
+    pick = F.min if least else F.max
+    hubs = named.groupBy("own").agg(pick(F.struct("component", "node")).alias("hub")).select(F.col("own").alias("ask"), "hub")
+    shared = named.join(hubs, "ask").where("component != hub.component").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
+    best = shared.groupBy("node").agg(F.max(F.struct("k", "hub")).alias("best"))
+    return best.select(F.greatest("node", "best.hub").alias("a"), F.least("node", "best.hub").alias("b")).distinct()
+
+
+def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that neither a part's token union nor their own prefixes refute.
+
+    `shapes`: node, n and tokens (the prefix's shared ones).
     """
-    rest = lambda n: F.ceil(n * percent / 100) - 1
-    need = lambda m: F.ceil((F.col("n") + m) * percent / (100 + percent)) - F.greatest(rest(F.col("n")), rest(m)) - 1
-    low = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    high = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    return (low <= high) & (F.col("k") >= F.least(need(low), need(high)))
+    named = _named(postings, groups)
+    of_list = named.groupBy("own").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+    asked = of_list.select(F.col("own").alias("ask"), "lo", "hi", "size")
+    rows = checkpoint(named.join(asked, "ask").where("lo != component or hi != component").select("node", "component", "own", "ask", "size"))
+    # groups: a component, or the longest list of a node on its own
+    of_node = rows.groupBy("node", "component").agg(F.max(F.struct("size", F.least("own", "ask").alias("list"))).alias("longest"))
+    linked = rows.select("component").distinct().join(groups.select("component").distinct(), "component").withColumn("linked", F.lit(True))
+    dealt = of_node.join(linked, "component", "left")
+    dealt = dealt.select("node", "component", F.col("linked").isNotNull().alias("one"), F.when(F.col("linked").isNotNull(), F.col("component")).otherwise(F.col("longest.list")).alias("label"))
+    sizes = dealt.groupBy("one", "label").agg(F.count(F.lit(1)).alias("members"))
+    members_a_part = F.least(F.greatest(F.sqrt("members"), F.lit(float(PART[0]))), F.lit(float(PART[1])))
+    sizes = sizes.select("one", "label", F.ceil(F.col("members") / members_a_part).alias("parts"))
+    dealt = dealt.join(sizes, ["one", "label"]).withColumn("part", F.xxhash64("one", "label", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    members = checkpoint(dealt.select("node", "component", "one", "part").join(shapes, "node"))
+    unions = members.groupBy("part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.when(F.first("one"), F.first("component")).alias("only"))
+    # the matrix: which parts have a list
+    own_part = members.select("node", F.col("part").alias("own_part"))
+    placed = rows.join(own_part, "node")
+    matrix = placed.select(F.col("own").alias("ask"), F.col("own_part").alias("part")).distinct()
+    queries = placed.join(matrix, "ask").where("own_part >= part").select("node", "part").distinct()
+    about = members.select("node", F.col("component").alias("mine"), F.col("n").alias("size"), F.col("tokens").alias("held"))
+    shared = F.size(F.array_intersect("held", "tokens"))
+    open_parts = queries.join(about, "node").join(unions, "part").where("only is null or only != mine").where(shared >= _least_of_range(F.col("size"), F.col("low"), F.col("high"), percent)).select("part", F.col("node").alias("asks"), "mine", "size", "held")
+    inside = F.col("n").between(F.ceil(F.col("size") * percent / 100), F.floor(F.col("size") * 100 / percent))
+    pairs = open_parts.join(members.select("part", "node", "component", "n", "tokens"), "part").where(F.col("mine") != F.col("component")).where(inside & (shared >= _least_shared(F.col("size"), F.col("n"), percent)))
+    return pairs.select(F.greatest("asks", "node").alias("a"), F.least("asks", "node").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document."""
-    spark = docs.sparkSession
+    spark, far = docs.sparkSession, reach(percent)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     nodes = checkpoint(_nodes(own, width))
     classes = spark.sparkContext.broadcast(_frequency_classes(nodes))
-    # lists of two nodes or more, each with its hub
-    lists = _prefixes(own, classes, width, percent)
-    of_list = Window.partitionBy("token")
-    lists = lists.withColumn("first", F.min("node").over(of_list)).withColumn("last", F.max("node").over(of_list)).where("first != last").select("token", "node")
-    lists = checkpoint(lists)
-    sized = nodes.where("node is not null").select("node", "n").dropDuplicates(["node"])
+    lists = checkpoint(_lists(_prefixes(own, classes, width, percent)))
+    sized = nodes.where("node is not null").select("node", "n").distinct()
+    partnered = checkpoint(_partnered(lists, far))
+    useful = partnered.join(_hopeful(partnered, sized, percent, far), "node").where(F.col("near").bitwiseAND(F.col("alive")) != 0)
+    useful = checkpoint(useful)
+    postings = _postings(useful, far)
+    postings = checkpoint(postings.join(postings.select(F.col("own").alias("ask")).distinct(), "ask", "left_semi"))
+    shapes = useful.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))
     # bucketed by node, so that only pairs are shuffled to the texts they need
     table = f"shingle_texts_{uuid.uuid4().hex}"
-    _texts(own, lists.select("node").distinct(), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
-    texts = spark.table(table)
-    of_text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    groups = spark.createDataFrame([], "node long, component long")
-    links, tried = [], []
-    for _ in range(ROUNDS):
-        named = lists.join(groups, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-        named = named.withColumn("hub", F.min(F.struct("component", "node")).over(of_list)).where("component != hub.component")
-        shared = named.groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
-        # a hub that a node shares few rare shingles with is left to the matrix
-        likely = shared.join(sized, "node").where("20 * k >= n")
-        best = Window.partitionBy("node").orderBy(F.desc("k"), "hub")
-        pairs = likely.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        for done in tried:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = checkpoint(pairs)
-        tried.append(pairs)
-        links.append(checkpoint(_compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent)))
-        groups = components(functools.reduce(DataFrame.union, links))
-    # lists that meet more than one group
-    named = lists.select("token", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.withColumn("low", F.min("component").over(of_list)).withColumn("high", F.max("component").over(of_list)).where("low != high")
-    open_lists = checkpoint(named.select("token", "node", "component"))
-    met = open_lists.select("token", F.col("component").alias("other")).distinct()
-    # how many shingles a node's prefix shares with the union of a group's prefixes, against what any member would need
-    queries = open_lists.join(met, "token").where("component > other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("k"))
-    named_sizes = lists.select("node").distinct().join(sized, "node").join(groups, "node", "left")
-    ranges = named_sizes.groupBy(F.coalesce("component", "node").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = queries.join(ranges, "other").join(sized, "node").where(_reaches(percent)).select("node", "other")
-    queries = checkpoint(queries)
-    members = queries.select(F.col("other").alias("component")).distinct().join(texts.select("node", "text").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "component")
-    parts = _group_parts(members, width)
-    asked = queries.join(texts, "node").withColumnRenamed("other", "component").join(parts, "component")
-    links.append(checkpoint(_open(asked, width, percent)))
-    spark.sql(f"DROP TABLE {table}")
-    final = components(functools.reduce(DataFrame.union, links))
+    try:
+        _texts(own, postings.select("node").distinct(), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
+        texts = spark.table(table)
+        of_text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+        groups = spark.createDataFrame([], "node long, component long")
+        tried = None
+        for k in range(ROUNDS + 1):
+            pairs = _hub_pairs(postings, groups, k % 2 == 0) if k < ROUNDS else _matrix_pairs(postings, groups, shapes, percent)
+            pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.union(pairs)
+            links = checkpoint(_compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent))
+            groups = _merged(groups, links)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     ids = nodes.where("block is null")
-    named = ids.where("node is not null").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # named by node first: copies and large components are met as one row each
+    least = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = checkpoint(_named(least, groups))
+    linked = named.join(groups.select("component").distinct(), "component", "left_semi")
+    component_ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = named.join(component_ids, "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    found = ids.where("node is not null").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(ids.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
