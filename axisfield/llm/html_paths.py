@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|(<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 # fixed values: tags and names of HTML
@@ -132,6 +132,14 @@ def _signs(attributes: str) -> tuple[bool, bool]:
     return hidden, named
 
 
+def attribute(attributes: str, name: str) -> str | None:
+    """The value of an attribute by its whole name, references decoded; the first counts."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == name:
+            return html.unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, without what is no article text by its element."""
     found: list[Block] = []
@@ -225,12 +233,25 @@ def _kept(found: list[Block], elements: list[Element]) -> list[Block]:
     return kept
 
 
-def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Of two paths: 1 if equal, less by the tags that differ after their common part."""
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return 0.5 ** ((len(a) - k) + (len(b) - k))
+def _smoothed(values: dict[tuple[str, ...], list[float]]) -> dict[tuple[str, ...], list[float]]:
+    """For each path, sums over all paths that halve with each tag by which two differ after their common part.
+
+    Paths form a tree by their prefixes, and that is the distance in it: one pass to the root and one
+    back give all sums, in time that grows with the tags of the paths.
+    """
+    width = len(next(iter(values.values()), []))
+    below = {(): [0.0] * width}
+    for path, own in values.items():
+        for k in range(len(path) + 1):
+            below.setdefault(path[:k], [0.0] * width)
+        below[path] = [a + b for a, b in zip(below[path], own, strict=True)]
+    order = sorted(below, key=len)
+    for path in reversed(order[1:]):
+        below[path[:-1]] = [a + 0.5 * b for a, b in zip(below[path[:-1]], below[path], strict=True)]
+    near = {(): below[()]}
+    for path in order[1:]:
+        near[path] = [b + 0.5 * (up - 0.5 * b) for b, up in zip(below[path], near[path[:-1]], strict=True)]
+    return near
 
 
 def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
@@ -243,14 +264,12 @@ def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
         weights[b.path] += b.weight
         count[b.path] += 1
     paths = list(count)
-    ratio = {p: lengths[p] / count[p] for p in paths}
-    punctuation = {p: marks[p] / count[p] for p in paths}
+    # characters and marks a block, each path with the root of its blocks as its weight
+    near = _smoothed({p: [count[p] ** 0.5, lengths[p] / count[p] ** 0.5, marks[p] / count[p] ** 0.5] for p in paths})
     fused = {}
     for p in paths:
-        near = [(q, _alike(p, q)) for q in paths]
-        total = sum(w * count[q] ** 0.5 for q, w in near)
-        smooth = [sum(w * count[q] ** 0.5 * by[q] for q, w in near) / total for by in (ratio, punctuation)]
-        fused[p] = smooth[0] * (0.25 + smooth[1]) * weights[p] / count[p]
+        total, ratio, punctuation = near[p]
+        fused[p] = ratio / total * (0.25 + punctuation / total) * weights[p] / count[p]
     best = max(fused.values(), default=0.0)
     return {p for p in paths if fused[p] >= share * best and (best or fused[p])} or set(paths)
 

@@ -5,10 +5,18 @@
 across pages), separates the logical streams by serial number and derives packet
 timestamps from granule positions.
 
+A page's granule position is that of the last packet that ends on it. The positions of the packets
+before it follow from their durations where the packets state them (the samples of `mux`, Opus,
+FLAC), counted on from the page before, else back from the page's own. Where they don't
+(Vorbis, whose durations need its setup tables, and unknown codecs) they are null. Seconds are
+positions by the rate of the identification header (Vorbis, Opus less its pre-skip, FLAC,
+`mux`), null without one.
+
 Defined results: a null or empty medium has no streams; bytes that are not a page
 are skipped to the next capture pattern and counted; a page whose checksum fails is
-counted and its packets are left out, as is a packet whose beginning or end is lost.
-Equal media give equal rows; extra columns are kept by `demux`.
+counted and its packets are left out, as is a packet whose beginning or end is lost; a
+page that begins a stream whose serial number was in use before begins a new one (a chained
+file: `link` counts them). Equal media give equal rows; extra columns are kept by `demux`.
 """
 
 from __future__ import annotations
@@ -86,12 +94,14 @@ def mux(samples: bytes, streams: int = STREAMS, rate: int = RATE) -> bytes:
 class Demuxed:
     def __init__(self) -> None:
         self.pages = self.bad_pages = self.skipped = 0
-        self.streams: dict[int, dict] = {}
+        #: By serial number and by how often it began before: pages of finished packets.
+        self.streams: dict[tuple[int, int], dict] = {}
 
 
 def read_pages(media: bytes) -> Demuxed:
-    """All complete packets by logical stream, in file order."""
+    """All complete packets by logical stream and page, in file order."""
     out, at, end = Demuxed(), 0, len(media)
+    link: dict[int, int] = {}
     while at < end:
         if media[at : at + 4] != CAPTURE or at + 27 > end:
             to = media.find(CAPTURE, at + 1)
@@ -111,8 +121,11 @@ def read_pages(media: bytes) -> Demuxed:
             to = media.find(CAPTURE, at)
             at = to if to > 0 else end
             continue
-        s = out.streams.setdefault(serial, {"next": sequence, "part": None, "packets": [], "ended": False})
-        if sequence != s["next"] or not flags & CONTINUED:
+        if serial not in link or flags & FIRST:
+            link[serial] = link.get(serial, -1) + 1
+        s = out.streams.setdefault((serial, link[serial]), {"next": sequence, "part": None, "pages": [], "ended": False})
+        whole = sequence == s["next"]  # nothing is lost between the page before and this one
+        if not whole or not flags & CONTINUED:
             s["part"] = None  # its other part is lost
         s["next"], s["ended"] = sequence + 1, bool(flags & LAST)
         part, body, finished = s["part"], 27 + segments, []
@@ -126,32 +139,92 @@ def read_pages(media: bytes) -> Demuxed:
                     finished.append(b"".join(part))
                 part, lost = [], False
         s["part"] = part if lacing and lacing[-1] == 255 and not lost else None
-        # the granule position is that of the page's last finished packet; earlier ones follow from their lengths
-        behind = 0
-        stamped = []
-        for data in reversed(finished):
-            stamped.append((data, granule - behind))
-            behind += len(data)
-        s["packets"] += reversed(stamped)
+        if finished or not whole:
+            s["pages"].append((granule, whole, finished))
         at += size
     return out
 
 
+def _opus_samples(packet: bytes) -> int | None:
+    """Samples at 48 kHz, by the first byte's configuration and frame count."""
+    if not packet:
+        return 0
+    mode, code = packet[0] >> 3, packet[0] & 3
+    # fixed values: frame lengths in samples of SILK, hybrid and CELT configurations
+    frame = (480, 960, 1920, 2880)[mode & 3] if mode < 12 else (480, 960)[mode & 1] if mode < 16 else (120, 240, 480, 960)[mode & 3]
+    if code == 3:
+        return frame * (packet[1] & 63) if len(packet) > 1 else None
+    return frame * (1 if code == 0 else 2)
+
+
+def _flac_samples(packet: bytes) -> int | None:
+    """Samples of a FLAC frame by its header; none for metadata blocks."""
+    if len(packet) < 6 or packet[0] != 0xFF or packet[1] & 0xFC != 0xF8:
+        return 0
+    code = packet[2] >> 4
+    if code == 1:
+        return 192
+    if 2 <= code <= 5:
+        return 576 << (code - 2)
+    if code >= 8:
+        return 256 << (code - 8)
+    # the size follows the coded frame number, whose length its leading ones tell
+    first = packet[4]
+    ones = 8 - (first ^ 0xFF).bit_length()
+    at, n = 4 + max(1, ones), code - 5
+    return int.from_bytes(packet[at : at + n], "big") + 1 if code in (6, 7) and len(packet) >= at + n else None
+
+
+def codec(head: bytes) -> tuple[str | None, int, int, object]:
+    """Name, rate, samples before the first and the duration function of a stream, by its first packet."""
+    if head.startswith(_MAGIC) and len(head) >= 12:
+        return "pcm8", struct.unpack_from("<I", head, 8)[0], 0, lambda x: 0 if x.startswith(_MAGIC) else len(x)
+    if head.startswith(b"OpusHead") and len(head) >= 19:
+        return "opus", 48000, struct.unpack_from("<H", head, 10)[0], lambda x: 0 if x.startswith((b"OpusHead", b"OpusTags")) else _opus_samples(x)
+    if head.startswith(b"\x01vorbis") and len(head) >= 30:
+        return "vorbis", struct.unpack_from("<I", head, 12)[0], 0, lambda x: None
+    if head.startswith(b"\x7fFLAC") and len(head) >= 51:
+        return "flac", int.from_bytes(head[27:30], "big") >> 4, 0, _flac_samples
+    return None, 0, 0, lambda x: None
+
+
+def stamped(pages: list[tuple[int, bool, list[bytes]]], duration) -> list[tuple[bytes, int | None]]:
+    """Packets with their granule positions, null where neither a page nor durations tell."""
+    out, before = [], None
+    for granule, whole, packets in pages:
+        before = before if whole else None
+        if not packets:
+            continue
+        lengths = [duration(x) for x in packets]
+        known = granule != -1 and None not in lengths
+        # the last page of a stream may be cut short, so counting on is the safer way
+        if known and before is not None:
+            places = [before + sum(lengths[: k + 1]) for k in range(len(packets))]
+        elif known:
+            places = [granule - sum(lengths[k + 1 :]) for k in range(len(packets))]
+        else:
+            places = [None] * len(packets)
+        places[-1] = granule if granule != -1 else None
+        out += zip(packets, places, strict=True)
+        before = places[-1]
+    return out
+
+
 _PACKET = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("granule", T.LongType()), T.StructField("seconds", T.DoubleType())])
-_STREAM = T.StructType([T.StructField("serial", T.LongType()), T.StructField("rate", T.LongType()), T.StructField("ended", T.BooleanType()), T.StructField("packets", T.ArrayType(_PACKET))])
+_STREAM = T.StructType([T.StructField("serial", T.LongType()), T.StructField("link", T.LongType()), T.StructField("codec", T.StringType()), T.StructField("rate", T.LongType()), T.StructField("ended", T.BooleanType()), T.StructField("packets", T.ArrayType(_PACKET))])
 DEMUXED = T.StructType([T.StructField("pages", T.LongType()), T.StructField("bad_pages", T.LongType()), T.StructField("skipped_bytes", T.LongType()), T.StructField("streams", T.ArrayType(_STREAM))])
 
 
 def _demuxed(media: bytes | None) -> dict:
     got = read_pages(media or b"")
     streams = []
-    for serial, s in sorted(got.streams.items()):
-        packets = s["packets"]
-        head = packets[0][0] if packets else b""
-        known = head.startswith(_MAGIC) and len(head) >= 12
-        rate = struct.unpack_from("<I", head, 8)[0] if known else 0
-        rest = packets[1:] if known else packets
-        streams.append({"serial": serial, "rate": rate, "ended": s["ended"], "packets": [{"data": d, "granule": g, "seconds": g / rate if rate else None} for d, g in rest]})
+    for (serial, link), s in sorted(got.streams.items()):
+        head = next((x[0] for _, _, x in s["pages"] if x), b"")
+        name, rate, skip, duration = codec(head)
+        packets = stamped(s["pages"], duration)
+        packets = packets[1:] if name == "pcm8" else packets
+        seconds = lambda g: max(0, g - skip) / rate if rate and g is not None else None  # noqa: B023, E731
+        streams.append({"serial": serial, "link": link, "codec": name, "rate": rate, "ended": s["ended"], "packets": [{"data": d, "granule": g, "seconds": seconds(g)} for d, g in packets]})
     return {"pages": got.pages, "bad_pages": got.bad_pages, "skipped_bytes": got.skipped, "streams": streams}
 
 

@@ -2,8 +2,12 @@
 
 Both caches rest on the vocabulary never joining text across the places where words are
 split, so a text's tokens are its words' tokens in order. Whatever the split can't
-express is given to the library whole. A cache is cleared when it is full, so its
-memory is bounded; that changes speed only.
+express (control characters, letters that the library composes or lower-cases otherwise) is
+given to the library whole. A cache is cleared when it is full, so its memory is bounded; that
+changes speed only.
+
+Defined results: an empty text has no tokens (callers give empty texts for nulls); a text of any length
+is encoded whole; equal texts give equal ids, whatever was encoded before.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ CACHE_WORDS = 700_000
 # fixed values: the word pattern of the vocabulary file's pre-tokenizer
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Texts of these characters are composed, lower-cased and split alike by Python and the library.
+_CONTROL = regex.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ž]*")
 
 
@@ -49,7 +54,7 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or not (text.isascii() and "\0" not in text or _PLAIN.fullmatch(text)):
+        if "<|" in text or not (text.isascii() and not _CONTROL.search(text) or _PLAIN.fullmatch(text)):
             return self.whole(text)
         parts = _WORD.findall(unicodedata.normalize("NFC", text).lower())
         known = self.words
