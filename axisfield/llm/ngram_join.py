@@ -46,8 +46,8 @@ from axisfield.llm.components import components
 CELLS, BLOCK, ROUNDS = 1 << 18, 1 << 13, 3
 #: Members of a group's part: the square root of the group within these bounds. Parts that a frequent shingle's list is dealt to.
 PART, SALTS = (16, 1024), 64
-#: Nodes that a task remembers, so as not to post one again.
-REMEMBERED = 100_000
+#: Nodes that a task remembers, so as not to post one again. Nodes (8 bytes each) up to which those in want of texts are broadcast.
+REMEMBERED, BROADCAST_NODES = 100_000, 1_000_000
 
 
 def _class_starts() -> np.ndarray:
@@ -216,6 +216,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     nodes.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(1).take(pa.array(rows, pa.int64()))], names=["node", "text"])
 
+    # the wanted nodes alone are sent to the texts as long as they are few; beyond, both are shuffled
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     return docs.mapInArrow(run, "node long, text string").join(wanted, "node").dropDuplicates(["node"])
 
 
@@ -337,14 +339,19 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(renamed.unionByName(new))
 
 
-def _hub_pairs(postings: DataFrame, groups: DataFrame, least: bool) -> DataFrame:
-    """(a, b): each node with the hub, of another component, of the lists it shares most of."""
+def _hub_pairs(postings: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node with the hub, of another component, of the lists it shares most of.
+
+    A list's hub is its most central node (most of its prefix is found elsewhere: an original, of which others are
+    copies with changes of their own), later any by a hash of the turn.
+    """
     named = _named(postings, groups)
-    pick = F.min if least else F.max
-    hubs = named.groupBy("own").agg(pick(F.struct("component", "node")).alias("hub")).select(F.col("own").alias("ask"), "hub")
+    first = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    order = F.struct(first.alias("first"), "component", "node")
+    hubs = named.groupBy("own").agg(F.min(order).alias("hub")).select(F.col("own").alias("ask"), "hub")
     shared = named.join(hubs, "ask").where("component != hub.component").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("k"))
-    best = shared.groupBy("node").agg(F.max(F.struct("k", "hub")).alias("best"))
-    return best.select(F.greatest("node", "best.hub").alias("a"), F.least("node", "best.hub").alias("b")).distinct()
+    best = shared.groupBy("node").agg(F.max(F.struct("k", F.bitwise_not("hub").alias("last"))).alias("best")).select("node", F.bitwise_not("best.last").alias("hub"))
+    return best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
 def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
@@ -392,18 +399,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     useful = partnered.join(_hopeful(partnered, sized, percent, far), "node").where(F.col("near").bitwiseAND(F.col("alive")) != 0)
     useful = checkpoint(useful)
     postings = _postings(useful, far)
-    postings = checkpoint(postings.join(postings.select(F.col("own").alias("ask")).distinct(), "ask", "left_semi"))
     shapes = useful.groupBy("node", "n").agg(F.collect_list("token").alias("tokens"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    central = useful.groupBy("node", "n").agg((F.count(F.lit(1)) / prefix).alias("central")).drop("n")
+    # lists that no one seeks are of no use
+    postings = postings.join(postings.select(F.col("own").alias("ask")).distinct(), "ask", "left_semi")
+    postings = checkpoint(postings.join(central, "node"))
     # bucketed by node, so that only pairs are shuffled to the texts they need
     table = f"shingle_texts_{uuid.uuid4().hex}"
     try:
-        _texts(own, postings.select("node").distinct(), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
+        _texts(own, checkpoint(postings.select("node").distinct()), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
         texts = spark.table(table)
         of_text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         groups = spark.createDataFrame([], "node long, component long")
         tried = None
         for k in range(ROUNDS + 1):
-            pairs = _hub_pairs(postings, groups, k % 2 == 0) if k < ROUNDS else _matrix_pairs(postings, groups, shapes, percent)
+            pairs = _hub_pairs(postings, groups, k) if k < ROUNDS else _matrix_pairs(postings, groups, shapes, percent)
             pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.union(pairs)
             links = checkpoint(_compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent))
