@@ -61,10 +61,8 @@ def electromagnetic_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integral_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared gaps between integrals over all points, of total measure one, and their targets."""
     p = points(spark, sf_dir)
-    p = p.crossJoin(F.broadcast(p.agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))))  # one row
-    of = lambda f, c, name: S.integral_equality(p, [f.column()], [c], F.col("w"), into=name)
-    out = of(C.dot(XYZ, XYZ), 1.0, "flow").crossJoin(of(S.power_flux([Y, Z, X], [Z, X, Y], XYZ), 2.0, "power")).crossJoin(of(S.kinetic_energy_flux(XYZ, XYZ, 1.5), 0.0, "kinetic"))
-    return rounded(out, [], flow="flow", power="power", kinetic="kinetic")
+    # of total measure one, so integrals are means: one pass for all
+    return rounded(S.integral_equalities(p, {"flow": (C.dot(XYZ, XYZ), 1.0), "power": (S.power_flux([Y, Z, X], [Z, X, Y], XYZ), 2.0), "kinetic": (S.kinetic_energy_flux(XYZ, XYZ, 1.5), 0.0)}), [], flow="flow", power="power", kinetic="kinetic")
 
 
 @query(POINTS + ", l AS (SELECT 'a' AS term, avg(pow(x - y, 2)) AS loss FROM p UNION ALL SELECT 'b', avg(pow(x*y - 1, 2)) FROM p) SELECT coalesce(term, 'total') AS term, round(sum(loss), 6) AS loss FROM l GROUP BY ROLLUP (term)")
@@ -73,31 +71,32 @@ def total_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.total_loss({"a": S.loss(p, [X - Y]), "b": S.loss(p, [X * Y - 1.0])}), ["term"], loss="loss")
 
 
-@query(POINTS + ", f AS (SELECT *, 1 - x*x - y*y AS phi, -2*x*x - 2*y*y AS pn, x*x + y AS u, 2*x*x + y AS un FROM p WHERE x > 0 AND y > 0) " + sql_of({
+@query(POINTS + ", f AS (SELECT *, 1 - x*x - y*y AS phi, -2*x*x - 2*y*y AS pn, x*x + y AS u, 2*x*x + y AS un FROM p) " + sql_of({
     "dirichlet": "x*y + phi*(u - x*y)", "neumann": "u + phi/pn*(1 - un)", "robin": "u + phi/(2*pn)*(3 - u - 2*un)", "absorbing": "u + x*t + phi/pn*(-(2*x*x + y + x*t) - x/4)", "started": "sin(x) + t*y + pow(t/(2*0.1), 2)/(1 + pow(t/(2*0.1), 2))*(u - sin(x) - t*y)", "blended": "(x*u + y*2)/(x + y)"}, source="", origin="f"))
 def enforced_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that meet boundary and initial targets by construction."""
     u, phi = X**2 + Y, 1.0 - X**2 - Y**2
     fields = E.pipelines({"dirichlet": u, "neumann": u, "robin": u}, {"dirichlet": lambda f: E.dirichlet(f["dirichlet"], phi, X * Y), "neumann": lambda f: E.neumann(f["neumann"], phi, XY, "xy", 1.0), "robin": lambda f: E.robin(f["robin"], phi, XY, "xy", 1.0, 2.0, 3.0)}, {"robin": ["neumann"]})
-    return rounded(points(spark, sf_dir).where("x > 0 and y > 0"), ["id"], **fields, absorbing=E.absorbing(u + X * T, phi, XY, "xy", 4.0), started=E.initial(u, {0: sin(X), 1: Y}, 2.0), blended=E.blend([u, C.lift(2.0)], [X, Y]))
+    return rounded(points(spark, sf_dir), ["id"], **fields, absorbing=E.absorbing(u + X * T, phi, XY, "xy", 4.0), started=E.initial(u, {0: sin(X), 1: Y}, 2.0), blended=E.blend([u, C.lift(2.0)], [X, Y]))
 
 
 @query(POINTS + " SELECT id, round((t - sin(t)) , 6) + 0.0 AS convolved, round(t*t/2.0 * 2, 6) + 0.0 AS square FROM p")
 def convolved_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The causal convolutions of t - s with sin, and of 2 with s."""
     p = points(spark, sf_dir)
-    one = H.time_convolution(p, ["id"], "t", lambda d: d, F.sin, nodes=16, into="convolved")
-    two = H.time_convolution(p, ["id"], "t", lambda d: F.lit(2.0), lambda s: s, nodes=4, into="square")
-    return rounded(one.join(two, "id"), ["id"], convolved="convolved", square="square")
+    out = H.time_convolution(p, "t", lambda d: d, F.sin, nodes=16, into="convolved")
+    out = H.time_convolution(out, "t", lambda d: F.lit(2.0), lambda s: s, nodes=4, into="square")
+    return rounded(out, ["id"], convolved="convolved", square="square")
 
 
-@query(POINTS + f" SELECT id, round(2*pow(t, 1.5)/{math.gamma(2.5)!r}, 6) + 0.0 AS half, round(6*pow(t, 1.5)/{math.gamma(2.5)!r}, 6) + 0.0 AS three_halves FROM p")
+@query(POINTS + f" SELECT id, round(2*pow(t, 1.5)/{math.gamma(2.5)!r}, 6) + 0.0 AS half, round(2*pow(t, 1.5)/{math.gamma(2.5)!r}, 6) + 0.0 AS half_of_values, round(6*pow(t, 1.5)/{math.gamma(2.5)!r}, 6) + 0.0 AS three_halves FROM p")
 def caputo_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders 1/2 of t^2 and 3/2 of t^3, against their closed forms."""
     p = points(spark, sf_dir)
-    one = H.caputo(p, ["id"], "t", lambda s: F.lit(2.0) * s, 0.5, into="half")
-    two = H.caputo(p, ["id"], "t", lambda s: F.lit(6.0) * s, 1.5, into="three_halves")
-    return rounded(one.join(two, "id"), ["id"], half="half", three_halves="three_halves")
+    out = H.caputo(p, "t", lambda s: F.lit(2.0) * s, 0.5, into="half")
+    out = H.caputo(out, "t", lambda s: F.lit(6.0) * s, 1.5, into="three_halves")
+    out = H.caputo_of_values(out, "t", lambda s: s * s, 0.5, into="half_of_values")
+    return rounded(out, ["id"], half="half", three_halves="three_halves", half_of_values="half_of_values")
 
 
 _GL = "WITH RECURSIVE c AS (SELECT 0 AS k, 1.0::DOUBLE AS c UNION ALL SELECT k + 1, c * (k - 1.5) / (k + 1) FROM c WHERE k < 63), " + POINTS.removeprefix("WITH ")
@@ -107,15 +106,15 @@ _GL = "WITH RECURSIVE c AS (SELECT 0 AS k, 1.0::DOUBLE AS c UNION ALL SELECT k +
 def fractional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sided and symmetric differences of order 3/2 of a bell."""
     p, bell = points(spark, sf_dir), lambda v: F.exp(-v * v)
-    one = H.fractional_derivative(p, ["id"], "x", bell, 1.5, 0.25, 64, into="fore")
-    two = H.riesz_derivative(p, ["id"], ["x"], lambda c: bell(c["x"]), 1.5, 0.25, 64, into="riesz")
-    return rounded(one.join(two, "id"), ["id"], fore="fore", riesz="riesz")
+    out = H.fractional_derivative(p, "x", bell, 1.5, 0.25, 64, into="fore")
+    out = H.riesz_derivative(out, ["x"], lambda c: bell(c["x"]), 1.5, 0.25, 64, into="riesz")
+    return rounded(out, ["id"], fore="fore", riesz="riesz")
 
 
 @query(POINTS + ", o AS (SELECT 0.2::DOUBLE * (i - 15.5) / 16 AS xi FROM range(32) s(i)) SELECT id, round(sum((sin(x) - sin(x + xi)) / pow(abs(xi), 2.0) * 0.4 / 32), 6) + 0.0 AS laplacian FROM p, o GROUP BY id")
 def fractional_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.range(32).select((F.lit(0.2) * (F.col("id") - F.lit(15.5)) / 16).alias("xi"), F.lit(0.4 / 32).alias("w"))
-    out = H.fractional_laplacian(points(spark, sf_dir), ["id"], o, F.sin("x") - F.sin(F.col("x") + F.col("xi")), F.abs("xi"), 1.0, 1)
+    o = [{"xi": 0.2 * (k - 15.5) / 16, "w": 0.4 / 32} for k in range(32)]
+    out = H.fractional_laplacian(points(spark, sf_dir), o, lambda e: F.sin("x") - F.sin(F.col("x") + e["xi"]), lambda e: F.abs(e["xi"]), 1.0, 1)
     return rounded(out, ["id"], laplacian="laplacian")
 
 
@@ -157,14 +156,14 @@ def mesh_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(f)  # one row each
 
 
-@query()
+_U = "('0x' || substr(md5(concat_ws('/', i, {k}, 0)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+@query("WITH p AS (SELECT -1 + 2.0 * (" + _U.format(k=0) + ") AS x, -1 + 2.0 * (" + _U.format(k=1) + ") AS y FROM range(20000) t(i)) SELECT round(sum(CASE WHEN x*x + y*y <= 1 THEN 4.0 / 20000 ELSE 0 END), 6) AS area FROM p")
 def sampled_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measure of a disk by three samplers; about pi."""
-    inside, out = F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1, None
-    for name in samplers.SAMPLERS:
-        one = samplers.sampled(spark, name, 20000, ["x", "y"], [-1.0, -1.0], [1.0, 1.0], inside, 4.0).agg(F.sum("w").alias("area")).withColumn("sampler", F.lit(name))
-        out = one if out is None else out.union(one)
-    return out
+    """The measure of a disk by uniform points; about pi."""
+    inside = F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1
+    return rounded(samplers.sampled(spark, "uniform", 20000, ["x", "y"], [-1.0, -1.0], [1.0, 1.0], inside, 4.0).agg(F.sum("w").alias("area")), [], area="area")
 
 
 @query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 4) + 0.0 AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 4) + 0.0 AS intercept FROM lineitem")

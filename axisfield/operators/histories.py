@@ -5,36 +5,40 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisfield.operators.rules import rule_sum
 
-def _spread(rows: DataFrame, table: list[tuple], schema: str) -> DataFrame:
-    """Each row with each entry of a declared rule (its length is a parameter, not data)."""
-    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame(table, schema)))
 
+def time_convolution(rows: DataFrame, time: str, kernel, value, nodes: int = 16, start: float = 0.0, into: str = "convolution") -> DataFrame:
+    """Adds the integral of kernel(t - s) value(s) from start to t, by Gauss nodes; zero before the start.
 
-def time_convolution(rows: DataFrame, key: list[str], time: str, kernel, value, nodes: int = 16, start: float = 0.0, into: str = "convolution") -> DataFrame:
-    """The integral of kernel(t - s) value(s) from start to t, by Gauss nodes; zero before the start.
-
-    `kernel` and `value` take a column and return one.
+    `kernel` and `value` take a column and return one. Each row is its own integral, so repeated rows stay apart.
     """
     x, w = np.polynomial.legendre.leggauss(nodes)
-    rule = [((float(a) + 1) / 2, float(b) / 2) for a, b in zip(x, w, strict=True)]
+    rule = [{"x": (a + 1) / 2, "w": b / 2} for a, b in zip(x, w, strict=True)]
     span = F.greatest(F.col(time) - F.lit(start), F.lit(0.0))
-    at = F.lit(start) + span * F.col("__x")
-    term = kernel(F.col(time) - at) * value(at) * span * F.col("__w")
-    return _spread(rows, rule, "__x double, __w double").groupBy(*key).agg(F.sum(term).alias(into))
+    at = lambda e: F.lit(start) + span * e["x"]
+    return rows.withColumn(into, rule_sum(rule, lambda e: kernel(F.col(time) - at(e)) * value(at(e)) * span * e["w"]))
 
 
 def causal_filter(rows: DataFrame, series: list[str], step: str, value: str, weights: list[float], into: str = "filtered") -> DataFrame:
-    """The sum of weights[k] times the value k steps before, of a series with one row per whole step.
+    """Adds the sum of weights[k] times the value k whole steps before within a series (rows alike in step all count).
 
-    Each row adds to the steps after it that the series has; a step with no row adds nothing.
+    A step with no row adds nothing. A series is cut into spans of as many steps as there are weights; each span
+    is one list, met by its own rows and those of the next span, so no task holds a series and no row is exploded.
     """
-    taps = _spread(rows.select(*series, step, value), [(k, float(w)) for k, w in enumerate(weights)], "__k int, __c double")
-    sums = taps.groupBy(*series, (F.col(step) + F.col("__k")).alias(step)).agg(F.sum(F.col(value) * F.col("__c")).alias(into))
-    return rows.join(sums, [*series, step])
+    span = F.lit(max(1, len(weights)))
+    cut = F.floor(F.col(step) / span)
+    pairs = F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))
+    spans = rows.groupBy(*series, cut.alias("__span")).agg(pairs.alias("__here"))
+    before = spans.select(*series, (F.col("__span") + 1).alias("__span"), F.col("__here").alias("__before"))
+    both = rows.withColumn("__span", cut).join(spans, [*series, "__span"]).join(before, [*series, "__span"], "left")
+    taps = F.array(*(F.lit(float(w)) for w in weights))
+    age = lambda e: (F.col(step) - e["s"]).cast("int")
+    total = lambda column: F.aggregate(F.coalesce(column, F.array().cast(both.schema["__here"].dataType)), F.lit(0.0), lambda t, e: t + F.when(age(e).between(0, len(weights) - 1), F.get(taps, age(e)) * e["v"]).otherwise(F.lit(0.0)))
+    return both.withColumn(into, total(F.col("__here")) + total(F.col("__before"))).drop("__span", "__here", "__before")
 
 
 def difference_weights(order: float, n: int) -> list[float]:
@@ -45,25 +49,51 @@ def difference_weights(order: float, n: int) -> list[float]:
     return out
 
 
-def fractional_derivative(rows: DataFrame, key: list[str], name: str, value, order: float, step: float, terms: int, sign: int = 1, into: str = "derivative") -> DataFrame:
-    """One-sided difference of a real order on `terms` declared steps: to the left (1) or the right (-1)."""
+def fractional_derivative(rows: DataFrame, name: str, value, order: float, step: float, terms: int, sign: int = 1, into: str = "derivative") -> DataFrame:
+    """Adds the one-sided difference of a real order on `terms` declared steps: to the left (1) or the right (-1)."""
     if step <= 0:
-        return rows.select(*key, F.lit(0.0).alias(into))
-    rule = [(float(k * step * sign), w / step**order) for k, w in enumerate(difference_weights(order, terms))]
-    return _spread(rows, rule, "__d double, __c double").groupBy(*key).agg(F.sum(value(F.col(name) - F.col("__d")) * F.col("__c")).alias(into))
+        return rows.withColumn(into, F.lit(0.0))
+    rule = [{"d": k * step * sign, "c": w / step**order} for k, w in enumerate(difference_weights(order, terms))]
+    return rows.withColumn(into, rule_sum(rule, lambda e: value(F.col(name) - e["d"]) * e["c"]))
 
 
-def riesz_derivative(rows: DataFrame, key: list[str], names: list[str], value, order: float, step: float, terms: int, into: str = "derivative") -> DataFrame:
-    """-(left + right) / (2 cos(pi order / 2)) summed over the axes; `value` takes a dict of columns."""
+def riesz_derivative(rows: DataFrame, names: list[str], value, order: float, step: float, terms: int, into: str = "derivative") -> DataFrame:
+    """Adds -(left + right) / (2 cos(pi order / 2)) summed over the axes; `value` takes a dict of columns."""
     scale = -1 / (2 * math.cos(math.pi * order / 2) * step**order)
-    weights = difference_weights(order, terms)
-    rule = [(axis, float(k * step * s), w * scale) for axis in range(len(names)) for s in (1, -1) for k, w in enumerate(weights)]
-    moved = {n: F.col(n) - F.when(F.col("__a") == i, F.col("__d")).otherwise(F.lit(0.0)) for i, n in enumerate(names)}
-    return _spread(rows, rule, "__a int, __d double, __c double").groupBy(*key).agg(F.sum(value(moved) * F.col("__c")).alias(into))
+    rule = [{"d": k * step * s, "c": w * scale} for s in (1, -1) for k, w in enumerate(difference_weights(order, terms))]
+    moved = lambda axis, e: {n: F.col(n) - e["d"] if n == axis else F.col(n) for n in names}
+    return rows.withColumn(into, sum((rule_sum(rule, lambda e, axis=axis: value(moved(axis, e)) * e["c"]) for axis in names), F.lit(0.0)))
+
+
+def sampled_indices(order: float, draws: int, most: int = 512, seed: int = 0) -> list[dict[str, float]]:
+    """Draws of a difference's term k >= 1 by the size of its weight, merged: what the sampled operators sum over.
+
+    The weights behind the first are drawn with odds |w_k| / sum |w| (the sum of all, by the closed form of the tail for
+    orders below one, cut at `most` terms above), so the mean of sign(w_k) sum|w| value(k) is the difference's sum.
+    """
+    weights = np.array(difference_weights(order, most)[1:])
+    total = np.abs(weights).sum()
+    drawn = np.random.default_rng(seed).choice(len(weights), size=draws, p=np.abs(weights) / total)
+    places, counts = np.unique(drawn, return_counts=True)
+    return [{"k": float(k + 1), "c": float(np.sign(weights[k]) * total * n / draws)} for k, n in zip(places, counts, strict=True)]
 
 
-def caputo(rows: DataFrame, key: list[str], time: str, derivative, order: float, nodes: int = 16, start: float = 0.0, into: str = "caputo") -> DataFrame:
-    """The Caputo derivative of an order between whole numbers; `derivative` is the next whole one, as a function of a column.
+def sampled_fractional_derivative(rows: DataFrame, name: str, value, order: float, step: float, draws: int, sign: int = 1, seed: int = 0, into: str = "derivative") -> DataFrame:
+    """The difference of a real order with its first term exact and the others drawn by their weights (a declared number)."""
+    rule = [{"k": 0.0, "c": 1.0}, *sampled_indices(order, draws, seed=seed)]
+    return rows.withColumn(into, rule_sum(rule, lambda e: value(F.col(name) - e["k"] * F.lit(step * sign)) * e["c"]) / F.lit(step**order))
+
+
+def sampled_riesz_derivative(rows: DataFrame, names: list[str], value, order: float, step: float, draws: int, seed: int = 0, into: str = "derivative") -> DataFrame:
+    """The symmetric form of the same, each axis and side with the same draws."""
+    scale = -1 / (2 * math.cos(math.pi * order / 2) * step**order)
+    rule = [{"k": s * e["k"], "c": e["c"] * scale} for s in (1, -1) for e in [{"k": 0.0, "c": 1.0}, *sampled_indices(order, draws, seed=seed)]]
+    moved = lambda axis, e: {n: F.col(n) - e["k"] * F.lit(step) if n == axis else F.col(n) for n in names}
+    return rows.withColumn(into, sum((rule_sum(rule, lambda e, axis=axis: value(moved(axis, e)) * e["c"]) for axis in names), F.lit(0.0)))
+
+
+def caputo(rows: DataFrame, time: str, derivative, order: float, nodes: int = 16, start: float = 0.0, into: str = "caputo") -> DataFrame:
+    """Adds the Caputo derivative of an order between whole numbers; `derivative` is the next whole one, as a function of a column.
 
     With s = t - (t - start) r^(1 / (m - order)) the weak singularity goes into the measure, so Gauss nodes converge.
     """
@@ -72,22 +102,41 @@ def caputo(rows: DataFrame, key: list[str], time: str, derivative, order: float,
         raise ValueError("an order in (0, 1) or (1, 2) is needed")
     p = m - order
     x, w = np.polynomial.legendre.leggauss(nodes)
-    rule = [(((float(a) + 1) / 2) ** (1 / p), float(b) / 2) for a, b in zip(x, w, strict=True)]
+    rule = [{"r": ((a + 1) / 2) ** (1 / p), "w": b / 2} for a, b in zip(x, w, strict=True)]
+    span = F.greatest(F.col(time) - F.lit(start), F.lit(0.0))
+    total = rule_sum(rule, lambda e: derivative(F.col(time) - span * e["r"]) * e["w"])
+    return rows.withColumn(into, total * F.pow(span, F.lit(p)) / F.lit(math.gamma(p + 1)))
+
+
+def caputo_of_values(rows: DataFrame, time: str, value, order: float, nodes: int = 32, start: float = 0.0, slope=None, into: str = "caputo") -> DataFrame:
+    """The same from the values alone, by parts: (u(t) - u(start)) / span^order and the integral of differences over (t - s)^(1 + order).
+
+    For orders above one `slope` is the first derivative, whose differences take the values' place.
+    """
+    m = math.ceil(order)
+    if order <= 0 or order >= 2 or order == m or (m == 2 and slope is None):
+        raise ValueError("an order in (0, 1), or in (1, 2) with a slope, is needed")
+    f, part = (value, order) if m == 1 else (slope, order - 1)
+    q = 1 - part
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    # r = z^(1 / q) takes the singularity (u(t) - u(s)) / (t - s)^(1 + part) ~ r^-part into the measure
+    rule = [{"r": ((a + 1) / 2) ** (1 / q), "w": b / 2 / q} for a, b in zip(x, w, strict=True)]
     span = F.greatest(F.col(time) - F.lit(start), F.lit(0.0))
-    term = derivative(F.col(time) - span * F.col("__r")) * F.col("__w")
-    scale = F.pow(span, F.lit(p)) / F.lit(math.gamma(p + 1))
-    return _spread(rows, rule, "__r double, __w double").groupBy(*key).agg(F.sum(term * scale).alias(into))
+    here = f(F.col(time))
+    inner = rule_sum(rule, lambda e: (here - f(F.col(time) - span * e["r"])) / e["r"] * e["w"])
+    out = (here - f(F.lit(start)) + F.lit(part) * inner) / (F.pow(span, F.lit(part)) * F.lit(math.gamma(q)))
+    return rows.withColumn(into, F.when(span > 0, out).otherwise(F.lit(0.0)))
 
 
-def fractional_laplacian(rows: DataFrame, key: list[str], offsets: DataFrame, difference: Column, radius: Column, order: float, dim: int, weight: str = "w", into: str = "laplacian") -> DataFrame:
-    """The integral over a ball of (u(x) - u(x + offset)) / |offset|^(dim + order), without a constant.
+def fractional_laplacian(rows: DataFrame, offsets: list[dict[str, float]], difference, radius, order: float, dim: int, into: str = "laplacian") -> DataFrame:
+    """Adds the integral over a ball of (u(x) - u(x + offset)) / |offset|^(dim + order), without a constant.
 
-    Offsets in opposite pairs cancel the gradient, which orders above one need.
+    `offsets` is a rule with weights w; `difference` and `radius` take its entries. Offsets in opposite pairs cancel the
+    gradient, which orders above one need.
     """
     if not 0 < order < 2:
         raise ValueError("an order in (0, 2) is needed")
-    term = difference / F.pow(radius, F.lit(dim + order)) * F.col(weight)
-    return rows.crossJoin(F.broadcast(offsets)).groupBy(*key).agg(F.sum(term).alias(into))
+    return rows.withColumn(into, rule_sum(offsets, lambda e: difference(e) / F.pow(radius(e), F.lit(dim + order)) * e["w"]))
 
 
 def track(observed: DataFrame, asked: DataFrame, series: list[str], time: str, value: str, into: str = "tracked") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of an all-pairs operator is broadcast; a larger one is shuffled in blocks.
-BROADCAST_ROWS, BLOCKS = 200_000, 64
+from axisfield.operators.rules import rule_sum
+
+#: Rows up to which a side of an all-pairs operator becomes one array in a single row, and up to which it is broadcast;
+#: a larger one is shuffled in blocks.
+ARRAY_ROWS, BROADCAST_ROWS, BLOCKS = 20_000, 200_000, 64
 
 
 def all_pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -20,23 +25,87 @@ def all_pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, "__block").drop("__block")
 
 
-def kernel_integral(rows: DataFrame, quad: DataFrame, key: list[str], kernel: Column, value: Column, weight: str = "w", into: str = "integral") -> DataFrame:
-    """The sum over y of kernel(x, y) * value(y) * weight for each x."""
-    return all_pairs(rows, quad).groupBy(*key).agg(F.sum(kernel * value * F.col(weight)).alias(into))
+def kernel_integral(rows: DataFrame, rule: Sequence[dict[str, float]], term: Callable[[Column], Column], into: str = "integral") -> DataFrame:
+    """Adds the sum over a declared quadrature rule of term(entry), such as kernel(x, y) value(y) weight."""
+    return rows.withColumn(into, rule_sum(rule, term))
+
 
+#: The sum over the offsets of a ball rule around each row: the same projection.
+local_integral = kernel_integral
 
-def local_integral(rows: DataFrame, offsets: DataFrame, key: list[str], integrand: Column, weight: str = "w", into: str = "integral") -> DataFrame:
-    """The sum over the offsets of a ball table around each row."""
-    return rows.crossJoin(F.broadcast(offsets)).groupBy(*key).agg(F.sum(integrand * F.col(weight)).alias(into))
 
+def kernel_sum(rows: DataFrame, sources: DataFrame, key: list[str], term: Column, into: str = "integral") -> DataFrame:
+    """(key, sum over a table of sources): for sources that are data; rows alike in the key are one."""
+    return all_pairs(rows.dropDuplicates(key), sources).groupBy(*key).agg(F.sum(term).alias(into))
 
-def inverse_distance(rows: DataFrame, anchors: DataFrame, key: list[str], distance2: Column, value: str, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
-    """Inverse-distance weighting over all anchors; a row on an anchor takes its value."""
-    d2 = F.greatest(distance2, F.lit(1e-300))
-    w = F.pow(d2, F.lit(-exponent / 2))
-    pairs = all_pairs(rows, anchors).withColumn("__d2", distance2).withColumn("__w", w)
-    out = pairs.groupBy(*key).agg(F.sum(F.col("__w") * F.col(value)).alias("__a"), F.sum("__w").alias("__b"), F.min(F.struct("__d2", value)).alias("__near"))
-    return out.select(*key, F.when(F.col("__near.__d2") < snap, F.col(f"__near.{value}")).otherwise(F.col("__a") / F.col("__b")).alias(into))
+
+def _weighted(d2: Column, value: Column, exponent: float, snap: float) -> tuple[Column, Column, Column]:
+    w = F.pow(F.greatest(d2, F.lit(1e-300)), F.lit(-exponent / 2))
+    return w * value, w, F.struct(d2.alias("d2"), value.alias("v"))
+
+
+def inverse_distance(rows: DataFrame, anchors: DataFrame, distance2: Callable[[Callable[[str], Column]], Column], value: str, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
+    """Adds the inverse-distance mean over all anchors; a row on an anchor takes its value (the least, if several are there).
+
+    `distance2` makes the squared distance from a function that gives an anchor's column by its name. Few anchors
+    (ARRAY_ROWS, counted) are one array that each row sums over in place; more of them meet the rows in blocks.
+    """
+    columns = anchors.columns
+    if anchors.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS:
+        packed = F.broadcast(anchors.agg(F.collect_list(F.struct(*columns)).alias("__all")))  # one row
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("d2"), F.lit(None).cast("double").alias("v"))
+
+        def step(s: Column, e: Column) -> Column:
+            a, b, near = _weighted(distance2(lambda c: e[c]), e[value].cast("double"), exponent, snap)
+            closer = (near["d2"] < s["d2"]) | (near["d2"] == s["d2"]) & (near["v"] < s["v"])
+            return F.struct((s["a"] + a).alias("a"), (s["b"] + b).alias("b"), F.when(closer, near["d2"]).otherwise(s["d2"]).alias("d2"), F.when(closer, near["v"]).otherwise(s["v"]).alias("v"))
+
+        done = rows.crossJoin(packed).withColumn("__s", F.aggregate("__all", start, step))
+        return done.withColumn(into, F.when(F.col("__s.d2") < snap, F.col("__s.v")).otherwise(F.col("__s.a") / F.col("__s.b"))).drop("__all", "__s")
+    numbered = rows.withColumn("__row", F.struct(*rows.columns))
+    a, b, near = _weighted(distance2(F.col), F.col(value).cast("double"), exponent, snap)
+    out = all_pairs(numbered.select(*rows.columns, "__row").dropDuplicates(), anchors).groupBy("__row").agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
+    found = out.select("__row", F.when(F.col("near.d2") < snap, F.col("near.v")).otherwise(F.col("a") / F.col("b")).alias(into))
+    return numbered.join(found, "__row").drop("__row")
+
+
+def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int, cell: float, rounds: int = 6) -> DataFrame:
+    """(key, place, squared distance, the anchor's columns): the k nearest anchors of each row, ties by their order.
+
+    Space is cut into cells. Rows look at all cells within a radius that doubles each round, and are done once k
+    anchors lie within it: none outside can be nearer. Rows that are still open after the last round (far away
+    from all anchors) meet all of them. `key` tells rows apart; anchors have the columns `names` and others.
+    """
+    at = {n: F.floor(F.col(n) / F.lit(cell)).cast("long") for n in names}
+    mine = F.struct(*(F.col(n) for n in anchors.columns))
+    cells = anchors.select(*(at[n].alias(f"__{n}") for n in names), mine.alias("__anchor")).cache()
+    away = sum(((F.col(n) - F.col(f"__anchor.{n}")) * (F.col(n) - F.col(f"__anchor.{n}")) for n in names), F.lit(0.0))
+    place = Window.partitionBy(key).orderBy("__d2", "__anchor")
+    open_rows, done = rows.select(key, *names), None
+    for turn in range(rounds + 1):
+        if turn < rounds:
+            reach = 2**turn - 1 if turn else 0
+            near = open_rows
+            for n in names:
+                near = near.withColumn(f"__{n}", F.explode(F.sequence(at[n] - reach, at[n] + reach)))
+            pairs = near.join(cells, [f"__{n}" for n in names])
+        else:
+            pairs = all_pairs(open_rows, cells.select("__anchor"))
+        best = pairs.withColumn("__d2", away).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select(key, "place", F.col("__d2").alias("distance2"), F.col("__anchor").alias("anchor"))
+        if turn < rounds:
+            # all anchors within reach * cell of a row are in the cells looked at
+            sure = best.where((F.col("place") == k) & (F.col("distance2") <= F.lit((reach * cell) ** 2))).select(key)
+            best = best.join(sure, key, "left_semi")
+            open_rows = open_rows.join(sure, key, "left_anti")
+        done = best if done is None else done.unionByName(best)
+    return done
+
+
+def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], value: str, k: int, cell: float, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
+    """(key, mean): inverse distances over the k nearest anchors alone."""
+    a, b, near = _weighted(F.col("distance2"), F.col(f"anchor.{value}").cast("double"), exponent, snap)
+    out = nearest(rows, anchors, key, names, k, cell).groupBy(key).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
+    return out.select(key, F.when(F.col("near.d2") < snap, F.col("near.v")).otherwise(F.col("a") / F.col("b")).alias(into))
 
 
 def delay(rows: DataFrame, series: str, time: str, value: str, tau: float, into: str = "delayed") -> DataFrame:
@@ -56,3 +125,11 @@ def stencil(rows: DataFrame, partition: list[str], order: str, value: str, step:
     back, ahead, here = F.lag(value).over(line), F.lead(value).over(line), F.col(value)
     d = F.when(back.isNull() & ahead.isNull(), F.lit(0.0)).when(back.isNull(), (ahead - here) / step).when(ahead.isNull(), (here - back) / step).otherwise((ahead - back) / (step * F.lit(2.0)))
     return rows.withColumn(into, d)
+
+
+def differences(rows: DataFrame, partition: list[str], order: str, value: str, step: Column, n: int, into: str = "derivative") -> DataFrame:
+    """The n-th derivative on an even grid by repeated centred differences, one-sided at the ends."""
+    out = rows.withColumn(into, F.col(value))
+    for k in range(n):
+        out = stencil(out.withColumnRenamed(into, f"__d{k}"), partition, order, f"__d{k}", step, into).drop(f"__d{k}")
+    return out

@@ -26,6 +26,21 @@ def mean(df: DataFrame, f: Column, weight: Column | str = "w", where: Column | N
     return both.select(*keep, ratio.alias(into))
 
 
+def integrals(df: DataFrame, fields: dict[str, Column], weight: str = "w", keep: list[str] = ()) -> DataFrame:
+    """Several integrals in one pass."""
+    return _group(df, list(keep)).agg(*(F.sum(F.col(weight) * f).alias(k) for k, f in fields.items()))
+
+
+def means(df: DataFrame, fields: dict[str, tuple[Column, Column | None]], weight: str = "w", keep: list[str] = ()) -> DataFrame:
+    """Several means, each with its own mask or none, in one pass; an empty measure is an error."""
+    sums = []
+    for k, (f, where) in fields.items():
+        w = F.col(weight) if where is None else F.col(weight) * where.cast("double")
+        sums += [F.sum(w * f).alias(f"__a_{k}"), F.sum(w).alias(f"__b_{k}")]
+    ratio = lambda k: F.when(F.col(f"__b_{k}") == 0, F.raise_error(F.lit("the measure is zero")).cast("double")).otherwise(F.col(f"__a_{k}") / F.col(f"__b_{k}"))
+    return _group(df, list(keep)).agg(*sums).select(*keep, *(ratio(k).alias(k) for k in fields))
+
+
 def inner_product(df: DataFrame, u: list[Column], v: list[Column], weight: str = "w", keep: list[str] = ()) -> DataFrame:
     return integral(df, sum((a * b for a, b in zip(u, v, strict=True)), F.lit(0.0)), weight, keep=keep, into="inner_product")
 

@@ -39,6 +39,13 @@ def integral_equality(points: DataFrame, values: Sequence[Column], targets: Sequ
     return points.agg(*parts).select(sum((g * g for g in gaps), F.lit(0.0)).alias(into))
 
 
+def integral_equalities(points: DataFrame, terms: dict[str, tuple[Expr, float]], weight: Column | None = None) -> DataFrame:
+    """The squared gaps of several integrals in one pass; without a weight the points are of total measure one."""
+    total = lambda v: F.avg(v) if weight is None else F.sum(v * weight)
+    gap = lambda f, c: total(f.column()) - F.lit(float(c))
+    return points.agg(*((gap(f, c) * gap(f, c)).alias(k) for k, (f, c) in terms.items()))
+
+
 # scalar fields
 
 

@@ -65,9 +65,7 @@ def masked_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem")
     keep = ["l_returnflag", "l_linestatus"]
     price = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
-    a = R.mean(df, price, "l_quantity", keep=keep, into="mean_price")
-    b = R.mean(df, F.col("l_tax"), "l_quantity", where=F.col("l_discount") > 0.05, keep=keep, into="masked_tax")
-    return a.join(b, keep).select(*keep, F.round("mean_price", 4).alias("mean_price"), F.round("masked_tax", 6).alias("masked_tax"))
+    return R.means(df, {"mean_price": (price, None), "masked_tax": (F.col("l_tax"), F.col("l_discount") > 0.05)}, "l_quantity", keep).select(*keep, F.round("mean_price", 4).alias("mean_price"), F.round("masked_tax", 6).alias("masked_tax"))
 
 
 _AXES = "SELECT '{k}' AS kind, i, round({x}, 6) + 0.0 AS x, round({w}, 6) + 0.0 AS w FROM range(12) t(i)"
@@ -90,7 +88,7 @@ def legendre_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for rule in ("gauss", "radau", "lobatto"):
         df = G.axis(spark, "legendre", 10, -1.0, 2.0, rule=rule).withColumn("rule", F.lit(rule))
-        one = R.integral(df, F.col("x") * F.col("x"), keep=["rule"], into="x2").join(R.integral(df, F.exp("x"), keep=["rule"], into="expo"), "rule")
+        one = R.integrals(df, {"x2": F.col("x") * F.col("x"), "expo": F.exp("x")}, keep=["rule"])
         one = rounded(one, ["rule"], x2="x2", expo="expo")
         out = one if out is None else out.union(one)
     return out
@@ -149,7 +147,7 @@ def hyperelastic_and_maxwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points(spark, sf_dir), ["id"], p11=C.neo_hookean_first(W2, 0.4, 0.9, "xy")[0][0], m11=m[0][0], m12=m[0][1])
 
 
-@query(sql_of({"tx": "y*z - 3*x*x*y*z", "sdiv": "x + y + z - 2*(x*x*y + y*y*z + z*z*x)", "lb": "2*(1-x*x)*(1-x*x) + 2*x*x*y*y + 2*x*x*z*z"}))
+@query(sql_of({"tx": "y*z - (y*z*x + x*z*y + x*y*z)*x", "sdiv": "x + y + z - 2*(x*x*y + y*y*z + z*z*x)", "lb": "2*(1-x*x)*(1-x*x) + 2*x*x*y*y + 2*x*x*z*z"}))
 def surface_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tangential gradient, surface divergence and Laplace-Beltrami with the position as normal."""
     n = [X, Y, Z]
@@ -172,7 +170,7 @@ def fourier_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectral.apply_matrix(df, spectral.fourier_matrix(32), [], "i", "u"), ["i"], derivative="derivative")
 
 
-@query()
+@query("SELECT i, 0.0::DOUBLE AS residual FROM range(12) t(i)")
 def polynomial_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second derivative of a sixth power on Gauss nodes; the residual is zero to rounding."""
     df = G.axis(spark, "legendre", 12).withColumn("u", F.pow("x", F.lit(6.0)))
@@ -189,8 +187,8 @@ def inverse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers take values from all suppliers by inverse squared distance."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10000.0).alias("x"), ((F.col("c_custkey") % 101) / 101.0).alias("y"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 10000.0).alias("sx"), ((F.col("s_suppkey") % 101) / 101.0).alias("sy"), F.col("s_nationkey").cast("double").alias("v"))
-    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    return rounded(N.inverse_distance(c, s, ["c_custkey"], dx * dx + dy * dy, "v"), ["c_custkey"], idw="idw")
+    away = lambda of: (F.col("x") - of("sx")) * (F.col("x") - of("sx")) + (F.col("y") - of("sy")) * (F.col("y") - of("sy"))
+    return rounded(N.inverse_distance(c, s, away, "v"), ["c_custkey"], idw="idw")
 
 
 @query("""
@@ -199,17 +197,17 @@ SELECT c_custkey, round(sum(exp(-(x - y) * (x - y)) * sin(y) * sin(y) / 64), 6)
 def kernel_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Gaussian kernel over a quadrature table, at every customer."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10000.0).alias("x"))
-    q = G.axis(spark, "sine", 64, label="y").drop("i")
-    d = F.col("x") - F.col("y")
-    return rounded(N.kernel_integral(c, q, ["c_custkey"], F.exp(-d * d), F.sin("y") * F.sin("y")), ["c_custkey"], integral="integral")
+    rule = [{"y": (k + 0.5) / 64, "w": 1 / 64} for k in range(64)]
+    d = lambda e: F.col("x") - e["y"]
+    return rounded(N.kernel_integral(c, rule, lambda e: F.exp(-d(e) * d(e)) * F.sin(e["y"]) * F.sin(e["y"]) * e["w"]), ["c_custkey"], integral="integral")
 
 
 @query(POINTS + ", o AS (SELECT 0.1::DOUBLE * (i - 8) / 8 AS xi FROM range(17) t(i)) SELECT id, round(sum((sin(x + xi) - sin(x)) * abs(xi) / 17), 6) + 0.0 AS integral FROM p, o GROUP BY id")
 def local_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bond differences over a ball of offsets around each point."""
-    o = spark.range(17).select((F.lit(0.1) * (F.col("id") - 8) / 8).alias("xi"), F.lit(1 / 17).alias("w"))
-    bond = (F.sin(F.col("x") + F.col("xi")) - F.sin("x")) * F.abs("xi")
-    return rounded(N.local_integral(points(spark, sf_dir), o, ["id"], bond), ["id"], integral="integral")
+    ball = [{"xi": 0.1 * (k - 8) / 8, "w": 1 / 17} for k in range(17)]
+    bond = lambda e: (F.sin(F.col("x") + e["xi"]) - F.sin("x")) * F.abs(e["xi"]) * e["w"]
+    return rounded(N.local_integral(points(spark, sf_dir), ball, bond), ["id"], integral="integral")
 
 
 @query("""
@@ -226,8 +224,9 @@ def delayed_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner product and norms over a weighted point set."""
     p, x, y = points(spark, sf_dir).withColumn("w", F.lit(0.01)), F.col("x"), F.col("y")
-    out = R.inner_product(p, [x], [y]).crossJoin(R.lp_norm(p, [x, y]).withColumnRenamed("norm", "l2")).crossJoin(R.lp_norm(p, [x, y], 3.0).withColumnRenamed("norm", "l3"))
-    return out.select(*(F.round(c, 4).alias(c) for c in ("inner_product", "l2", "l3")))
+    size = F.sqrt(x * x + y * y)
+    out = R.integrals(p, {"inner_product": x * y, "l2": size * size, "l3": F.pow(size, F.lit(3.0))})
+    return out.select(F.round("inner_product", 4).alias("inner_product"), F.round(F.sqrt("l2"), 4).alias("l2"), F.round(F.pow("l3", F.lit(1 / 3)), 4).alias("l3"))
 
 
 @query("""
@@ -240,11 +239,9 @@ def boundary_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = spark.range(256).select(F.cos(angle).alias("x"), F.sin(angle).alias("y"))
     u, n = X**2 - Y**2, [X, Y]
     un = C.dot(C.grad(u, "xy"), n)
-    parts = [R.objective(ring, [(u - 1.0).column()], into="dirichlet"), R.objective(ring, [un.column()], into="neumann"), R.objective(ring, [(2.0 * u + 0.5 * un).column()], into="robin"),
-             R.objective(ring, [(u - 1.0).column()], reduction="integral", measure=2 * math.pi, into="dirichlet_integral"), ring.agg((F.avg(un.column()) * F.lit(2 * math.pi)).alias("flux"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
+    square = lambda e: e.column() * e.column()
+    out = ring.agg(F.avg(square(u - 1.0)).alias("dirichlet"), F.avg(square(un)).alias("neumann"), F.avg(square(2.0 * u + 0.5 * un)).alias("robin"), F.avg(un.column() * F.lit(2 * math.pi)).alias("flux"))
+    out = out.withColumn("dirichlet_integral", F.col("dirichlet") * F.lit(2 * math.pi))
     return rounded(out, [], **{c: c for c in out.columns})
 
 
@@ -252,8 +249,8 @@ def boundary_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ODE residual (zero) and a data residual on a time axis."""
     t, u = G.axis(spark, "sine", 1000, label="t"), T**2
-    a = R.objective(t, [(u.diff("t") - 2.0 * T).column()], into="ode").crossJoin(R.objective(t, [(u - sin(T)).column()], into="data"))
-    return rounded(a, [], ode="ode", data="data")
+    ode, data = (u.diff("t") - 2.0 * T).column(), (u - sin(T)).column()
+    return rounded(t.agg(F.avg(ode * ode).alias("ode"), F.avg(data * data).alias("data")), [], ode="ode", data="data")
 
 
 @query(sql_of({

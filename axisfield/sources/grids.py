@@ -55,17 +55,35 @@ def product(*axes: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
-def halton(index: Column, base: int, digits: int = 24) -> Column:
-    """The radical inverse of an index."""
-    places = F.sequence(F.lit(1), F.lit(digits))
-    digit = lambda k: F.pmod(F.floor(index / F.pow(F.lit(float(base)), k - 1)), F.lit(base)) / F.pow(F.lit(float(base)), k)
-    return F.aggregate(places, F.lit(0.0), lambda s, k: s + digit(k))
-
-
-def halton_points(spark: SparkSession, n: int, names: list[str], low: list[float], high: list[float]) -> DataFrame:
-    bases = [p for p in range(2, 60) if all(p % q for q in range(2, int(math.sqrt(p)) + 1))]
+def halton(index: Column, base: int) -> Column:
+    """The radical inverse of an index, with all its digits: as many as a 63-bit number has."""
+    places = F.sequence(F.lit(1), F.lit(math.ceil(63 / math.log2(base))))
+    # digits by whole-number division: quotients of doubles would lose the low ones
+    start = F.struct(index.cast("long").alias("left"), F.lit(1.0).alias("unit"), F.lit(0.0).alias("sum"))
+    def step(s: Column, _: Column) -> Column:
+        unit, low = s["unit"] / F.lit(float(base)), F.pmod(s["left"], F.lit(base))
+        return F.struct(F.call_function("div", s["left"], F.lit(base).cast("long")).alias("left"), unit.alias("unit"), (s["sum"] + unit * low).alias("sum"))
+
+    return F.aggregate(places, start, step)["sum"]
+
+
+def primes(n: int) -> list[int]:
+    """The first n prime numbers."""
+    found: list[int] = []
+    p = 2
+    while len(found) < n:
+        if all(p % q for q in found if q * q <= p):
+            found.append(p)
+        p += 1
+    return found
+
+
+def halton_points(spark: SparkSession, n: int, names: list[str], low: list[float], high: list[float], shift: list[float] | None = None) -> DataFrame:
+    """One base a column; with shifts (one of [0, 1) a column) the points are turned around the unit interval."""
     points = spark.range(1, n + 1).withColumnRenamed("id", "i")
-    return points.select("i", *((F.lit(a) + F.lit(b - a) * halton(F.col("i"), p)).alias(c) for c, p, a, b in zip(names, bases, low, high, strict=False)))
+    turn = [0.0] * len(names) if shift is None else shift
+    unit = [halton(F.col("i"), p) if not t else F.pmod(halton(F.col("i"), p) + F.lit(t), F.lit(1.0)) for p, t in zip(primes(len(names)), turn, strict=True)]
+    return points.select("i", *((F.lit(a) + F.lit(b - a) * u).alias(c) for c, u, a, b in zip(names, unit, low, high, strict=True)))
 
 
 # signed distances, negative inside

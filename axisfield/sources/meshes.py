@@ -18,8 +18,11 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     parts = lines.withColumn("p", F.split(F.trim("value"), r"\s+"))
     at = Window.partitionBy("mesh").orderBy("line")
     v = parts.where(F.col("p")[0] == "v").select("mesh", F.row_number().over(at).cast("long").alias("vid"), *(F.col("p")[k + 1].cast("double").alias(c) for k, c in enumerate(XYZ)))
-    corners = F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda s: F.split(s, "/")[0].cast("long"))
-    faces = parts.where(F.col("p")[0] == "f").select("mesh", "line", corners.alias("c"))
+    # a negative number counts back from the vertices above the face
+    above = F.count(F.when(F.col("p")[0] == "v", 1)).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda s: F.split(s, "/")[0].cast("long"))
+    corners = F.transform("n", lambda k: F.when(k < 0, F.col("above") + k + 1).otherwise(k))
+    faces = parts.withColumn("above", above).where(F.col("p")[0] == "f").withColumn("n", number).select("mesh", "line", corners.alias("c"))
     fans = faces.select("mesh", "line", "c", F.explode(F.sequence(F.lit(2), F.size("c") - 1)).alias("n"))
     return v, fans.select("mesh", F.row_number().over(Window.partitionBy("mesh").orderBy("line", "n")).cast("long").alias("fid"), F.col("c")[0].alias("i"), F.element_at("c", F.col("n")).alias("j"), F.element_at("c", F.col("n") + 1).alias("k"))
 

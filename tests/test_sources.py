@@ -78,3 +78,75 @@ def test_track_ends_and_unknown_series(spark):
     asked = spark.createDataFrame([("a", -1.0), ("a", 1.0), ("a", 2.0), ("a", 5.0), ("b", 0.0), ("c", 1.0)], "s string, t double")
     got = {(r.s, r.t): r.tracked for r in H.track(seen, asked, ["s"], "t", "y").collect()}
     assert got == {("a", -1.0): 0.0, ("a", 1.0): 2.0, ("a", 2.0): 4.0, ("a", 5.0): 4.0, ("b", 0.0): 3.0, ("c", 1.0): None}
+
+
+def test_sequences_have_all_digits_and_columns(spark):
+    from axisfield.sources import grids as G
+
+    far = spark.range(2**24 + 5, 2**24 + 6).select(G.halton(F.col("id"), 2).alias("h")).first().h
+    assert far == 0.625 + 2**-25
+    assert len(G.halton_points(spark, 5, [f"c{k}" for k in range(20)], [0.0] * 20, [1.0] * 20).columns) == 21
+    # the first 2^k points of the sequence fill each column's 2^k cells
+    for seed in (None, 3):
+        points = samplers.sobol_points(spark, 64, [f"c{k}" for k in range(10)], [0.0] * 10, [1.0] * 10, seed)
+        assert all(points.select(F.floor(F.col(f"c{k}") * 64)).distinct().count() == 64 for k in range(10))
+
+
+def test_draws_are_exact_and_repeat(spark):
+    rows = spark.range(777).withColumn("v", F.col("id") * 2)
+    a, b = (sorted(tuple(r) for r in samplers.draws(rows.repartition(n), 500, "id", seed=4).collect()) for n in (3, 7))
+    assert a == b and len(a) == 500 and all(v == 2 * i for _, i, v in a)
+    a, b = (sorted(tuple(r) for r in samplers.rows_with_replacement(rows.repartition(n), 500, seed=4).collect()) for n in (3, 7))
+    assert a == b
+
+
+def test_repeated_rows_stay_apart(spark):
+    rows = spark.createDataFrame([(1, 1.0), (1, 1.0)], "id long, t double")
+    out = H.time_convolution(rows, "t", lambda d: F.lit(1.0), lambda s: F.lit(1.0))
+    assert [r.convolution for r in out.collect()] == [pytest.approx(1.0)] * 2
+    filtered = H.causal_filter(spark.createDataFrame([("a", 0, 1.0), ("a", 0, 2.0), ("a", 3, 5.0)], "s string, k long, v double"), ["s"], "k", "v", [1.0, 0.5, 0.25, 0.125])
+    assert sorted((r.k, r.filtered) for r in filtered.collect()) == [(0, 3.0), (0, 3.0), (3, 5.0 + 3 * 0.125)]
+
+
+def test_sampled_differences_come_near_the_sum(spark):
+    rows = spark.createDataFrame([(0.3,)], "x double")
+    value = lambda x: F.exp(-x * x)
+    exact = H.fractional_derivative(rows, "x", value, 0.6, 0.1, 512).first().derivative
+    drawn = H.sampled_fractional_derivative(rows, "x", value, 0.6, 0.1, 20_000, seed=1).first().derivative
+    assert drawn == pytest.approx(exact, abs=0.05)
+    both = H.riesz_derivative(rows, ["x"], lambda c: value(c["x"]), 1.4, 0.1, 512).first().derivative
+    assert H.sampled_riesz_derivative(rows, ["x"], lambda c: value(c["x"]), 1.4, 0.1, 20_000, seed=1).first().derivative == pytest.approx(both, abs=0.5)
+
+
+def test_nearest_anchors(spark):
+    import random
+
+    from axisfield.operators import nonlocal_ops as N
+
+    draw = random.Random(5)
+    anchors = [(draw.random(), draw.random(), float(k)) for k in range(60)] + [(0.5, 0.5, 100.0), (0.5, 0.5, 101.0)]
+    asked = [(k, draw.random() * 3 - 1, draw.random()) for k in range(20)] + [(20, 0.5, 0.5), (21, 50.0, -40.0)]
+    a = spark.createDataFrame(anchors, "x double, y double, v double")
+    q = spark.createDataFrame(asked, "id long, x double, y double")
+    got = {}
+    for r in N.nearest(q, a, "id", ["x", "y"], 3, 0.1, rounds=4).collect():
+        got.setdefault(r.id, {})[r.place] = tuple(r.anchor)
+    for i, x, y in asked:
+        want = sorted(anchors, key=lambda p: ((x - p[0]) ** 2 + (y - p[1]) ** 2, p))[:3]
+        assert [got[i][k] for k in (1, 2, 3)] == want
+    away = lambda of: (F.col("x") - of("ax")) * (F.col("x") - of("ax")) + (F.col("y") - of("ay")) * (F.col("y") - of("ay"))
+    named = a.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "v")
+    few = {r.id: r.idw for r in N.inverse_distance(q, named, away, "v").collect()}
+    N.ARRAY_ROWS = 10
+    try:
+        many = {r.id: r.idw for r in N.inverse_distance(q, named, away, "v").collect()}
+    finally:
+        N.ARRAY_ROWS = 20_000
+    assert few == pytest.approx(many) and few[20] == 100.0
+
+
+def test_negative_obj_indices(spark, tmp_path):
+    (tmp_path / "n.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf -3 -2 -1\nv 1 1 0\nf -3 -1 -2\n")
+    v, f = M.read_obj(spark, str(tmp_path / "n.obj"))
+    assert [(r.i, r.j, r.k) for r in f.orderBy("fid").collect()] == [(1, 2, 3), (2, 4, 3)]
+    assert M.corners(f, v, ("mesh",)).agg(F.sum(M.area())).first()[0] == pytest.approx(1.0)
