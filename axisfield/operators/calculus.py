@@ -239,3 +239,89 @@ def surface_curl(v: Vector, n: Vector, names: Sequence[str]) -> Expr:
 def laplace_beltrami(u: Expr, n: Vector, names: Sequence[str]) -> Expr:
     p = projector(n)
     return trace(matmul(matmul(p, hessian(u, names)), p))
+
+
+def surface_curl_vector(v: Vector, n: Vector, names: Sequence[str]) -> Expr:
+    """The normal part of the curl of a vector field."""
+    return surface_curl(v, n, names)
+
+
+def surface_curl_scalar(u: Expr, n: Vector, names: Sequence[str]) -> Vector:
+    """The surface gradient turned by a right angle: n x grad u."""
+    return cross(n, surface_grad(u, n, names))
+
+
+def laplace_beltrami_divgrad(u: Expr, n: Vector, names: Sequence[str]) -> Expr:
+    """The surface divergence of the surface gradient: with a normal that varies it counts the curvature."""
+    return surface_div(surface_grad(u, n, names), n, names)
+
+
+def elastic_stress_2d(u: Vector, young: float, poisson: float, names: Sequence[str], plane: str = "stress") -> Matrix:
+    """Isotropic stress in the plane, without stress (plane = stress) or strain (strain) across it."""
+    e = strain(u, names)
+    if plane == "stress":
+        along, across = young / (1 - poisson**2), young * poisson / (1 - poisson**2)
+    elif plane == "strain":
+        c = young / ((1 + poisson) * (1 - 2 * poisson))
+        along, across = c * (1 - poisson), c * poisson
+    else:
+        raise ValueError("plane is stress or strain")
+    shear = e[0][1] * (young / (1 + poisson))
+    return [[e[0][0] * along + e[1][1] * across, shear], [shear, e[0][0] * across + e[1][1] * along]]
+
+
+def orthotropic_stress_2d(u: Vector, young1, young2, poisson12, shear12, names: Sequence[str]) -> Matrix:
+    """Stress of a material with two axes in the plane; its stiffness there is the inverse of the compliance of both
+    directions, for plane stress and plane strain alike. Moduli are numbers or fields."""
+    e = strain(u, names)
+    e1, e2, nu, g = (lift(x) for x in (young1, young2, poisson12, shear12))
+    scale = power(1.0 - nu * nu * e2 / e1, -1.0)
+    cross_term = nu * e2 * scale
+    shear = 2.0 * e[0][1] * g
+    return [[e[0][0] * e1 * scale + e[1][1] * cross_term, shear], [shear, e[0][0] * cross_term + e[1][1] * e2 * scale]]
+
+
+def einsum(subscripts: str, *operands):
+    """A contraction of nested lists of expressions, written as in numpy; `...` stands for the axes not named."""
+    def shape(x) -> list[int]:
+        return [len(x), *shape(x[0])] if isinstance(x, list) else []
+
+    given, _, result = subscripts.replace(" ", "").partition("->")
+    terms = given.split(",")
+    if len(terms) != len(operands):
+        raise ValueError("as many subscripts as operands are needed")
+    sizes: dict[str, int] = {}
+    expanded = []
+    for term, x in zip(terms, operands, strict=True):
+        own = shape(x)
+        if "..." in term:
+            more = len(own) - len(term.replace("...", ""))
+            term = term.replace("...", "".join(chr(0x3B1 + k) for k in range(more)))
+        if len(term) != len(own):
+            raise ValueError("subscripts do not fit an operand")
+        for letter, size in zip(term, own, strict=True):
+            if sizes.setdefault(letter, size) != size:
+                raise ValueError("axes of one letter differ in size")
+        expanded.append(term)
+    letters = sorted(sizes)
+    greek = "".join(x for x in letters if x >= chr(0x3B1))
+    if "->" in subscripts:
+        result = result.replace("...", greek)
+    else:
+        result = greek + "".join(x for x in letters if "".join(expanded).count(x) == 1 and x not in greek)
+    summed = [x for x in letters if x not in result]
+
+    def pick(x, term: str, at: dict[str, int]):
+        for letter in term:
+            x = x[at[letter]]
+        return lift(x)
+
+    def total(at: dict[str, int], left: list[str]) -> Expr:
+        if left:
+            return add(*(total({**at, left[0]: k}, left[1:]) for k in range(sizes[left[0]])))
+        return mul(*(pick(x, t, at) for x, t in zip(operands, expanded, strict=True)))
+
+    def build(at: dict[str, int], left: str):
+        return [build({**at, left[0]: k}, left[1:]) for k in range(sizes[left[0]])] if left else total(at, summed)
+
+    return build({}, result)

@@ -69,10 +69,10 @@ def inverse_distance(rows: DataFrame, anchors: DataFrame, distance2: Callable[[C
     return numbered.join(found, "__row").drop("__row")
 
 
-def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int, cell: float, rounds: int = 6) -> DataFrame:
+def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int, cell: float, rounds: int = 3) -> DataFrame:
     """(key, place, squared distance, the anchor's columns): the k nearest anchors of each row, ties by their order.
 
-    Space is cut into cells. Rows look at all cells within a radius that doubles each round, and are done once k
+    Space is cut into cells. Rows look at all cells within a radius (1, 4, 16, ... cells) that grows each round, and are done once k
     anchors lie within it: none outside can be nearer. Rows that are still open after the last round (far away
     from all anchors) meet all of them. `key` tells rows apart; anchors have the columns `names` and others.
     """
@@ -84,7 +84,7 @@ def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str],
     open_rows, done = rows.select(key, *names), None
     for turn in range(rounds + 1):
         if turn < rounds:
-            reach = 2**turn - 1 if turn else 0
+            reach = 4**turn
             near = open_rows
             for n in names:
                 near = near.withColumn(f"__{n}", F.explode(F.sequence(at[n] - reach, at[n] + reach)))
@@ -96,7 +96,7 @@ def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str],
             # all anchors within reach * cell of a row are in the cells looked at
             sure = best.where((F.col("place") == k) & (F.col("distance2") <= F.lit((reach * cell) ** 2))).select(key)
             best = best.join(sure, key, "left_semi")
-            open_rows = open_rows.join(sure, key, "left_anti")
+            open_rows = open_rows.join(sure, key, "left_anti").cache()
         done = best if done is None else done.unionByName(best)
     return done
 

@@ -23,6 +23,13 @@ def loss(points: DataFrame, residual: Sequence[Expr], **options) -> DataFrame:
     return R.objective(points, [lift(r).column() for r in residual], **options)
 
 
+def losses(points: DataFrame, residuals: dict[str, Sequence[Expr]], weight: Column | None = None) -> DataFrame:
+    """One row: the (weighted) mean square of each residual, in one pass; a weight is a column per point."""
+    w = F.lit(1.0) if weight is None else weight
+    square = lambda rs: sum((lift(r).column() * lift(r).column() for r in rs), F.lit(0.0))
+    return points.agg(*(F.avg(w * square(rs)).alias(k) for k, rs in residuals.items()))
+
+
 def total_loss(terms: dict[str, DataFrame]) -> DataFrame:
     """The sum of one-row objectives, with a row per term and one for all."""
     rows = None

@@ -167,7 +167,7 @@ def stencil_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT i, round(2 * pi() * cos(2 * pi() * i / 32), 6) + 0.0 AS derivative FROM range(32) t(i)")
 def fourier_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = G.axis(spark, "fourier", 32).withColumn("u", F.sin(F.lit(2 * math.pi) * F.col("x")))
-    return rounded(spectral.apply_matrix(df, spectral.fourier_matrix(32), [], "i", "u"), ["i"], derivative="derivative")
+    return rounded(spectral.line_derivative(df, "fourier", [], "i", "u", 1 / 32), ["i"], derivative="derivative")
 
 
 @query("SELECT i, 0.0::DOUBLE AS residual FROM range(12) t(i)")
@@ -175,7 +175,7 @@ def polynomial_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second derivative of a sixth power on Gauss nodes; the residual is zero to rounding."""
     df = G.axis(spark, "legendre", 12).withColumn("u", F.pow("x", F.lit(6.0)))
     nodes = (np.polynomial.legendre.leggauss(12)[0] + 1) / 2
-    out = spectral.apply_matrix(df, spectral.barycentric_matrix(nodes, 2), [], "i", "u").join(df.select("i", "x"), "i")
+    out = spectral.line_derivative(df, "nodes", [], "i", "u", order=2, nodes=nodes).join(df.select("i", "x"), "i")
     return rounded(out, ["i"], residual=F.col("derivative") - F.lit(30.0) * F.pow("x", F.lit(4.0)))
 
 

@@ -89,3 +89,96 @@ def surface_points(faces: DataFrame, n: int, seed: int = 0) -> DataFrame:
     a, b = F.when(u + v > 1, 1 - u).otherwise(u), F.when(u + v > 1, 1 - v).otherwise(v)
     at = [(F.col(f"{c}0") + a * (F.col(f"{c}1") - F.col(f"{c}0")) + b * (F.col(f"{c}2") - F.col(f"{c}0"))).alias(c) for c in XYZ]
     return each.select("fid", "draw", *at, (F.col("__area") / F.col("__n")).alias("w"))
+
+
+#: Faces of a mesh that may be sent to all tasks (72 bytes each).
+MOST_FACES = 200_000
+
+
+def _corner_array(faces: DataFrame) -> np.ndarray:
+    """The corners of a mesh whose size is checked: it is a declared shape, not data."""
+    rows = faces.select(*(f"{c}{k}" for k in range(3) for c in XYZ)).limit(MOST_FACES + 1).collect()
+    if not rows or len(rows) > MOST_FACES:
+        raise ValueError(f"a mesh has 1 to {MOST_FACES} faces here")
+    return np.array(rows, float).reshape(-1, 3, 3)
+
+
+def _distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distances of points (n, 3) to triangles (m, 3, 3): to the plane where the foot is inside, else to the nearest edge."""
+    d = p[:, None, :] - t[None, :, 0]
+    ab, ac = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
+    n = np.cross(ab, ac)
+    n2 = np.maximum((n * n).sum(axis=1), 1e-300)
+    # barycentric numbers of the foot
+    v = (np.cross(d, ac[None]) * n).sum(axis=2) / n2
+    w = (np.cross(ab[None], d) * n).sum(axis=2) / n2
+    plane = np.abs((d * n).sum(axis=2)) / np.sqrt(n2)
+    edges = np.full(plane.shape, np.inf)
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        e = t[:, j] - t[:, i]
+        q = p[:, None, :] - t[None, :, i]
+        s = np.clip((q * e).sum(axis=2) / np.maximum((e * e).sum(axis=1), 1e-300), 0, 1)
+        edges = np.minimum(edges, np.linalg.norm(q - s[:, :, None] * e, axis=2))
+    return np.where((v >= 0) & (w >= 0) & (v + w <= 1), plane, edges)
+
+
+def _winding(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """How often the mesh goes around each point: the sum of the faces' solid angles over 4 pi."""
+    a, b, c = (t[None, :, k] - p[:, None, :] for k in range(3))
+    la, lb, lc = (np.linalg.norm(x, axis=2) for x in (a, b, c))
+    top = (a * np.cross(b, c)).sum(axis=2)
+    low = la * lb * lc + (a * b).sum(axis=2) * lc + (b * c).sum(axis=2) * la + (c * a).sum(axis=2) * lb
+    return np.arctan2(top, low).sum(axis=1) / (2 * np.pi)
+
+
+def with_mesh_distance(rows: DataFrame, faces: DataFrame, names: tuple[str, str, str] = XYZ, smooth: float = 0.0, into: str = "distance") -> DataFrame:
+    """Adds the signed distance of each point to a closed mesh (faces with corners, turned outwards), negative inside.
+
+    The sign is that of the winding number, so small gaps do no harm. With `smooth` > 0 the distance is the
+    mean of the faces' distances weighted by exp(-smooth d^2) relative to the nearest, and the normal (n_x, n_y, n_z) the same
+    mean of their normals; else it is exact and the normal that of the nearest face.
+    """
+    from pyspark.sql import types as T
+
+    shared = rows.sparkSession.sparkContext.broadcast(_corner_array(faces))
+    made = [into, "n_x", "n_y", "n_z"]
+    kept = [f for f in rows.schema if f.name not in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        normals = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+        normals /= np.maximum(np.linalg.norm(normals, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            p = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1)
+            parts = []
+            for at in range(0, len(p), max(1, 200_000 // len(t))):
+                some = p[at : at + max(1, 200_000 // len(t))]
+                d = _distances(some, t)
+                least = d.min(axis=1)
+                weights = np.exp(-smooth * (d * d - (least * least)[:, None])) if smooth else (d <= least[:, None] + 1e-12).astype(float)
+                weights /= weights.sum(axis=1, keepdims=True)
+                n = weights @ normals
+                n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
+                size = (weights * d).sum(axis=1) if smooth else least
+                parts.append(np.column_stack((np.where(_winding(some, t) > 0.5, -size, size), n)))
+            out = np.concatenate(parts) if parts else np.zeros((0, 4))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(out[:, k]) for k in range(4))], names=[*(f.name for f in kept), *made])
+
+    return rows.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in made)]))
+
+
+def inside_mesh(rows: DataFrame, faces: DataFrame, tolerance: float = 0.0, names: tuple[str, str, str] = XYZ) -> DataFrame:
+    """The points inside a closed mesh, by more than the tolerance."""
+    return with_mesh_distance(rows, faces, names, into="__d").where(F.col("__d") < -tolerance).select(*rows.columns)
+
+
+def interior_points(spark: SparkSession, faces: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """About n points inside a closed mesh, each with the weight of its share of the box."""
+    from axisfield.sources.samplers import uniform
+
+    t = _corner_array(faces).reshape(-1, 3)
+    low, high = t.min(axis=0), t.max(axis=0)
+    volume = abs(faces.agg(F.sum(volume_part())).first()[0])
+    tries = int(np.ceil(n * float(np.prod(high - low)) / volume))
+    points = uniform(spark, tries, XYZ, low.tolist(), high.tolist(), seed)
+    return inside_mesh(points, faces).withColumn("w", F.lit(float(np.prod(high - low)) / tries))
