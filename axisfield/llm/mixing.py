@@ -1,8 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document first gets its source's certain whole copies. What is left of the
-source's target is drawn without replacement: documents are ranked by random odds
-divided by inclusion odds and taken in that order until the words reach the target.
+Within a source a document is expected in the mix as often as its importance says: by default in proportion to the binary
+digits of its size, so that longer documents are likelier, but never more than `most_copies` times. The common
+factor fills the source's target exactly (what the most copies cut off goes to the others). The whole part of
+a document's expected copies is certain; the rest is its inclusion probability in a draw without
+replacement: documents are ranked by random odds divided by inclusion odds and taken in that order
+until the words reach what is left of the target, so a sample has a fixed size in words, to half a document.
 The cut is found from a histogram of ranks per source, and only the cut's own bin is
 sorted, so that no task sorts a source.
 
@@ -55,13 +58,32 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**12))
 
 
-#: Sources up to which their targets are broadcast; beyond, they are joined by shuffles.
+#: Sources (by levels of importance) up to which their targets are broadcast; beyond, they are joined by shuffles.
 BROADCAST_SOURCES = 50_000
 
 
-def _joined(rows: DataFrame, sources: DataFrame, few: bool, key: str) -> DataFrame:
+def _joined(rows: DataFrame, sources: DataFrame, few: bool, key: str, on: str = "__source") -> DataFrame:
     side = F.broadcast(sources) if few else sources
-    return rows.join(side, F.col("__source").eqNullSafe(F.col(key)), "left").drop(key)
+    return rows.join(side, F.col(on).eqNullSafe(F.col(key)), "left").drop(key)
+
+
+def expected_copies(strata: DataFrame, most_copies: float) -> DataFrame:
+    """Adds __whole, __odds and __draw to (__source, __level, __words, target): what each level of importance of a source gets.
+
+    Copies are least(most, factor * level). Levels from the top are full up to some level; the factor that fills the target is the
+    greatest of those that each choice of full levels would give, as the filled words grow ever slower with it.
+    """
+    of = Window.partitionBy("__source").orderBy(F.col("__level").desc())
+    above = F.coalesce(F.sum("__words").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("__level") * F.col("__words")).over(of.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    factor = F.when(rest > 0, (F.col("target") - F.lit(float(most_copies)) * above) / rest)
+    source = Window.partitionBy("__source")
+    copies = F.coalesce(F.least(F.lit(float(most_copies)), F.max("__factor").over(source) * F.col("__level")), F.lit(0.0))
+    out = strata.withColumn("__factor", factor).withColumn("__copies", copies).withColumn("__whole", F.floor(F.col("__copies") + F.lit(1e-12)).cast("long"))
+    p = F.col("__copies") - F.col("__whole")
+    out = out.withColumn("__odds", F.when(p > 1e-12, p / (F.lit(1.0) - p)))
+    drawn = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("__whole") * F.col("__words")).over(source))
+    return out.withColumn("__draw", drawn).drop("__factor", "__copies")
 
 
 def _dealt(ties: DataFrame, columns: Sequence[str], few: bool) -> DataFrame:
@@ -83,23 +105,26 @@ def _dealt(ties: DataFrame, columns: Sequence[str], few: bool) -> DataFrame:
     return rows.withColumn("__drawn", F.col("__drawn") | F.col("__open"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Adds size, source_size, target and taken (words the mix takes, repeats counted)."""
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most_copies: int = 2, id_col: str = "doc_id", source: str = "source", text: str = "text", importance: Column | None = None) -> DataFrame:
+    """Adds size, source_size, target and taken (words the mix takes, repeats counted).
+
+    `importance`: a positive whole number per document, over the columns and `size`, with few values (they are counted per source).
+    """
     made = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in made]
     name = lambda c: F.col(f"`{c}`")
     order_id = F.coalesce(name(id_col).cast("long"), F.lit(2**63 - 1))
     sized = docs.select(*map(name, kept), n_words(name(text)).alias("size"), name(source).alias("__source"), uniform(name(id_col)).alias("__u"), order_id.alias("__id"))
-    goal = targets(sized.groupBy("__source").agg(F.sum("size").alias("source_size")), "__source", weights, share, most_copies)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0).cast("long")
-    goal = goal.withColumn("__whole", whole).withColumn("__draw", F.greatest(F.lit(0.0), F.col("target") - F.col("__whole") * F.col("source_size")))
-    # a document's inclusion odds in the draw; within a source all documents have the same
-    p = F.col("__draw") / F.greatest(F.col("source_size"), F.lit(1))
-    goal = checkpoint(goal.withColumn("__odds", p / (F.lit(1.0) - p)).withColumnRenamed("__source", "__s"))
+    level = F.length(F.bin("size")) if importance is None else importance
+    sized = sized.withColumn("__level", level.cast("long")).withColumn("__key", F.struct("__source", "__level"))
+    strata = checkpoint(sized.groupBy("__source", "__level").agg(F.sum("size").alias("__words")))
+    goal = targets(strata.groupBy("__source").agg(F.sum("__words").alias("source_size")), "__source", weights, share, most_copies)
+    goal = strata.join(goal.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
+    goal = checkpoint(expected_copies(goal, most_copies).select(F.struct("__source", "__level").alias("__s"), "source_size", "target", "__whole", "__odds", "__draw"))
     few = goal.count() <= BROADCAST_SOURCES
     # Pareto ranks (u / (1 - u)) / odds, binned by rank / (1 + rank)
-    rank = F.when(F.col("__odds") > 0, F.col("__u") / (F.lit(1.0) - F.col("__u")) / F.col("__odds"))
-    ranked = _joined(sized, goal, few, "__s").withColumn("__rank", rank)
+    rank = F.col("__u") / (F.lit(1.0) - F.col("__u")) / F.col("__odds")
+    ranked = _joined(sized, goal, few, "__s", "__key").drop("__key", "__level").withColumn("__rank", rank)
     ranked = ranked.withColumn("__bin", F.floor(F.col("__rank") / (F.lit(1.0) + F.col("__rank")) * F.lit(BINS)))
     bins = ranked.where("__rank is not null").groupBy("__source", "__bin", "__draw").agg(F.sum("size").alias("__n"))
     ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

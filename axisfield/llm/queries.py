@@ -100,16 +100,21 @@ levels AS (
   FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (
   SELECT source, source_size, least(cap, (max(level) OVER ()) * weight) AS target FROM levels),
-parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END::BIGINT AS whole FROM goals),
-draws AS (SELECT *, greatest(0.0, target - whole * source_size) AS draw FROM parts),
+strata AS (
+  SELECT s.source, length(bin(size)) AS level, sum(size)::BIGINT AS words, any_value(g.source_size) AS source_size, any_value(g.target) AS target
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source GROUP BY s.source, length(bin(size))),
+factors AS (
+  SELECT *, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (above ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / nullif(sum(level * words) OVER (above ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS factor
+  FROM strata WINDOW above AS (PARTITION BY source ORDER BY level DESC)),
+copied AS (SELECT *, coalesce(least(2.0::DOUBLE, max(factor) OVER (PARTITION BY source) * level), 0.0) AS copies FROM factors),
+parts AS (SELECT *, floor(copies + 1e-12)::BIGINT AS whole FROM copied),
+draws AS (SELECT *, copies - whole AS p, greatest(0.0, target - sum(whole * words) OVER (PARTITION BY source)) AS draw FROM parts),
 ranked AS (
-  SELECT s.doc_id, s.size, d.source_size, d.target, d.whole, d.draw, s.source,
-         s.u / (1.0 - s.u) / ((draw / greatest(source_size, 1)) / (1.0 - draw / greatest(source_size, 1))) AS rank
-  FROM sized s JOIN draws d ON s.source IS NOT DISTINCT FROM d.source),
+  SELECT s.doc_id, s.size, d.source_size, d.target, d.whole, d.draw, s.source, CASE WHEN d.p > 1e-12 THEN s.u / (1.0 - s.u) / (d.p / (1.0 - d.p)) END AS rank
+  FROM sized s JOIN draws d ON s.source IS NOT DISTINCT FROM d.source AND length(bin(s.size)) = d.level),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM ranked)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN draw > 0 AND middle <= draw THEN 1 ELSE 0 END) AS taken FROM placed
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM ranked)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN rank IS NOT NULL AND draw > 0 AND middle <= draw THEN 1 ELSE 0 END) AS taken FROM placed
 """
 
 

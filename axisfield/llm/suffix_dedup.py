@@ -226,12 +226,26 @@ def _sorted_suffixes(fetched: DataFrame, width: int, n: int) -> DataFrame:
     return fetched.groupBy("bucket").applyInArrow(run, "shelf int, spans binary")
 
 
+def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text outside the spans, each widened to the edges of the characters that it cuts."""
+    out, at = [], 0
+    for start, end in spans:
+        while start > 0 and raw[start] & 0xC0 == 0x80:
+            start -= 1
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        out.append(raw[at : max(at, start)])
+        at = max(at, end)
+    return b"".join([*out, raw[at:]]).decode()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
-    """Adds n_bytes, spans (maximal runs of bytes that repeat, start and end) and kept (the bytes that remain)."""
+    """Adds n_bytes, spans (maximal runs of bytes that repeat, start and end), kept (the bytes that remain) and kept_text
+    (the same as text: a character that a run cuts goes with the run)."""
     if not TRIGGER < width <= TRIGGER + 60:
         raise ValueError(f"width must be {TRIGGER + 1} to {TRIGGER + 60}")
     n = shuffle_partitions(docs.sparkSession)
-    made = ("n_bytes", "spans", "kept")
+    made = ("n_bytes", "spans", "kept", "kept_text")
     kept_columns = [f for f in docs.schema if f.name not in made]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NULL_ID))).alias("id"), F.crc32(whole.cast("binary")).alias("ver"), whole.alias("text"), F.struct(*(F.col(f"`{f.name}`") for f in kept_columns if f.name != text)).alias("rest"))
@@ -247,7 +261,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         key = np.append(True, (got["id"][1:] != got["id"][:-1]) | (got["ver"][1:] != got["ver"][:-1]))[: len(got)]
         at = np.flatnonzero(key)
         of = {(int(got["id"][a]), int(got["ver"][a])): (a, b) for a, b in zip(at, np.append(at, len(got))[1:], strict=True)}
-        size, spans, kept = [], [], []
+        size, spans, kept, kept_text = [], [], [], []
         for d, v, t in zip(left.column("id").to_pylist(), left.column("ver").to_pylist(), left.column("text"), strict=True):
             raw = t.as_py().encode()
             a, b = of.get((d, v), (0, 0))
@@ -255,8 +269,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             size.append(len(raw))
             spans.append([{"start": s, "end": e} for s, e in own])
             kept.append(b"".join(raw[s:e] for s, e in zip([0, *(e for _, e in own)], [*(s for s, _ in own), len(raw)], strict=True)))
-        return pa.table([left.column("rest"), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), left.column("text")], names=["rest", "n_bytes", "spans", "kept", "whole"])
+            kept_text.append(_whole_characters(raw, own) if own else t.as_py())
+        return pa.table([left.column("rest"), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(kept_text, pa.string()), left.column("text")], names=["rest", "n_bytes", "spans", "kept", "kept_text", "whole"])
 
-    schema = T.StructType([T.StructField("rest", rest_type), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("whole", T.StringType())])
+    schema = T.StructType([T.StructField("rest", rest_type), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("whole", T.StringType())])
     done = shelves.groupBy("shelf").cogroup(found.groupBy("shelf")).applyInArrow(run, schema)
     return done.select(*(F.col("whole").alias(text) if f.name == text else F.col(f"rest.`{f.name}`") for f in kept_columns), *made)

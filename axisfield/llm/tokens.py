@@ -20,7 +20,7 @@ import numpy as np
 import regex
 
 #: Distinct words a worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 200_000
 
 # fixed values: the word pattern of the vocabulary file's pre-tokenizer
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

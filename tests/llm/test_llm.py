@@ -100,6 +100,19 @@ def test_token_counts(docs, tmp_path):
     assert stored.count() == len({t or "" for _, t in TEXTS})
 
 
+def test_importance_changes_the_draw(spark):
+    """Longer documents are likelier by the factor of their digits; with equal importance they are not."""
+    rows = spark.createDataFrame([(i, "a", "w " * (2 if i % 2 else 60)) for i in range(4000)] + [(10_000 + i, "b", "w " * 900) for i in range(100)], "doc_id long, source string, text string")
+
+    def shares(**options):
+        out = mixing.mix(rows, weights=(1, 9), share=0.5, **options).where("source = 'a'").groupBy("size").agg(F.avg((F.col("taken") > 0).cast("double")).alias("p"), F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+        assert abs(sum(r.n for r in out) - out[0].t) <= 60
+        return {r["size"]: r.p for r in out}
+
+    own, even = shares(), shares(importance=F.lit(1))
+    assert own[60] / own[2] == pytest.approx(3.0, rel=0.2) and even[60] / even[2] == pytest.approx(1.0, rel=0.2)
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS)
@@ -175,13 +188,6 @@ def test_warc(spark):
     assert "First & foremost" in text and "var t" not in text
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "source_mix", "packed"]
-
-
 def test_mix_matches_sql(spark):
     import duckdb
 
