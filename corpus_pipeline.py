@@ -14,7 +14,11 @@ from axisfield.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the learned decision list."""
+    """Documents that pass the base rule and the learned decision list, as they are.
+
+    Defined results: null and empty texts fail the base rule; rows alike in id and text are judged alike, and so are null ids;
+    without usable labels the base rule alone decides.
+    """
     stats = decision_list.statistics_of(docs)
     rules = decision_list.learned(stats, documents(spark, sf_dir, "labels"))
     passed = stats.where(~F.col("base_failed") & decision_list.verdict(rules)).select(F.col("doc_id").alias("passed"), "version").distinct()
@@ -24,7 +28,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group; rows alike in id and text count as one."""
+    """The document of least id of each group.
+
+    Defined results: rows alike in id and text count as one; an id with several texts stays if any of them is the least of its
+    group; documents without words and null ids are each their own group.
+    """
     linked = ngram_join.link(docs)
     stays = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
     one = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
@@ -32,21 +40,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without bytes that an earlier text has; a character that is cut becomes U+FFFD."""
+    """Texts without bytes that an earlier text has; a character that a cut divides goes with the cut.
+
+    Defined results: a null text comes out empty, as does one of which nothing is left; rows alike in id and text are one.
+    """
     out = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.size("spans") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("text"))
+    text = F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; those without words add none."""
+    """Each document as often as the mix takes it.
+
+    Defined results: those without words (null, empty) add none; repeated rows are drawn one by one; a null source is a source.
+    """
     out = mixing.mix(docs)
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).where("copy > 0").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in sequences of at most 2048 tokens."""
+    """The mix in sequences of at most 2048 tokens.
+
+    Defined results: a null text is an empty one, which is a piece of one token; repeated rows each have their pieces.
+    """
     return packing.best_fit(packing.pieces(docs, tokenizer("word_bpe_49k.json")))
 
 
@@ -58,7 +75,7 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: The learned rules and the packing have no SQL; tests hold the operators against plain versions, the stages together only run.
+#: The learned rules and the packing have no SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
