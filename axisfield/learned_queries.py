@@ -76,7 +76,7 @@ def network_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 3) + 0.0 AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 3) + 0.0 AS intercept FROM lineitem")
 def fitted_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear network fitted by sums over all rows, one pass a look, with limited memory."""
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).cast("double").alias("x"), (F.col("l_extendedprice") / 10000).alias("y"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 10).cast("double").alias("x"), (F.col("l_extendedprice") / 10000).alias("y")).cache()
     b = L.Builder("line", ["x"])
     net = b.network(b.linear([X], 1))
     f, start = fitting.network_objective(rows, net, (Label(net.outputs[0]) - Y) ** 2)
@@ -87,14 +87,14 @@ def fitted_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(POINTS + " SELECT 'bfgs' AS method, 0::BIGINT AS off UNION ALL SELECT 'lbfgs', 0 UNION ALL SELECT 'ssbroyden', 0 UNION ALL SELECT 'evolution', 0")
 def fitted_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parameters of a wave equation's constrained solution by each minimiser: a = 2 and b = -1."""
-    p = points(spark, sf_dir).select("x", "t")
+    p = points(spark, sf_dir).select("x", "t").cache()
     a, b, t = Label("a"), Label("b"), Label("t")
     u = a * sin(X) + b * t**2
     solver = fitting.Solver({"u": u}, {"residual": (p, lambda f: [C.partial(f["u"], "t", 2) - C.partial(f["u"], "x", 2) - (2.0 * sin(X) - 2.0)], 1.0), "data": (p, lambda f: [f["u"] - (2.0 * sin(X) - t**2)], 1.0)}, {"a": 0.0, "b": 0.0})
     rows = []
     for method in ("bfgs", "lbfgs", "ssbroyden"):
-        got = solver.solve(15, method)
+        got = solver.solve(8, method)
         rows.append((method, int(abs(got["a"] - 2) + abs(got["b"] + 1) > 1e-3)))
-    got = fitting.evolve(p, [u - (2.0 * sin(X) - t**2)], {"a": 0.0, "b": 0.0}, generations=25, spread=1.0)
+    got = fitting.evolve(p, [u - (2.0 * sin(X) - t**2)], {"a": 0.0, "b": 0.0}, generations=18, spread=1.0)
     rows.append(("evolution", int(abs(got["a"] - 2) + abs(got["b"] + 1) > 0.3)))
     return spark.createDataFrame(rows, "method string, off long")

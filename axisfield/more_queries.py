@@ -43,12 +43,12 @@ def jet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql_of({
     "s11": "2.0/(1 - 0.09)*(2*x*y + 0.3*2*x*y)", "s12": "2.0/1.3*(x*x + y*y)/2", "n11": "2.0/(1.3*0.4)*(0.7*2*x*y + 0.3*2*x*y)", "o11": "(3.0*2*x*y + 0.2*1.5*2*x*y) / (1 - 0.04*0.5)", "o22": "(0.2*1.5*2*x*y + 1.5*2*x*y) / (1 - 0.04*0.5)", "o12": "0.8*(x*x + y*y)",
-    "contracted": "2*x*y*x + (x*x)*y", "trace": "4*x*y", "curl_n": "0*x - (y*y*0)"}).replace("0*x - (y*y*0)", "z*(y*y - x*x)"))
+    "contracted": "2*x*y*sin(x) + (x*x)*cos(y)", "trace": "4*x*y", "curl_n": "0*x - (y*y*0)"}).replace("0*x - (y*y*0)", "z*(y*y - x*x)"))
 def plane_stresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotropic and orthotropic stresses in the plane, contractions, the normal part of a curl."""
     a, b, o = C.elastic_stress_2d(W2, 2.0, 0.3, "xy"), C.elastic_stress_2d(W2, 2.0, 0.3, "xy", "strain"), C.orthotropic_stress_2d(W2, 3.0, 1.5, 0.2, 0.8, "xy")
     j = C.jacobian(W2, "xy")
-    return rounded(points(spark, sf_dir), ["id"], s11=a[0][0], s12=a[0][1], n11=b[0][0], o11=o[0][0], o22=o[1][1], o12=o[0][1], contracted=C.einsum("ij,j->i", j, [X, Y])[0], trace=C.einsum("ii->", j), curl_n=C.surface_curl_vector([*W2, X_.ZERO], [X, Y, Z], "xyz"))
+    return rounded(points(spark, sf_dir), ["id"], s11=a[0][0], s12=a[0][1], n11=b[0][0], o11=o[0][0], o22=o[1][1], o12=o[0][1], contracted=C.einsum("ij,j->i", j, [sin(X), X_.cos(Y)])[0], trace=C.einsum("ii->", j), curl_n=C.surface_curl_vector([*W2, X_.ZERO], [X, Y, Z], "xyz"))
 
 
 @query(sql_of({"tx": "y*y*x - z*z*x", "div": "2*(1 - x*x)*(1 - x*x) + 2*x*x*y*y + 2*x*x*z*z - 2*x*(x*2 + 0)"}).split("round(2*(1")[0].rstrip().rstrip(",") + " FROM p")

@@ -40,7 +40,7 @@ def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shape's measures; its boundary points lie on its zero set, interior points inside; the flux of the position is d times the measure."""
     out = None
     for name, (shape, _, _) in SHAPES.items():
-        n, d = 4096, len(shape.names)
+        n, d = 2048, len(shape.names)
         ring = shape.boundary(spark, n)
         flux = sum((F.col(c) * F.col(f"n_{c}") for c in shape.names), F.lit(0.0)) * F.col("w")
         edge = ring.agg(F.sum("w").alias("boundary"), F.sum(flux).alias("flux"), F.sum((F.abs(shape.sdf()) > 1e-9).cast("long")).alias("off"))
