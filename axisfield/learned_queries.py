@@ -73,6 +73,18 @@ def network_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["id"], **{k: k for k in ("cos_part", "sin_part", "adaptive", "stan", "product", "inner", "unit")}, both=F.col("left") + F.col("right"))
 
 
+@query("SELECT vec_id, i::BIGINT AS i, round(2 * avg(v) OVER (PARTITION BY vec_id), 5) + 0.0 AS low FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+def spectral_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as lines, of which a spectral layer with one mode leaves twice the mean."""
+    import numpy as np
+
+    from axisfield.operators import fourier_layers as O
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    out = O.mixed(rows, np.full((1, 1, 1), 2.0 + 0j), (64,), "v", "low")
+    return out.select("vec_id", F.posexplode("low").alias("i", "low")).select("vec_id", F.col("i").cast("long").alias("i"), (F.round("low", 5) + F.lit(0.0)).alias("low"))
+
+
 @query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 3) + 0.0 AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 3) + 0.0 AS intercept FROM lineitem")
 def fitted_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A linear network fitted by sums over all rows, one pass a look, with limited memory."""

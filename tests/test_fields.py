@@ -116,3 +116,23 @@ def test_mesh_points_are_inside(spark):
     assert points.agg(F.sum("w")).first()[0] == pytest.approx(8.0, rel=0.15)
     near = M.with_mesh_distance(spark.createDataFrame([(3.0, 1.0, 1.0), (1.0, 1.0, 1.9)], "x double, y double, z double"), faces, smooth=50.0).collect()
     assert near[0].distance == pytest.approx(1.0, abs=0.05) and near[1].distance < 0 and near[0].n_x == pytest.approx(1.0, abs=0.01)
+
+
+def test_fourier_operators(spark):
+    from axisfield.operators import fourier_layers as O
+
+    draw = np.random.default_rng(0)
+    x = draw.standard_normal((3, 16, 2))
+    # all modes with the identity leave a line as it is
+    whole = np.zeros((2, 2, 9), complex)
+    whole[0, 0] = whole[1, 1] = 1
+    assert O.spectral_mix(x, whole) == pytest.approx(x)
+    for grid in ((16,), (8, 6)):
+        op = O.FourierOperator.random(grid, 2, 1, modes=2)
+        samples = draw.standard_normal((5, *grid, 2))
+        rows = spark.createDataFrame([(k, s.ravel().tolist()) for k, s in enumerate(samples)] + [(9, None)], "id long, v array<double>")
+        got = {r.id: r.output for r in O.apply(rows, op, "v").collect()}
+        assert got[9] is None and all(np.array(got[k]) == pytest.approx(op(samples[k : k + 1]).ravel()) for k in range(5))
+        # a turned grid gives a turned output: the operator knows no place
+        turned = op(np.roll(samples, 3, axis=1))
+        assert turned == pytest.approx(np.roll(op(samples), 3, axis=1))
