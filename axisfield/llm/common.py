@@ -100,10 +100,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: cuts lineage and outlives executors, compressed."""
+#: Rows of a file of a table whose size is bounded beforehand.
+ROWS_A_FILE = 250_000
+
+
+def checkpoint(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: cuts lineage and outlives executors, compressed.
+
+    With a bound on its rows, which the caller has counted, it is written as few files; without, one a task.
+    """
     path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4()}")
-    df.write.parquet(path)
+    few = df if most_rows is None else df.coalesce(max(1, -(-most_rows // ROWS_A_FILE)))
+    few.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

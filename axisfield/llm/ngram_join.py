@@ -330,13 +330,13 @@ def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(groups: DataFrame, links: DataFrame, nodes: int, most_links: int | None) -> DataFrame:
     """(node, component) of all nodes but each component's least, after more links; only components that meet are worked on."""
     name = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     met = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    new = components(met)
+    new = components(met, most_links)
     renamed = groups.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return checkpoint(renamed.unionByName(new))
+    return checkpoint(renamed.unionByName(new), nodes)
 
 
 def _hub_pairs(postings: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
@@ -354,7 +354,7 @@ def _hub_pairs(postings: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     return best.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, percent: int, rows_posted: int, nodes: int) -> DataFrame:
     """(a, b): pairs of different components that neither a part's token union nor their own prefixes refute.
 
     `shapes`: node, n and tokens (the prefix's shared ones).
@@ -362,7 +362,7 @@ def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, per
     named = _named(postings, groups)
     of_list = named.groupBy("own").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
     asked = of_list.select(F.col("own").alias("ask"), "lo", "hi", "size")
-    rows = checkpoint(named.join(asked, "ask").where("lo != component or hi != component").select("node", "component", "own", "ask", "size"))
+    rows = checkpoint(named.join(asked, "ask").where("lo != component or hi != component").select("node", "component", "own", "ask", "size"), rows_posted)
     # groups: a component, or the longest list of a node on its own
     of_node = rows.groupBy("node", "component").agg(F.max(F.struct("size", F.least("own", "ask").alias("list"))).alias("longest"))
     linked = rows.select("component").distinct().join(groups.select("component").distinct(), "component").withColumn("linked", F.lit(True))
@@ -372,7 +372,7 @@ def _matrix_pairs(postings: DataFrame, groups: DataFrame, shapes: DataFrame, per
     members_a_part = F.least(F.greatest(F.sqrt("members"), F.lit(float(PART[0]))), F.lit(float(PART[1])))
     sizes = sizes.select("one", "label", F.ceil(F.col("members") / members_a_part).alias("parts"))
     dealt = dealt.join(sizes, ["one", "label"]).withColumn("part", F.xxhash64("one", "label", F.pmod(F.xxhash64("node"), F.col("parts"))))
-    members = checkpoint(dealt.select("node", "component", "one", "part").join(shapes, "node"))
+    members = checkpoint(dealt.select("node", "component", "one", "part").join(shapes, "node"), 20 * nodes)  # their tokens are long
     unions = members.groupBy("part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.when(F.first("one"), F.first("component")).alias("only"))
     # the matrix: which parts have a list
     own_part = members.select("node", F.col("part").alias("own_part"))
@@ -405,26 +405,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     # lists that no one seeks are of no use
     postings = postings.join(postings.select(F.col("own").alias("ask")).distinct(), "ask", "left_semi")
     postings = checkpoint(postings.join(central, "node"))
+    rows_posted = postings.count()
+    wanted = checkpoint(postings.select("node").distinct(), rows_posted)
+    n_nodes = wanted.count()
     # bucketed by node, so that only pairs are shuffled to the texts they need
     table = f"shingle_texts_{uuid.uuid4().hex}"
     try:
-        _texts(own, checkpoint(postings.select("node").distinct()), width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
+        _texts(own, wanted, width).write.bucketBy(shuffle_partitions(spark), "node").sortBy("node").saveAsTable(table)
         texts = spark.table(table)
         of_text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         groups = spark.createDataFrame([], "node long, component long")
         tried = None
         for k in range(ROUNDS + 1):
-            pairs = _hub_pairs(postings, groups, k) if k < ROUNDS else _matrix_pairs(postings, groups, shapes, percent)
-            pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            hubs = k < ROUNDS
+            pairs = _hub_pairs(postings, groups, k) if hubs else _matrix_pairs(postings, groups, shapes, percent, rows_posted, n_nodes)
+            # a node has one hub in a round; what the matrix leaves is not bounded beforehand
+            pairs = checkpoint(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), n_nodes if hubs else None)
             tried = pairs if tried is None else tried.union(pairs)
-            links = checkpoint(_compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent))
-            groups = _merged(groups, links)
+            links = _compare(pairs.join(of_text("a"), "a").join(of_text("b"), "b"), width, percent)
+            groups = _merged(groups, links, n_nodes, n_nodes if hubs else None)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     ids = nodes.where("block is null")
     # named by node first: copies and large components are met as one row each
     least = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = checkpoint(_named(least, groups))
+    named = checkpoint(_named(least, groups), ids.count())
     linked = named.join(groups.select("component").distinct(), "component", "left_semi")
     component_ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(component_ids, "component", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
