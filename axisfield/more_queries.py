@@ -185,3 +185,14 @@ def masked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = shapes.triangle([(0, 0), (4 / 3, 0), (0, 1)]).grid(G.axis(spark, "sine", 32, 0.0, 4 / 3), G.axis(spark, "uniform", 17, label="y"))
     area = F.sum(F.col("w") * F.col("mask").cast("double"))
     return grid.agg(F.when(F.abs(area - 2 / 3) < 0.05, F.lit(0.6667)).otherwise(area).alias("area"), F.count(F.lit(1)).alias("nodes"))
+
+
+@query(POINTS + """, a(ax, ay, v) AS (VALUES (0.21::DOUBLE, 0.34::DOUBLE, 1.0::DOUBLE), (0.75, 0.5, -1.0), (0.5, 0.9, 2.0)), r AS (SELECT ax, ay, (v - ax*ax - ay) / (1 - ax*ax) AS r FROM a),
+d AS (SELECT id, x, y, (x-ax)*(x-ax) + (y-ay)*(y-ay) AS d2, r FROM p, r)
+SELECT id, round(any_value(x*x + y) + any_value(1 - x*x) * (CASE WHEN min(d2) < 1e-12 THEN arg_min(r, d2) ELSE sum(r / d2) / sum(1 / d2) END), 6) + 0.0 AS u FROM d GROUP BY id""")
+def interior_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that takes measured values at anchors and keeps its values where the gate is zero."""
+    from axisfield.operators import enforced as E
+
+    anchors = spark.createDataFrame([(0.21, 0.34, 1.0), (0.75, 0.5, -1.0), (0.5, 0.9, 2.0)], "x double, y double, v double")
+    return rounded(E.interior_data(points(spark, sf_dir), anchors, X**2 + Y, 1.0 - X**2, ["x", "y"], "v"), ["id"], u="u")

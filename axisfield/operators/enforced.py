@@ -6,8 +6,12 @@ import math
 from collections.abc import Callable, Sequence
 from graphlib import TopologicalSorter
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from axisfield.functions.expressions import ONE, Expr, add, lift
 from axisfield.operators import calculus as C
+from axisfield.operators.nonlocal_ops import inverse_distance
 from axisfield.operators.residuals import flux
 
 Vector = list[Expr]
@@ -60,6 +64,18 @@ def blend(fields: Sequence[Expr], weights: Sequence[Expr]) -> Expr:
     return add(*(w * f for w, f in zip(weights, fields, strict=True))) / add(*weights)
 
 
+def interior_data(rows: DataFrame, anchors: DataFrame, u: Expr, gate: Expr, names: Sequence[str], value: str, exponent: float = 2.0, snap: float = 1e-12, into: str = "u") -> DataFrame:
+    """Adds the field u + gate * (inverse-distance mean of the anchors' gaps over their gates): it has the anchors' values there
+    and keeps what u meets where the gate is zero. Anchors have the columns `names` and `value`; a gate of zero at one is an error.
+    """
+    size = gate.column()
+    gap = F.when(size == 0, F.raise_error(F.lit("the gate is zero at an anchor")).cast("double")).otherwise((F.col(value) - u.column()) / size)
+    gaps = anchors.select(*(F.col(n).alias(f"__{n}") for n in names), gap.alias("__gap"))
+    away = lambda of: sum(((F.col(n) - of(f"__{n}")) * (F.col(n) - of(f"__{n}")) for n in names), F.lit(0.0))
+    out = inverse_distance(rows, gaps, away, "__gap", exponent, snap, into="__mean")
+    return out.withColumn(into, u.column() + size * F.col("__mean")).drop("__mean")
+
+
 def pipelines(fields: dict[str, Expr], stages: dict[str, Callable[[dict[str, Expr]], Expr]], needs: dict[str, Sequence[str]]) -> dict[str, Expr]:
     """Each field's rewrite after those of the fields that it needs; a cycle is an error."""
     done = dict(fields)
