@@ -11,7 +11,7 @@ from axisfield.operators.rules import rule_sum
 
 #: Rows up to which a side of an all-pairs operator becomes one array in a single row, and up to which it is broadcast;
 #: a larger one is shuffled in blocks.
-ARRAY_ROWS, BROADCAST_ROWS, BLOCKS = 20_000, 200_000, 64
+ARRAY_ROWS, BROADCAST_ROWS, BLOCKS = 64, 200_000, 64
 
 
 def all_pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -62,11 +62,12 @@ def inverse_distance(rows: DataFrame, anchors: DataFrame, distance2: Callable[[C
 
         done = rows.crossJoin(packed).withColumn("__s", F.aggregate("__all", start, step))
         return done.withColumn(into, F.when(F.col("__s.d2") < snap, F.col("__s.v")).otherwise(F.col("__s.a") / F.col("__s.b"))).drop("__all", "__s")
-    numbered = rows.withColumn("__row", F.struct(*rows.columns))
+    # rows alike in all columns are summed once and dealt out again
     a, b, near = _weighted(distance2(F.col), F.col(value).cast("double"), exponent, snap)
-    out = all_pairs(numbered.select(*rows.columns, "__row").dropDuplicates(), anchors).groupBy("__row").agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
-    found = out.select("__row", F.when(F.col("near.d2") < snap, F.col("near.v")).otherwise(F.col("a") / F.col("b")).alias(into))
-    return numbered.join(found, "__row").drop("__row")
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
+    out = all_pairs(counted, anchors).groupBy(*rows.columns, "__n").agg(F.sum(a).alias("__a"), F.sum(b).alias("__b"), F.min(near).alias("__near"))
+    found = out.withColumn(into, F.when(F.col("__near.d2") < snap, F.col("__near.v")).otherwise(F.col("__a") / F.col("__b")))
+    return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*rows.columns, into)
 
 
 def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int, cell: float, rounds: int = 3) -> DataFrame:
