@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisfield.llm import decision_list, html_paths, mixing, nbsvm, ngram_join, ogg, packing, suffix_dedup, token_counts, warc
+from axisfield.llm import decision_list, html_paths, mixing, nbsvm, ngram_join, ogg, packing, piece_table, spelling, suffix_dedup, token_counts, url_filters, warc
 from axisfield.llm.common import documents, shared_folder
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -87,6 +87,25 @@ def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.with_scores(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts rearranged by descriptors, and rebuilt from the written output and its form."""
+    rows = piece_table.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "pieces")
+    return piece_table.with_restored(rows).drop("output")
+
+
+#: host, path, verdict
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op12_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(documents(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op13_kd_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -118,13 +137,33 @@ SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN rank IS NOT
 """
 
 
+OP11_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, len(tokens)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix, coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle, coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+OP12_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN fits USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_warc_derivatives, op2_ogg, op3_best_fit_packing, op4_suffix_dedup, op5_ngram_join,
         op6_tag_path_ratios, op7_decision_list, op8_token_counts, op9_pareto_mix, op10_nbsvm,
+        op11_piece_table, op12_blocked_bloom, op13_kd_spelling,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pareto_mix": OP9_SQL}
+    return {"op9_pareto_mix": OP9_SQL, "op11_piece_table": OP11_SQL, "op12_blocked_bloom": OP12_SQL}
