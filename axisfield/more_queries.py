@@ -161,10 +161,10 @@ WITH c AS (SELECT c_custkey, c_acctbal / 10000.0 AS x, (c_custkey % 101) / 101.0
 d AS (SELECT c_custkey, (x - sx) * (x - sx) + (y - sy) * (y - sy) AS d2, sx, sy, v, row_number() OVER (PARTITION BY c_custkey ORDER BY (x - sx) * (x - sx) + (y - sy) * (y - sy), sx, sy, v) AS n FROM c, s)
 SELECT c_custkey, round(sum(v / d2) / sum(1 / d2), 6) + 0.0 AS idw FROM d WHERE n <= 3 GROUP BY c_custkey""")
 def nearest_inverse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers take values from their three nearest suppliers, found by cells."""
+    """Customers take values from their three nearest suppliers, found by tiles."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10000.0).alias("x"), ((F.col("c_custkey") % 101) / 101.0).alias("y"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 10000.0).alias("x"), ((F.col("s_suppkey") % 101) / 101.0).alias("y"), F.col("s_nationkey").cast("double").alias("v"))
-    return rounded(N.inverse_distance_nearest(c, s, "c_custkey", ["x", "y"], "v", 3, 0.1), ["c_custkey"], idw="idw")
+    return rounded(N.inverse_distance_nearest(c, s, "c_custkey", ["x", "y"], "v", 3), ["c_custkey"], idw="idw")
 
 
 _SOBOL = "SELECT i, round(i % 2 * 0.5 + i // 2 % 2 * 0.25 + i // 4 % 2 * 0.125 + i // 8 % 2 * 0.0625 + i // 16 % 2 / 32.0::DOUBLE, 6) + 0.0 AS x FROM range(32) t(i)"
@@ -196,3 +196,27 @@ def interior_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     anchors = spark.createDataFrame([(0.21, 0.34, 1.0), (0.75, 0.5, -1.0), (0.5, 0.9, 2.0)], "x double, y double, v double")
     return rounded(E.interior_data(points(spark, sf_dir), anchors, X**2 + Y, 1.0 - X**2, ["x", "y"], "v"), ["id"], u="u")
+
+
+_LATTICE = "SELECT p_partkey AS id, 3.0 * (p_partkey % 23) AS cx, 3.0 * (p_partkey // 23 % 23) AS cy, 3.0 * (p_partkey // 529) AS cz, 0.5 + p_size / 100.0 AS h FROM part"
+_ASKED = "SELECT c_custkey, 0.37 + c_custkey * 7 % 701 / 10.0 AS x, 0.41 + c_custkey * 11 % 709 / 10.0 AS y, (c_acctbal + 1000) / 300.0 AS z FROM customer"
+
+
+def lattice_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve faces a part: boxes in a lattice, whose sizes are the parts'."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    at = p.select((3.0 * (k % 23)).alias("cx"), (3.0 * (F.floor(k / 23) % 23)).alias("cy"), (3.0 * F.floor(k / 529)).alias("cz"), (0.5 + F.col("p_size") / 100.0).alias("h"))
+    cube = [(a, b, c) for a in (-1.0, 1.0) for b in (-1.0, 1.0) for c in (-1.0, 1.0)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    corner = lambda q: [F.col(f"c{n}") + F.col("h") * s for n, s in zip("xyz", cube[q], strict=True)]
+    faces = [F.struct(*(v.alias(f"{n}{j}") for j, v3 in enumerate((q[0], q[i], q[i + 1])) for n, v in zip("xyz", corner(v3), strict=True))) for q in quads for i in (1, 2)]
+    return at.select(F.explode(F.array(*faces)).alias("f")).select("f.*")
+
+
+@query(f"""
+WITH b AS ({_LATTICE}), q AS ({_ASKED}), d AS (SELECT c_custkey, abs(x - cx) - h AS dx, abs(y - cy) - h AS dy, abs(z - cz) - h AS dz FROM q, b)
+SELECT c_custkey, round(min(sqrt(pow(greatest(dx, 0), 2) + pow(greatest(dy, 0), 2) + pow(greatest(dz, 0), 2)) + least(greatest(dx, dy, dz), 0)), 6) + 0.0 AS distance FROM d GROUP BY c_custkey""")
+def mesh_distance_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as points, and their signed distance to a mesh with twelve faces for each part."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (0.37 + F.col("c_custkey") * 7 % 701 / 10.0).alias("x"), (0.41 + F.col("c_custkey") * 11 % 709 / 10.0).alias("y"), ((F.col("c_acctbal") + 1000) / 300.0).alias("z"))
+    return rounded(M.with_mesh_distance(c, lattice_boxes(spark, sf_dir)), ["c_custkey"], distance="distance")

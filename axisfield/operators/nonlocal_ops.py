@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
+from axisfield.plans.tables import written
 
 #: Rows up to which a side of an all-pairs operator becomes one array in a single row, and up to which it is broadcast;
 #: a larger one is shuffled in blocks.
@@ -70,42 +72,23 @@ def inverse_distance(rows: DataFrame, anchors: DataFrame, distance2: Callable[[C
     return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*rows.columns, into)
 
 
-def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int, cell: float, rounds: int = 3) -> DataFrame:
+def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int) -> DataFrame:
     """(key, place, squared distance, the anchor's columns): the k nearest anchors of each row, ties by their order.
 
-    Space is cut into cells. Rows look at all cells within a radius (1, 4, 16, ... cells) that grows each round, and are done once k
-    anchors lie within it: none outside can be nearer. Rows that are still open after the last round (far away
-    from all anchors) meet all of them. `key` tells rows apart; anchors have the columns `names` and others.
+    By tiles of anchors (`nearby`): a row is sent to one tile, and to those that may hold nearer anchors. Rows or anchors without a
+    place are left out. Anchors have the columns `names` and others.
     """
-    at = {n: F.floor(F.col(n) / F.lit(cell)).cast("long") for n in names}
-    mine = F.struct(*(F.col(n) for n in anchors.columns))
-    cells = anchors.select(*(at[n].alias(f"__{n}") for n in names), mine.alias("__anchor")).cache()
-    away = sum(((F.col(n) - F.col(f"__anchor.{n}")) * (F.col(n) - F.col(f"__anchor.{n}")) for n in names), F.lit(0.0))
-    place = Window.partitionBy(key).orderBy("__d2", "__anchor")
-    open_rows, done = rows.select(key, *names), None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            reach = 4**turn
-            near = open_rows
-            for n in names:
-                near = near.withColumn(f"__{n}", F.explode(F.sequence(at[n] - reach, at[n] + reach)))
-            pairs = near.join(cells, [f"__{n}" for n in names])
-        else:
-            pairs = all_pairs(open_rows, cells.select("__anchor"))
-        best = pairs.withColumn("__d2", away).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).select(key, "place", F.col("__d2").alias("distance2"), F.col("__anchor").alias("anchor"))
-        if turn < rounds:
-            # all anchors within reach * cell of a row are in the cells looked at
-            sure = best.where((F.col("place") == k) & (F.col("distance2") <= F.lit((reach * cell) ** 2))).select(key)
-            best = best.join(sure, key, "left_semi")
-            open_rows = open_rows.join(sure, key, "left_anti").cache()
-        done = best if done is None else done.unionByName(best)
-    return done
-
-
-def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], value: str, k: int, cell: float, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
+    sorted_ = written(anchors.orderBy(*anchors.columns).withColumn("__item", F.monotonically_increasing_id()))
+    asked = nearby.numbered(rows.select(F.col(key).alias("__key"), *names))
+    found = nearby.nearest(asked.withColumnRenamed("__row", "row"), names, nearby.tiled(sorted_, "__item", nearby.Kind((tuple(names),))), k)
+    named = found.join(sorted_.select(F.col("__item").alias("item"), F.struct(*anchors.columns).alias("anchor")), "item")
+    return named.join(asked.select(F.col("__row").alias("row"), F.col("__key").alias(key)), "row").select(key, "place", F.col("d2").alias("distance2"), "anchor")
+
+
+def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], value: str, k: int, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
     """(key, mean): inverse distances over the k nearest anchors alone."""
     a, b, near = _weighted(F.col("distance2"), F.col(f"anchor.{value}").cast("double"), exponent, snap)
-    out = nearest(rows, anchors, key, names, k, cell).groupBy(key).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
+    out = nearest(rows, anchors, key, names, k).groupBy(key).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
     return out.select(key, F.when(F.col("near.d2") < snap, F.col("near.v")).otherwise(F.col("a") / F.col("b")).alias(into))
 
 

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from axisfield.operators import nearby
+from axisfield.plans.tables import written
+
 XYZ = ("x", "y", "z")
 
 
@@ -91,94 +94,133 @@ def surface_points(faces: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return each.select("fid", "draw", *at, (F.col("__area") / F.col("__n")).alias("w"))
 
 
-#: Faces of a mesh that may be sent to all tasks (72 bytes each).
-MOST_FACES = 200_000
+def _keyed(faces: DataFrame) -> DataFrame:
+    """Faces of some area with a unique `__face`."""
+    return written(faces.where(area() > 0).select(*(F.col(f"{c}{k}").cast("double").alias(f"{c}{k}") for k in range(3) for c in XYZ)).orderBy(*(f"{c}{k}" for k in range(3) for c in XYZ)).withColumn("__face", F.monotonically_increasing_id()))
+
 
+def feature_normals(faces: DataFrame) -> DataFrame:
+    """(__face, normals): outward directions at a face's features: its three corners, the three edges after them, its inside.
 
-def _corner_array(faces: DataFrame) -> np.ndarray:
-    """The corners of a mesh whose size is checked: it is a declared shape, not data."""
-    rows = faces.select(*(f"{c}{k}" for k in range(3) for c in XYZ)).limit(MOST_FACES + 1).collect()
-    if not rows or len(rows) > MOST_FACES:
-        raise ValueError(f"a mesh has 1 to {MOST_FACES} faces here")
-    return np.array(rows, float).reshape(-1, 3, 3)
+    At a corner the normals of the faces that meet there are weighted by their angles, at an edge they are added; so the side of a point is
+    right whichever of several equally near faces is taken. Corners are the same where their numbers are.
+    """
+    length = F.sqrt(sum((c * c for c in normal()), F.lit(0.0)))
+    unit = F.array(*(c / length for c in normal()))
+    corner = [F.array(*(F.col(f"{c}{k}") for c in XYZ)) for k in range(3)]
 
+    def angle(k: int) -> Column:
+        a, b = ([F.col(f"{c}{(k + j) % 3}") - F.col(f"{c}{k}") for c in XYZ] for j in (1, 2))
+        dot = sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
+        sizes = F.sqrt(sum((x * x for x in a), F.lit(0.0)) * sum((x * x for x in b), F.lit(0.0)))
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / sizes)))
 
-def _distances(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Distances of points (n, 3) to triangles (m, 3, 3): to the plane where the foot is inside, else to the nearest edge."""
-    d = p[:, None, :] - t[None, :, 0]
-    ab, ac = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
-    n = np.cross(ab, ac)
-    n2 = np.maximum((n * n).sum(axis=1), 1e-300)
-    # barycentric numbers of the foot
-    v = (np.cross(d, ac[None]) * n).sum(axis=2) / n2
-    w = (np.cross(ab[None], d) * n).sum(axis=2) / n2
-    plane = np.abs((d * n).sum(axis=2)) / np.sqrt(n2)
-    edges = np.full(plane.shape, np.inf)
-    for i, j in ((0, 1), (1, 2), (2, 0)):
-        e = t[:, j] - t[:, i]
-        q = p[:, None, :] - t[None, :, i]
-        s = np.clip((q * e).sum(axis=2) / np.maximum((e * e).sum(axis=1), 1e-300), 0, 1)
-        edges = np.minimum(edges, np.linalg.norm(q - s[:, :, None] * e, axis=2))
-    return np.where((v >= 0) & (w >= 0) & (v + w <= 1), plane, edges)
+    # -0.0 and 0.0 are one place
+    plain = lambda c: F.transform(c, lambda x: x + F.lit(0.0))
+    spots = [F.struct(F.lit(k).alias("slot"), plain(corner[k]).alias("at"), angle(k).alias("w")) for k in range(3)]
+    edges = [F.struct(F.lit(3 + k).alias("slot"), plain(F.flatten(F.array_sort(F.array(corner[k], corner[(k + 1) % 3])))).alias("at"), F.lit(1.0).alias("w")) for k in range(3)]
+    each = faces.select("__face", unit.alias("n"), F.explode(F.array(*spots, *edges)).alias("s")).select("__face", "n", "s.*")
+    sums = each.groupBy("at").agg(*(F.sum(F.col("w") * F.col("n")[k]).alias(f"m{k}") for k in range(3)))
+    met = each.join(sums, "at").groupBy("__face").agg(F.array_sort(F.collect_list(F.struct("slot", F.array("m0", "m1", "m2").alias("m")))).alias("found"), F.first("n").alias("n"))
+    return met.select("__face", F.concat(F.transform("found", lambda s: s["m"]), F.array("n")).alias("normals"))
 
 
-def _winding(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """How often the mesh goes around each point: the sum of the faces' solid angles over 4 pi."""
-    a, b, c = (t[None, :, k] - p[:, None, :] for k in range(3))
-    la, lb, lc = (np.linalg.norm(x, axis=2) for x in (a, b, c))
-    top = (a * np.cross(b, c)).sum(axis=2)
-    low = la * lb * lc + (a * b).sum(axis=2) * lc + (b * c).sum(axis=2) * la + (c * a).sum(axis=2) * lb
-    return np.arctan2(top, low).sum(axis=1) / (2 * np.pi)
+#: Smoothing leaves out faces whose weight is below exp(-FAINT) of the nearest one's.
+FAINT = 40.0
+_TRIANGLE = nearby.Kind(tuple(tuple(f"{c}{k}" for c in XYZ) for k in range(3)))
 
 
 def with_mesh_distance(rows: DataFrame, faces: DataFrame, names: tuple[str, str, str] = XYZ, smooth: float = 0.0, into: str = "distance") -> DataFrame:
     """Adds the signed distance of each point to a closed mesh (faces with corners, turned outwards), negative inside.
 
-    The sign is that of the winding number, so small gaps do no harm. With `smooth` > 0 the distance is the
-    mean of the faces' distances weighted by exp(-smooth d^2) relative to the nearest, and the normal (n_x, n_y, n_z) the same
-    mean of their normals; else it is exact and the normal that of the nearest face.
-    """
-    from pyspark.sql import types as T
+    Faces are found by tiles (`nearby`), so neither side is held whole anywhere. The sign is that of the nearest feature's normal (of
+    a face, an edge or a corner). With `smooth` > 0 the distance is the mean of the faces' distances weighted by exp(-smooth d^2) relative to the
+    nearest, and the normal (n_x, n_y, n_z) the same mean of their normals; else it is exact and the normal that of the nearest feature.
 
-    shared = rows.sparkSession.sparkContext.broadcast(_corner_array(faces))
+    Defined results: points without a place have null results; faces without an area, or with a null corner, count as absent; a mesh without faces is an error.
+    """
     made = [into, "n_x", "n_y", "n_z"]
-    kept = [f for f in rows.schema if f.name not in made]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        normals = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
-        normals /= np.maximum(np.linalg.norm(normals, axis=1, keepdims=True), 1e-300)
+    kept = [c for c in rows.columns if c not in made]
+    asked = nearby.numbered(rows.select(*(F.col(f"`{c}`") for c in kept)))
+    usable = _keyed(faces)
+    tiles = nearby.tiled(usable, "__face", _TRIANGLE)
+    if not len(tiles.counts):
+        raise ValueError("the mesh has no faces")
+    places = asked.select(F.col("__row").alias("row"), *(F.col(a).cast("double").alias(b) for a, b in zip(names, XYZ, strict=True)))
+    found = nearby.nearest(places, XYZ, tiles).select("row", "item")
+    sided = feature_normals(usable).join(usable, "__face")
+    full = found.join(sided.withColumnRenamed("__face", "item"), "item").join(places, "row")
+    columns = [f"{c}{k}" for k in range(3) for c in XYZ]
+
+    def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1)
-            parts = []
-            for at in range(0, len(p), max(1, 200_000 // len(t))):
-                some = p[at : at + max(1, 200_000 // len(t))]
-                d = _distances(some, t)
-                least = d.min(axis=1)
-                weights = np.exp(-smooth * (d * d - (least * least)[:, None])) if smooth else (d <= least[:, None] + 1e-12).astype(float)
-                weights /= weights.sum(axis=1, keepdims=True)
-                n = weights @ normals
-                n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
-                size = (weights * d).sum(axis=1) if smooth else least
-                parts.append(np.column_stack((np.where(_winding(some, t) > 0.5, -size, size), n)))
-            out = np.concatenate(parts) if parts else np.zeros((0, 4))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(out[:, k]) for k in range(4))], names=[*(f.name for f in kept), *made])
-
-    return rows.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in made)]))
+            p = nearby._matrix(batch, XYZ)
+            foot, feature = nearby.feet(p, nearby._matrix(batch, columns).reshape(-1, 3, 3))
+            normals = np.array(batch.column("normals").to_pylist(), float).reshape(-1, 7, 3)[np.arange(len(p)), feature]
+            normals /= np.maximum(np.linalg.norm(normals, axis=1, keepdims=True), 1e-300)
+            out = p - foot
+            d = np.linalg.norm(out, axis=1) * np.where((out * normals).sum(axis=1) < 0, -1.0, 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(d), *(pa.array(normals[:, k]) for k in range(3))], names=["row", *made])
+
+    signed = full.select("row", *XYZ, *columns, "normals").mapInArrow(side, "row long, " + ", ".join(f"{c} double" for c in made))
+    if smooth:
+        signed = _smoothed(signed, places, tiles, smooth, made)
+    out = asked.join(signed.withColumnRenamed("row", "__row"), "__row", "left")
+    return out.select(*(F.col(f"`{c}`") for c in kept), *made)
+
+
+def _smoothed(signed: DataFrame, places: DataFrame, tiles: nearby.Tiles, smooth: float, made: list[str]) -> DataFrame:
+    """Weighted means over all faces near enough to count, by the exact distance and sign."""
+    exact = written(signed)
+    asked = places.join(exact.select("row", (F.col(made[0]) * F.col(made[0])).alias("bound")), "row")
+    reach, sums = FAINT / smooth, ["w", "d", "a", "b", "c"]
+
+    def work(items: pa.Table, some: pa.Table) -> pa.Table:
+        p, bound, t = nearby._matrix(some, XYZ), some.column("bound").to_numpy(), nearby._matrix(items, _TRIANGLE.columns).reshape(-1, 3, 3)
+        out = np.zeros((len(p), 5))
+        if len(p) and len(t):
+            boxes = nearby.Boxes(t)
+            n = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+            n /= np.linalg.norm(n, axis=1, keepdims=True)
+            for part in nearby._blocks(len(p), len(boxes.parts)):
+                who, box = np.nonzero(nearby.box_distance(p[part], boxes.low, boxes.high) <= bound[part, None] + reach)
+                for a in range(0, len(who), 20_000):
+                    item = boxes.items[box[a : a + 20_000]]
+                    row = np.repeat(who[a : a + 20_000] + part.start, item.shape[1])[item.ravel() >= 0]
+                    item = item.ravel()[item.ravel() >= 0]
+                    foot, _ = nearby.feet(p[row], t[item])
+                    d2 = ((p[row] - foot) ** 2).sum(axis=1)
+                    w = np.where(d2 <= bound[row] + reach, np.exp(-smooth * np.maximum(d2 - bound[row], 0)), 0.0)
+                    for k, v in enumerate((w, w * np.sqrt(d2), *(w * n[item, j] for j in range(3)))):
+                        out[:, k] += np.bincount(row, v, len(p))
+        return pa.table({"row": some.column("row"), **{c: out[:, k] for k, c in enumerate(sums)}})
+
+    routed = nearby._routed(asked, XYZ, tiles, 1, True, slack=reach)
+    total = nearby.meet(routed, tiles.items, XYZ, _TRIANGLE.columns, work, "row long, " + ", ".join(f"{c} double" for c in sums)).groupBy("row").agg(*(F.sum(c).alias(c) for c in sums))
+    size = F.greatest(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c")), F.lit(1e-300))
+    mean = F.col("d") / F.col("w")
+    return exact.select("row", F.col(made[0]).alias("__exact")).join(total, "row").select("row", F.when(F.col("__exact") < 0, -mean).otherwise(mean).alias(made[0]), *((F.col(c) / size).alias(n) for c, n in zip("abc", made[1:], strict=True)))
 
 
 def inside_mesh(rows: DataFrame, faces: DataFrame, tolerance: float = 0.0, names: tuple[str, str, str] = XYZ) -> DataFrame:
     """The points inside a closed mesh, by more than the tolerance."""
-    return with_mesh_distance(rows, faces, names, into="__d").where(F.col("__d") < -tolerance).select(*rows.columns)
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    return with_mesh_distance(rows.select(F.struct(*kept).alias("__all"), *(F.col(a).alias(f"__{b}") for a, b in zip(names, XYZ, strict=True))), faces, ("__x", "__y", "__z"), into="__d").where(F.col("__d") < -tolerance).select("__all.*")
+
+
+def bounds(faces: DataFrame) -> tuple[list[float], list[float], float]:
+    """Least and greatest place per axis, and the enclosed volume, in one pass."""
+    ends = [f(*(F.col(f"{c}{k}") for k in range(3))) for f in (F.least, F.greatest) for c in XYZ]
+    row = faces.agg(*(F.min(e).alias(f"low{k}") if k < 3 else F.max(e).alias(f"high{k - 3}") for k, e in enumerate(ends)), F.sum(volume_part()).alias("v")).first()
+    return [*row[:3]], [*row[3:6]], row[6]
 
 
 def interior_points(spark: SparkSession, faces: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """About n points inside a closed mesh, each with the weight of its share of the box."""
     from axisfield.sources.samplers import uniform
 
-    t = _corner_array(faces).reshape(-1, 3)
-    low, high = t.min(axis=0), t.max(axis=0)
-    volume = abs(faces.agg(F.sum(volume_part())).first()[0])
-    tries = int(np.ceil(n * float(np.prod(high - low)) / volume))
-    points = uniform(spark, tries, XYZ, low.tolist(), high.tolist(), seed)
-    return inside_mesh(points, faces).withColumn("w", F.lit(float(np.prod(high - low)) / tries))
+    low, high, volume = bounds(faces)
+    box = float(np.prod(np.subtract(high, low)))
+    tries = int(np.ceil(n * box / abs(volume)))
+    points = uniform(spark, tries, XYZ, low, high, seed)
+    return inside_mesh(points, faces).withColumn("w", F.lit(box / tries))

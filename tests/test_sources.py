@@ -129,7 +129,7 @@ def test_nearest_anchors(spark):
     a = spark.createDataFrame(anchors, "x double, y double, v double")
     q = spark.createDataFrame(asked, "id long, x double, y double")
     got = {}
-    for r in N.nearest(q, a, "id", ["x", "y"], 3, 0.1, rounds=4).collect():
+    for r in N.nearest(q, a, "id", ["x", "y"], 3).collect():
         got.setdefault(r.id, {})[r.place] = tuple(r.anchor)
     for i, x, y in asked:
         want = sorted(anchors, key=lambda p: ((x - p[0]) ** 2 + (y - p[1]) ** 2, p))[:3]
