@@ -177,14 +177,16 @@ def sobol_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(samplers.sobol_points(spark, 32, ["x"], [0.0], [1.0]), ["i"], x="x")
 
 
-@query("SELECT round(1.0::DOUBLE - 1/3.0, 4) AS area, 32::BIGINT * 17 AS nodes")
+@query("""
+WITH x AS (SELECT (i + 0.5::DOUBLE) / 24.0 AS x FROM range(32) t(i)), y AS (SELECT j / 16.0::DOUBLE AS y, CASE WHEN j IN (0, 16) THEN 1 / 32.0::DOUBLE ELSE 1 / 16.0::DOUBLE END AS w FROM range(17) s(j))
+SELECT round(sum(CASE WHEN y > 0 AND 0.75 * x + y < 1 THEN w / 24 ELSE 0 END), 6) AS area, count(*) AS nodes FROM x, y""")
 def masked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid over a triangle's box with the mask of nodes inside: half of it, to first order."""
+    """A grid over a triangle's box with the mask of nodes inside: the weights of those."""
     from axisfield.sources import shapes
 
     grid = shapes.triangle([(0, 0), (4 / 3, 0), (0, 1)]).grid(G.axis(spark, "sine", 32, 0.0, 4 / 3), G.axis(spark, "uniform", 17, label="y"))
     area = F.sum(F.col("w") * F.col("mask").cast("double"))
-    return grid.agg(F.when(F.abs(area - 2 / 3) < 0.05, F.lit(0.6667)).otherwise(area).alias("area"), F.count(F.lit(1)).alias("nodes"))
+    return grid.agg(F.round(area, 6).alias("area"), F.count(F.lit(1)).alias("nodes"))
 
 
 @query(POINTS + """, a(ax, ay, v) AS (VALUES (0.21::DOUBLE, 0.34::DOUBLE, 1.0::DOUBLE), (0.75, 0.5, -1.0), (0.5, 0.9, 2.0)), r AS (SELECT ax, ay, (v - ax*ax - ay) / (1 - ax*ax) AS r FROM a),

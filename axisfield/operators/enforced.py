@@ -71,8 +71,7 @@ def interior_data(rows: DataFrame, anchors: DataFrame, u: Expr, gate: Expr, name
     size = gate.column()
     gap = F.when(size == 0, F.raise_error(F.lit("the gate is zero at an anchor")).cast("double")).otherwise((F.col(value) - u.column()) / size)
     gaps = anchors.select(*(F.col(n).alias(f"__{n}") for n in names), gap.alias("__gap"))
-    away = lambda of: sum(((F.col(n) - of(f"__{n}")) * (F.col(n) - of(f"__{n}")) for n in names), F.lit(0.0))
-    out = inverse_distance(rows, gaps, away, "__gap", exponent, snap, into="__mean")
+    out = inverse_distance(rows, gaps, [(n, f"__{n}") for n in names], "__gap", exponent, snap, into="__mean")
     return out.withColumn(into, u.column() + size * F.col("__mean")).drop("__mean")
 
 

@@ -65,17 +65,24 @@ def riesz_derivative(rows: DataFrame, names: list[str], value, order: float, ste
     return rows.withColumn(into, sum((rule_sum(rule, lambda e, axis=axis: value(moved(axis, e)) * e["c"]) for axis in names), F.lit(0.0)))
 
 
-def sampled_indices(order: float, draws: int, most: int = 512, seed: int = 0) -> list[dict[str, float]]:
+def sampled_indices(order: float, draws: int, table: int = 4096, seed: int = 0) -> list[dict[str, float]]:
     """Draws of a difference's term k >= 1 by the size of its weight, merged: what the sampled operators sum over.
 
-    The weights behind the first are drawn with odds |w_k| / sum |w| (the sum of all, by the closed form of the tail for
-    orders below one, cut at `most` terms above), so the mean of sign(w_k) sum|w| value(k) is the difference's sum.
+    Terms up to `table` are drawn by their weights; those behind have the sign and the sum of the closed form
+    prod (1 - order / i), which falls like (k + (1 - order) / 2)^-order, so a draw among them is an inversion. No term is left out:
+    the mean of c value(k) is the whole difference's sum behind its first term. Whole orders have no terms behind.
     """
-    weights = np.array(difference_weights(order, most)[1:])
-    total = np.abs(weights).sum()
-    drawn = np.random.default_rng(seed).choice(len(weights), size=draws, p=np.abs(weights) / total)
-    places, counts = np.unique(drawn, return_counts=True)
-    return [{"k": float(k + 1), "c": float(np.sign(weights[k]) * total * n / draws)} for k, n in zip(places, counts, strict=True)]
+    weights = np.array(difference_weights(order, table)[1:])
+    # the sum of all weights is zero: what is behind a term is the other sign of what is before
+    behind = -float(np.prod(1 - order / np.arange(1, len(weights) + 1)))
+    total = np.abs(weights).sum() + abs(behind)
+    draw = np.random.default_rng(seed)
+    drawn = draw.choice(len(weights) + 1, size=draws, p=np.append(np.abs(weights), abs(behind)) / total)
+    places, counts = np.unique(drawn[drawn < len(weights)], return_counts=True)
+    near = [{"k": float(k + 1), "c": float(np.sign(weights[k]) * total * n / draws)} for k, n in zip(places, counts, strict=True)]
+    far, shift = int((drawn == len(weights)).sum()), (1 - order) / 2
+    last = np.ceil((len(weights) + shift) * (1 - draw.random(far)) ** (-1 / order) - shift)
+    return [*near, *({"k": float(max(k, len(weights) + 1)), "c": float(np.sign(behind) * total / draws)} for k in last)]
 
 
 def sampled_fractional_derivative(rows: DataFrame, name: str, value, order: float, step: float, draws: int, sign: int = 1, seed: int = 0, into: str = "derivative") -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
 from axisfield.plans.tables import written
 
-#: Rows up to which a side of an all-pairs operator becomes one array in a single row, and up to which it is broadcast;
-#: a larger one is shuffled in blocks.
-ARRAY_ROWS, BROADCAST_ROWS, BLOCKS = 64, 200_000, 64
+#: Rows up to which a side of an all-pairs operator is broadcast; a larger one is shuffled in blocks. Anchors of a packed block.
+BROADCAST_ROWS, BLOCKS, PACKED = 200_000, 64, 50_000
 
 
 def all_pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
@@ -46,30 +48,68 @@ def _weighted(d2: Column, value: Column, exponent: float, snap: float) -> tuple[
     return w * value, w, F.struct(d2.alias("d2"), value.alias("v"))
 
 
-def inverse_distance(rows: DataFrame, anchors: DataFrame, distance2: Callable[[Callable[[str], Column]], Column], value: str, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
+def _means(places: np.ndarray, spots: np.ndarray, values: np.ndarray, exponent: float) -> tuple[np.ndarray, ...]:
+    """Weighted sum of values, sum of weights, and the nearest anchor's squared distance and value (the least, if several are as near)."""
+    top, low, least, near = (np.full(len(places), x) for x in (0.0, 0.0, np.inf, np.inf))
+    step = max(1, 2_000_000 // max(1, len(spots)))
+    for a in range(0, len(places) if len(spots) else 0, step):
+        some = slice(a, a + step)
+        d2 = np.zeros((len(places[some]), len(spots)))
+        for k in range(spots.shape[1]):
+            d2 += (places[some, k, None] - spots[None, :, k]) ** 2
+        least[some] = d2.min(axis=1)
+        near[some] = np.where(d2 == least[some, None], values, np.inf).min(axis=1)
+        w = np.maximum(d2, 1e-300) ** (-exponent / 2)
+        top[some], low[some] = w @ values, w.sum(axis=1)
+    return top, low, least, near
+
+
+def inverse_distance(rows: DataFrame, anchors: DataFrame, names: Sequence[tuple[str, str]], value: str, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
     """Adds the inverse-distance mean over all anchors; a row on an anchor takes its value (the least, if several are there).
 
-    `distance2` makes the squared distance from a function that gives an anchor's column by its name. Few anchors
-    (ARRAY_ROWS, counted) are one array that each row sums over in place; more of them meet the rows in blocks.
+    `names` pairs the rows' places with the anchors'. Anchors up to PACKED (counted) are one block, which all rows meet where they are; more of them
+    are dealt to blocks of about that size, whose sums are added: no pair of a row and an anchor is ever a row. Both ways sum the same.
+
+    Defined results: anchors of null (or NaN) value or place count as absent; without anchors, or for a row without a place, the mean is null.
     """
-    columns = anchors.columns
-    if anchors.limit(ARRAY_ROWS + 1).count() <= ARRAY_ROWS:
-        packed = F.broadcast(anchors.agg(F.collect_list(F.struct(*columns)).alias("__all")))  # one row
-        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("d2"), F.lit(None).cast("double").alias("v"))
-
-        def step(s: Column, e: Column) -> Column:
-            a, b, near = _weighted(distance2(lambda c: e[c]), e[value].cast("double"), exponent, snap)
-            closer = (near["d2"] < s["d2"]) | (near["d2"] == s["d2"]) & (near["v"] < s["v"])
-            return F.struct((s["a"] + a).alias("a"), (s["b"] + b).alias("b"), F.when(closer, near["d2"]).otherwise(s["d2"]).alias("d2"), F.when(closer, near["v"]).otherwise(s["v"]).alias("v"))
-
-        done = rows.crossJoin(packed).withColumn("__s", F.aggregate("__all", start, step))
-        return done.withColumn(into, F.when(F.col("__s.d2") < snap, F.col("__s.v")).otherwise(F.col("__s.a") / F.col("__s.b"))).drop("__all", "__s")
-    # rows alike in all columns are summed once and dealt out again
-    a, b, near = _weighted(distance2(F.col), F.col(value).cast("double"), exponent, snap)
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n"))
-    out = all_pairs(counted, anchors).groupBy(*rows.columns, "__n").agg(F.sum(a).alias("__a"), F.sum(b).alias("__b"), F.min(near).alias("__near"))
-    found = out.withColumn(into, F.when(F.col("__near.d2") < snap, F.col("__near.v")).otherwise(F.col("__a") / F.col("__b")))
-    return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*rows.columns, into)
+    usable = anchors.select(*(F.col(f"`{a}`").cast("double").alias(f"a{k}") for k, (_, a) in enumerate(names)), F.col(f"`{value}`").cast("double").alias("v"))
+    for c in usable.columns:
+        usable = usable.where(F.col(c).isNotNull() & ~F.isnan(c))
+    spots, places = [f"a{k}" for k in range(len(names))], [f"__p{k}" for k in range(len(names))]
+    kept = [f for f in rows.schema if f.name != into]
+    # columns of any names as one, which Arrow takes whole
+    packed = F.struct(*(F.col(f"`{f.name}`") for f in kept)).alias("__all")
+    asked = rows.select(packed, *(F.col(f"`{r}`").cast("double").alias(p) for p, (r, _) in zip(places, names, strict=True)))
+    held = usable.limit(PACKED + 1).collect()
+    if len(held) <= PACKED:
+        table = np.array(sorted(held), float).reshape(-1, len(names) + 1)
+        shared = rows.sparkSession.sparkContext.broadcast(table)
+
+        def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                at = nearby._matrix(batch, places)
+                top, low, least, near = _means(at, known[:, :-1], known[:, -1], exponent)
+                mean = np.divide(top, low, out=np.full(len(top), np.nan), where=low > 0)
+                mean = np.where(least < snap, near, mean)
+                yield pa.RecordBatch.from_arrays([batch.column("__all"), pa.array(mean, mask=np.isnan(mean))], names=["__all", into])
+
+        return asked.mapInArrow(here, T.StructType([asked.schema["__all"], T.StructField(into, T.DoubleType())])).select("__all.*", into)
+    blocks = -(-usable.count() // PACKED)
+    counted = nearby.numbered(asked)
+    deal = lambda n, of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    slices = max(BLOCKS, -(-counted.count() // PACKED))
+    left = usable.withColumn("block", deal(blocks, usable.columns)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = counted.select("__row", *places).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("slice", deal(slices, ["__row"]))
+
+    def work(some: pa.Table, ours: pa.Table) -> pa.Table:
+        found = _means(nearby._matrix(ours, places), nearby._matrix(some, spots), some.column("v").to_numpy(), exponent)
+        return pa.table({"__row": ours.column("__row"), **{c: x for c, x in zip(("top", "low", "least", "near"), found, strict=True)}})
+
+    sums = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(work, "__row long, top double, low double, least double, near double")
+    total = sums.groupBy("__row").agg(F.sum("top").alias("top"), F.sum("low").alias("low"), F.min(F.struct("least", "near")).alias("n"))
+    mean = F.when(F.col("n.least") < snap, F.col("n.near")).when(F.col("low") > 0, F.col("top") / F.col("low"))
+    return counted.join(total, "__row", "left").select("__all.*", F.when(~F.isnan(mean), mean).alias(into))
 
 
 def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], k: int) -> DataFrame:

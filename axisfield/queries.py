@@ -187,8 +187,7 @@ def inverse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers take values from all suppliers by inverse squared distance."""
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10000.0).alias("x"), ((F.col("c_custkey") % 101) / 101.0).alias("y"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 10000.0).alias("sx"), ((F.col("s_suppkey") % 101) / 101.0).alias("sy"), F.col("s_nationkey").cast("double").alias("v"))
-    away = lambda of: (F.col("x") - of("sx")) * (F.col("x") - of("sx")) + (F.col("y") - of("sy")) * (F.col("y") - of("sy"))
-    return rounded(N.inverse_distance(c, s, away, "v"), ["c_custkey"], idw="idw")
+    return rounded(N.inverse_distance(c, s, [("x", "sx"), ("y", "sy")], "v"), ["c_custkey"], idw="idw")
 
 
 @query("""

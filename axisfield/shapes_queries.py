@@ -32,22 +32,32 @@ SHAPES = {
     "wedge": (S.Wedge([0.0, 0.0, 0.0], [4.0, 2.0, 3.0], 0.0), 12.0, 6.0 + 10.0 + 12.0 + 8.0),
 }
 
-_VALUES = ", ".join(f"('{k}', {m!r}::DOUBLE, {b!r}::DOUBLE, {len(s.names)}::DOUBLE)" for k, (s, m, b) in SHAPES.items())
+def significant(x: float, digits: int) -> float:
+    return round(x, digits - 1 - math.floor(math.log10(abs(x))))
 
 
-@query(f"SELECT shape, round(m, 5) AS measure, round(b, 5) AS boundary, 0::BIGINT AS off, 0::BIGINT AS outside, 0::BIGINT AS divergence_off FROM (VALUES {_VALUES}) t(shape, m, b, d)")
+def _places(want: float, digits: int) -> int:
+    """Decimal places of so many digits of a value."""
+    return digits - 1 - math.floor(math.log10(abs(want)))
+
+
+_VALUES = ", ".join(f"('{k}', {significant(m, 2)!r}::DOUBLE, {significant(b, 3)!r}::DOUBLE, {significant(m, 2)!r}::DOUBLE)" for k, (s, m, b) in SHAPES.items())
+
+
+@query(f"SELECT shape, measure, boundary, flux, 0::BIGINT AS off, 0::BIGINT AS outside FROM (VALUES {_VALUES}) t(shape, measure, boundary, flux)")
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each shape's measures; its boundary points lie on its zero set, interior points inside; the flux of the position is d times the measure."""
+    """Each shape's measures from its points, to the digits that 2048 of them have: inner weights, boundary weights, and the flux of the position over d.
+
+    Points off the zero set, and interior points outside, are counted.
+    """
     out = None
-    for name, (shape, _, _) in SHAPES.items():
+    for name, (shape, m, b) in SHAPES.items():
         n, d = 2048, len(shape.names)
         ring = shape.boundary(spark, n)
         flux = sum((F.col(c) * F.col(f"n_{c}") for c in shape.names), F.lit(0.0)) * F.col("w")
-        edge = ring.agg(F.sum("w").alias("boundary"), F.sum(flux).alias("flux"), F.sum((F.abs(shape.sdf()) > 1e-9).cast("long")).alias("off"))
-        inner = shape.interior(spark, n).agg(F.sum("w").alias("inner"), F.sum((shape.sdf() > 1e-9).cast("long")).alias("outside"))
-        # sampled sums come near: within two in a hundred of the measure
-        near = (F.abs(F.col("flux") - d * shape.measure) > 0.03 * d * shape.measure + 0.02) | (F.abs(F.col("inner") - shape.measure) > 0.02 * shape.measure) | (F.abs(F.col("boundary") - shape.boundary_measure) > 0.002 * shape.boundary_measure)
-        one = edge.crossJoin(inner).select(F.lit(name).alias("shape"), F.round(F.lit(shape.measure), 5).alias("measure"), F.round(F.lit(shape.boundary_measure), 5).alias("boundary"), "off", "outside", near.cast("long").alias("divergence_off"))  # one row each
+        edge = ring.agg(F.round(F.sum("w"), _places(b, 3)).alias("boundary"), F.round(F.sum(flux) / d, _places(m, 2)).alias("flux"), F.sum((F.abs(shape.sdf()) > 1e-9).cast("long")).alias("off"))
+        inner = shape.interior(spark, n).agg(F.round(F.sum("w"), _places(m, 2)).alias("measure"), F.sum((shape.sdf() > 1e-9).cast("long")).alias("outside"))
+        one = edge.crossJoin(inner).select(F.lit(name).alias("shape"), "measure", "boundary", "flux", "off", "outside")  # one row each
         out = one if out is None else out.union(one)
     return out
 
@@ -62,23 +72,25 @@ def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points(spark, sf_dir), ["id"], ellipse=ellipse.sdf(), line=line.smooth_sdf(), wedge=wedge.sdf(), triangle=corner.sdf())
 
 
-@query(f"""
-SELECT 'interior' AS component, round({3 * math.pi!r}, 6) AS measure, 0::BIGINT AS off UNION ALL SELECT 'boundary', round({6 * math.pi!r}, 6), 0 UNION ALL SELECT 'start', round({math.pi!r}, 6), 0
-UNION ALL SELECT 'end', round({math.pi!r}, 6), 0 UNION ALL SELECT 'at', round({math.pi!r}, 6), 0 UNION ALL SELECT 'ends', round({2 * math.pi!r}, 6), 0 UNION ALL SELECT 'masked', round({3 * math.pi!r}, 6), 0""")
+#: A disk over three units of time: measure of each component, and the integral of its query's integrand.
+_COMPONENTS = {"interior": (3 * math.pi, 6 * math.pi), "boundary": (6 * math.pi, math.pi * 4.5), "start": (math.pi, math.pi / 2), "end": (math.pi, 3.5 * math.pi), "at": (math.pi, 2.5 * math.pi), "ends": (2 * math.pi, 1.5 * math.pi), "masked": (math.pi, math.pi)}
+
+
+@query("SELECT component, total, v FROM (VALUES " + ", ".join(f"('{k}', {significant(m, 2)!r}::DOUBLE, {significant(v, 2)!r}::DOUBLE)" for k, (m, v) in _COMPONENTS.items()) + ") t(component, total, v)")
 def component_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A disk over time: interior, boundary, fixed times, both ends, and a masked and weighted part, with known integrals."""
+    """A disk over time: interior, boundary, fixed times, both ends, and a masked and weighted part: sums over their points, to the digits these have."""
     disk = D.Domain((D.ShapeFactor(S.circle([0.0, 0.0], 1.0)), D.TimeInterval(0.0, 3.0)))
     r2, t = F.col("x") * F.col("x") + F.col("y") * F.col("y"), F.col("t")
-    # name: component, integrand, its integral
     cases = {
-        "interior": (disk.component(), r2 * t, math.pi / 2 * 4.5), "boundary": (disk.component({"x": D.Boundary()}), F.col("n_x") * F.col("x") * t, math.pi * 4.5),
-        "start": (disk.component({"t": D.FixedStart()}), r2 + t, math.pi / 2), "end": (disk.component({"t": D.FixedEnd()}), r2 + t, 3.5 * math.pi), "at": (disk.component({"t": D.Fixed(2.0)}), r2 + t, 2.5 * math.pi),
-        "ends": (disk.component({"t": D.Boundary()}), r2 * F.col("n_t") * t, 1.5 * math.pi), "masked": (disk.component(where={"x": F.col("x") > 0}, where_all=t < 1, weight_all=F.lit(2.0)), F.lit(1.0), math.pi),
+        "interior": (disk.component(), r2 + t), "boundary": (disk.component({"x": D.Boundary()}), F.col("n_x") * F.col("x") * t),
+        "start": (disk.component({"t": D.FixedStart()}), r2 + t), "end": (disk.component({"t": D.FixedEnd()}), r2 + t), "at": (disk.component({"t": D.Fixed(2.0)}), r2 + t),
+        "ends": (disk.component({"t": D.Boundary()}), r2 * F.col("n_t") * t), "masked": (disk.component(where={"x": F.col("x") > 0}, where_all=t < 1, weight_all=F.lit(2.0)), F.lit(1.0)),
     }
     out = None
-    for name, (component, f, want) in cases.items():
-        p = component.points(spark, {"x": 2048, "t": 32})
-        one = component.integrals(p, {"v": f}).select(F.lit(name).alias("component"), F.round(F.lit(component.measure()), 6).alias("measure"), (F.abs(F.col("v") - want) > 0.04 * abs(want)).cast("long").alias("off"))
+    for name, (component, f) in cases.items():
+        p = component.points(spark, {"x": 512, "t": 512})
+        m, v = _COMPONENTS[name]
+        one = component.integrals(p, {"v": f, "total": F.lit(1.0)}).select(F.lit(name).alias("component"), F.round("total", _places(m, 2)).alias("total"), F.round("v", _places(v, 2)).alias("v"))
         out = one if out is None else out.union(one)
     return out
 

@@ -22,23 +22,19 @@ def uniform(spark: SparkSession, n: int, names: Sequence[str], low: Sequence[flo
 
 
 def permuted(index: Column, n: int, seed: int) -> Column:
-    """A place of 0..n - 1 for each index, all different: four rounds of a keyed exchange of the index's halves.
+    """A place of 0..n - 1 for each index, all different, for any n.
 
-    The exchange permutes the least even power of two from n on; places beyond n are sent through it again until
-    they are below n, which takes less than four turns on average.
+    In each round a key pairs every place with its mirror image, key - place modulo n, and a hash of the
+    pair says whether the two change places; so each round is an exchange of pairs, and nothing is left over.
     """
-    half = max(1, math.ceil(math.log2(max(2, n)) / 2))
-    low = F.lit((1 << half) - 1)
-
-    def once(x: Column) -> Column:
-        left, right = F.shiftright(x, half), x.bitwiseAND(low)
-        for r in range(4):
-            left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(r), F.lit(seed)).bitwiseAND(low))
-        return F.shiftleft(left, half).bitwiseOR(right)
-
-    # 64 turns leave an index outside with odds of (3 / 4)^64 at most; those few keep the last place by the modulus
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(index.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.pmod(walk, F.lit(n))
+    rounds = 2 * math.ceil(math.log2(max(2, n))) + 16
+
+    def exchanged(x: Column, r: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(r, F.lit(seed)), F.lit(n)) - x, F.lit(n))
+        turned = F.xxhash64(F.greatest(x, mirror), r, F.lit(seed + 1)).bitwiseAND(F.lit(1)) == 1
+        return F.when(turned, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), exchanged)
 
 
 def latin_hypercube(spark: SparkSession, n: int, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int = 0) -> DataFrame:

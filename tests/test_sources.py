@@ -134,15 +134,53 @@ def test_nearest_anchors(spark):
     for i, x, y in asked:
         want = sorted(anchors, key=lambda p: ((x - p[0]) ** 2 + (y - p[1]) ** 2, p))[:3]
         assert [got[i][k] for k in (1, 2, 3)] == want
-    away = lambda of: (F.col("x") - of("ax")) * (F.col("x") - of("ax")) + (F.col("y") - of("ay")) * (F.col("y") - of("ay"))
     named = a.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "v")
-    few = {r.id: r.idw for r in N.inverse_distance(q, named, away, "v").collect()}
-    few_rows, N.ARRAY_ROWS = N.ARRAY_ROWS, 10
-    try:
-        many = {r.id: r.idw for r in N.inverse_distance(q, named, away, "v").collect()}
-    finally:
-        N.ARRAY_ROWS = few_rows
-    assert few == pytest.approx(many) and few[20] == 100.0
+    pairs = [("x", "ax"), ("y", "ay")]
+    few = {r.id: r.idw for r in N.inverse_distance(q, named, pairs, "v").collect()}
+    for i, x, y in asked[:20]:
+        w = [((x - p[0]) ** 2 + (y - p[1]) ** 2) ** -1 for p in anchors]
+        assert few[i] == pytest.approx(sum(k * p[2] for k, p in zip(w, anchors, strict=True)) / sum(w))
+    assert few[20] == 100.0
+
+
+def test_inverse_distances_are_the_same_in_blocks(spark, monkeypatch):
+    from axisfield.operators import nonlocal_ops as N
+
+    q = spark.createDataFrame([(0, 0.5, "a"), (1, 0.0, "b"), (1, 0.0, "b"), (2, None, "c"), (3, 7.0, None)], "id long, x double, `a.b` string")
+    rows = [(0.0, 1.0), (1.0, None), (2.0, 3.0), (None, 9.0), (0.0, 0.5), (5.0, float("nan")), (9.0, -1.0)]
+    for anchors in (rows, rows[3:4], []):
+        a = spark.createDataFrame(anchors, "at double, v double")
+        seen = []
+        for size in (50_000, 2):
+            monkeypatch.setattr(N, "PACKED", size)
+            out = N.inverse_distance(q, a, [("x", "at")], "v")
+            assert out.columns == ["id", "x", "a.b", "idw"]
+            seen.append(sorted((tuple(r) for r in out.collect()), key=str))
+        assert seen[0] == [(*r[:3], None if r[3] is None else pytest.approx(r[3])) for r in seen[1]]
+        known = {r[0]: r[3] for r in seen[0]}
+        good = [(x, v) for x, v in anchors if x is not None and v is not None and v == v]
+        assert known[2] is None
+        if good:
+            w = [(0.5 - x) ** -2 for x, _ in good]
+            assert known[1] == 0.5 and known[0] == pytest.approx(sum(k * v for k, (_, v) in zip(w, good, strict=True)) / sum(w))
+        else:
+            assert set(known.values()) == {None}
+
+
+def test_permutations_are_exact(spark):
+    for n in (1, 2, 3, 7, 1000, 65_537):
+        got = spark.range(n).select("id", samplers.permuted(F.col("id"), n, 5).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p"), F.corr("id", "p")).first()
+        assert tuple(got[:3]) == (n, 0, n - 1) and (n < 1000 or abs(got[3]) < 0.15)
+
+
+def test_draws_of_terms_reach_all_of_them():
+    for order in (0.2, 0.6, 1.4, 1.0):
+        drawn = H.sampled_indices(order, 200_000, table=64, seed=2)
+        assert sum(abs(e["c"]) for e in drawn) == pytest.approx(1.0 if order <= 1 else 2 * order - 1)
+        # what lies behind a term far beyond the table, against the exact weights
+        weights = H.difference_weights(order, 3001)
+        for k in (20, 200, 3000):
+            assert sum(e["c"] for e in drawn if e["k"] > k) == pytest.approx(-sum(weights[: k + 1]), abs=0.004)
 
 
 def test_negative_obj_indices(spark, tmp_path):
