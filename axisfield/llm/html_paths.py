@@ -34,6 +34,11 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|([^<]+)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
+#: Numeric references: zeros in front, and more digits than any character has.
+_ZEROS, _LONG = re.compile(r"&#(?:([xX])0+(?=[0-9A-Fa-f])|0+(?=[0-9]))"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9A-Fa-f]{7,});?")
+#: Elements of a path; one below them stands for all between, and has what cuts or names those.
+MOST_DEPTH = 128
+
 # fixed values: tags and names of HTML
 RAW = frozenset("script style noscript template iframe svg math textarea title xmp".split())
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
@@ -136,10 +141,17 @@ def attribute(attributes: str, name: str) -> str | None:
     """The value of an attribute by its whole name, references decoded; the first counts."""
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() == name:
-            return html.unescape(m[2] or m[3] or m[4] or "")
+            return decoded(m[2] or m[3] or m[4] or "")
     return None
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; a number of any length, which is no character beyond seven digits, is U+FFFD."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG.sub("\ufffd", _ZEROS.sub(lambda m: f"&#{m[1] or ''}", text)))
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, without what is no article text by its element."""
     found: list[Block] = []
@@ -147,20 +159,29 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     links = in_link = 0
+    depths: dict[str, int] = defaultdict(int)  # open elements by tag
+    known: dict[tuple[str, ...], tuple[str, ...]] = {}
 
     def flush() -> None:
         nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join(decoded("".join(parts)).split())
         if text:
-            found.append(Block(tuple(t for t, _ in stack), text, links, tuple(e for _, e in stack)))
+            top = stack if len(stack) <= MOST_DEPTH else [*stack[: MOST_DEPTH - 1], stack[-1]]
+            path = tuple(t for t, _ in top)
+            found.append(Block(known.setdefault(path, path), text, links, tuple(e for _, e in top)))
         parts.clear()
         links = 0
 
+    def close(to: int) -> None:
+        for t, _ in stack[to:]:
+            depths[t] -= 1
+        del stack[to:]
+
     for closing, tag, attributes, text in tokens(page):
         if text:
             parts.append(text)
             if in_link:
-                links += len(html.unescape(text).strip())
+                links += len(decoded(text).strip())
             continue
         if tag in RAW:
             continue
@@ -174,25 +195,31 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if depths[tag]:
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                close(at)
             continue
         if tag == "hr":
             continue
         if stack and stack[-1][0] == "head":
-            stack.pop()  # its end tag may be omitted
+            close(len(stack) - 1)  # its end tag may be omitted
         closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS_CLOSE_P else set())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in closes:
-                del stack[k:]
+                close(k)
                 if tag not in ("tr", "dt", "dd"):
                     break
             elif stack[k][0] in SCOPES:
                 break
         in_link = 0
         hidden, named = _signs(attributes) if attributes and tag not in ("html", "body") else (False, False)
-        cut = hidden or tag in NEVER or tag == "header" and not any(t in ("article", "main") for t, _ in stack)
+        cut = hidden or tag in NEVER or tag == "header" and not (depths["article"] or depths["main"])
+        if len(stack) >= MOST_DEPTH:
+            above = elements[stack[-1][1]]
+            cut, named = cut or above.cut, named or above.named
+        depths[tag] += 1
         stack.append((tag, len(elements)))
         elements.append(Element(tag, cut, named))
     flush()
@@ -237,7 +264,7 @@ def _smoothed(values: dict[tuple[str, ...], list[float]]) -> dict[tuple[str, ...
     """For each path, sums over all paths that halve with each tag by which two differ after their common part.
 
     Paths form a tree by their prefixes, and that is the distance in it: one pass to the root and one
-    back give all sums, in time that grows with the tags of the paths.
+    back give all sums, in time that grows with the tags of the different paths, MOST_DEPTH each at most.
     """
     width = len(next(iter(values.values()), []))
     below = {(): [0.0] * width}

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import html
 import json
 import re
 import uuid
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisfield.llm.html_paths import INLINE, RAW, attribute, tokens
+from axisfield.llm.html_paths import INLINE, RAW, attribute, decoded, tokens
 
 RECORD = T.StructType([T.StructField(n, t) for n, t in (
     ("record_type", T.StringType()), ("record_id", T.StringType()), ("refers_to", T.StringType()), ("target_uri", T.StringType()), ("warc_date", T.StringType()), ("content_type", T.StringType()),
@@ -132,7 +131,7 @@ def _read(page: str) -> tuple[str | None, list[dict], str]:
     for closing, tag, attributes, text in tokens(page, frozenset({"title"})):
         if text:
             if in_title and title is None:
-                title = " ".join(html.unescape(text).split())
+                title = " ".join(decoded(text).split())
             parts.append(" ".join(f"x{text}x".split())[1:-1])
             continue
         in_title = tag == "title" and not closing
@@ -140,7 +139,7 @@ def _read(page: str) -> tuple[str | None, list[dict], str]:
             links.append({"tag": tag, "url": url})
         if tag not in INLINE and tag != "a" and (tag not in RAW or tag == "title"):
             parts.append("\n")
-    lines = (" ".join(html.unescape(x).split()) for x in "".join(parts).split("\n"))
+    lines = (" ".join(decoded(x).split()) for x in "".join(parts).split("\n"))
     return title, links, "\n".join(x for x in lines if x)
 
 
@@ -163,7 +162,7 @@ def _record(kind: str, source: str, uri: str | None, date: str | None, content_t
     return {"record_type": kind, "record_id": own, "refers_to": source, "target_uri": uri, "warc_date": date, "content_type": content_type, "content_length": len(block), "block_digest": digest(block), "source_payload_digest": payload, "digest_holds": holds, "block": block, "record": head.encode() + block + b"\r\n\r\n"}
 
 
-def derivatives(record: bytes | None) -> list[dict]:
+def derivatives(record: bytes | None, most: int = MOST_BYTES) -> list[dict]:
     head, gap, rest = (record or b"").partition(b"\r\n\r\n")
     version, fields = headers(head)
     source, length = _get(fields, "WARC-Record-ID"), _get(fields, "Content-Length") or ""
@@ -176,11 +175,13 @@ def derivatives(record: bytes | None) -> list[dict]:
     stated = {"WARC-Block-Digest": (_get(fields, "WARC-Block-Digest"), block), "WARC-Payload-Digest": (_get(fields, "WARC-Payload-Digest"), body)}
     checks = [x for x in (holds(*pair) for pair in stated.values()) if x is not None]
     verified = all(checks) if checks else None
-    content = _decoded(body, sent)
+    content = _decoded(body, sent, most)
     kind = (_get(sent, "Content-Type") or "").lower()
     charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
     text = None if content is None or not kind.startswith(("text/", "application/xhtml")) else _text(content, charset[1] if charset else None)
     about = {"source": {"warc": fields, "http_status": status, "http": sent}, "digests": {k: a for k, (a, _) in stated.items()}, "digest_holds": verified}
+    if content is None:
+        about["undecoded"] = True
     plain = text
     if text is not None and "html" in kind:
         about["title"], about["links"], plain = _read(text)
@@ -191,8 +192,11 @@ def derivatives(record: bytes | None) -> list[dict]:
     return out
 
 
-def derive(responses: DataFrame, record: str = "record") -> DataFrame:
-    """A row per derivative record, with the other columns of its response (those named like a result are replaced)."""
+def derive(responses: DataFrame, record: str = "record", most: int = MOST_BYTES) -> DataFrame:
+    """A row per derivative record, with the other columns of its response (those named like a result are replaced).
+
+    A body that is over `most` bytes once inflated, or can't be decoded, has no conversion record; its metadata say "undecoded".
+    """
     kept = [f for f in responses.schema if f.name not in {record, *RECORD.names}]
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -202,7 +206,7 @@ def derive(responses: DataFrame, record: str = "record") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                made = [(i, d) for i, x in enumerate(some.column(record)) for d in derivatives(x.as_py())]
+                made = [(i, d) for i, x in enumerate(some.column(record)) for d in derivatives(x.as_py(), most)]
                 rows = pa.array([i for i, _ in made], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name).take(rows) for f in kept), *(pa.array([d[f.name] for _, d in made], t) for f, t in zip(RECORD, kinds, strict=True))], names=[*(f.name for f in kept), *RECORD.names])
 
@@ -217,8 +221,10 @@ def response_record(uri: Column, body: Column, date: str, content_type: str = "t
     http = F.concat(F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
     h = F.md5(F.concat_ws("\n", uri, body))
     own = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
+    # a line break in an address would be a header line of its own
+    safe = F.replace(F.replace(F.coalesce(uri, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), own, F.lit(">\r\nWARC-Target-URI: "), F.coalesce(uri, F.lit("")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Block-Digest: sha1:"), F.sha1(http.cast("binary")),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), own, F.lit(">\r\nWARC-Target-URI: "), safe, F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Block-Digest: sha1:"), F.sha1(http.cast("binary")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.sha1(body.cast("binary")), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(http).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, http, F.lit("\r\n\r\n")).cast("binary")
