@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisfield.queries import query, rounded, table
+from axisfield.sources import clouds
 from axisfield.sources import planar as P
 
 #: One frame a part: a square with a square hole, in a lattice; sizes are the parts'.
@@ -107,3 +106,15 @@ SELECT c_custkey, round(sum(w * d), 6) + 0.0 AS distance FROM e GROUP BY c_custk
 def planar_blurred_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance to the region blurred over each customer's own disk."""
     return rounded(P.with_blurred_distance(_customers(spark, sf_dir), P.boundary_edges(frames(spark, sf_dir))), ["c_custkey"], distance="distance")
+
+
+@query("WITH f AS (SELECT 0.3 + p_size / 250.0 AS s FROM part) SELECT 18 * count(*) AS triangles, round(sum(9 * s * s), 4) AS area, round(sum(12 * s), 4) AS length, count(*) AS loops FROM f")
+def planar_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen points a part, on a grid as wide as the part's size: the region they fill, its border and its loops."""
+    key = F.col("p_partkey")
+    at = table(spark, sf_dir, "part").select((4.0 * (key % 31)).alias("cx"), (4.0 * F.floor(key / 31)).alias("cy"), (0.3 + F.col("p_size") / 250.0).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    cloud = at.select((F.col("cx") + F.col("s") * (F.col("k") % 4)).alias("x"), (F.col("cy") + F.col("s") * F.floor(F.col("k") / 4)).alias("y"))
+    faces = clouds.triangulated(cloud, 0.45)
+    inner = faces.agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum(F.abs(P.signed_area())), 4).alias("area"))
+    rings = P.loops(P.boundary_edges(faces)).agg(F.round(F.sum("length"), 4).alias("length"), F.countDistinct("loop").alias("loops"))
+    return inner.crossJoin(rings)  # one row each
