@@ -93,3 +93,25 @@ def latent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", ((F.col("user_id") % 50) / 50.0).alias("x"), (F.hour("ts") / 24.0).alias("t"))
     model = latent.Contraction.of({"x": [sin(3.0 * X), X**2], "t": [exp(-T), 1.0 + T]}, 2)
     return rounded(model.diff("t").on_points(model.on_points(e, ["u"]), ["ut"]), ["event_id"], u="u", ut="ut")
+
+
+_TRACKED = """
+WITH o AS (SELECT user_id % 6 AS sensor, hour(ts)::DOUBLE AS t, avg(value) AS y FROM events GROUP BY ALL),
+b AS (SELECT *, (y - lag(y) OVER w) / (t - lag(t) OVER w) AS s1, (lead(y) OVER w - y) / (lead(t) OVER w - t) AS s2 FROM o WINDOW w AS (PARTITION BY sensor ORDER BY t)),
+h AS (SELECT sensor, t, y, coalesce((s1 + s2) / 2, s1, s2, 0.0) AS d FROM b),
+p AS (SELECT p_partkey AS id, p_size / 50.0 AS x, (p_partkey % 97) / 4.0 AS t FROM part),
+q AS (SELECT id, p.x, p.t, s AS sensor, 0.053 + s * 0.17 AS sx, row_number() OVER (PARTITION BY id ORDER BY abs(p.x - 0.053 - s * 0.17)) AS n FROM p, range(6) r(s)),
+l AS (SELECT q.id, q.sensor, max(h.t) AS tl FROM q JOIN h ON h.sensor = q.sensor AND h.t <= q.t WHERE n <= 3 GROUP BY ALL), r AS (SELECT q.id, q.sensor, min(h.t) AS tr FROM q JOIN h ON h.sensor = q.sensor AND h.t >= q.t WHERE n <= 3 GROUP BY ALL),
+v AS (SELECT q.id, q.x, q.t, sx, CASE WHEN tr IS NULL OR tl = tr THEN a.y ELSE (SELECT a.y * (1 + 2 * z) * (1 - z) * (1 - z) + (tr - tl) * a.d * z * (1 - z) * (1 - z) + c.y * z * z * (3 - 2 * z) - (tr - tl) * c.d * z * z * (1 - z) FROM (SELECT (q.t - tl) / (tr - tl) AS z)) END AS y
+  FROM q JOIN l USING (id, sensor) LEFT JOIN r USING (id, sensor) JOIN h a ON a.sensor = q.sensor AND a.t = tl LEFT JOIN h c ON c.sensor = q.sensor AND c.t = tr WHERE n <= 3)
+SELECT id, round(any_value(x + 0.1 * t) + any_value(x * (2 - x)) * sum((y - sx - 0.1 * t) / (sx * (2 - sx)) / ((x - sx) * (x - sx))) / sum(1 / ((x - sx) * (x - sx))), 5) + 0.0 AS u FROM v GROUP BY id"""
+
+
+@query(_TRACKED)
+def sensor_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that takes what groups of users did in each hour, as sensors on a line, and keeps its values where the gate is zero."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 6).alias("sensor"), F.hour("ts").cast("double").alias("t")).agg(F.avg("value").alias("value"))
+    sensors = e.select("sensor", (0.053 + F.col("sensor") * 0.17).alias("x")).distinct()
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x"), ((F.col("p_partkey") % 97) / 4.0).alias("t"))
+    out = E.sensor_tracks(rows, sensors, e, X + 0.1 * T, X * (2.0 - X), ["x"], k=3)
+    return out.select("id", (F.round("u", 5) + F.lit(0.0)).alias("u"))

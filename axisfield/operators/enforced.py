@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from axisfield.functions.expressions import ONE, Expr, add, lift
 from axisfield.operators import calculus as C
-from axisfield.operators.nonlocal_ops import inverse_distance
+from axisfield.operators.histories import track
+from axisfield.operators.nearby import numbered
+from axisfield.operators.nonlocal_ops import inverse_distance, nearest
 from axisfield.operators.residuals import flux
 
 Vector = list[Expr]
@@ -82,3 +84,28 @@ def pipelines(fields: dict[str, Expr], stages: dict[str, Callable[[dict[str, Exp
         if name in stages:
             done[name] = stages[name](done)
     return done
+
+
+def sensor_tracks(rows: DataFrame, sensors: DataFrame, observed: DataFrame, u: Expr, gate: Expr, names: Sequence[str], time: str = "t", k: int = 8, exponent: float = 2.0, snap: float = 1e-12, envelope: float | None = None, into: str = "u") -> DataFrame:
+    """Adds the field u + gate * (inverse-distance mean over the k nearest sensors of their gaps at the row's time, over their gates).
+
+    `sensors` has sensor and the columns `names`; `observed` has sensor, `time` and value, one row per sensor and time. A sensor's value between
+    its times is the cubic through them (`track`), so the field has the sensors' values at their places and times, and keeps what u meets
+    where the gate is zero. With an `envelope` weights are also damped by exp(-d^2 / envelope^2), and a row without near sensors keeps u.
+
+    Defined results: sensors without a place or an observation have no say; a row without a place, time or sensor has u itself; a gate of zero at
+    a sensor that is used is an error.
+    """
+    kept = [c for c in rows.columns if c != into]
+    asked = numbered(rows.select(*(F.col(f"`{c}`") for c in kept)))
+    seen = sensors.join(observed.select("sensor").distinct(), "sensor", "left_semi").select(*(F.col(n).cast("double").alias(n) for n in names), "sensor")
+    found = nearest(asked.where(F.col(time).isNotNull()), seen, "__row", names, k)
+    pairs = found.select("__row", F.col("distance2").alias("__d2"), "anchor.sensor", *(F.col(f"anchor.{n}").alias(n) for n in names)).join(asked.select("__row", time), "__row")
+    tracked = track(observed.select("sensor", F.col(time).cast("double").alias(time), F.col("value").cast("double").alias("value")), pairs.withColumn(time, F.col(time).cast("double")), ["sensor"], time, "value", into="__y")
+    size = gate.column()
+    gap = F.when(size == 0, F.raise_error(F.lit("the gate is zero at a sensor")).cast("double")).otherwise((F.col("__y") - u.column()) / size)
+    weight = F.pow(F.greatest("__d2", F.lit(1e-300)), F.lit(-exponent / 2))
+    damped = F.exp(-F.col("__d2") / F.lit(envelope * envelope)) if envelope else F.lit(1.0)
+    sums = tracked.withColumns({"__g": gap, "__w": weight}).groupBy("__row").agg(F.sum(F.col("__w") * F.col("__g") * damped).alias("__a"), F.sum("__w").alias("__b"), F.min(F.struct("__d2", "__g")).alias("__near"))
+    mean = F.when(F.col("__near.__d2") < snap, F.col("__near.__g")).otherwise(F.col("__a") / F.col("__b"))
+    return asked.join(sums, "__row", "left").select(*(F.col(f"`{c}`") for c in kept), (u.column() + F.coalesce(size * mean, F.lit(0.0))).alias(into))

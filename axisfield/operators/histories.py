@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisfield.operators.rules import rule_sum
+from axisfield.operators.series import BLOCK, adjacent, blocked, nearest_known
 
 
 def time_convolution(rows: DataFrame, time: str, kernel, value, nodes: int = 16, start: float = 0.0, into: str = "convolution") -> DataFrame:
@@ -146,26 +147,28 @@ def fractional_laplacian(rows: DataFrame, offsets: list[dict[str, float]], diffe
     return rows.withColumn(into, rule_sum(offsets, lambda e: difference(e) / F.pow(radius(e), F.lit(dim + order)) * e["w"]))
 
 
+def slopes(observed: DataFrame, series: list[str], time: str, value: str, into: str = "slope") -> DataFrame:
+    """Adds the mean of the secants to the rows before and after, one-sided at the ends; `observed` has one row per series and time."""
+    near = adjacent(blocked(observed, series, [time]), series, [time], F.struct(F.col(time).alias("t"), F.col(value).alias("y")))
+    secant = lambda p: (F.col(value) - F.col(f"{p}.y")) / (F.col(time) - F.col(f"{p}.t"))
+    before, after = secant("__back"), secant("__ahead")
+    return near.withColumn(into, F.coalesce((before + after) / F.lit(2.0), before, after, F.lit(0.0))).drop("__back", "__ahead", BLOCK)
+
+
 def track(observed: DataFrame, asked: DataFrame, series: list[str], time: str, value: str, into: str = "tracked") -> DataFrame:
-    """Cubic Hermite values of each series at the asked times, by one sorted pass over both kinds of rows.
+    """Cubic Hermite values of each series at the asked times, by one sorted pass over both kinds of rows, in blocks of time.
 
-    `observed` has one row per series and time. Slopes are means of the two neighbouring secants, one-sided
-    at the ends; outside the observed times the end value holds, and an unobserved series is null.
+    `observed` has one row per series and time. Outside the observed times the end value holds, and an unobserved series is null.
     """
-    line = Window.partitionBy(*series).orderBy(time)
-    t, y = F.col(time), F.col(value)
-    before = (y - F.lag(value).over(line)) / (t - F.lag(time).over(line))
-    after = (F.lead(value).over(line) - y) / (F.lead(time).over(line) - t)
-    slope = F.coalesce((before + after) / F.lit(2.0), before, after, F.lit(0.0))
-    known = observed.select(*series, time, F.struct(t.alias("t"), y.alias("y"), slope.alias("d")).alias("__o"))
-    both = known.withColumn("__q", F.lit(None).cast(asked.withColumn("q", F.struct(*asked.columns)).schema["q"].dataType)).unionByName(asked.select(*series, time, F.struct(*asked.columns).alias("__q")), allowMissingColumns=True)
-    order = Window.partitionBy(*series).orderBy(time, F.col("__q").isNotNull())
-    left = F.last("__o", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("__o", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    ends = both.withColumn("__l", left).withColumn("__r", right).where("__q is not null")
+    found = slopes(observed.select(*series, F.col(time).alias("__time"), F.col(value).alias("__value")), series, "__time", "__value")
+    known = found.select(*series, F.col("__time").alias("__at"), F.lit(0).alias("__kind"), F.struct(F.col("__time").alias("t"), F.col("__value").alias("y"), F.col("slope").alias("d")).alias("__o"))
+    places = asked.select(*series, F.col(time).alias("__at"), F.lit(1).alias("__kind"), F.struct(*(F.col(f"`{c}`") for c in asked.columns)).alias("__q"))
+    both = blocked(known.unionByName(places, allowMissingColumns=True), series, ["__at", "__kind"])
+    # a row of the same time comes before the asked one, whose value is then the left end's
+    ends = nearest_known(both, series, ["__at", "__kind"], "__o", last="__l", first="__r").where("__kind = 1")
     a, b = F.col("__l"), F.col("__r")
     h = b.t - a.t
-    s = (F.col(time) - a.t) / h
+    s = (F.col("__at") - a.t) / h
     cubic = a.y * (1 + 2 * s) * (1 - s) * (1 - s) + h * a.d * s * (1 - s) * (1 - s) + b.y * s * s * (3 - 2 * s) - h * b.d * s * s * (1 - s)
     out = F.when(a.isNull(), b.y).when(b.isNull() | (h == 0), a.y).otherwise(cubic)
     return ends.select("__q.*", out.alias(into))

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
+from axisfield.operators.series import BLOCK, adjacent, blocked, nearest_known
 from axisfield.plans.tables import written
 
 #: Rows up to which a side of an all-pairs operator is broadcast; a larger one is shuffled in blocks. Anchors of a packed block.
@@ -133,22 +134,23 @@ def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, name
 
 
 def delay(rows: DataFrame, series: str, time: str, value: str, tau: float, into: str = "delayed") -> DataFrame:
-    """The last value at or before time - tau within a series, by one sorted pass over both kinds of rows.
+    """The last value at or before time - tau within a series, by one sorted pass over both kinds of rows, in blocks of time.
 
-    Each observation is also an event at time + tau; the running last event is the as-of value.
+    Each observation is also an event at time + tau; the last known event is the as-of value. A null value is no observation.
     """
     asked = rows.select(*rows.columns, F.lit(1).alias("__kind"), F.col(time).alias("__at"), F.lit(None).cast(rows.schema[value].dataType).alias("__v"))
     came = rows.select(*rows.columns, F.lit(0).alias("__kind"), (F.col(time) + F.lit(tau)).alias("__at"), F.col(value).alias("__v"))
-    upto = Window.partitionBy(series).orderBy("__at", "__kind", value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return came.union(asked).withColumn(into, F.last("__v", ignorenulls=True).over(upto)).where("__kind = 1").drop("__kind", "__at", "__v")
+    order = ["__at", "__kind", value]
+    both = blocked(came.union(asked), [series], order)
+    return nearest_known(both, [series], order, "__v", last=into).where("__kind = 1").drop("__kind", "__at", "__v", BLOCK)
 
 
-def stencil(rows: DataFrame, partition: list[str], order: str, value: str, step: Column, into: str = "derivative") -> DataFrame:
-    """Centred differences inside, one-sided at the ends, within each line of a grid."""
-    line = Window.partitionBy(*partition).orderBy(order)
-    back, ahead, here = F.lag(value).over(line), F.lead(value).over(line), F.col(value)
+def stencil(rows: DataFrame, partition: list[str], order: str, value: str, step: Column, into: str = "derivative", periodic: bool = False) -> DataFrame:
+    """Centred differences inside, one-sided at the ends (or across them, if periodic), within each line of a grid, in blocks of it."""
+    near = adjacent(blocked(rows, partition, [order]), partition, [order], F.col(value), periodic)
+    back, ahead, here = F.col("__back"), F.col("__ahead"), F.col(value)
     d = F.when(back.isNull() & ahead.isNull(), F.lit(0.0)).when(back.isNull(), (ahead - here) / step).when(ahead.isNull(), (here - back) / step).otherwise((ahead - back) / (step * F.lit(2.0)))
-    return rows.withColumn(into, d)
+    return near.withColumn(into, d).drop("__back", "__ahead", BLOCK)
 
 
 def differences(rows: DataFrame, partition: list[str], order: str, value: str, step: Column, n: int, into: str = "derivative") -> DataFrame:

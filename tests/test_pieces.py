@@ -131,3 +131,18 @@ def test_integrals_without_a_grid(spark):
     grid = (x[:, None] * y[None] + x[:, None] ** 2 * np.exp(y[None]))[x >= 0.5]
     assert got.u == pytest.approx(grid.sum() * 0.02 / 30) and got.total_weight == pytest.approx(0.5)
     assert model.integrals({k: v.where("false") for k, v in axes.items()}, ["u"]).first().u == 0.0
+
+
+def test_sensor_tracks_are_met(spark):
+    """Linear and constant tracks, values at sensors and times, rows and sensors that are missing."""
+    sensors = spark.createDataFrame([("a", 0.2), ("b", 0.7), ("gone", None), ("mute", 0.5)], "sensor string, x double")
+    seen = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 2.0), ("b", 0.5, 3.0), ("gone", 0.0, 9.0)], "sensor string, t double, value double")
+    u, gate = X * 0.0 + 1.0, X * (1.0 - X)
+    rows = spark.createDataFrame([(0.2, 0.25, "s"), (0.2, 1.0, "s"), (0.7, 9.0, "s"), (0.0, 0.3, "edge"), (1.0, 0.3, "edge"), (0.4, None, "no"), (None, 0.1, "no"), (0.4, 0.5, "in")], "x double, t double, `k.k` string")
+    got = {(r.x, r.t): r.u for r in E.sensor_tracks(rows, sensors, seen, u, gate, ["x"]).collect()}
+    assert got[0.2, 0.25] == pytest.approx(0.5) and got[0.2, 1.0] == pytest.approx(2.0) and got[0.7, 9.0] == pytest.approx(3.0)
+    assert got[0.0, 0.3] == got[1.0, 0.3] == got[0.4, None] == got[None, 0.1] == 1.0
+    w = (0.2**-2, 0.3**-2)
+    assert got[0.4, 0.5] == pytest.approx(1 + 0.24 * (w[0] * 0.0 / 0.16 + w[1] * 2.0 / 0.21) / sum(w))
+    near = {(r.x, r.t): r.u for r in E.sensor_tracks(rows, sensors, seen, u, gate, ["x"], envelope=0.01).collect()}
+    assert near[0.7, 9.0] == pytest.approx(3.0) and near[0.4, 0.5] == pytest.approx(1.0, abs=1e-6)
