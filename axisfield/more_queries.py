@@ -14,7 +14,7 @@ from axisfield.operators import jets
 from axisfield.operators import nonlocal_ops as N
 from axisfield.operators import residuals as S
 from axisfield.operators import spectral
-from axisfield.queries import POINTS, W2, X, Y, Z, points, query, rounded, sql_of, table
+from axisfield.queries import _LINES, _MIRRORED, POINTS, W2, X, Y, Z, lines, points, query, rounded, sql_of, table
 from axisfield.sources import balls
 from axisfield.sources import grids as G
 from axisfield.sources import meshes as M
@@ -58,34 +58,28 @@ def turned_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points(spark, sf_dir), ["id"], tx=C.surface_curl_scalar(X * Y * Z, n, "xyz")[0])
 
 
-_LINES = "WITH l AS (SELECT p_partkey AS line, p_size / 10.0::DOUBLE AS a FROM part)"
-
-
 @query(_LINES + ", g AS (SELECT line, a, i FROM l, range(33) t(i)) SELECT line, i::BIGINT AS i, round(-a * 3 * pi() * sin(3 * pi() * i / 32), 5) + 0.0 AS first, round(-a * 9 * pi() * pi() * cos(3 * pi() * i / 32), 4) + 0.0 AS second FROM g")
 def cosine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derivatives of cosine lines, one line a part."""
-    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), (F.col("p_size") / 10.0).alias("a"))
-    grid = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("u", F.col("a") * F.cos(F.lit(3 * math.pi / 32) * F.col("i")))
+    grid = lines(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(32)))).withColumn("u", F.col("a") * F.cos(F.lit(3 * math.pi / 32) * F.col("i")))
     one, two = (spectral.line_derivative(grid, "cosine", ["line"], "i", "u", 1 / 32, order, into=name) for order, name in ((1, "first"), (2, "second")))
     return one.join(two, ["line", "i"]).select("line", "i", (F.round("first", 5) + F.lit(0.0)).alias("first"), (F.round("second", 4) + F.lit(0.0)).alias("second"))
 
 
 @query(_LINES + ", g AS (SELECT line, a, i FROM l, range(32) t(i)) SELECT line, i::BIGINT AS i, round(a * 4 * pi() * cos(4 * pi() * (i + 0.5) / 32), 5) + 0.0 AS first FROM g")
 def sine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), (F.col("p_size") / 10.0).alias("a"))
-    grid = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn("u", F.col("a") * F.sin(F.lit(4 * math.pi / 32) * (F.col("i") + F.lit(0.5))))
+    grid = lines(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn("u", F.col("a") * F.sin(F.lit(4 * math.pi / 32) * (F.col("i") + F.lit(0.5))))
     out = spectral.line_derivative(grid, "sine", ["line"], "i", "u", 1 / 32, into="first")
     return out.select("line", "i", (F.round("first", 5) + F.lit(0.0)).alias("first"))
 
 
-@query("""
-WITH g AS (SELECT i, pow(i / 16.0::DOUBLE, 3) AS u FROM range(17) t(i)),
-a AS (SELECT i, CASE WHEN i = 0 THEN (lead(u) OVER o - u) * 16 WHEN i = 16 THEN (u - lag(u) OVER o) * 16 ELSE (lead(u) OVER o - lag(u) OVER o) * 8 END AS u FROM g WINDOW o AS (ORDER BY i))
-SELECT i, round(CASE WHEN i = 0 THEN (lead(u) OVER o - u) * 16 WHEN i = 16 THEN (u - lag(u) OVER o) * 16 ELSE (lead(u) OVER o - lag(u) OVER o) * 8 END, 6) + 0.0 AS derivative FROM a WINDOW o AS (ORDER BY i)""")
+@query(_LINES + """, g AS (SELECT line, i, a * pow(i / 16.0::DOUBLE, 3) AS u FROM l, range(17) t(i)),
+a AS (SELECT line, i, CASE WHEN i = 0 THEN (lead(u) OVER o - u) * 16 WHEN i = 16 THEN (u - lag(u) OVER o) * 16 ELSE (lead(u) OVER o - lag(u) OVER o) * 8 END AS u FROM g WINDOW o AS (PARTITION BY line ORDER BY i))
+SELECT line, i, round(CASE WHEN i = 0 THEN (lead(u) OVER o - u) * 16 WHEN i = 16 THEN (u - lag(u) OVER o) * 16 ELSE (lead(u) OVER o - lag(u) OVER o) * 8 END, 5) + 0.0 AS derivative FROM a WINDOW o AS (PARTITION BY line ORDER BY i)""")
 def second_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second derivative by repeated centred differences."""
-    grid = spark.range(17).select(F.col("id").alias("i"), F.lit(0).alias("line"), F.pow(F.col("id") / 16, F.lit(3.0)).alias("u"))
-    return rounded(N.differences(grid, ["line"], "i", "u", F.lit(1 / 16), 2), ["i"], derivative="derivative")
+    """A second derivative by repeated centred differences, a line a part."""
+    grid = lines(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long")))).withColumn("u", F.col("a") * F.pow(F.col("i") / 16, F.lit(3.0)))
+    return N.differences(grid, ["line"], "i", "u", F.lit(1 / 16), 2).select("line", "i", (F.round("derivative", 5) + F.lit(0.0)).alias("derivative"))
 
 
 @query(POINTS + f" SELECT id, round(x*{math.pi * 0.09!r}, 2) + 0.0 AS first, round({math.pi * 0.3**4 / 4!r} + x*y*0, 4) + 0.0 AS second, round({4 / 3 * math.pi * 0.008!r}*z, 6) + 0.0 AS volume FROM p")
@@ -167,26 +161,26 @@ def nearest_inverse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.inverse_distance_nearest(c, s, "c_custkey", ["x", "y"], "v", 3), ["c_custkey"], idw="idw")
 
 
-_SOBOL = "SELECT i, round(i % 2 * 0.5 + i // 2 % 2 * 0.25 + i // 4 % 2 * 0.125 + i // 8 % 2 * 0.0625 + i // 16 % 2 / 32.0::DOUBLE, 6) + 0.0 AS x FROM range(32) t(i)"
-
-
-@query(_SOBOL)
+@query(f"SELECT i, round(2 * v, 6) + 0.0 AS x FROM ({_MIRRORED.format(b=2)})")
 def sobol_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first column of the sequence, by each part's key."""
     from axisfield.sources import samplers
 
-    return rounded(samplers.sobol_points(spark, 32, ["x"], [0.0], [1.0]), ["i"], x="x")
+    return rounded(table(spark, sf_dir, "part"), [F.col("p_partkey").alias("i")], x=samplers.sobol_at(F.col("p_partkey"), ["x"], [0.0], [2.0])[0])
 
 
 @query("""
 WITH x AS (SELECT (i + 0.5::DOUBLE) / 24.0 AS x FROM range(32) t(i)), y AS (SELECT j / 16.0::DOUBLE AS y, CASE WHEN j IN (0, 16) THEN 1 / 32.0::DOUBLE ELSE 1 / 16.0::DOUBLE END AS w FROM range(17) s(j))
-SELECT round(sum(CASE WHEN y > 0 AND 0.75 * x + y < 1 THEN w / 24 ELSE 0 END), 6) AS area, count(*) AS nodes FROM x, y""")
+SELECT n_nationkey, round(pow(1 + n_nationkey / 10.0, 2) * sum(CASE WHEN y > 0 AND 0.75 * x + y < 1 THEN w / 24 ELSE 0 END), 6) AS area, count(*) AS nodes FROM x, y, nation GROUP BY n_nationkey""")
 def masked_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid over a triangle's box with the mask of nodes inside: the weights of those."""
+    """A grid over a triangle's box with the mask of nodes inside: the weights of those, at each nation's scale."""
     from axisfield.sources import shapes
 
     grid = shapes.triangle([(0, 0), (4 / 3, 0), (0, 1)]).grid(G.axis(spark, "sine", 32, 0.0, 4 / 3), G.axis(spark, "uniform", 17, label="y"))
-    area = F.sum(F.col("w") * F.col("mask").cast("double"))
-    return grid.agg(F.round(area, 6).alias("area"), F.count(F.lit(1)).alias("nodes"))
+    scale = F.lit(1.0) + F.col("n_nationkey") / 10.0
+    scaled = table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(F.broadcast(grid))  # a declared number of nodes
+    area = F.sum(scale * scale * F.col("w") * F.col("mask").cast("double"))
+    return scaled.groupBy("n_nationkey").agg(F.round(area, 6).alias("area"), F.count(F.lit(1)).alias("nodes"))
 
 
 @query(POINTS + """, a(ax, ay, v) AS (VALUES (0.21::DOUBLE, 0.34::DOUBLE, 1.0::DOUBLE), (0.75, 0.5, -1.0), (0.5, 0.9, 2.0)), r AS (SELECT ax, ay, (v - ax*ax - ay) / (1 - ax*ax) AS r FROM a),

@@ -13,7 +13,7 @@ from axisfield.operators import enforced as E
 from axisfield.operators import histories as H
 from axisfield.operators import residuals as S
 from axisfield.plans import fitting
-from axisfield.queries import POINTS, T, W2, X, Y, Z, points, query, rounded, sql_of, table
+from axisfield.queries import _ELEVATION, POINTS, T, W2, X, Y, Z, elevation, points, query, rounded, sql_of, table
 from axisfield.sources import grids as G
 from axisfield.sources import meshes as M
 from axisfield.sources import samplers
@@ -147,11 +147,12 @@ def hermite_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.col("t").alias("at"), (F.round("tracked", 4) + F.lit(0.0)).alias("tracked"))
 
 
-@query("SELECT 36::BIGINT * 30 AS vertices, 2::BIGINT * 29 * 35 AS faces, round(29.0 * 35 * sqrt(1 + 0.25 + 4.0), 4) AS area")
+@query(_ELEVATION + """, c AS (SELECT a.z AS z00, b.z AS z10, d.z AS z11, e.z AS z01 FROM g a JOIN g b ON b.q = a.q + 1 JOIN g d ON d.q = a.q + 37 JOIN g e ON e.q = a.q + 36 WHERE a.ix < 35)
+SELECT (SELECT count(*) FROM g) AS vertices, 2 * count(*) AS faces, round(sum(sqrt(1 + pow(z10 - z00, 2) + pow(z11 - z10, 2)) + sqrt(1 + pow(z11 - z01, 2) + pow(z01 - z00, 2))) / 2, 4) AS area FROM c""")
 def mesh_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The area of a tilted elevation grid's triangles."""
-    grid = spark.range(30 * 36).select(F.floor(F.col("id") / 36).alias("iy"), (F.col("id") % 36).alias("ix"))
-    v = grid.select((F.col("iy") * 36 + F.col("ix")).alias("vid"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), (F.col("ix") * 0.5 + F.col("iy") * 2.0).alias("z"))
+    """The area of the triangles of the customers' elevation grid."""
+    grid = elevation(spark, sf_dir)
+    v = grid.select("vid", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), "z")
     f = M.corners(G.grid_faces(grid, 36), v).agg(F.count(F.lit(1)).alias("faces"), F.round(F.sum(M.area()), 4).alias("area"))
     return v.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(f)  # one row each
 
@@ -159,11 +160,12 @@ def mesh_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 _U = "('0x' || substr(md5(concat_ws('/', i, {k}, 0)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
 
 
-@query("WITH p AS (SELECT -1 + 2.0 * (" + _U.format(k=0) + ") AS x, -1 + 2.0 * (" + _U.format(k=1) + ") AS y FROM range(20000) t(i)) SELECT round(sum(CASE WHEN x*x + y*y <= 1 THEN 4.0 / 20000 ELSE 0 END), 6) AS area FROM p")
+@query("WITH p AS (SELECT -1 + 2.0 * (" + _U.format(k=0) + ") AS x, -1 + 2.0 * (" + _U.format(k=1) + ") AS y FROM (SELECT o_orderkey AS i FROM orders)) SELECT round(4.0 * avg(CASE WHEN x*x + y*y <= 1 THEN 1.0 ELSE 0.0 END), 6) AS area FROM p")
 def sampled_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The measure of a disk by uniform points; about pi."""
+    """The measure of a disk by a uniform point for each order; about pi."""
+    p = table(spark, sf_dir, "orders").select(*samplers.uniform_at(F.col("o_orderkey"), ["x", "y"], [-1.0, -1.0], [1.0, 1.0]))
     inside = F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1
-    return rounded(samplers.sampled(spark, "uniform", 20000, ["x", "y"], [-1.0, -1.0], [1.0, 1.0], inside, 4.0).agg(F.sum("w").alias("area")), [], area="area")
+    return rounded(p.agg((F.avg(inside.cast("double")) * 4.0).alias("area")), [], area="area")
 
 
 @query("SELECT round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 4) + 0.0 AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 4) + 0.0 AS intercept FROM lineitem")

@@ -68,39 +68,45 @@ def masked_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.means(df, {"mean_price": (price, None), "masked_tax": (F.col("l_tax"), F.col("l_discount") > 0.05)}, "l_quantity", keep).select(*keep, F.round("mean_price", 4).alias("mean_price"), F.round("masked_tax", 6).alias("masked_tax"))
 
 
-_AXES = "SELECT '{k}' AS kind, i, round({x}, 6) + 0.0 AS x, round({w}, 6) + 0.0 AS w FROM range(12) t(i)"
+#: Each nation's range of customer balances, as the interval of an axis.
+_RANGES = "WITH b AS (SELECT c_nationkey AS nation, min(c_acctbal) / 10000.0 AS lo, max(c_acctbal) / 10000.0 AS hi FROM customer GROUP BY ALL)"
+_AXES = "SELECT '{k}' AS kind, nation, i, round(lo + (hi - lo) * {x}, 6) + 0.0 AS x, round((hi - lo) * {w}, 6) + 0.0 AS w FROM b, range(12) t(i)"
 
 
-@query(" UNION ALL ".join(_AXES.format(k=k, x=x, w=w) for k, x, w in (
-    ("uniform", "-1 + 3.0 * i / 11", "CASE WHEN i IN (0, 11) THEN 1.5 / 11 ELSE 3.0 / 11 END"), ("fourier", "-1 + 3.0 * i / 12", "3.0 / 12"), ("sine", "-1 + 3.0 * (i + 0.5) / 12", "3.0 / 12"), ("cosine", "-1 + 3.0 * i / 11", "CASE WHEN i IN (0, 11) THEN 1.5 / 11 ELSE 3.0 / 11 END"))).replace("3.0", "3.0::DOUBLE").replace("1.5", "1.5::DOUBLE"))
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((F.min("c_acctbal") / 10000.0).alias("lo"), (F.max("c_acctbal") / 10000.0).alias("hi"))
+
+
+@query(_RANGES + " UNION ALL ".join(_AXES.format(k=k, x=x, w=w) for k, x, w in (
+    ("uniform", "i / 11.0::DOUBLE", "CASE WHEN i IN (0, 11) THEN 0.5::DOUBLE / 11 ELSE 1.0::DOUBLE / 11 END"), ("fourier", "i / 12.0::DOUBLE", "1.0::DOUBLE / 12"), ("sine", "(i + 0.5::DOUBLE) / 12", "1.0::DOUBLE / 12"), ("cosine", "i / 11.0::DOUBLE", "CASE WHEN i IN (0, 11) THEN 0.5::DOUBLE / 11 ELSE 1.0::DOUBLE / 11 END"))))
 def axis_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uniform, periodic, cell-centred and endpoint axes with their weights."""
-    out = None
+    """Uniform, periodic, cell-centred and endpoint axes over each nation's range of balances, with their weights."""
+    out, b = None, ranges(spark, sf_dir)
     for kind in ("uniform", "fourier", "sine", "cosine"):
-        one = rounded(G.axis(spark, kind, 12, -1.0, 2.0).withColumn("kind", F.lit(kind)), ["kind", "i"], x="x", w="w")
+        one = rounded(G.axes_of(b, kind, 12, F.col("lo"), F.col("hi")).withColumn("kind", F.lit(kind)), ["kind", "nation", "i"], x="x", w="w")
         out = one if out is None else out.union(one)
     return out
 
 
-@query("SELECT 'gauss' AS rule, round(3.0::DOUBLE, 6) AS x2, round((exp(2.0::DOUBLE) - exp(-1.0::DOUBLE)), 6) AS expo UNION ALL SELECT 'radau', 3.0, round((exp(2.0::DOUBLE) - exp(-1.0::DOUBLE)), 6) UNION ALL SELECT 'lobatto', 3.0, round((exp(2.0::DOUBLE) - exp(-1.0::DOUBLE)), 6)")
+@query(_RANGES + " SELECT rule, nation, round((pow(hi, 3) - pow(lo, 3)) / 3, 6) + 0.0 AS x2, round(exp(hi) - exp(lo), 6) + 0.0 AS expo FROM b, (VALUES ('gauss'), ('radau'), ('lobatto')) r(rule)")
 def legendre_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrals on [-1, 2] by Gauss, Radau and Lobatto nodes."""
-    out = None
+    """Integrals over each nation's range of balances by Gauss, Radau and Lobatto nodes."""
+    out, b = None, ranges(spark, sf_dir)
     for rule in ("gauss", "radau", "lobatto"):
-        df = G.axis(spark, "legendre", 10, -1.0, 2.0, rule=rule).withColumn("rule", F.lit(rule))
-        one = R.integrals(df, {"x2": F.col("x") * F.col("x"), "expo": F.exp("x")}, keep=["rule"])
-        one = rounded(one, ["rule"], x2="x2", expo="expo")
+        df = G.axes_of(b, "legendre", 10, F.col("lo"), F.col("hi"), rule=rule).withColumn("rule", F.lit(rule))
+        one = rounded(R.integrals(df, {"x2": F.col("x") * F.col("x"), "expo": F.exp("x")}, keep=["rule", "nation"]), ["rule", "nation"], x2="x2", expo="expo")
         out = one if out is None else out.union(one)
     return out
 
 
-@query("WITH g AS (SELECT i, i / 32.0::DOUBLE AS x FROM range(32) t(i)), m AS (SELECT j, j / 8.0::DOUBLE AS t FROM range(9) s(j)) SELECT j, round(sum(sin(2 * pi() * x) * sin(2 * pi() * x) * t / 32), 6) + 0.0 AS integral FROM g, m GROUP BY j")
+@query("WITH g AS (SELECT i, i / 32.0::DOUBLE AS x FROM range(32) t(i)), m AS (SELECT hour(ts) AS j, sum(value) / 7.3 / count(*) AS t FROM events GROUP BY ALL) SELECT j, round(sum(sin(2 * pi() * x) * sin(2 * pi() * x) * t / 32), 6) + 0.0 AS integral FROM g, m GROUP BY j")
 def product_grid_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A product grid, integrated over one axis and kept on the other."""
-    x, t = G.axis(spark, "fourier", 32), G.axis(spark, "uniform", 9, label="t").withColumn("w", F.lit(1.0))
+    """The product of a periodic axis with the hours of the events, integrated over the first and kept on the other."""
+    x = G.axis(spark, "fourier", 32)
+    t = table(spark, sf_dir, "events").groupBy(F.hour("ts").alias("i")).agg((F.sum("value") / 7.3 / F.count(F.lit(1))).alias("t")).withColumn("w", F.lit(1.0))
     grid = G.product(x, t, names=["x", "t"])
     wave = F.sin(F.lit(2 * math.pi) * F.col("x"))
-    return rounded(R.integral(grid, wave * wave * F.col("t"), keep=["i_t"]).withColumnRenamed("i_t", "j"), ["j"], integral="integral")
+    return R.integral(grid, wave * wave * F.col("t"), keep=["i_t"]).select(F.col("i_t").alias("j"), (F.round("integral", 6) + F.lit(0.0)).alias("integral"))
 
 
 U = sin(X * 3.0) * exp(Y * 0.5) + X * Y * Z + cos(T) * X**2
@@ -164,19 +170,30 @@ def stencil_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.stencil(e, ["user_id"], "o", "value", F.lit(1.0)), ["event_id"], derivative="derivative")
 
 
-@query("SELECT i, round(2 * pi() * cos(2 * pi() * i / 32), 6) + 0.0 AS derivative FROM range(32) t(i)")
+_LINES = "WITH l AS (SELECT p_partkey AS line, p_size / 10.0::DOUBLE AS a FROM part)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), (F.col("p_size") / 10.0).alias("a"))
+
+
+@query(_LINES + " SELECT line, i::BIGINT AS i, round(a * 2 * pi() * cos(2 * pi() * i / 32), 5) + 0.0 AS derivative FROM l, range(32) t(i)")
 def fourier_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = G.axis(spark, "fourier", 32).withColumn("u", F.sin(F.lit(2 * math.pi) * F.col("x")))
-    return rounded(spectral.line_derivative(df, "fourier", [], "i", "u", 1 / 32), ["i"], derivative="derivative")
+    """A periodic line a part, by its Fourier sum."""
+    df = lines(spark, sf_dir).crossJoin(F.broadcast(G.axis(spark, "fourier", 32))).withColumn("u", F.col("a") * F.sin(F.lit(2 * math.pi) * F.col("x")))
+    out = spectral.line_derivative(df, "fourier", ["line"], "i", "u", 1 / 32)
+    return out.select("line", F.col("i").cast("long").alias("i"), (F.round("derivative", 5) + F.lit(0.0)).alias("derivative"))
+
+
+_GAUSS = [float(x) for x in (np.polynomial.legendre.leggauss(12)[0] + 1) / 2]
 
 
-@query("SELECT i, 0.0::DOUBLE AS residual FROM range(12) t(i)")
+@query(_LINES + ", g(i, x) AS (VALUES " + ", ".join(f"({k}::BIGINT, {x!r}::DOUBLE)" for k, x in enumerate(_GAUSS)) + ") SELECT line, i, round(30 * a * pow(x, 4), 4) + 0.0 AS derivative FROM l, g")
 def polynomial_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second derivative of a sixth power on Gauss nodes; the residual is zero to rounding."""
-    df = G.axis(spark, "legendre", 12).withColumn("u", F.pow("x", F.lit(6.0)))
-    nodes = (np.polynomial.legendre.leggauss(12)[0] + 1) / 2
-    out = spectral.line_derivative(df, "nodes", [], "i", "u", order=2, nodes=nodes).join(df.select("i", "x"), "i")
-    return rounded(out, ["i"], residual=F.col("derivative") - F.lit(30.0) * F.pow("x", F.lit(4.0)))
+    """Second derivatives of a sixth power a part, on Gauss nodes."""
+    df = G.axes_of(lines(spark, sf_dir), "legendre", 12, F.lit(0.0), F.lit(1.0)).withColumn("u", F.col("a") * F.pow("x", F.lit(6.0)))
+    out = spectral.line_derivative(df, "nodes", ["line"], "i", "u", order=2, nodes=np.array(_GAUSS))
+    return out.select("line", F.col("i").cast("long").alias("i"), (F.round("derivative", 4) + F.lit(0.0)).alias("derivative"))
 
 
 @query("""
@@ -229,26 +246,27 @@ def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT 2 * pi() * i / 256 AS a FROM range(256) t(i)), p AS (SELECT cos(a) AS x, sin(a) AS y FROM b)
-SELECT round(avg(pow(x*x - y*y - 1, 2)), 6) AS dirichlet, round(avg(pow(2*x*x - 2*y*y, 2)), 6) AS neumann, round(avg(pow(2*(x*x - y*y) + 0.5*(2*x*x - 2*y*y), 2)), 6) AS robin,
-       round(2 * pi() * avg(pow(x*x - y*y - 1, 2)), 6) AS dirichlet_integral, round(avg(2*x*x - 2*y*y) * 2 * pi(), 6) + 0.0 AS flux FROM p""")
+WITH b AS (SELECT 0.5 + p_size / 50.0::DOUBLE AS r, 2 * pi() * i / 64 AS a FROM part, range(64) t(i)), p AS (SELECT r, r * cos(a) AS x, r * sin(a) AS y, 2 * pi() * r / 64 AS w FROM b)
+SELECT round(avg(pow(x*x - y*y - 1, 2)), 6) AS dirichlet, round(avg(pow((2*x*x - 2*y*y) / r, 2)), 6) AS neumann, round(avg(pow(2*(x*x - y*y) + 0.5*(2*x*x - 2*y*y) / r, 2)), 6) AS robin,
+       round(sum(w * pow(x*x - y*y - 1, 2)), 3) AS dirichlet_integral, round(sum(w * (x * x * x - y * y * y) / r), 3) + 0.0 AS flux FROM p""")
 def boundary_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirichlet, Neumann and Robin residuals and a flux on the unit circle."""
-    angle = F.lit(2 * math.pi) * F.col("id") / F.lit(256.0)
-    ring = spark.range(256).select(F.cos(angle).alias("x"), F.sin(angle).alias("y"))
-    u, n = X**2 - Y**2, [X, Y]
+    """Dirichlet, Neumann and Robin residuals and a flux on a ring around each part, as wide as the part's size."""
+    angle = F.lit(2 * math.pi) * F.col("k") / F.lit(64.0)
+    ring = table(spark, sf_dir, "part").select((0.5 + F.col("p_size") / 50.0).alias("r"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    ring = ring.withColumns({"nx": F.cos(angle), "ny": F.sin(angle)}).withColumns({"x": F.col("r") * F.col("nx"), "y": F.col("r") * F.col("ny"), "w": F.col("r") * F.lit(2 * math.pi / 64)})
+    u, n = X**2 - Y**2, [Label("nx"), Label("ny")]
     un = C.dot(C.grad(u, "xy"), n)
-    square = lambda e: e.column() * e.column()
-    out = ring.agg(F.avg(square(u - 1.0)).alias("dirichlet"), F.avg(square(un)).alias("neumann"), F.avg(square(2.0 * u + 0.5 * un)).alias("robin"), F.avg(un.column() * F.lit(2 * math.pi)).alias("flux"))
-    out = out.withColumn("dirichlet_integral", F.col("dirichlet") * F.lit(2 * math.pi))
-    return rounded(out, [], **{c: c for c in out.columns})
+    square, w = lambda e: e.column() * e.column(), F.col("w")
+    flux = C.dot([X**2, -(Y**2)], n).column()
+    out = ring.agg(F.avg(square(u - 1.0)).alias("dirichlet"), F.avg(square(un)).alias("neumann"), F.avg(square(2.0 * u + 0.5 * un)).alias("robin"), F.sum(w * square(u - 1.0)).alias("di"), F.sum(w * flux).alias("fl"))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("dirichlet", "neumann", "robin")), F.round("di", 3).alias("dirichlet_integral"), (F.round("fl", 3) + F.lit(0.0)).alias("flux"))
 
 
-@query("WITH g AS (SELECT t FROM (SELECT (i + 0.5::DOUBLE) / 1000 AS t FROM range(1000) x(i))) SELECT round(avg(pow(2*t - 2*t, 2)), 6) AS ode, round(avg(pow(t*t - sin(t), 2)), 6) AS data FROM g")
+@query("WITH g AS (SELECT (epoch_us(ts) % 86400000000) / 86400000000.0::DOUBLE AS t FROM events) SELECT round(avg(pow(2*t - 3*t*t, 2)), 6) AS ode, round(avg(pow(t*t - sin(t), 2)), 6) AS data FROM g")
 def time_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ODE residual (zero) and a data residual on a time axis."""
-    t, u = G.axis(spark, "sine", 1000, label="t"), T**2
-    ode, data = (u.diff("t") - 2.0 * T).column(), (u - sin(T)).column()
+    """An ODE residual and a data residual at the events' times of day."""
+    t, u = table(spark, sf_dir, "events").select((F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(86400000000)) / 86400000000.0).alias("t")), T**2
+    ode, data = (u.diff("t") - 3.0 * T**2).column(), (u - sin(T)).column()
     return rounded(t.agg(F.avg(ode * ode).alias("ode"), F.avg(data * data).alias("data")), [], ode="ode", data="data")
 
 
@@ -270,14 +288,21 @@ def voxel_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.voxel_first(roi, 0.05, ["x", "y", "z"], "id"), ["id"], x="x", y="y", z="z")
 
 
-@query("""
-WITH c AS (SELECT iy * 36 + ix AS q FROM range(29) a(iy), range(35) b(ix)), f AS (SELECT q AS i, q + 1 AS j, q + 37 AS k FROM c UNION ALL SELECT q, q + 37, q + 36 FROM c),
+#: Customers as an elevation grid of 36 columns, row by row; the last row may be short.
+_ELEVATION = "WITH g AS (SELECT c_custkey AS q, c_custkey % 36 AS ix, c_acctbal / 1000.0 AS z FROM customer)"
+
+
+def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("vid"), (k % 36).alias("ix"), F.floor(k / 36).alias("iy"), (F.col("c_acctbal") / 1000.0).alias("z"))
+
+
+@query(_ELEVATION + """, c AS (SELECT a.q FROM g a JOIN g d ON d.q = a.q + 37 WHERE a.ix < 35), f AS (SELECT q AS i, q + 1 AS j, q + 37 AS k FROM c UNION ALL SELECT q, q + 37, q + 36 FROM c),
 e AS (SELECT least(i, j) AS a, greatest(i, j) AS b FROM f UNION ALL SELECT least(j, k), greatest(j, k) FROM f UNION ALL SELECT least(k, i), greatest(k, i) FROM f)
 SELECT faces, count(*) AS edges FROM (SELECT a, b, count(*) AS faces FROM e GROUP BY ALL) GROUP BY faces""")
 def elevation_mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles of a 30 by 36 elevation grid; boundary edges have one face, interior edges two."""
-    grid = spark.range(30 * 36).select(F.floor(F.col("id") / 36).alias("iy"), (F.col("id") % 36).alias("ix"))
-    return G.edges(G.grid_faces(grid, 36)).groupBy("faces").agg(F.count(F.lit(1)).alias("edges"))
+    """Triangles of the customers' elevation grid; boundary edges have one face, interior edges two."""
+    return G.edges(G.grid_faces(elevation(spark, sf_dir), 36)).groupBy("faces").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v))), 4) AS l2, round(list_sum(list_transform(embedding, lambda v: abs(v::DOUBLE))), 4) AS l1 FROM embeddings")
@@ -298,9 +323,15 @@ def component_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce("term", F.lit("union")).alias("term"), "n", F.round("s", 2).alias("s"))
 
 
-@query("WITH RECURSIVE h AS (SELECT i::BIGINT AS i, i AS r, 0.5::DOUBLE AS f, 0.0::DOUBLE AS v FROM range(1, 201) t(i) UNION ALL SELECT i, r // 2, f / 2, v + f * (r % 2) FROM h WHERE r > 0) SELECT i, round(max(v), 6) + 0.0 AS x FROM h GROUP BY i")
+#: Digits of the parts' keys in a base, turned around behind the point.
+_MIRRORED = "WITH RECURSIVE h AS (SELECT p_partkey AS i, p_partkey AS r, 1.0::DOUBLE / {b} AS f, 0.0::DOUBLE AS v FROM part UNION ALL SELECT i, r // {b}, f / {b}, v + f * (r % {b}) FROM h WHERE r > 0) SELECT i, max(v) AS v FROM h GROUP BY i"
+
+
+@query(f"SELECT a.i, round(a.v, 6) + 0.0 AS x, round(-1 + 3 * b.v, 6) + 0.0 AS y FROM ({_MIRRORED.format(b=2)}) a JOIN ({_MIRRORED.format(b=3)}) b ON a.i = b.i")
 def halton_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.halton_points(spark, 200, ["x"], [0.0], [1.0]), ["i"], x="x")
+    """A point for each part, by the digits of its key in bases two and three."""
+    k = F.col("p_partkey")
+    return rounded(table(spark, sf_dir, "part"), [k.alias("i")], x=G.halton(k, 2), y=-1.0 + 3.0 * G.halton(k, 3))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

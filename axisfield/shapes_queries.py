@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisfield.queries import query, points, rounded, sql_of
+from axisfield.queries import points, query, rounded, sql_of, table
 from axisfield.sources import components as D
 from axisfield.sources import shapes as S
 
@@ -32,32 +32,34 @@ SHAPES = {
     "wedge": (S.Wedge([0.0, 0.0, 0.0], [4.0, 2.0, 3.0], 0.0), 12.0, 6.0 + 10.0 + 12.0 + 8.0),
 }
 
-def significant(x: float, digits: int) -> float:
-    return round(x, digits - 1 - math.floor(math.log10(abs(x))))
+def _rounded_sql(x: str, digits: int) -> str:
+    return f"round({x}, ({digits - 1} - floor(log10({x})))::INT)"
 
 
-def _places(want: float, digits: int) -> int:
-    """Decimal places of so many digits of a value."""
-    return digits - 1 - math.floor(math.log10(abs(want)))
+_VALUES = ", ".join(f"('{k}', {m!r}::DOUBLE, {b!r}::DOUBLE, {len(s.names)})" for k, (s, m, b) in SHAPES.items())
 
 
-_VALUES = ", ".join(f"('{k}', {significant(m, 2)!r}::DOUBLE, {significant(b, 3)!r}::DOUBLE, {significant(m, 2)!r}::DOUBLE)" for k, (s, m, b) in SHAPES.items())
-
-
-@query(f"SELECT shape, measure, boundary, flux, 0::BIGINT AS off, 0::BIGINT AS outside FROM (VALUES {_VALUES}) t(shape, measure, boundary, flux)")
+@query(f"""WITH s AS (SELECT shape, sum(m * pow(1 + 0.4::DOUBLE * r_regionkey, d)) AS m, sum(b * pow(1 + 0.4::DOUBLE * r_regionkey, d - 1)) AS b FROM region, (VALUES {_VALUES}) t(shape, m, b, d) GROUP BY shape)
+SELECT shape, {_rounded_sql('m', 2)} AS measure, {_rounded_sql('b', 3)} AS boundary, {_rounded_sql('m', 2)} AS flux, 0::BIGINT AS off, 0::BIGINT AS outside FROM s""")
 def shape_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each shape's measures from its points, to the digits that 2048 of them have: inner weights, boundary weights, and the flux of the position over d.
+    """Each shape's measures, summed over copies at every region's scale, from 2048 points each: inner weights, boundary weights, and the flux of the position over d.
 
-    Points off the zero set, and interior points outside, are counted.
+    They are rounded to the digits that so many points have. Points off the zero set, and interior points outside, are counted.
     """
     out = None
-    for name, (shape, m, b) in SHAPES.items():
+    scales = F.broadcast(table(spark, sf_dir, "region").select((F.lit(1.0) + F.lit(0.4) * F.col("r_regionkey")).alias("s")))  # a row a region
+
+    def digits(c, n):
+        return F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(c))), n - 1) * F.pow(F.lit(10.0), F.floor(F.log10(c)))
+
+    for name, (shape, _, _) in SHAPES.items():
         n, d = 2048, len(shape.names)
-        ring = shape.boundary(spark, n)
-        flux = sum((F.col(c) * F.col(f"n_{c}") for c in shape.names), F.lit(0.0)) * F.col("w")
-        edge = ring.agg(F.round(F.sum("w"), _places(b, 3)).alias("boundary"), F.round(F.sum(flux) / d, _places(m, 2)).alias("flux"), F.sum((F.abs(shape.sdf()) > 1e-9).cast("long")).alias("off"))
-        inner = shape.interior(spark, n).agg(F.round(F.sum("w"), _places(m, 2)).alias("measure"), F.sum((shape.sdf() > 1e-9).cast("long")).alias("outside"))
-        one = edge.crossJoin(inner).select(F.lit(name).alias("shape"), "measure", "boundary", "flux", "off", "outside")  # one row each
+        part = F.pow("s", F.lit(float(d - 1))) * F.col("w")
+        ring = shape.boundary(spark, n).crossJoin(scales)
+        flux = sum((F.col("s") * F.col(c) * F.col(f"n_{c}") for c in shape.names), F.lit(0.0)) * part
+        edge = ring.agg(digits(F.sum(part), 3).alias("boundary"), digits(F.sum(flux) / d, 2).alias("flux"), F.sum((F.abs(shape.sdf()) > 1e-9).cast("long")).alias("off"))
+        inner = shape.interior(spark, n).crossJoin(scales).agg(digits(F.sum(F.col("s") * part), 2).alias("measure"), F.sum((shape.sdf() > 1e-9).cast("long")).alias("outside"))
+        one = edge.crossJoin(inner).select(F.lit(name).alias("shape"), *(F.round(c, 6).alias(c) for c in ("measure", "boundary", "flux")), "off", "outside")  # one row each
         out = one if out is None else out.union(one)
     return out
 
@@ -76,9 +78,10 @@ def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPONENTS = {"interior": (3 * math.pi, 6 * math.pi), "boundary": (6 * math.pi, math.pi * 4.5), "start": (math.pi, math.pi / 2), "end": (math.pi, 3.5 * math.pi), "at": (math.pi, 2.5 * math.pi), "ends": (2 * math.pi, 1.5 * math.pi), "masked": (math.pi, math.pi)}
 
 
-@query("SELECT component, total, v FROM (VALUES " + ", ".join(f"('{k}', {significant(m, 2)!r}::DOUBLE, {significant(v, 2)!r}::DOUBLE)" for k, (m, v) in _COMPONENTS.items()) + ") t(component, total, v)")
+@query("SELECT component, round(sum(m * (1 + r_regionkey)), 0) AS total, round(sum(v * (1 + r_regionkey)) / 10, 0) AS v FROM region, (VALUES " + ", ".join(f"('{k}', {m!r}::DOUBLE, {v!r}::DOUBLE)" for k, (m, v) in _COMPONENTS.items()) + ") t(component, m, v) GROUP BY component")
 def component_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A disk over time: interior, boundary, fixed times, both ends, and a masked and weighted part: sums over their points, to the digits these have."""
+    """A disk over time: interior, boundary, fixed times, both ends, and a masked and weighted part: sums over their points and all regions' shares, to the digits these have."""
+    shares = F.broadcast(table(spark, sf_dir, "region").select((F.lit(1.0) + F.col("r_regionkey")).alias("s")))  # a row a region
     disk = D.Domain((D.ShapeFactor(S.circle([0.0, 0.0], 1.0)), D.TimeInterval(0.0, 3.0)))
     r2, t = F.col("x") * F.col("x") + F.col("y") * F.col("y"), F.col("t")
     cases = {
@@ -89,8 +92,8 @@ def component_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, (component, f) in cases.items():
         p = component.points(spark, {"x": 512, "t": 512})
-        m, v = _COMPONENTS[name]
-        one = component.integrals(p, {"v": f, "total": F.lit(1.0)}).select(F.lit(name).alias("component"), F.round("total", _places(m, 2)).alias("total"), F.round("v", _places(v, 2)).alias("v"))
+        found = component.integrals(p.crossJoin(shares), {"v": f * F.col("s"), "total": F.col("s")})
+        one = found.select(F.lit(name).alias("component"), F.round("total", 0).alias("total"), F.round(F.col("v") / 10, 0).alias("v"))
         out = one if out is None else out.union(one)
     return out
 
@@ -108,9 +111,9 @@ def dataset_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.crossJoin(total).crossJoin(masked).select(F.round("mean", 4).alias("mean"), F.round("total", 2).alias("total"), F.round("masked", 4).alias("masked"))  # one row each
 
 
-@query("SELECT NULL::INT AS term, 14.0::DOUBLE AS measure UNION ALL SELECT 0, 8.0 UNION ALL SELECT 1, 6.0")
+@query("WITH s AS (SELECT sum(1 + n_regionkey) AS s FROM nation) SELECT term, s * m AS measure FROM s, (VALUES (NULL::INT, 14.0::DOUBLE), (0, 8.0), (1, 6.0)) t(term, m)")
 def product_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boundary of a rectangle over time: its edges at all times, and all of it at both ends."""
-    domain = D.Domain((D.ShapeFactor(S.rectangle([0.0, 0.0], 1.0, 3.0)), D.TimeInterval(0.0, 1.0)))
-    out = domain.boundary().integrals(spark, {"x": 300, "t": 10}, {"measure": F.lit(1.0)})
+    """The boundary of a rectangle over time, its edges at all times and all of it at both ends, weighed by the nations' shares."""
+    domain = D.Domain((D.ShapeFactor(S.rectangle([0.0, 0.0], 1.0, 3.0)), D.TimeInterval(0.0, 1.0), D.DatasetFactor(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_nationkey", "count")))
+    out = domain.boundary().integrals(spark, {"x": 300, "t": 10, "n_nationkey": 0}, {"measure": F.lit(1.0) + F.col("n_regionkey")})
     return out.select("term", F.round("measure", 6).alias("measure"))

@@ -30,6 +30,14 @@ def axis(spark: SparkSession, kind: str, n: int, a: float = 0.0, b: float = 1.0,
     return rows.select("i", node.alias(label), weight.alias("w"))
 
 
+def axes_of(rows: DataFrame, kind: str, n: int, low: Column, high: Column, label: str = "x", rule: str = "gauss") -> DataFrame:
+    """Each row with the nodes of its own axis from low to high: columns i, the label and w. The nodes are a declared number."""
+    unit = axis(rows.sparkSession, kind, n, 0.0, 1.0, "__u", rule)
+    named = rows.withColumns({"__low": low.cast("double"), "__high": high.cast("double")})
+    wide = F.col("__high") - F.col("__low")
+    return named.crossJoin(F.broadcast(unit)).withColumn(label, F.col("__low") + wide * F.col("__u")).withColumn("w", wide * F.col("w")).drop("__low", "__high", "__u")
+
+
 def legendre(n: int, rule: str = "gauss") -> tuple[np.ndarray, np.ndarray]:
     """Nodes and weights on [-1, 1]: gauss, radau (with -1) or lobatto (with both ends)."""
     base = np.polynomial.legendre.Legendre.basis

@@ -16,9 +16,13 @@ def unit(*columns: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *(c.cast("string") for c in columns))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
+def uniform_at(index: Column, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int = 0) -> list[Column]:
+    """A point's columns from an index of any table."""
+    return [(F.lit(a) + F.lit(b - a) * unit(index, F.lit(k), F.lit(seed))).alias(c) for k, (c, a, b) in enumerate(zip(names, low, high, strict=True))]
+
+
 def uniform(spark: SparkSession, n: int, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int = 0) -> DataFrame:
-    spots = [(F.lit(a) + F.lit(b - a) * unit(F.col("i"), F.lit(k), F.lit(seed))).alias(c) for k, (c, a, b) in enumerate(zip(names, low, high, strict=True))]
-    return spark.range(n).withColumnRenamed("id", "i").select("i", *spots)
+    return spark.range(n).withColumnRenamed("id", "i").select("i", *uniform_at(F.col("i"), names, low, high, seed))
 
 
 def permuted(index: Column, n: int, seed: int) -> Column:
@@ -67,19 +71,24 @@ def directions(dimension: int) -> list[int]:
     return v
 
 
-def sobol_points(spark: SparkSession, n: int, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int | None = None) -> DataFrame:
-    """Points 0..n - 1 of the sequence in natural order; a seed flips the same bits of all points of a column."""
+def sobol_at(index: Column, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int | None = None) -> list[Column]:
+    """A point's columns from its index in natural order; a seed flips the same bits of all points of a column."""
     import random
 
     draw = random.Random(seed)
+
     def value(k: int) -> Column:
         v = F.array(*(F.lit(x) for x in directions(k)))
         start = F.lit(draw.getrandbits(_BITS) if seed is not None else 0).cast("long")
-        bit = lambda j: F.call_function("shiftright", F.col("i"), j).bitwiseAND(F.lit(1)) == 1
+        bit = lambda j: F.call_function("shiftright", index.cast("long"), j).bitwiseAND(F.lit(1)) == 1
         return F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), start, lambda x, j: F.when(bit(j), x.bitwiseXOR(F.get(v, j))).otherwise(x))
 
-    spots = [(F.lit(a) + F.lit(b - a) * value(k) / F.lit(float(1 << _BITS))).alias(c) for k, (c, a, b) in enumerate(zip(names, low, high, strict=True))]
-    return spark.range(n).withColumnRenamed("id", "i").select("i", *spots)
+    return [(F.lit(a) + F.lit(b - a) * value(k) / F.lit(float(1 << _BITS))).alias(c) for k, (c, a, b) in enumerate(zip(names, low, high, strict=True))]
+
+
+def sobol_points(spark: SparkSession, n: int, names: Sequence[str], low: Sequence[float], high: Sequence[float], seed: int | None = None) -> DataFrame:
+    """Points 0..n - 1 of the sequence."""
+    return spark.range(n).withColumnRenamed("id", "i").select("i", *sobol_at(F.col("i"), names, low, high, seed))
 
 
 def _shifts(names: Sequence[str], seed: int) -> list[float]:

@@ -33,10 +33,6 @@ def test_matches_sql(spark, duck, name):
             assert (a[c] == b[c]).all(), c
 
 
-def test_polynomial_derivative_is_exact(spark):
-    assert all(abs(r.residual) < 1e-6 for r in own.polynomial_derivative(spark, SF).collect())
-
-
 def test_entry_point(spark):
     import __spark_entry__ as e
 
