@@ -69,12 +69,12 @@ def masked_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Each nation's range of customer balances, as the interval of an axis.
-_RANGES = "WITH b AS (SELECT c_nationkey AS nation, min(c_acctbal) / 10000.0 AS lo, max(c_acctbal) / 10000.0 AS hi FROM customer GROUP BY ALL)"
+_RANGES = "WITH b AS (SELECT c_nationkey AS nation, min(c_acctbal) / 9973.0 AS lo, max(c_acctbal) / 9973.0 AS hi FROM customer GROUP BY ALL)"
 _AXES = "SELECT '{k}' AS kind, nation, i, round(lo + (hi - lo) * {x}, 6) + 0.0 AS x, round((hi - lo) * {w}, 6) + 0.0 AS w FROM b, range(12) t(i)"
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((F.min("c_acctbal") / 10000.0).alias("lo"), (F.max("c_acctbal") / 10000.0).alias("hi"))
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((F.min("c_acctbal") / 9973.0).alias("lo"), (F.max("c_acctbal") / 9973.0).alias("hi"))
 
 
 @query(_RANGES + " UNION ALL ".join(_AXES.format(k=k, x=x, w=w) for k, x, w in (

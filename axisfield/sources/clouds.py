@@ -3,7 +3,7 @@
 A triangle with a circle of radius `alpha` or less has all that can refute it within twice that of each of its corners. So the cloud is
 dealt to tiles (`nearby`), each with a margin of 2 alpha, and the tile that owns a triangle's first corner decides on it: no task holds the
 cloud, and every triangle is made once. Points on one circle would have several triangulations; each point is lifted by a hash of
-its place, far below the cloud's own distances, which picks the same one everywhere.
+its place, far below the cloud's own distances, which picks the same one everywhere; what rounding leaves open is decided in fractions.
 
 Defined results: points without a place, and copies of a place, count once or not at all; a cloud on a line, or of points
 farther apart than 2 alpha, has no triangles. Points within 2 alpha of one point (the cloud's density times alpha^2) are looked at
@@ -13,6 +13,7 @@ together, so alpha bounds a task's work: it should be a few times the cloud's sp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,24 @@ def _lift(places: np.ndarray, alpha: float) -> np.ndarray:
     return mixed / 2.0**64 * LIFT * alpha * alpha
 
 
-def _star(around: np.ndarray, lifts: np.ndarray, alpha: float) -> np.ndarray:
-    """Pairs (j, k) of neighbours that make a triangle with the point whose circle is empty; `around` are places from it."""
-    x, y = around[:, 0], around[:, 1]
-    z = x * x + y * y + lifts
-    j, k = np.triu_indices(len(around), 1)
+def _exact_side(here: np.ndarray, lift: float, corners: list[tuple[np.ndarray, float]], spot: tuple[np.ndarray, float]) -> int:
+    """Whether a spot is outside (1) or inside (-1) of the circle of three points, in whole fractions: the same from whichever point it is asked."""
+
+    def from_here(p: np.ndarray, w: float) -> tuple[Fraction, Fraction, Fraction]:
+        x, y = Fraction(float(p[0])) - Fraction(float(here[0])), Fraction(float(p[1])) - Fraction(float(here[1]))
+        return x, y, x * x + y * y + Fraction(float(w)) - Fraction(float(lift))
+
+    (xj, yj, zj), (xk, yk, zk), (xs, ys, zs) = (from_here(*c) for c in (*corners, spot))
+    cross = xj * yk - xk * yj
+    above = (zs * cross - (zj * yk - zk * yj) * xs - (xj * zk - xk * zj) * ys) * (1 if cross > 0 else -1)
+    return 1 if above > 0 else -1
+
+
+def _star(here: np.ndarray, lift: float, places: np.ndarray, lifts: np.ndarray, alpha: float) -> np.ndarray:
+    """Pairs (j, k) of neighbours that make a triangle with the point whose circle is empty."""
+    x, y = (places - here).T
+    z = x * x + y * y + (lifts - lift)
+    j, k = np.triu_indices(len(places), 1)
     cross = x[j] * y[k] - x[k] * y[j]
     good = np.abs(cross) > 1e-12 * (np.hypot(x[j], y[j]) * np.hypot(x[k], y[k]))
     j, k, cross = j[good], k[good], cross[good]
@@ -49,14 +63,21 @@ def _star(around: np.ndarray, lifts: np.ndarray, alpha: float) -> np.ndarray:
     near = cx * cx + cy * cy <= alpha * alpha
     j, k, cx, cy = j[near], k[near], cx[near], cy[near]
     out = []
-    step = max(1, 500_000 // max(1, len(around)))
+    step = max(1, 500_000 // max(1, len(places)))
     for a in range(0, len(j), step):
-        part = slice(a, a + step)
-        above = z[None] - 2 * (cx[part, None] * x[None] + cy[part, None] * y[None])
+        own = slice(a, a + step)
+        above = z[None] - 2 * (cx[own, None] * x[None] + cy[own, None] * y[None])
         rows = np.arange(len(above))
-        above[rows, j[part]] = above[rows, k[part]] = np.inf
+        above[rows, j[own]] = above[rows, k[own]] = np.inf
+        # what rounding can't tell is decided exactly, if nothing else is inside
+        unsure = np.abs(above) <= 1e-11 * alpha * alpha
+        sure = np.where(unsure, np.inf, above)
+        for r in np.flatnonzero(unsure.any(axis=1) & (sure.min(axis=1) > 0)):
+            for s in np.flatnonzero(unsure[r]):
+                corners = [(places[q], lifts[q]) for q in (j[a + r], k[a + r])]
+                above[r, s] = _exact_side(here, lift, corners, (places[s], lifts[s]))
         empty = above.min(axis=1) > 0
-        out.append(np.stack((j[part][empty], k[part][empty]), axis=1))
+        out.append(np.stack((j[own][empty], k[own][empty]), axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), int)
 
 
@@ -104,8 +125,8 @@ def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x",
             near = np.concatenate(near)
             around = at[near] - at[p]
             close = (np.hypot(around[:, 0], around[:, 1]) <= 2 * alpha) & (near != p)
-            near, around = near[close], around[close]
-            pairs = _star(around, lifts[near] - lifts[p], alpha)
+            near = near[close]
+            pairs = _star(at[p], lifts[p], at[near], lifts[near], alpha)
             corners = near[pairs]
             # the first corner's tile has the triangle
             first = (item[corners] > item[p]).all(axis=1) if len(corners) else np.zeros(0, bool)

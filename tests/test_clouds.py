@@ -63,3 +63,18 @@ def test_clouds_without_triangles(spark):
     assert clouds.triangulated(frame(spark, []), 1.0).count() == 0
     with pytest.raises(ValueError, match="radius"):
         clouds.triangulated(frame(spark, []), 0.0)
+
+
+def test_ties_of_lifts_are_decided_alike(monkeypatch, spark):
+    """Lifts too small for rounding to tell: the exact sides still agree between neighbours."""
+    monkeypatch.setattr(clouds, "LIFT", 1e-15)
+    at = np.array([(i * 0.1, 60 + j * 0.1) for i in range(6) for j in range(6)])
+    lifts = clouds._lift(at, 0.08)
+    found = set()
+    for p in range(len(at)):
+        near = np.array([q for q in range(len(at)) if q != p and np.hypot(*(at[q] - at[p])) <= 0.16])
+        for j, k in near[clouds._star(at[p], lifts[p], at[near], lifts[near], 0.08)]:
+            found.add((frozenset((p, int(j), int(k))), p))
+    triangles = {t for t, _ in found}
+    # every corner of a triangle sees it, and they fill the square
+    assert len(found) == 3 * len(triangles) and len(triangles) == 50
