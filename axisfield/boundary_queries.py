@@ -115,3 +115,19 @@ def sensor_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x"), ((F.col("p_partkey") % 97) / 4.0).alias("t"))
     out = E.sensor_tracks(rows, sensors, e, X + 0.1 * T, X * (2.0 - X), ["x"], k=3)
     return out.select("id", (F.round("u", 5) + F.lit(0.0)).alias("u"))
+
+
+@query(POINTS + """, r AS (SELECT 0 AS term, y - x AS r FROM p UNION ALL SELECT 1, 4 * x + y - x FROM p)
+SELECT term, count(*) AS n, round(avg(r * r), 6) AS loss FROM r GROUP BY term UNION ALL SELECT NULL, count(*), round(avg(r * r), 6) FROM r""")
+def sampled_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint on the parts at the start and at the end of a time: its points and loss by piece, and over all."""
+    from axisfield.plans.sampling import SamplingConstraint
+    from axisfield.sources import components as D
+
+    domain = D.Domain((D.DatasetFactor(points(spark, sf_dir).select("id", "x", "y"), "id"), D.TimeInterval(0.0, 2.0)))
+    ends = D.Union((domain.component({"t": D.FixedStart()}), domain.component({"t": D.FixedEnd()})))
+    fields = {"u": X * T**2 + Y * T}
+    made = SamplingConstraint.from_operator(ends, lambda u: u.diff("t") - X, "u", {"id": 0, "t": 1})
+    drawn = made.points(spark).withColumn("r", made.square(fields, {}))
+    out = drawn.rollup("term").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("q") * F.col("r")) / F.sum("q")).alias("loss"))
+    return out.select("term", "n", F.round("loss", 6).alias("loss"))

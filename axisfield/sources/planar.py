@@ -98,9 +98,9 @@ def spread(rows: DataFrame, weight: str, n: int, seed: int = 0) -> DataFrame:
 
     Weights become whole numbers and are summed in buckets of rows, whose sums are few; each row then knows which of n even steps
     along the whole sum fall to it. So there is no join of draws with rows, and no task sees all rows. Adds draw and w, the weight's sum over n.
-    Rows alike in all columns have their shares one after the other; rows of no weight, or null, are never drawn.
+    Rows alike in all columns have their shares one after the other; rows of no weight, or null, are never drawn; columns named like a result are replaced.
     """
-    kept = rows.columns
+    kept = [c for c in rows.columns if c not in ("draw", "w")]
     total = rows.agg(F.sum(weight), F.count(F.lit(1))).first()
     whole, count = total[0] or 0.0, total[1]
     if whole <= 0:
