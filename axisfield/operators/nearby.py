@@ -202,8 +202,9 @@ class Tiles:
     counts: np.ndarray
 
 
-def tiled(items: DataFrame, key: str, kind: Kind) -> Tiles:
-    """Items (a key and their corners' columns) with their tiles, written, and the tiles' boxes."""
+def tiled(items: DataFrame, key: str, kind: Kind, tile: int | None = None) -> Tiles:
+    """Items (a key and their corners' columns) with their tiles of about `tile` items (TILE), written, and the tiles' boxes."""
+    size = min(tile or TILE, TILE)
     usable = None
     for c in kind.columns:
         ok = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
@@ -211,7 +212,7 @@ def tiled(items: DataFrame, key: str, kind: Kind) -> Tiles:
     good = items.where(usable).select(F.col(key).cast("long").alias("item"), *(F.col(c).cast("double").alias(c) for c in kind.columns))
     n = good.count()
     centres = [sum((F.col(corner[k]) for corner in kind.corners), F.lit(0.0)) / len(kind.corners) for k in range(len(kind.corners[0]))]
-    per = max(TILE, int(math.sqrt(n / TILES * TILE))) if n > TILES * TILE else TILE
+    per = max(size, int(math.sqrt(n / TILES * size))) if n > TILES * size else size
     if n > per:
         unit = F.pmod(F.xxhash64("item"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         share = min(1.0, SAMPLE / n)

@@ -87,7 +87,7 @@ def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x",
         raise ValueError("alpha is a radius")
     places = cloud.select(*((F.col(n).cast("double") + F.lit(0.0)).alias(c) for n, c in zip(names, "xy", strict=True))).distinct()
     points = written(places.orderBy("x", "y").withColumn("item", F.monotonically_increasing_id()))
-    tiles = nearby.tiled(points, "item", nearby.Kind((("x", "y"),)))
+    tiles = nearby.tiled(points, "item", nearby.Kind((("x", "y"),)), tile=2048)
     schema = ", ".join(f"{c}{k} double" for k in range(3) for c in "xy")
     if not len(tiles.counts):
         return cloud.sparkSession.createDataFrame([], schema)
@@ -134,4 +134,5 @@ def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x",
         found = np.concatenate(found) if found else np.zeros((0, 3), int)
         return pa.table({f"{c}{k}": at[found[:, k], i] for k in range(3) for i, c in enumerate("xy")})
 
-    return owned.unionByName(halo).groupBy("tile").applyInArrow(work, schema)
+    # a task a tile: the rows are few for the work they make, and would be put together by their bytes
+    return owned.unionByName(halo).repartition(len(tiles.counts), "tile").groupBy("tile").applyInArrow(work, schema)
