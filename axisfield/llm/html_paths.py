@@ -6,12 +6,15 @@ marks a block), which are smoothed over paths that are alike and fused to one sc
 threshold on the scores selects paths, and the least element that holds all blocks of selected
 paths is the container: its blocks are kept in page order (headings, lists, tables, quotes),
 with headings right before it. Out of it go only blocks that are links for the most part,
-headings apart, and named elements in which no path is selected.
+headings and paragraphs apart, and named elements in which no path is selected.
 Elements that are no text of an article by their tag, or hidden, are left out before, unless
 they hold most of the page's text in an article or main (a form: most of the text at all).
-A class, id or role that names what is no article text only lowers the score of the paths below.
-An article or main raises it by its share of the text outside named elements, and lowers it if
-that is little (a teaser or comment); it selects nothing by itself.
+So are reader comments, which have the ratios of any text and are told by their names alone,
+unless they are most of a page without article or main.
+A class, id or role that names what is no article text lowers the score of the paths below; an
+article or main raises it by its share of the text outside named elements, and lowers it if that
+is little (a teaser). Ratios over little text, or of blocks of a few words, say little, so there
+these signs count in full; elsewhere they count for less and the ratios decide.
 
 Defined results: a null or empty page and one without text give an empty text; unclosed,
 stray and crossed tags are repaired as far as block tags go; nothing is dropped for being
@@ -48,8 +51,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
 NEVER = frozenset("nav footer aside form button select option dialog menu head object canvas audio video fieldset".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = frozenset("ul ol table dl article section main body div".split())
+SCOPES = frozenset("ul ol table dl article section main body div button".split())
+CONTROLS = frozenset("button select".split())
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SECTIONS = frozenset("html body article main section div center form header td".split())
 #: Whole class tokens, ids or roles that are a weak sign of what is no article text.
@@ -58,8 +63,14 @@ NAMES = frozenset(
     "navigation newsletter notice notices alert notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar teaser teasers "
     "widget widgets complementary contentinfo search".split()
 )
+#: Those of them that are reader comments.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 #: What is left of a path's score below an element of NAMES that holds little; more if it holds much and no article is elsewhere.
 NAMED = 0.05
+#: The power of the signs: SIGNS where there is much text, nearly one on pages of far less than ENOUGH characters or, on the path that holds most, far less than A_BLOCK of them a block.
+SIGNS, ENOUGH, A_BLOCK = 0.2, 600, 100
+#: What a path counts for another, by each tag in which they differ.
+ALIKE = 0.1
 MARKS = re.compile(r"[.,;:!?…。，、；：！？؟،।]")
 
 
@@ -109,19 +120,20 @@ class Block:
     text: str
     link: int  # characters inside links
     within: tuple[int, ...]  # the elements of the path, by their number in page order
-    weight: float = 1.0  # by what its article or main and its named elements hold
+    weight: float = 1.0  # of the signs: by what its article or main and its named elements hold
 
 
 @dataclass
 class Element:
     tag: str
-    cut: bool  # left out by its tag or as hidden
+    cut: bool  # left out by its tag, as hidden or as comments
     named: bool
+    comments: bool = False
 
 
-def _signs(attributes: str) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether a class token, id or role is one of NAMES or made of them alone (cookie-notice)."""
-    hidden = named = False
+def _signs(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether a class token, id or role is one of NAMES or made of them alone (cookie-notice), and whether one of COMMENTS is in that."""
+    hidden = named = comments = False
     seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -133,8 +145,11 @@ def _signs(attributes: str) -> tuple[bool, bool]:
         elif name == "aria-hidden":
             hidden = hidden or value.strip().lower() == "true"
         elif name in ("class", "id", "role"):
-            named = named or any(NAMES.issuperset(re.split("[-_]+", t)) for t in value.lower().split())
-    return hidden, named
+            for t in value.lower().split():
+                parts = re.split("[-_]+", t)
+                if NAMES.issuperset(parts):
+                    named, comments = True, comments or not COMMENTS.isdisjoint(parts)
+    return hidden, named, comments
 
 
 def attribute(attributes: str, name: str) -> str | None:
@@ -161,6 +176,7 @@ def blocks(page: str) -> list[Block]:
     links = in_link = 0
     depths: dict[str, int] = defaultdict(int)  # open elements by tag
     known: dict[tuple[str, ...], tuple[str, ...]] = {}
+    control: tuple[str, int, int] | None = None  # an open control inside a block's text: tag, parts and links before it
 
     def flush() -> None:
         nonlocal links
@@ -193,6 +209,24 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE or tag in VOID and tag != "hr":
             continue
+        if control:
+            # what a control holds is no text of the block around it
+            if tag in ("option", "optgroup"):
+                continue
+            name, size, before = control
+            del parts[size:]
+            links, control = before, None
+            if closing and tag == name:
+                continue
+            if not closing and tag not in CONTROLS:
+                # a control with blocks is an element, with all that it holds
+                flush()
+                depths[name] += 1
+                stack.append((name, len(elements)))
+                elements.append(Element(name, True, False))
+        elif not closing and tag in CONTROLS and parts and len(stack) < MOST_DEPTH:
+            control = tag, len(parts), links
+            continue
         flush()
         if closing:
             if depths[tag]:
@@ -214,14 +248,16 @@ def blocks(page: str) -> list[Block]:
             elif stack[k][0] in SCOPES:
                 break
         in_link = 0
-        hidden, named = _signs(attributes) if attributes and tag not in ("html", "body") else (False, False)
+        hidden, named, comments = _signs(attributes) if attributes and tag not in ("html", "body") else (False, False, False)
         cut = hidden or tag in NEVER or tag == "header" and not (depths["article"] or depths["main"])
         if len(stack) >= MOST_DEPTH:
             above = elements[stack[-1][1]]
-            cut, named = cut or above.cut, named or above.named
+            cut, named, comments = cut or above.cut, named or above.named, comments or above.comments
         depths[tag] += 1
         stack.append((tag, len(elements)))
-        elements.append(Element(tag, cut, named))
+        elements.append(Element(tag, cut or comments, named, comments and not cut))
+    if control:
+        del parts[control[1] :]
     flush()
     return _kept(found, elements)
 
@@ -237,8 +273,9 @@ def _kept(found: list[Block], elements: list[Element]) -> list[Block]:
             of_articles[e] += size if k < inner else 0
     total = sum(len(b.text) for b in found)
     half = total / 2
+    any_article = any(e.tag in ("article", "main") and not e.cut for e in elements)
     for e, element in enumerate(elements):
-        if element.cut and (of_articles[e] > half or element.tag in ("form", "fieldset") and holds[e] > half):
+        if element.cut and (of_articles[e] > half or (element.tag in ("form", "fieldset") or element.comments and not any_article) and holds[e] > half):
             element.cut = False
         if element.named and element.tag not in ("article", "main") and e in articles:
             element.named = False
@@ -261,7 +298,7 @@ def _kept(found: list[Block], elements: list[Element]) -> list[Block]:
 
 
 def _smoothed(values: dict[tuple[str, ...], list[float]]) -> dict[tuple[str, ...], list[float]]:
-    """For each path, sums over all paths that halve with each tag by which two differ after their common part.
+    """For each path, sums over all paths that fall to a tenth with each tag by which two differ after their common part.
 
     Paths form a tree by their prefixes, and that is the distance in it: one pass to the root and one
     back give all sums, in time that grows with the tags of the different paths, MOST_DEPTH each at most.
@@ -274,14 +311,19 @@ def _smoothed(values: dict[tuple[str, ...], list[float]]) -> dict[tuple[str, ...
         below[path] = [a + b for a, b in zip(below[path], own, strict=True)]
     order = sorted(below, key=len)
     for path in reversed(order[1:]):
-        below[path[:-1]] = [a + 0.5 * b for a, b in zip(below[path[:-1]], below[path], strict=True)]
+        below[path[:-1]] = [a + ALIKE * b for a, b in zip(below[path[:-1]], below[path], strict=True)]
     near = {(): below[()]}
     for path in order[1:]:
-        near[path] = [b + 0.5 * (up - 0.5 * b) for b, up in zip(below[path], near[path[:-1]], strict=True)]
+        near[path] = [b + ALIKE * (up - ALIKE * b) for b, up in zip(below[path], near[path[:-1]], strict=True)]
     return near
 
 
-def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
+def fused(characters: float, marks: float) -> float:
+    """One score from the two ratios of a path: characters and marks a block."""
+    return characters * (0.25 + marks)
+
+
+def selected(page: list[Block], share: float = 0.2) -> set[tuple[str, ...]]:
     """Paths whose fused score reaches a share of the best."""
     lengths, marks, weights, count = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(int)
     for b in page:
@@ -293,12 +335,15 @@ def selected(page: list[Block], share: float = 0.12) -> set[tuple[str, ...]]:
     paths = list(count)
     # characters and marks a block, each path with the root of its blocks as its weight
     near = _smoothed({p: [count[p] ** 0.5, lengths[p] / count[p] ** 0.5, marks[p] / count[p] ** 0.5] for p in paths})
-    fused = {}
+    top = max(paths, key=lengths.__getitem__, default=None)
+    evidence = min(sum(lengths.values()) / ENOUGH, lengths[top] / count[top] / A_BLOCK) if paths else 0.0
+    power = SIGNS + (1.0 - SIGNS) / (1.0 + evidence * evidence)
+    scores = {}
     for p in paths:
         total, ratio, punctuation = near[p]
-        fused[p] = ratio / total * (0.25 + punctuation / total) * weights[p] / count[p]
-    best = max(fused.values(), default=0.0)
-    return {p for p in paths if fused[p] >= share * best and (best or fused[p])} or set(paths)
+        scores[p] = fused(ratio / total, punctuation / total) * (weights[p] / count[p]) ** power
+    best = max(scores.values(), default=0.0)
+    return {p for p in paths if scores[p] >= share * best and (best or scores[p])} or set(paths)
 
 
 def _heading(b: Block) -> bool:
@@ -330,7 +375,7 @@ def contained(page: list[Block], chosen: set[tuple[str, ...]]) -> list[Block]:
     # named elements inside the container are kept whole if one of their paths is chosen
     open_names = {e for k in at for e in page[k].within}
     kept = [page[k] for k in inside if not any(t.endswith("!") and e not in open_names for t, e in zip(page[k].path[depth:], page[k].within[depth:]))]
-    return [b for b in kept if 2 * b.link <= len(b.text) or _heading(b)] or kept
+    return [b for b in kept if 2 * b.link <= len(b.text) or _heading(b) or b.path and b.path[-1] in PARAGRAPHS] or kept
 
 
 def main_text(page: str) -> str:

@@ -94,7 +94,7 @@ def test_smoothing_is_that_of_all_pairs():
 
     near = html_paths._smoothed(paths)
     for p in paths:
-        assert near[p] == pytest.approx([sum(v[i] * 0.5 ** away(p, q) for q, v in paths.items()) for i in range(2)])
+        assert near[p] == pytest.approx([sum(v[i] * html_paths.ALIKE ** away(p, q) for q, v in paths.items()) for i in range(2)])
 
 
 def page(serial, sequence, granule, packets, flags=0):

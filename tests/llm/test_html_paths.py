@@ -70,3 +70,54 @@ def test_unclosed_raw_elements():
         assert html_paths.main_text(page) == "\n\n".join(TEXT)
         assert warc.plain_text(page).split("\n") == TEXT
     assert html_paths.main_text(f"<div>{PARAGRAPHS}</div><script>if (i<n) f(") == "\n\n".join(TEXT)
+
+
+def test_ratios_decide(monkeypatch):
+    """Pages with enough text: with the ratios left out, what lies beside the text comes in."""
+    teasers = '<div class="promo">' + "".join(f"<p>Offer {i}</p>" for i in range(3)) + "</div>"
+    pages = [f"<body>{teasers}<div>{PARAGRAPHS}</div></body>", f"<body><table><tr><td>a<td>b<td>c</table><div>{PARAGRAPHS}</div></body>"]
+    for page in pages:
+        assert html_paths.main_text(page) == "\n\n".join(TEXT)
+    # an article and a name, too, where blocks are long
+    long = [f"{t} {t}" for t in TEXT]
+    named = '<body><div class="ad">Buy this. Now.</div><article>' + "".join(f"<p>{t}</p>" for t in long) + "</article></body>"
+    assert html_paths.main_text(named) == "\n\n".join(long)
+    monkeypatch.setattr(html_paths, "fused", lambda characters, marks: 1.0)
+    for page in pages:
+        assert html_paths.main_text(page) != "\n\n".join(TEXT)
+    assert html_paths.main_text(named) != "\n\n".join(long)
+
+
+def test_little_text_goes_by_names():
+    for text in ("Short.", "A short one, with marks."):
+        page = f'<body><div class="ad">Buy this, which is longer. Now.</div><article><p>{text}</p></article></body>'
+        assert html_paths.main_text(page) == text
+    lines = "<p>Yes so.</p>" * 90
+    assert html_paths.main_text(f'<body><div class="ad">Buy this, which is longer.</div><article>{lines}</article></body>') == "\n\n".join(["Yes so."] * 90)
+
+
+def test_paragraphs_of_links_stay():
+    linked = '<p><a href="/x">All of this paragraph is one link.</a></p>'
+    assert html_paths.main_text(f"<body>{CHROME}<article>{PARAGRAPHS}{linked}</article></body>") == "\n\n".join([*TEXT, "All of this paragraph is one link."])
+
+
+@pytest.mark.parametrize("control", ["<button>copy</button>", "<select><option>a<option>b</select>", '<button class="x"><b>copy</b></button>', '<button><a href="/x">copy</a></button>'])
+def test_controls_do_not_split_a_paragraph(control):
+    page = f"<body><article>{PARAGRAPHS}<p>Some words {control} and more of them.</p></article></body>"
+    assert html_paths.main_text(page) == "\n\n".join([*TEXT, "Some words and more of them."])
+
+
+def test_controls_that_hold_blocks_or_do_not_end():
+    page = f"<body><article>{PARAGRAPHS}<p>Some words <button><div>copy</div><p>this</p></button> after it.</p><p>The last words.</p></article></body>"
+    got = html_paths.main_text(page).split("\n\n")
+    assert got[:6] == TEXT and "copy" not in got and "this" not in got and got[-1] == "The last words."
+    assert html_paths.main_text(f"<body><article>{PARAGRAPHS}<p>Some words <button>copy</p><p>The last words.</p></article></body>").split("\n\n") == [*TEXT, "Some words", "The last words."]
+
+
+@pytest.mark.parametrize("around", ['<div class="comments">%s</div>', '<section id="comments">%s</section>', '<ol class="comment-replies">%s</ol>'])
+def test_comments_go_on_pages_of_any_form(around):
+    some = around % "".join(f"<div><p>{t} I think so, too; do you?</p></div>" for t in TEXT[:4])
+    for page in (f"<body>{CHROME}<div>{PARAGRAPHS}</div>{some}</body>", f"<body>{CHROME}<article>{PARAGRAPHS}</article>{some}</body>", f"<body><article>{PARAGRAPHS}{some}</article></body>"):
+        assert html_paths.main_text(page) == "\n\n".join(TEXT)
+    # a page that is a discussion for the most part
+    assert html_paths.main_text(f'<body>{CHROME}<div class="discussion">{PARAGRAPHS}</div></body>') == "\n\n".join(TEXT)
