@@ -7,9 +7,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisfield.queries import points, query, rounded, sql_of, table
+from axisfield.queries import POINTS, points, query, rounded, sql_of, table
 from axisfield.sources import components as D
 from axisfield.sources import shapes as S
+from axisfield.sources.separable import separable
 
 #: Name, shape, and its measures in closed form; the ellipsoid's surface is the spheroid's formula.
 _E = math.sqrt(1 - 0.25 / 1.0)
@@ -30,6 +31,9 @@ SHAPES = {
     "frustum": (S.Cone([0.0, 0.0, 1.0], 4.0, 4.0, 1.0), 28 * math.pi, 42 * math.pi),
     "torus": (S.Torus([0.0, 0.0, 0.0], 2.0, 0.5), math.pi**2, 4 * math.pi**2),
     "wedge": (S.Wedge([0.0, 0.0, 0.0], [4.0, 2.0, 3.0], 0.0), 12.0, 6.0 + 10.0 + 12.0 + 8.0),
+    "quarter cylinder": (S.Sweep(S.cylinder([0.0, 0.0, 0.0], 2.0, 1.0), math.pi / 2), math.pi / 2, 1.5 * math.pi + 4.0),
+    "half torus": (S.Sweep(S.Torus([0.0, 0.0, 0.0], 2.0, 0.5), math.pi), math.pi**2 / 2, 2 * math.pi**2 + math.pi / 2),
+    "frustum of three quarters": (S.Sweep(S.Cone([0.0, 0.0, 1.0], 4.0, 4.0, 1.0), 1.5 * math.pi), 21 * math.pi, 31.5 * math.pi + 20.0),
 }
 
 def _rounded_sql(x: str, digits: int) -> str:
@@ -74,6 +78,37 @@ def shape_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points(spark, sf_dir), ["id"], ellipse=ellipse.sdf(), line=line.smooth_sdf(), wedge=wedge.sdf(), triangle=corner.sdf())
 
 
+_CYLINDER = "sqrt(pow(greatest(a - 0.4, 0), 2) + pow(greatest(-c, c - 0.5, 0), 2)) + least(greatest(a - 0.4, -c, c - 0.5), 0)"
+_END = "sqrt(b * b + pow(greatest(-{u}, {u} - 0.4, 0), 2) + pow(greatest(-c, c - 0.5, 0), 2))"
+
+
+@query(f"""{POINTS}, q AS (SELECT id, x - 0.5::DOUBLE AS x, y - 0.8::DOUBLE AS y, z - 0.25::DOUBLE AS c, z - 0.5::DOUBLE AS m, sqrt(pow(x - 0.5, 2) + pow(y - 0.8::DOUBLE, 2)) AS a FROM p),
+r AS (SELECT *, {_CYLINDER} AS cylinder, least({_END.replace("b * b", "y * y").format(u="x")}, {_END.replace("b * b", "x * x").format(u="y")}) AS ends,
+  sqrt(pow(a - 0.35, 2) + m * m) - 0.15 AS torus, sqrt(y * y + pow(greatest(0, sqrt(pow(abs(x) - 0.35, 2) + m * m) - 0.15), 2)) AS ring_ends FROM q)
+SELECT id, round(CASE WHEN x >= 0 AND y >= 0 THEN CASE WHEN cylinder <= 0 THEN -least(-cylinder, ends) ELSE cylinder END ELSE ends END, 6) + 0.0 AS quarter,
+  round(CASE WHEN y >= 0 THEN CASE WHEN torus <= 0 THEN -least(-torus, ring_ends) ELSE torus END ELSE ring_ends END, 6) + 0.0 AS half FROM r""")
+def swept_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed distances to a quarter of a cylinder and half a torus."""
+    quarter = S.Sweep(S.cylinder([0.5, 0.8, 0.25], 0.5, 0.4), math.pi / 2)
+    half = S.Sweep(S.Torus([0.5, 0.8, 0.5], 0.35, 0.15), math.pi)
+    return rounded(points(spark, sf_dir), ["id"], quarter=quarter.sdf(), half=half.sdf())
+
+
+@query("""
+WITH x AS (SELECT -1 + (i + 0.5::DOUBLE) / 12 AS x, 1 / 12::DOUBLE AS w FROM generate_series(0, 23) g(i)), y AS (SELECT x AS y, w AS v FROM x),
+t AS (SELECT 3 * i / 8::DOUBLE AS t, 3 / 8::DOUBLE AS u FROM generate_series(0, 7) g(i)),
+d AS (SELECT x, y, w * v AS w FROM x, y WHERE sqrt(x * x + y * y) - 1 < -1e-6 AND x > 0)
+SELECT n_regionkey, round(sum(w * u * sin(x) * y * y * exp(-t) * (1 + n_nationkey)), 6) AS value, round(sum(w * u), 6) AS weight FROM d, t, nation GROUP BY n_regionkey""")
+def separable_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a disk by axes with one mask, time by an axis, and nations as rows: integrals by region, with fields evaluated on their own axes."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    domain = D.Domain((D.ShapeFactor(S.circle([0.0, 0.0], 1.0)), D.TimeInterval(0.0, 3.0), D.DatasetFactor(nations, "n_nationkey", "count")))
+    laid = separable(domain.component(where={"x": F.col("x") > 0}), spark, {"x": ("sine", 24), "y": ("sine", 24), "t": ("fourier", 8)})
+    laid = laid.on("x", {"wave": F.sin("x")}).on("t", {"fading": F.exp(-F.col("t"))})
+    out = laid.integrals({"value": F.col("wave") * F.col("y") * F.col("y") * F.col("fading") * (1 + F.col("n_nationkey")), "weight": F.lit(1.0)}, ["n_regionkey"])
+    return out.select("n_regionkey", F.round("value", 6).alias("value"), F.round("weight", 6).alias("weight"))
+
+
 #: A disk over three units of time: measure of each component, and the integral of its query's integrand.
 _COMPONENTS = {"interior": (3 * math.pi, 6 * math.pi), "boundary": (6 * math.pi, math.pi * 4.5), "start": (math.pi, math.pi / 2), "end": (math.pi, 3.5 * math.pi), "at": (math.pi, 2.5 * math.pi), "ends": (2 * math.pi, 1.5 * math.pi), "masked": (math.pi, math.pi)}
 

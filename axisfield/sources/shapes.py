@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -510,6 +510,124 @@ class Torus(Shape):
         return out if where is None else out.where(where)
 
 
+def _beside(u: Column, v: Column, corners: Sequence[tuple[float, float]]) -> Column:
+    """Distance to a convex polygon, whose corners run against the clock; 0 inside."""
+    near, inside = [], F.lit(True)
+    for (a, b), (c, d) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        du, dv = c - a, d - b
+        if not (length := du * du + dv * dv):
+            continue
+        s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((u - a) * du + (v - b) * dv) / length))
+        near.append(_norm(u - a - s * du, v - b - s * dv))
+        inside = inside & ((v - b) * du - (u - a) * dv >= 0)
+    return F.when(inside, F.lit(0.0)).otherwise(F.least(*near))
+
+
+@dataclass(frozen=True)
+class Sweep(Shape):
+    """The part of a cone, cylinder or torus from the direction of x through an angle around z, closed by two flat ends.
+
+    The nearest point of a solid of revolution lies at a point's own angle, and from outside of the angle at an
+    end, so distances are Euclidean. Points come from the whole solid by shrinking their angle.
+    """
+
+    solid: Cone | Torus
+    angle: float
+    names: tuple[str, ...] = ("x", "y", "z")
+
+    def __post_init__(self):
+        if not 0 < self.angle < TAU:
+            raise ValueError("a part of a turn: take the solid itself for all of it")
+        if isinstance(self.solid, Torus) and self.solid.tube > self.solid.ring:
+            raise ValueError("a tube wider than its ring meets itself")
+        object.__setattr__(self, "solid", replace(self.solid, names=self.names))
+
+    @property
+    def _share(self) -> float:
+        return self.angle / TAU
+
+    @property
+    def _end(self) -> float:
+        """Area of one end."""
+        s = self.solid
+        return s.height * (s.radius0 + s.radius1) / 2 if isinstance(s, Cone) else math.pi * s.tube**2
+
+    @property
+    def measure(self) -> float:
+        return self.solid.measure * self._share
+
+    @property
+    def boundary_measure(self) -> float:
+        return self.solid.boundary_measure * self._share + 2 * self._end
+
+    @property
+    def box(self):
+        return self.solid.box
+
+    @property
+    def _center(self) -> list[float]:
+        return [float(c) for c in (self.solid.base if isinstance(self.solid, Cone) else self.solid.center)]
+
+    def _at(self) -> list[Column]:
+        return [F.col(n) - c for n, c in zip(self.names, self._center, strict=True)]
+
+    def _ends(self) -> list[tuple[Column, list[float]]]:
+        """Distance to each end, and its normal."""
+        x, y, z = self._at()
+        s, out = self.solid, []
+        for turn, sign in ((0.0, -1.0), (float(self.angle), 1.0)):
+            c, d = math.cos(turn), math.sin(turn)
+            along, off = x * c + y * d, y * c - x * d
+            if isinstance(s, Cone):
+                gap = _beside(along, z, [(0.0, 0.0), (s.radius0, 0.0), (s.radius1, s.height), (0.0, s.height)])
+            else:
+                gap = F.greatest(F.lit(0.0), _norm(along - s.ring, z) - s.tube)
+            out.append((_norm(off, gap), [-sign * d, sign * c, 0.0]))
+        return out
+
+    def sdf(self) -> Column:
+        x, y, _ = self._at()
+        full, ends = self.solid.sdf(), F.least(*(g for g, _ in self._ends()))
+        swept = F.pmod(F.atan2(y, x), F.lit(TAU)) <= self.angle
+        return F.when(swept & (full <= 0), -F.least(-full, ends)).when(swept, full).otherwise(ends)
+
+    def normal(self) -> list[Column]:
+        (first, n0), (last, n1) = self._ends()
+        side = F.abs(self.solid.sdf())
+        return [F.when((first <= last) & (first < side), F.lit(a)).when(last < side, F.lit(b)).otherwise(c) for a, b, c in zip(n0, n1, self.solid.normal(), strict=True)]
+
+    def _shrunk(self, points: DataFrame) -> DataFrame:
+        """Points of the whole solid at their share of the angle, with their share of the weight."""
+        x, y, _ = self._at()
+        turn, r = F.pmod(F.atan2(y, x), F.lit(TAU)) * F.lit(self._share), _norm(x, y)
+        return points.withColumns({self.names[0]: F.lit(self._center[0]) + r * F.cos(turn), self.names[1]: F.lit(self._center[1]) + r * F.sin(turn), "w": F.col("w") * F.lit(self._share)})
+
+    def interior(self, spark, n, sampler="halton", seed=0, where=None):
+        out = self._shrunk(self.solid.interior(spark, n, sampler, seed))
+        return out if where is None else out.where(where)
+
+    def boundary(self, spark, n, sampler="halton", seed=0, where=None):
+        """The side and both ends, each with its share of the points by area, at least one."""
+        s, (cx, cy, cz) = self.solid, self._center
+        at_end = max(1, round(n * self._end / self.boundary_measure))
+        on_side = max(1, n - 2 * at_end)
+        out = self._shrunk(s.boundary(spark, on_side, sampler, seed).select("i", *self.names, "w"))
+        for k, turn in enumerate((0.0, float(self.angle))):
+            u, v = F.col("u0"), F.col("u1")
+            if isinstance(s, Cone):
+                # as many at a height as the end is wide there
+                a, b = float(s.radius0), float(s.radius1)
+                wide = F.sqrt(F.lit(a * a) + u * F.lit(b * b - a * a))
+                r, z = v * wide, (wide - a) / F.lit(b - a) * F.lit(float(s.height)) if a != b else u * F.lit(float(s.height))
+            else:
+                r, z = F.lit(float(s.ring)) + F.lit(float(s.tube)) * F.sqrt(u) * F.cos(F.lit(TAU) * v), F.lit(float(s.tube)) * F.sqrt(u) * F.sin(F.lit(TAU) * v)
+            places = [F.lit(cx) + r * F.lit(math.cos(turn)), F.lit(cy) + r * F.lit(math.sin(turn)), F.lit(cz) + z]
+            end = unit_points(spark, at_end, 2, sampler, seed + k + 1).select((F.col("i") + F.lit(on_side + k * at_end)).alias("i"), *(p.alias(c) for c, p in zip(self.names, places, strict=True)), F.lit(self._end / at_end).alias("w"))
+            out = out.union(end)
+        out = out.withColumns({f"n_{c}": v for c, v in zip(self.names, self.normal(), strict=True)})
+        return out if where is None else out.where(where)
+
+
 @dataclass(frozen=True)
 class Wedge(Shape):
     """A box cornered at x0 whose extent along x shrinks linearly from the bottom to `top` at its full height."""
