@@ -520,7 +520,8 @@ def _beside(u: Column, v: Column, corners: Sequence[tuple[float, float]]) -> Col
         s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((u - a) * du + (v - b) * dv) / length))
         near.append(_norm(u - a - s * du, v - b - s * dv))
         inside = inside & ((v - b) * du - (u - a) * dv >= 0)
-    return F.when(inside, F.lit(0.0)).otherwise(F.least(*near))
+    # a product, so that what the distances share is computed once
+    return F.least(*near) * F.when(inside, F.lit(0.0)).otherwise(F.lit(1.0))
 
 
 @dataclass(frozen=True)
@@ -571,30 +572,28 @@ class Sweep(Shape):
     def _at(self) -> list[Column]:
         return [F.col(n) - c for n, c in zip(self.names, self._center, strict=True)]
 
-    def _ends(self) -> list[tuple[Column, list[float]]]:
-        """Distance to each end, and its normal."""
+    def _nearer(self) -> tuple[Column, Column]:
+        """Distance to the nearer end, and whether that is the first: both have the same form, so it is the one whose half-plane a point lies further along."""
         x, y, z = self._at()
-        s, out = self.solid, []
-        for turn, sign in ((0.0, -1.0), (float(self.angle), 1.0)):
-            c, d = math.cos(turn), math.sin(turn)
-            along, off = x * c + y * d, y * c - x * d
-            if isinstance(s, Cone):
-                gap = _beside(along, z, [(0.0, 0.0), (s.radius0, 0.0), (s.radius1, s.height), (0.0, s.height)])
-            else:
-                gap = F.greatest(F.lit(0.0), _norm(along - s.ring, z) - s.tube)
-            out.append((_norm(off, gap), [-sign * d, sign * c, 0.0]))
-        return out
+        s, c, d = self.solid, math.cos(self.angle), math.sin(self.angle)
+        last = x * c + y * d
+        first, along = x >= last, F.greatest(x, last)
+        if isinstance(s, Cone):
+            gap = _beside(along, z, [(0.0, 0.0), (s.radius0, 0.0), (s.radius1, s.height), (0.0, s.height)])
+        else:
+            gap = F.greatest(F.lit(0.0), _norm(along - s.ring, z) - s.tube)
+        return _norm(F.when(first, y).otherwise(y * c - x * d), gap), first
 
     def sdf(self) -> Column:
         x, y, _ = self._at()
-        full, ends = self.solid.sdf(), F.least(*(g for g, _ in self._ends()))
-        swept = F.pmod(F.atan2(y, x), F.lit(TAU)) <= self.angle
-        return F.when(swept & (full <= 0), -F.least(-full, ends)).when(swept, full).otherwise(ends)
+        end, _ = self._nearer()
+        return F.when(F.pmod(F.atan2(y, x), F.lit(TAU)) <= self.angle, F.greatest(self.solid.sdf(), -end)).otherwise(end)
 
     def normal(self) -> list[Column]:
-        (first, n0), (last, n1) = self._ends()
-        side = F.abs(self.solid.sdf())
-        return [F.when((first <= last) & (first < side), F.lit(a)).when(last < side, F.lit(b)).otherwise(c) for a, b, c in zip(n0, n1, self.solid.normal(), strict=True)]
+        end, first = self._nearer()
+        at_end = end < F.abs(self.solid.sdf())
+        ends = zip([0.0, -1.0, 0.0], [-math.sin(self.angle), math.cos(self.angle), 0.0], self.solid.normal(), strict=True)
+        return [F.when(at_end & first, F.lit(a)).when(at_end, F.lit(b)).otherwise(c) for a, b, c in ends]
 
     def _shrunk(self, points: DataFrame) -> DataFrame:
         """Points of the whole solid at their share of the angle, with their share of the weight."""
