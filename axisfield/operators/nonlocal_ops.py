@@ -45,7 +45,8 @@ def kernel_sum(rows: DataFrame, sources: DataFrame, key: list[str], term: Column
 
 
 def _weighted(d2: Column, value: Column, exponent: float, snap: float) -> tuple[Column, Column, Column]:
-    w = F.pow(F.greatest(d2, F.lit(1e-300)), F.lit(-exponent / 2))
+    # without snapping the weights are plain: infinite at distance zero
+    w = F.pow(F.greatest(d2, F.lit(1e-300)) if snap > 0 else d2, F.lit(-exponent / 2))
     return w * value, w, F.struct(d2.alias("d2"), value.alias("v"))
 
 
@@ -127,7 +128,10 @@ def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str],
 
 
 def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], value: str, k: int, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:
-    """(key, mean): inverse distances over the k nearest anchors alone."""
+    """(key, mean): inverse distances over the k nearest anchors alone; a row nearer to one than `snap` (squared) takes its value.
+
+    With a `snap` of 0 the quotient of the sums is taken as it is: a row on an anchor has NaN.
+    """
     a, b, near = _weighted(F.col("distance2"), F.col(f"anchor.{value}").cast("double"), exponent, snap)
     out = nearest(rows, anchors, key, names, k).groupBy(key).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.min(near).alias("near"))
     return out.select(key, F.when(F.col("near.d2") < snap, F.col("near.v")).otherwise(F.col("a") / F.col("b")).alias(into))
