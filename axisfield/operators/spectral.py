@@ -43,23 +43,33 @@ def _line_derivative(values: np.ndarray, kind: str, step: float, order: int, mat
     return np.real(np.fft.ifft(k**order * np.fft.fft(whole, axis=1), axis=1))[:, :n]
 
 
-def line_derivative(lines: DataFrame, kind: str, partition: list[str], index: str, value: str, step: float = 1.0, order: int = 1, nodes: np.ndarray | None = None, into: str = "derivative") -> DataFrame:
-    """(partition, index, derivative) of each line; kinds fourier, sine, cosine (even steps) and nodes (any, by their matrix)."""
+def line_derivatives(lines: DataFrame, kind: str, partition: list[str], index: str, value: str, orders: dict[str, int], step: float = 1.0, nodes: np.ndarray | None = None) -> DataFrame:
+    """(partition, index, one column an order by its name) of each line; kinds fourier, sine, cosine (even steps) and nodes (any, by their matrix).
+
+    A line is gathered once for all orders, so that no derivatives have to be joined.
+    """
     if kind not in ("fourier", "sine", "cosine", "nodes"):
         raise ValueError(f"unknown kind {kind}")
-    matrix = None if kind != "nodes" else np.linalg.matrix_power(barycentric_matrix(np.asarray(nodes, float)), order)
+    first = None if kind != "nodes" else barycentric_matrix(np.asarray(nodes, float))
+    matrices = {n: None if first is None else np.linalg.matrix_power(first, n) for n in orders.values()}
     pair = F.array_sort(F.collect_list(F.struct(F.col(index).cast("long").alias("k"), F.col(value).cast("double").alias("v"))))
     keys = partition or ["__one"]
     gathered = (lines if partition else lines.withColumn("__one", F.lit(0))).groupBy(*keys).agg(pair.alias("__line"))
     gathered = gathered.select(*keys, F.col("__line.k").alias("__k"), F.col("__line.v").alias("__v"))
     kept = [f for f in gathered.schema if f.name not in ("__v",)]
+    made = [f"__d{j}" for j in range(len(orders))]
 
     def run(batches):
         for batch in batches:
             rows = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0) for x in batch.column("__v")]
-            out = [_line_derivative(r[None, :], kind, step, order, matrix)[0] for r in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, pa.list_(pa.float64()))], names=[*(f.name for f in kept), "__d"])
+            out = [[_line_derivative(r[None, :], kind, step, n, matrices[n])[0] for r in rows] for n in orders.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(o, pa.list_(pa.float64())) for o in out)], names=[*(f.name for f in kept), *made])
+
+    done = gathered.mapInArrow(run, T.StructType([*kept, *(T.StructField(m, T.ArrayType(T.DoubleType())) for m in made)]))
+    spread = done.select(*keys, F.explode(F.arrays_zip("__k", *made)).alias("__x"))
+    return spread.select(*partition, F.col("__x.__k").alias(index), *(F.col(f"__x.{m}").alias(c) for m, c in zip(made, orders, strict=True)))
 
-    done = gathered.mapInArrow(run, T.StructType([*kept, T.StructField("__d", T.ArrayType(T.DoubleType()))]))
-    spread = done.select(*keys, F.explode(F.arrays_zip("__k", "__d")).alias("__x"))
-    return spread.select(*partition, F.col("__x.__k").alias(index), F.col("__x.__d").alias(into))
+
+def line_derivative(lines: DataFrame, kind: str, partition: list[str], index: str, value: str, step: float = 1.0, order: int = 1, nodes: np.ndarray | None = None, into: str = "derivative") -> DataFrame:
+    """(partition, index, derivative) of each line: one order of `line_derivatives`."""
+    return line_derivatives(lines, kind, partition, index, value, {into: order}, step, nodes)
