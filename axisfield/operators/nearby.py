@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisfield.plans.tables import written
+from axisfield.plans.tables import met, written
 
 TILE, TILES, SAMPLE, BLOCK, LEAF = 16_384, 4096, 100_000, 65_536, 24
+#: Rows of a task that are near each other and rule out boxes together.
+GROUP = 256
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,36 @@ class Boxes:
         width = max(map(len, parts))
         self.items = np.stack([np.pad(p, (0, width - len(p)), constant_values=-1) for p in parts])
 
-    def near(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, boxes) squared distances to boxes, and the boxes' order from the nearest on."""
-        d2 = box_distance(places, self.low, self.high)
-        return d2, np.argsort(d2, axis=1, kind="stable")
+
+
+def halved(places: np.ndarray, most: int) -> list[np.ndarray]:
+    """The numbers of places in groups of at most `most`, by repeated halving along the longest side."""
+    parts, todo = [], [np.arange(len(places))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            parts.append(own)
+            continue
+        axis = np.argmax(np.ptp(places[own], axis=0))
+        order = np.argpartition(places[own, axis], len(own) // 2)
+        todo += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return [p for p in parts if len(p)]
+
+
+def _apart(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest squared distance between a place in one box and a place in each of others."""
+    least = (np.maximum(np.maximum(lows - high, low - highs), 0) ** 2).sum(axis=1)
+    return least, (np.maximum(np.abs(highs - low), np.abs(high - lows)) ** 2).sum(axis=1)
+
+
+def _candidates(places: np.ndarray, lows: np.ndarray, highs: np.ndarray, counts: np.ndarray, k: int, bound: float = np.inf) -> np.ndarray:
+    """The boxes that may hold one of the k nearest items of any of the places, or lie within a bound (squared); ascending."""
+    least, most = _apart(places.min(axis=0), places.max(axis=0), lows, highs)
+    order = np.argsort(most)
+    enough = np.searchsorted(np.cumsum(counts[order]), k)
+    if enough < len(order):
+        bound = min(bound, most[order[enough]])
+    return np.flatnonzero(least <= bound * (1 + 1e-9))
 
 
 def box_distance(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -125,34 +153,59 @@ def _blocks(n: int, width: int) -> Iterator[slice]:
 
 
 def nearest_in(boxes: Boxes, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, k) squared distances and item numbers, from the nearest on; -1 where there are fewer items. Ties by id."""
+    """(rows, k) squared distances and item numbers, from the nearest on; -1 where there are fewer items. Ties by id.
+
+    Rows are looked at in groups that lie together; a group looks only at boxes that may hold nearest items of any of its rows.
+    """
     best = np.full((len(places), k), np.inf)
     found = np.full((len(places), k), -1)
-    for part in _blocks(len(places), len(boxes.parts)):
-        some = places[part]
-        d2, order = boxes.near(some)
-        alive = np.arange(len(some))
-        for turn in range(order.shape[1]):
-            box = order[alive, turn]
-            # a box as near as the worst kept may hold a tie of a smaller id
-            alive = alive[d2[alive, box] <= best[part][alive, k - 1]]
-            if not len(alive):
-                break
-            items = boxes.items[order[alive, turn]]
-            pairs, width = items.ravel(), items.shape[1]
-            at, _ = feet(np.repeat(some[alive], width, axis=0), boxes.corners[pairs])
-            away = ((np.repeat(some[alive], width, axis=0) - at) ** 2).sum(axis=1)
-            away[pairs < 0] = np.inf
-            both = np.concatenate((best[part][alive], away.reshape(-1, width)), axis=1)
-            who = np.concatenate((found[part][alive], items), axis=1)
-            named = np.where(who < 0, np.iinfo(np.int64).max, ids[who])
-            first = np.lexsort((named, both), axis=1)[:, :k]
-            best[part][alive] = np.take_along_axis(both, first, axis=1)
-            found[part][alive] = np.take_along_axis(who, first, axis=1)
+    sizes = np.array([len(p) for p in boxes.parts])
+    for group in halved(places, GROUP):
+        near = _candidates(places[group], boxes.low, boxes.high, sizes, k)
+        for part in _blocks(len(group), len(near)):
+            _look(boxes, ids, places, k, group[part], near, best, found)
     found[np.isinf(best)] = -1
     return best, found
 
 
+def _look(boxes: Boxes, ids: np.ndarray, places: np.ndarray, k: int, rows: np.ndarray, near: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+    """Fills in the k nearest items of some rows, box by box from each row's nearest on."""
+    some, own, who_ = places[rows], best[rows], found[rows]
+    d2 = box_distance(some, boxes.low[near], boxes.high[near])
+    order = np.argsort(d2, axis=1, kind="stable")
+    alive = np.arange(len(some))
+    for turn in range(order.shape[1]):
+        box = order[alive, turn]
+        # a box as near as the worst kept may hold a tie of a smaller id
+        going = d2[alive, box] <= own[alive, k - 1]
+        alive, box = alive[going], box[going]
+        if not len(alive):
+            break
+        items = boxes.items[near[box]]
+        pairs, width = items.ravel(), items.shape[1]
+        spots = np.repeat(some[alive], width, axis=0)
+        at, _ = feet(spots, boxes.corners[pairs])
+        away = ((spots - at) ** 2).sum(axis=1)
+        away[pairs < 0] = np.inf
+        away = away.reshape(-1, width)
+        named = np.where(items < 0, np.iinfo(np.int64).max, ids[items])
+        if k == 1:
+            least = away.min(axis=1, keepdims=True)
+            pick = np.where(away == least, named, np.iinfo(np.int64).max).argmin(axis=1)[:, None]
+            least, item, name = least[:, 0], np.take_along_axis(items, pick, axis=1)[:, 0], np.take_along_axis(named, pick, axis=1)[:, 0]
+            old = who_[alive, 0]
+            better = (least < own[alive, 0]) | ((least == own[alive, 0]) & (name < np.where(old < 0, np.iinfo(np.int64).max, ids[old])))
+            own[alive[better], 0], who_[alive[better], 0] = least[better], item[better]
+            continue
+        both = np.concatenate((own[alive], away), axis=1)
+        who = np.concatenate((who_[alive], items), axis=1)
+        named = np.concatenate((np.where(who_[alive] < 0, np.iinfo(np.int64).max, ids[who_[alive]]), named), axis=1)
+        first = np.lexsort((named, both), axis=1)[:, :k]
+        own[alive] = np.take_along_axis(both, first, axis=1)
+        who_[alive] = np.take_along_axis(who, first, axis=1)
+    best[rows], found[rows] = own, who_
+
+
 def _splits(sample: np.ndarray, most: int) -> list[tuple]:
     """A k-d tree as (axis, border, below, above) with leaves as (-1, number, 0, 0)."""
     nodes: list = [None]
@@ -184,7 +237,7 @@ def _leaf(nodes: list[tuple], places: np.ndarray) -> np.ndarray:
             out[own] = border
         elif len(own):
             side = places[own, axis] < border
-            todo += [(below, own[side]), (above, own[~side])]
+            todo += [(to, some) for to, some in ((below, own[side]), (above, own[~side])) if len(some)]
     return out
 
 
@@ -250,26 +303,30 @@ def _routed(rows: DataFrame, names: Sequence[str], tiles: Tiles, k: int, again:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, counts = shared.value
         for batch in batches:
-            places = _matrix(batch, names)
-            for part in _blocks(len(places), len(low)):
-                some = places[part]
-                d2 = box_distance(some, low, high)
-                home = np.argmin(d2, axis=1)
-                if again:
-                    bound = batch.column("bound").to_numpy(zero_copy_only=False)[part]
-                    near = d2 <= bound[:, None] * (1 + 1e-12) + slack
-                    if not slack:
-                        near[np.arange(len(some)), home] = False
-                    who, tile = np.nonzero(near)
-                else:
-                    # at least k items lie within the farthest corners of the tiles nearest by those
-                    far = farthest(some, low, high)
-                    order = np.argsort(far, axis=1)
-                    enough = (np.cumsum(counts[order], axis=1) < k).sum(axis=1)
-                    bound = np.where(enough < len(low), np.take_along_axis(far, np.take_along_axis(order, np.minimum(enough, len(low) - 1)[:, None], axis=1), axis=1)[:, 0], np.inf)
-                    who, tile = np.arange(len(some)), home
-                row = batch.column("row").to_numpy()[part]
-                yield pa.RecordBatch.from_arrays([pa.array(tile.astype(np.int32)), pa.array(row[who]), *(pa.array(some[who, j]) for j in range(len(names))), pa.array(bound[who])], names=["tile", "row", *names, "bound"])
+            places, row = _matrix(batch, names), batch.column("row").to_numpy()
+            bounds = batch.column("bound").to_numpy(zero_copy_only=False) if again else None
+            for group in halved(places, GROUP):
+                # only tiles that can be nearest, or within reach, of some row of the group
+                tile = _candidates(places[group], low, high, counts, k) if not again else _candidates(places[group], low, high, counts, int(counts.sum()) + 1, float(bounds[group].max()) + slack)
+                for part in _blocks(len(group), len(tile)):
+                    own = group[part]
+                    some = places[own]
+                    d2 = box_distance(some, low[tile], high[tile])
+                    home = np.argmin(d2, axis=1)
+                    if again:
+                        bound = bounds[own]
+                        near = d2 <= bound[:, None] * (1 + 1e-12) + slack
+                        if not slack:
+                            near[np.arange(len(some)), home] = False
+                        who, to = np.nonzero(near)
+                    else:
+                        # at least k items lie within the farthest corners of the tiles nearest by those
+                        far = farthest(some, low[tile], high[tile])
+                        order = np.argsort(far, axis=1)
+                        enough = (np.cumsum(counts[tile][order], axis=1) < k).sum(axis=1)
+                        bound = np.where(enough < len(tile), np.take_along_axis(far, np.take_along_axis(order, np.minimum(enough, len(tile) - 1)[:, None], axis=1), axis=1)[:, 0], np.inf)
+                        who, to = np.arange(len(some)), home
+                    yield pa.RecordBatch.from_arrays([pa.array(tile[to].astype(np.int32)), pa.array(row[own][who]), *(pa.array(some[who, j]) for j in range(len(names))), pa.array(bound[who])], names=["tile", "row", *names, "bound"])
 
     columns = ["row", *names, *(["bound"] if again else [])]
     return rows.select(*columns).mapInArrow(run, "tile int, row long, " + ", ".join(f"{c} double" for c in names) + ", bound double")
@@ -324,7 +381,7 @@ def nearest(rows: DataFrame, names: Sequence[str], tiles: Tiles, k: int = 1) ->
         return asked.mapInArrow(here, "row long, place int, item long, d2 double")
     first = written(meet(_routed(asked, names, tiles, k, False), tiles.items, names, columns, work, schema))
     bounds = first.groupBy("row").agg(F.min("bound").alias("bound"))
-    more = _routed(asked.join(bounds, "row"), names, tiles, k, True)
+    more = _routed(met(asked, bounds, "row"), names, tiles, k, True)
     both = first.union(meet(more, tiles.items, names, columns, work, schema))
     # at most k of each tile a row was sent to
     best = F.slice(F.array_sort(F.collect_list(F.struct("d2", "item"))), 1, k)

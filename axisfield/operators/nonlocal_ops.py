@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
 from axisfield.operators.series import BLOCK, adjacent, blocked, nearest_known
-from axisfield.plans.tables import written
+from axisfield.plans.tables import met, written
 
 #: Rows up to which a side of an all-pairs operator is broadcast; a larger one is shuffled in blocks. Anchors of a packed block.
 BROADCAST_ROWS, BLOCKS, PACKED = 200_000, 64, 50_000
@@ -123,8 +123,8 @@ def nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str],
     sorted_ = written(anchors.orderBy(*anchors.columns).withColumn("__item", F.monotonically_increasing_id()))
     asked = nearby.numbered(rows.select(F.col(key).alias("__key"), *names))
     found = nearby.nearest(asked.withColumnRenamed("__row", "row"), names, nearby.tiled(sorted_, "__item", nearby.Kind((tuple(names),))), k)
-    named = found.join(sorted_.select(F.col("__item").alias("item"), F.struct(*anchors.columns).alias("anchor")), "item")
-    return named.join(asked.select(F.col("__row").alias("row"), F.col("__key").alias(key)), "row").select(key, "place", F.col("d2").alias("distance2"), "anchor")
+    named = met(found, sorted_.select(F.col("__item").alias("item"), F.struct(*anchors.columns).alias("anchor")), "item")
+    return met(named, asked.select(F.col("__row").alias("row"), F.col("__key").alias(key)), "row").select(key, "place", F.col("d2").alias("distance2"), "anchor")
 
 
 def inverse_distance_nearest(rows: DataFrame, anchors: DataFrame, key: str, names: Sequence[str], value: str, k: int, exponent: float = 2.0, snap: float = 1e-12, into: str = "idw") -> DataFrame:

@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of sides of any size, by sorting: a size guessed from a packed file, or from rows before they are multiplied, would have one broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def dealt(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The rows (counted) in even partitions of about that number: for few bytes that each make many rows or much work."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder; executors may be lost afterwards."""
     path = posixpath.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4()}")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from axisfield.operators import nearby
-from axisfield.plans.tables import written
+from axisfield.plans.tables import met, written
 
 XYZ = ("x", "y", "z")
 
@@ -121,8 +121,8 @@ def feature_normals(faces: DataFrame) -> DataFrame:
     edges = [F.struct(F.lit(3 + k).alias("slot"), plain(F.flatten(F.array_sort(F.array(corner[k], corner[(k + 1) % 3])))).alias("at"), F.lit(1.0).alias("w")) for k in range(3)]
     each = faces.select("__face", unit.alias("n"), F.explode(F.array(*spots, *edges)).alias("s")).select("__face", "n", "s.*")
     sums = each.groupBy("at").agg(*(F.sum(F.col("w") * F.col("n")[k]).alias(f"m{k}") for k in range(3)))
-    met = each.join(sums, "at").groupBy("__face").agg(F.array_sort(F.collect_list(F.struct("slot", F.array("m0", "m1", "m2").alias("m")))).alias("found"), F.first("n").alias("n"))
-    return met.select("__face", F.concat(F.transform("found", lambda s: s["m"]), F.array("n")).alias("normals"))
+    found = met(each, sums, "at").groupBy("__face").agg(F.array_sort(F.collect_list(F.struct("slot", F.array("m0", "m1", "m2").alias("m")))).alias("found"), F.first("n").alias("n"))
+    return found.select("__face", F.concat(F.transform("found", lambda s: s["m"]), F.array("n")).alias("normals"))
 
 
 #: Smoothing leaves out faces whose weight is below exp(-FAINT) of the nearest one's.
@@ -148,8 +148,8 @@ def with_mesh_distance(rows: DataFrame, faces: DataFrame, names: tuple[str, str,
         raise ValueError("the mesh has no faces")
     places = asked.select(F.col("__row").alias("row"), *(F.col(a).cast("double").alias(b) for a, b in zip(names, XYZ, strict=True)))
     found = nearby.nearest(places, XYZ, tiles).select("row", "item")
-    sided = feature_normals(usable).join(usable, "__face")
-    full = found.join(sided.withColumnRenamed("__face", "item"), "item").join(places, "row")
+    sided = met(feature_normals(usable), usable, "__face")
+    full = met(met(found, sided.withColumnRenamed("__face", "item"), "item"), places, "row")
     columns = [f"{c}{k}" for k in range(3) for c in XYZ]
 
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +165,14 @@ def with_mesh_distance(rows: DataFrame, faces: DataFrame, names: tuple[str, str,
     signed = full.select("row", *XYZ, *columns, "normals").mapInArrow(side, "row long, " + ", ".join(f"{c} double" for c in made))
     if smooth:
         signed = _smoothed(signed, places, tiles, smooth, made)
-    out = asked.join(signed.withColumnRenamed("row", "__row"), "__row", "left")
+    out = met(asked, signed.withColumnRenamed("row", "__row"), "__row", "left")
     return out.select(*(F.col(f"`{c}`") for c in kept), *made)
 
 
 def _smoothed(signed: DataFrame, places: DataFrame, tiles: nearby.Tiles, smooth: float, made: list[str]) -> DataFrame:
     """Weighted means over all faces near enough to count, by the exact distance and sign."""
     exact = written(signed)
-    asked = places.join(exact.select("row", (F.col(made[0]) * F.col(made[0])).alias("bound")), "row")
+    asked = met(places, exact.select("row", (F.col(made[0]) * F.col(made[0])).alias("bound")), "row")
     reach, sums = FAINT / smooth, ["w", "d", "a", "b", "c"]
 
     def work(items: pa.Table, some: pa.Table) -> pa.Table:
