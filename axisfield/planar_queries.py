@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axisfield.plans.tables import dealt, written
 from axisfield.queries import query, rounded, table
 from axisfield.sources import clouds
 from axisfield.sources import planar as P
@@ -16,7 +17,7 @@ _FRAMES = "WITH f AS (SELECT p_partkey AS id, 4.0 * (p_partkey % 31) AS cx, 4.0
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight triangles a part, every second one turned to the right."""
     key = F.col("p_partkey")
-    at = table(spark, sf_dir, "part").select((4.0 * (key % 31)).alias("cx"), (4.0 * F.floor(key / 31)).alias("cy"), (0.6 + F.col("p_size") / 50.0).alias("h"), (0.2 + (key % 7) / 20.0).alias("k"))
+    at = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select((4.0 * (key % 31)).alias("cx"), (4.0 * F.floor(key / 31)).alias("cy"), (0.6 + F.col("p_size") / 50.0).alias("h"), (0.2 + (key % 7) / 20.0).alias("k"))
     signs = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
     corner = lambda which, s: [F.col("cx") + F.col(which) * s[0], F.col("cy") + F.col(which) * s[1]]
     out = []
@@ -56,7 +57,7 @@ def planar_interior_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FRAMES + " SELECT 6 * count(*) AS n, round(sum(8 * h + 8 * k), 4) AS length, 0.0::DOUBLE AS off, 0::BIGINT AS inward FROM f")
 def planar_boundary_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six points a part on the border: their weights' sum, their distance from it, and normals that lead inside after a tiny step."""
-    edges = P.boundary_edges(frames(spark, sf_dir))
+    edges = written(P.boundary_edges(frames(spark, sf_dir)))
     points = P.boundary_points(edges, 6 * table(spark, sf_dir, "part").count())
     stepped = points.withColumns({"x": F.col("x") + 1e-7 * F.col("n_x"), "y": F.col("y") + 1e-7 * F.col("n_y")}).drop("n_x", "n_y")
     out = P.with_planar_distance(stepped, edges)
@@ -112,9 +113,9 @@ def planar_blurred_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def planar_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen points a part, on a grid as wide as the part's size: the region they fill, its border and its loops."""
     key = F.col("p_partkey")
-    at = table(spark, sf_dir, "part").select((4.0 * (key % 31)).alias("cx"), (4.0 * F.floor(key / 31)).alias("cy"), (0.3 + F.col("p_size") / 250.0).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    at = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select((4.0 * (key % 31)).alias("cx"), (4.0 * F.floor(key / 31)).alias("cy"), (0.3 + F.col("p_size") / 250.0).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
     cloud = at.select((F.col("cx") + F.col("s") * (F.col("k") % 4)).alias("x"), (F.col("cy") + F.col("s") * F.floor(F.col("k") / 4)).alias("y"))
-    faces = clouds.triangulated(cloud, 0.45)
+    faces = written(clouds.triangulated(cloud, 0.45))
     inner = faces.agg(F.count(F.lit(1)).alias("triangles"), F.round(F.sum(F.abs(P.signed_area())), 4).alias("area"))
     rings = P.loops(P.boundary_edges(faces)).agg(F.round(F.sum("length"), 4).alias("length"), F.countDistinct("loop").alias("loops"))
     return inner.crossJoin(rings)  # one row each

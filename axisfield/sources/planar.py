@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
-from axisfield.plans.tables import written
+from axisfield.plans.tables import met, written
 from axisfield.sources.samplers import unit
 
 CORNERS = tuple(f"{c}{k}" for k in range(3) for c in "xy")
@@ -35,15 +36,20 @@ def oriented(faces: DataFrame) -> DataFrame:
 
 
 def _sides(faces: DataFrame) -> DataFrame:
-    """(ends, faces) of each edge: how many triangles have it, and its ends as the first of them has them."""
-    pairs = [F.array(*(F.col(f"{c}{j}") for j in (k, (k + 1) % 3) for c in "xy")) for k in range(3)]
-    each = oriented(faces).select(F.explode(F.array(*pairs)).alias("e"))
-    key = F.array_sort(F.array(F.slice("e", 1, 2), F.slice("e", 3, 2)))
-    return each.groupBy(key.alias("__key")).agg(F.count(F.lit(1)).alias("faces"), F.min("e").alias("e"))
+    """(ends, faces) of each edge: how many triangles have it, and its ends as the first of them has them.
+
+    The lesser end and the greater are the key and the direction one number, so that edges are counted by hash in rows of a fixed width.
+    """
+    pairs = [F.struct(*(F.col(f"{c}{j}").alias(e) for e, (j, c) in zip(ENDS, ((j, c) for j in (k, (k + 1) % 3) for c in "xy"), strict=True))) for k in range(3)]
+    each = oriented(faces).select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+    along = (F.col("x0") < F.col("x1")) | ((F.col("x0") == F.col("x1")) & (F.col("y0") <= F.col("y1")))
+    key = [F.when(along, F.col(a)).otherwise(F.col(b)).alias(f"__{a}") for a, b in zip(ENDS, (*ENDS[2:], *ENDS[:2]), strict=True)]
+    sums = each.select(*key, along.cast("int").alias("__along")).groupBy(*(f"__{a}" for a in ENDS)).agg(F.count(F.lit(1)).alias("faces"), F.max("__along").alias("__along"))
+    return sums.select("faces", *(F.when(F.col("__along") == 1, F.col(f"__{a}")).otherwise(F.col(f"__{b}")).alias(a) for a, b in zip(ENDS, (*ENDS[2:], *ENDS[:2]), strict=True)))
 
 
 def _ends(sides: DataFrame) -> DataFrame:
-    return sides.select(*(F.col("e")[k].alias(c) for k, c in enumerate(ENDS))).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    return sides.select(*ENDS).withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
 
 
 def boundary_edges(faces: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def loops(edges: DataFrame) -> DataFrame:
     leaves = own.select(F.col("edge").alias("next"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("__to"))
     back = F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1"))
     turn = F.pmod(back - F.col("__to"), F.lit(2 * math.pi))
-    followed = own.join(leaves, ["x1", "y1"], "left").groupBy("edge").agg(F.min_by("next", F.when(turn <= 1e-12, 2 * math.pi).otherwise(turn)).alias("next"))
+    followed = met(own, leaves, ["x1", "y1"], "left").groupBy("edge").agg(F.min_by("next", F.when(turn <= 1e-12, 2 * math.pi).otherwise(turn)).alias("next"))
     gap = F.when(F.col("next").isNull(), F.raise_error(F.lit("an edge is followed by none: the mesh has no closed border")).cast("long")).otherwise(F.col("next"))
     steps = written(followed.select("edge", gap.alias("next"), F.col("edge").alias("least")))
     first, before = steps, None
@@ -81,16 +87,16 @@ def loops(edges: DataFrame) -> DataFrame:
             break
         before = seen
         ahead = steps.select(F.col("edge").alias("next"), F.col("next").alias("__next"), F.col("least").alias("__least"))
-        steps = written(steps.join(ahead, "next").select("edge", F.col("__next").alias("next"), F.least("least", "__least").alias("least")))
-    named = first.select("edge", "next").join(steps.select("edge", F.col("least").alias("loop")), "edge").join(own.select("edge", "length"), "edge")
+        steps = written(met(steps, ahead, "next").select("edge", F.col("__next").alias("next"), F.least("least", "__least").alias("least")))
+    named = met(met(first.select("edge", "next"), steps.select("edge", F.col("least").alias("loop")), "edge"), own.select("edge", "length"), "edge")
     # how far it is to the loop's least edge: the steps stop there
     ranks = written(named.select("edge", "loop", F.when(F.col("next") == F.col("loop"), F.lit(None)).otherwise(F.col("next")).alias("next"), F.lit(1).cast("long").alias("steps"), F.col("length").alias("far")))
     while ranks.where("next is not null").limit(1).count():
         ahead = ranks.select(F.col("edge").alias("next"), F.col("next").alias("__next"), F.col("steps").alias("__steps"), F.col("far").alias("__far"))
-        ranks = written(ranks.join(ahead, "next", "left").select("edge", "loop", F.col("__next").alias("next"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("far") + F.coalesce("__far", F.lit(0.0))).alias("far")))
+        ranks = written(met(ranks, ahead, "next", "left").select("edge", "loop", F.col("__next").alias("next"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("far") + F.coalesce("__far", F.lit(0.0))).alias("far")))
     whole = ranks.groupBy("loop").agg(F.max("steps").alias("edges"), F.max("far").alias("__whole"))
-    placed = ranks.join(whole, "loop").select("edge", "loop", (F.col("edges") - F.col("steps")).alias("place"), (F.col("__whole") - F.col("far")).alias("before"))
-    return own.join(placed, "edge").select("loop", "place", *ENDS, "length", "before")
+    placed = met(ranks, whole, "loop").select("edge", "loop", (F.col("edges") - F.col("steps")).alias("place"), (F.col("__whole") - F.col("far")).alias("before"))
+    return met(own, placed, "edge").select("loop", "place", *ENDS, "length", "before")
 
 
 def spread(rows: DataFrame, weight: str, n: int, seed: int = 0) -> DataFrame:
@@ -139,7 +145,31 @@ def boundary_points(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return spread(edges.select(*ENDS, "length"), "length", n, seed).select("draw", *at, *(c.alias(k) for c, k in zip(outward(), ("n_x", "n_y"), strict=True)), "w")
 
 
-def with_planar_distance(rows: DataFrame, edges: DataFrame, names: tuple[str, str] = ("x", "y"), into: str = "distance") -> DataFrame:
+@dataclass
+class Border:
+    """Edges with their number and the outward directions at their ends and along them, written, and their tiles: made once for several looks."""
+
+    edges: DataFrame
+    tiles: nearby.Tiles
+
+    columns = (*ENDS, "ca0", "cb0", "ca1", "cb1", "a", "b")
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Border:
+        own = written(edges.select(*ENDS, "length").orderBy(*ENDS).withColumn("__edge", F.monotonically_increasing_id()))
+        tiles = nearby.tiled(own, "__edge", nearby.Kind((("x0", "y0"), ("x1", "y1"))))
+        if not len(tiles.counts):
+            raise ValueError("the region has no border")
+        n = outward()
+        ends = F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"x{k}").alias("cx"), F.col(f"y{k}").alias("cy")) for k in (0, 1))))
+        each = own.select("__edge", n[0].alias("a"), n[1].alias("b"), ends.alias("s")).select("__edge", "a", "b", "s.*")
+        corner = each.groupBy("cx", "cy").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
+        at = lambda k, c: F.max(F.when(F.col("slot") == k, F.col(c)))
+        sides = met(each, corner, ["cx", "cy"]).groupBy("__edge").agg(*(at(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("ca", "cb")), F.first("a").alias("a"), F.first("b").alias("b"))
+        return cls(written(met(own.drop("length"), sides, "__edge")), tiles)
+
+
+def with_planar_distance(rows: DataFrame, edges: DataFrame | Border, names: tuple[str, str] = ("x", "y"), into: str = "distance") -> DataFrame:
     """Adds the signed distance to a region's border (edges with the region on their left), negative inside, and the outward direction (n_x, n_y).
 
     Edges are found by tiles (`nearby`). At a corner the directions of both edges are added. Points without a place have nulls.
@@ -147,19 +177,10 @@ def with_planar_distance(rows: DataFrame, edges: DataFrame, names: tuple[str, st
     made = [into, "n_x", "n_y"]
     kept = [c for c in rows.columns if c not in made]
     asked = nearby.numbered(rows.select(*(F.col(f"`{c}`") for c in kept)))
-    own = written(edges.select(*ENDS, "length").orderBy(*ENDS).withColumn("__edge", F.monotonically_increasing_id()))
-    tiles = nearby.tiled(own, "__edge", nearby.Kind((("x0", "y0"), ("x1", "y1"))))
-    if not len(tiles.counts):
-        raise ValueError("the region has no border")
+    border = edges if isinstance(edges, Border) else Border.of(edges)
     places = asked.select(F.col("__row").alias("row"), *(F.col(a).cast("double").alias(b) for a, b in zip(names, "xy", strict=True)))
-    n = outward()
-    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"x{k}").alias("cx"), F.col(f"y{k}").alias("cy")) for k in (0, 1))))
-    each = own.select("__edge", n[0].alias("a"), n[1].alias("b"), ends.alias("s")).select("__edge", "a", "b", "s.*")
-    corner = each.groupBy("cx", "cy").agg(F.sum("a").alias("ca"), F.sum("b").alias("cb"))
-    at = lambda k, c: F.max(F.when(F.col("slot") == k, F.col(c)))
-    sides = each.join(corner, ["cx", "cy"]).groupBy("__edge").agg(*(at(k, c).alias(f"{c}{k}") for k in (0, 1) for c in ("ca", "cb")), F.first("a").alias("a"), F.first("b").alias("b"))
-    columns = [*ENDS, "ca0", "cb0", "ca1", "cb1", "a", "b"]
-    full = nearby.nearest(places, "xy", tiles).select("row", F.col("item").alias("__edge")).join(own.join(sides, "__edge"), "__edge").join(places, "row")
+    columns = list(border.columns)
+    full = met(met(nearby.nearest(places, "xy", border.tiles).select("row", F.col("item").alias("__edge")), border.edges, "__edge"), places, "row")
 
     def side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +193,7 @@ def with_planar_distance(rows: DataFrame, edges: DataFrame, names: tuple[str, st
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(d), pa.array(normal[:, 0]), pa.array(normal[:, 1])], names=["__row", *made])
 
     signed = full.select("row", "x", "y", *columns).mapInArrow(side, "__row long, " + ", ".join(f"{c} double" for c in made))
-    return asked.join(signed, "__row", "left").select(*(F.col(f"`{c}`") for c in kept), *made)
+    return met(asked, signed, "__row", "left").select(*(F.col(f"`{c}`") for c in kept), *made)
 
 
 def disk_offsets(n: int = 6, spread_by: float = 0.69420) -> list[dict[str, float]]:
@@ -198,10 +219,11 @@ def with_blurred_distance(rows: DataFrame, edges: DataFrame, names: tuple[str, s
     """Adds the distance to a border, blurred over a disk of each point's own distance: each point of the disk is looked up by tiles."""
     rule = list(offsets or disk_offsets())
     whole = sum(e["w"] for e in rule)
-    near = nearby.numbered(with_planar_distance(rows, edges, names, into="__d").drop("n_x", "n_y"))
+    border = Border.of(edges)
+    near = nearby.numbered(with_planar_distance(rows, border, names, into="__d").drop("n_x", "n_y"))
     spots = F.array(*(F.struct(*(F.lit(float(e[k])).alias(k) for k in ("u", "v")), F.lit(e["w"] / whole).alias("w")) for e in rule))
     radius = blur_radius(F.col("__d"))
     moved = near.select(F.col("__row").alias("__of"), *(F.col(c).cast("double").alias(c) for c in names), radius.alias("__r"), F.explode(spots).alias("__e")).select("__of", *((F.col(c) + F.col("__r") * F.col(f"__e.{k}")).alias(c) for c, k in zip(names, "uv", strict=True)), F.col("__e.w").alias("w"))
-    means = with_planar_distance(moved, edges, names, into="__s").groupBy("__of").agg(F.sum(F.col("w") * F.col("__s")).alias(into)).withColumnRenamed("__of", "__row")
+    means = with_planar_distance(moved, border, names, into="__s").groupBy("__of").agg(F.sum(F.col("w") * F.col("__s")).alias(into)).withColumnRenamed("__of", "__row")
     kept = [F.col(f"`{c}`") for c in rows.columns if c != into]
-    return near.drop(into).join(means, "__row", "left").select(*kept, into)
+    return met(near.drop(into), means, "__row", "left").select(*kept, into)
