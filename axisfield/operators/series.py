@@ -57,12 +57,14 @@ def nearest_known(rows: DataFrame, series: Sequence[str], order: Sequence[str],
     all_ = rows.groupBy(*series, BLOCK).agg(F.max_by(value, place).alias("__last"), F.min_by(value, place).alias("__first"))
     line = Window.partitionBy(*series).orderBy(BLOCK)
     before = F.last("__last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("__first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    # backwards, so that the window grows: one that shrinks is gone through anew for each row
+    after = F.last("__first", ignorenulls=True).over(Window.partitionBy(*series).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1))
     beside = all_.select(*series, BLOCK, before.alias("__b"), after.alias("__a")).where("__b is not null or __a is not null")
     inner = Window.partitionBy(*series, BLOCK).orderBy(*order)
     out = _joined(rows, beside, series)
     if last:
         out = out.withColumn(last, F.coalesce(F.last(value, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("__b")))
     if first:
-        out = out.withColumn(first, F.coalesce(F.first(value, ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col("__a")))
+        turned = Window.partitionBy(*series, BLOCK).orderBy(*(F.col(o).desc() for o in order))
+        out = out.withColumn(first, F.coalesce(F.last(value, ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0)), F.col("__a")))
     return out.drop("__b", "__a")
