@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from axisfield.functions.expressions import Label, cos, exp, sin
 from axisfield.operators import enforced as E
 from axisfield.operators import latent, pieces
+from axisfield.plans.tables import dealt
 from axisfield.queries import POINTS, X, Y, points, query, rounded, table
 
 T = Label("t")
@@ -73,6 +74,7 @@ _UX = "cos(x) * n * exp(-s) + 0.3 * exp(0.3 * x) * (n * n + 1) * s + y * cos(n)
 def latent_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field over the product of parts, nations and regions, each factor evaluated on its own table."""
     axes = {k: v.drop("w") for k, v in _axes(spark, sf_dir).items()}
+    axes["part"] = dealt(axes["part"])  # a part makes 125 rows
     return rounded(_model().on_grid(axes, ["u", "v"]), ["id", "n_nationkey", "r_regionkey"], u="u", v="v")
 
 

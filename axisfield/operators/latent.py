@@ -8,6 +8,7 @@ factors that have it. An integral over the whole grid needs no grid: sums over e
 
 from __future__ import annotations
 
+import functools
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -20,6 +21,8 @@ from axisfield.functions.networks import Network
 
 #: Rows of an axis that may be broadcast in a product, counted; the others stay where they are.
 BROADCAST_ROWS = 200_000
+#: Numbers of all factors up to which a product is written out.
+UNROLLED = 256
 
 
 @dataclass(frozen=True)
@@ -83,6 +86,10 @@ class Contraction:
 
     def _contracted(self, into: Sequence[str]) -> list[Column]:
         arrays = [F.col(f"__g_{f}") for f in self.factors]
+        if self.latent * self.out * len(arrays) <= UNROLLED:
+            # written out, in the same order: compiled with the join, without functions over arrays
+            term = lambda k: functools.reduce(lambda x, y: x * y, (a[k] for a in arrays))
+            return [functools.reduce(lambda s, x: s + x, (term(o * self.latent + l) for l in range(self.latent)), F.lit(0.0)).alias(n) for o, n in zip(range(self.out), into, strict=True)]  # noqa: E741
         products = arrays[0]
         for a in arrays[1:]:
             products = F.zip_with(products, a, lambda x, y: x * y)
