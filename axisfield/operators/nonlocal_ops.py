@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from axisfield.operators import nearby
 from axisfield.operators.rules import rule_sum
 from axisfield.operators.series import BLOCK, adjacent, blocked, nearest_known
-from axisfield.plans.tables import met, written
+from axisfield.plans.tables import dealt, met, written
 
 #: Rows up to which a side of an all-pairs operator is broadcast; a larger one is shuffled in blocks. Anchors of a packed block.
 BROADCAST_ROWS, BLOCKS, PACKED = 200_000, 64, 50_000
@@ -30,8 +31,22 @@ def all_pairs(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).join(dealt, "__block").drop("__block")
 
 
-def kernel_integral(rows: DataFrame, rule: Sequence[dict[str, float]], term: Callable[[Column], Column], into: str = "integral") -> DataFrame:
-    """Adds the sum over a declared quadrature rule of term(entry), such as kernel(x, y) value(y) weight."""
+def kernel_integral(rows: DataFrame, rule: Sequence[dict[str, float]], term: Callable[[Column], Column], into: str = "integral", reads: Sequence[str] | None = None) -> DataFrame:
+    """Adds the sum over a declared quadrature rule of term(entry), such as kernel(x, y) value(y) weight.
+
+    `reads` names the columns that the term reads: then there is one sum for each distinct place of theirs, joined to its rows (nulls alike). That is
+    for long rules over columns with few places; with none, the sum is one number.
+    """
+    if reads is not None:
+        if not reads:
+            return rows.crossJoin(F.broadcast(rows.sparkSession.range(1).select(rule_sum(rule, term).alias(into))))  # one row
+        # places are few beside the work of their sums: a task has some of them
+        places = dealt(rows.select(*reads).distinct(), 16).withColumn(into, rule_sum(rule, term))
+        sums = written(places.select(*(F.col(c).alias(f"__at_{c}") for c in reads), into))
+        same = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in reads))
+        # counted: small sums meet rows where they are
+        side = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums.hint("merge")
+        return rows.drop(into).join(side, same, "left").drop(*(f"__at_{c}" for c in reads))
     return rows.withColumn(into, rule_sum(rule, term))
 
 
@@ -53,16 +68,33 @@ def _weighted(d2: Column, value: Column, exponent: float, snap: float) -> tuple[
 def _means(places: np.ndarray, spots: np.ndarray, values: np.ndarray, exponent: float) -> tuple[np.ndarray, ...]:
     """Weighted sum of values, sum of weights, and the nearest anchor's squared distance and value (the least, if several are as near)."""
     top, low, least, near = (np.full(len(places), x) for x in (0.0, 0.0, np.inf, np.inf))
-    step = max(1, 2_000_000 // max(1, len(spots)))
-    for a in range(0, len(places) if len(spots) else 0, step):
-        some = slice(a, a + step)
-        d2 = np.zeros((len(places[some]), len(spots)))
-        for k in range(spots.shape[1]):
-            d2 += (places[some, k, None] - spots[None, :, k]) ** 2
-        least[some] = d2.min(axis=1)
-        near[some] = np.where(d2 == least[some, None], values, np.inf).min(axis=1)
-        w = np.maximum(d2, 1e-300) ** (-exponent / 2)
-        top[some], low[some] = w @ values, w.sum(axis=1)
+    # few pairs at a time, in the same memory, which the processor's caches hold
+    width = max(1, min(len(spots), 4096))
+    step = max(1, 32_768 // width)
+    both = np.stack((values, np.ones(len(values))), axis=1)
+    d2_, gap_ = np.empty((2, step * width))
+    for a in range(0, len(places), step):
+        some = places[a : a + step]
+        for b in range(0, len(spots), width):
+            own = spots[b : b + width]
+            shape = (len(some), len(own))
+            d2, gap = (x[: shape[0] * shape[1]].reshape(shape) for x in (d2_, gap_))
+            for k in range(spots.shape[1]):
+                to = gap if k else d2
+                np.subtract(some[:, k, None], own[None, :, k], out=to)
+                np.multiply(to, to, out=to)
+                if k:
+                    d2 += gap
+            nearest_ = d2.min(axis=1)
+            for r in np.flatnonzero(nearest_ <= least[a : a + step]):
+                value = values[b : b + width][d2[r] == nearest_[r]].min() if not np.isnan(nearest_[r]) else np.inf
+                near[a + r] = min(near[a + r], value) if nearest_[r] == least[a + r] else value
+                least[a + r] = nearest_[r]
+            np.maximum(d2, 1e-300, out=d2)
+            w = np.power(d2, -exponent / 2, out=d2) if exponent != 2 else np.reciprocal(d2, out=d2)
+            sums = w @ both[b : b + width]
+            top[a : a + step] += sums[:, 0]
+            low[a : a + step] += sums[:, 1]
     return top, low, least, near
 
 
