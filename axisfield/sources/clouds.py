@@ -50,35 +50,61 @@ def _exact_side(here: np.ndarray, lift: float, corners: list[tuple[np.ndarray, f
     return 1 if above > 0 else -1
 
 
-def _star(here: np.ndarray, lift: float, places: np.ndarray, lifts: np.ndarray, alpha: float) -> np.ndarray:
-    """Pairs (j, k) of neighbours that make a triangle with the point whose circle is empty."""
-    x, y = (places - here).T
-    z = x * x + y * y + (lifts - lift)
-    j, k = np.triu_indices(len(places), 1)
-    cross = x[j] * y[k] - x[k] * y[j]
-    good = np.abs(cross) > 1e-12 * (np.hypot(x[j], y[j]) * np.hypot(x[k], y[k]))
-    j, k, cross = j[good], k[good], cross[good]
+def _neighbours(at: np.ndarray, strip: np.ndarray, mine: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of some points and the others within reach, by point; points are sorted by strips as wide as the reach, and within them."""
+    who, other = [], []
+    names, starts = np.unique(strip, return_index=True)
+    stops = np.append(starts[1:], len(strip))
+    for p_strip in np.unique(strip[mine]):
+        own = mine[strip[mine] == p_strip]
+        for s in np.flatnonzero(np.abs(names - p_strip) <= 1):
+            y = at[starts[s] : stops[s], 1]
+            low, high = np.searchsorted(y, at[own, 1] - reach), np.searchsorted(y, at[own, 1] + reach, "right")
+            n = high - low
+            who.append(np.repeat(own, n))
+            other.append(starts[s] + np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()))
+    who, other = np.concatenate(who), np.concatenate(other)
+    around = at[other] - at[who]
+    close = (np.hypot(around[:, 0], around[:, 1]) <= reach) & (who != other)
+    who, other = who[close], other[close]
+    order = np.lexsort((other, who))
+    return who[order], other[order]
+
+
+def _stars(here: np.ndarray, lift: np.ndarray, places: np.ndarray, lifts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, j, k): the neighbours j, k of points (all with as many of them) that make a triangle with it whose circle is empty."""
+    x, y = np.moveaxis(places - here[:, None], 2, 0)
+    z = x * x + y * y + (lifts - lift[:, None])
+    j, k = np.triu_indices(places.shape[1], 1)
+    cross, away = x[:, j] * y[:, k] - x[:, k] * y[:, j], np.hypot(x, y)
+    r, pair = np.nonzero(np.abs(cross) > 1e-12 * (away[:, j] * away[:, k]))
+    j, k, cross = j[pair], k[pair], cross[r, pair]
     # the circle's middle, from the point
-    cx, cy = (z[j] * y[k] - z[k] * y[j]) / (2 * cross), (x[j] * z[k] - x[k] * z[j]) / (2 * cross)
+    cx, cy = (z[r, j] * y[r, k] - z[r, k] * y[r, j]) / (2 * cross), (x[r, j] * z[r, k] - x[r, k] * z[r, j]) / (2 * cross)
     near = cx * cx + cy * cy <= alpha * alpha
-    j, k, cx, cy = j[near], k[near], cx[near], cy[near]
-    out = []
-    step = max(1, 500_000 // max(1, len(places)))
-    for a in range(0, len(j), step):
+    r, j, k, cx, cy = r[near], j[near], k[near], cx[near], cy[near]
+    good = np.zeros(len(r), bool)
+    step = max(1, 500_000 // max(1, places.shape[1]))
+    for a in range(0, len(r), step):
         own = slice(a, a + step)
-        above = z[None] - 2 * (cx[own, None] * x[None] + cy[own, None] * y[None])
+        above = z[r[own]] - 2 * (cx[own, None] * x[r[own]] + cy[own, None] * y[r[own]])
         rows = np.arange(len(above))
         above[rows, j[own]] = above[rows, k[own]] = np.inf
         # what rounding can't tell is decided exactly, if nothing else is inside
         unsure = np.abs(above) <= 1e-11 * alpha * alpha
         sure = np.where(unsure, np.inf, above)
-        for r in np.flatnonzero(unsure.any(axis=1) & (sure.min(axis=1) > 0)):
-            for s in np.flatnonzero(unsure[r]):
-                corners = [(places[q], lifts[q]) for q in (j[a + r], k[a + r])]
-                above[r, s] = _exact_side(here, lift, corners, (places[s], lifts[s]))
-        empty = above.min(axis=1) > 0
-        out.append(np.stack((j[own][empty], k[own][empty]), axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), int)
+        for q in np.flatnonzero(unsure.any(axis=1) & (sure.min(axis=1) > 0)):
+            p = r[a + q]
+            for s in np.flatnonzero(unsure[q]):
+                corners = [(places[p, n], lifts[p, n]) for n in (j[a + q], k[a + q])]
+                above[q, s] = _exact_side(here[p], lift[p], corners, (places[p, s], lifts[p, s]))
+        good[own] = above.min(axis=1) > 0
+    return r[good], j[good], k[good]
+
+
+def _star(here: np.ndarray, lift: float, places: np.ndarray, lifts: np.ndarray, alpha: float) -> np.ndarray:
+    """Pairs (j, k) of one point's neighbours that make a triangle with it."""
+    return np.stack(_stars(here[None], np.array([lift]), places[None], lifts[None], alpha)[1:], axis=1)
 
 
 def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x", "y")) -> DataFrame:
@@ -99,10 +125,13 @@ def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x",
         low, high = shared.value
         for batch in batches:
             at, tile = nearby._matrix(batch, "xy"), batch.column("tile").to_numpy()
-            for part in nearby._blocks(len(at), len(low)):
-                who, other = np.nonzero(nearby.box_distance(at[part], low, high) <= margin)
-                away = tile[part][who] != other
-                some = batch.slice(part.start, len(at[part])).take(pa.array(who[away]))
+            for group in nearby.halved(at, nearby.GROUP):
+                # only boxes within reach of some point of the group
+                boxes = np.flatnonzero(nearby._apart(at[group].min(axis=0), at[group].max(axis=0), low, high)[0] <= margin)
+                who, other = np.nonzero(nearby.box_distance(at[group], low[boxes], high[boxes]) <= margin)
+                who, other = group[who], boxes[other]
+                away = tile[who] != other
+                some = batch.take(pa.array(who[away]))
                 yield pa.RecordBatch.from_arrays([pa.array(other[away].astype(np.int32)), some.column("item"), some.column("x"), some.column("y"), pa.array(np.zeros(some.num_rows, bool))], names=["tile", "item", "x", "y", "own"])
 
     halo = owned.mapInArrow(reach, "tile int, item long, x double, y double, own boolean")
@@ -114,24 +143,23 @@ def triangulated(cloud: DataFrame, alpha: float, names: tuple[str, str] = ("x",
         lifts = _lift(at, alpha)
         # strips of 2 alpha, sorted within: a point's neighbours lie in three stretches
         strip = np.floor(at[:, 0] / (2 * alpha))
-        found = []
-        starts = {s: (np.searchsorted(strip, s), np.searchsorted(strip, s, "right")) for s in np.unique(strip)}
-        for p in np.flatnonzero(own):
-            near = []
-            for s in (strip[p] - 1, strip[p], strip[p] + 1):
-                if s in starts:
-                    a, b = starts[s]
-                    near.append(np.arange(a + np.searchsorted(at[a:b, 1], at[p, 1] - 2 * alpha), a + np.searchsorted(at[a:b, 1], at[p, 1] + 2 * alpha, "right")))
-            near = np.concatenate(near)
-            around = at[near] - at[p]
-            close = (np.hypot(around[:, 0], around[:, 1]) <= 2 * alpha) & (near != p)
-            near = near[close]
-            pairs = _star(at[p], lifts[p], at[near], lifts[near], alpha)
-            corners = near[pairs]
-            # the first corner's tile has the triangle
-            first = (item[corners] > item[p]).all(axis=1) if len(corners) else np.zeros(0, bool)
-            found.append(np.column_stack((np.full(first.sum(), p), corners[first])) if len(corners) else np.zeros((0, 3), int))
-        found = np.concatenate(found) if found else np.zeros((0, 3), int)
+        found = [np.zeros((0, 3), int)]
+        mine = np.flatnonzero(own)
+        for a in range(0, len(mine), 2048):
+            who, other = _neighbours(at, strip, mine[a : a + 2048], 2 * alpha)
+            ends = np.searchsorted(who, mine[a : a + 2048], "right")
+            sizes = np.diff(ends, prepend=0)
+            for m in np.unique(sizes[sizes > 1]):
+                these = np.flatnonzero(sizes == m)
+                near = other[(ends[these] - m)[:, None] + np.arange(m)]
+                step = max(1, 500_000 // (m * (m - 1) // 2))
+                for c in range(0, len(these), step):
+                    points, close = mine[a : a + 2048][these[c : c + step]], near[c : c + step]
+                    rows, j, k = _stars(at[points], lifts[points], at[close], lifts[close], alpha)
+                    three = np.stack((points[rows], close[rows, j], close[rows, k]), axis=1)
+                    # the first corner's tile has the triangle
+                    found.append(three[(item[three[:, 1:]] > item[three[:, :1]]).all(axis=1)])
+        found = np.concatenate(found)
         return pa.table({f"{c}{k}": at[found[:, k], i] for k in range(3) for i, c in enumerate("xy")})
 
     # a task a tile: the rows are few for the work they make, and would be put together by their bytes
